@@ -172,9 +172,10 @@ def _salt_hot_buckets(inv: DataFrame, txn: DataFrame, keys, salts: int, hot_rows
 def _order_key(tie_order: str) -> Column:
     if tie_order == "date":
         return F.struct(-F.col("match_score"), F.col("bank_date"), F.col("bank_row_idx"),
-                        F.col("bank_statement_id"))
+                        F.col("bank_statement_id"), F.col("bank_cents"), F.col("bank_description"))
     if tie_order == "row":
-        return F.struct(-F.col("match_score"), F.col("bank_statement_id"), F.col("bank_row_idx"))
+        return F.struct(-F.col("match_score"), F.col("bank_statement_id"), F.col("bank_row_idx"),
+                        F.col("bank_date"), F.col("bank_cents"), F.col("bank_description"))
     raise ValueError(f"unknown tie_order {tie_order!r}")
 
 
@@ -242,5 +243,6 @@ def rank_candidates(cands: DataFrame, invoice_key: Sequence[str] = ("filename",)
 def _order_cols(tie_order: str):
     if tie_order == "date":
         return [F.col("match_score").desc(), F.col("bank_date").asc(), F.col("bank_row_idx").asc(),
-                F.col("bank_statement_id").asc()]
-    return [F.col("match_score").desc(), F.col("bank_statement_id").asc(), F.col("bank_row_idx").asc()]
+                F.col("bank_statement_id").asc(), F.col("bank_cents").asc(), F.col("bank_description").asc()]
+    return [F.col("match_score").desc(), F.col("bank_statement_id").asc(), F.col("bank_row_idx").asc(),
+            F.col("bank_date").asc(), F.col("bank_cents").asc(), F.col("bank_description").asc()]

@@ -139,3 +139,22 @@ def resp_v(spark, sf_dir) -> DataFrame:
     js = F.concat(F.lit('{"invoice_number":'), number, F.lit(',"invoice_date":'), date,
                   F.lit(',"total_amount":'), total, F.lit(',"currency":"eur"}'))
     return i.select("k", "filename", F.concat(F.lit("Voici : "), js, F.lit(" fin")).alias("answer"))
+
+
+def inv_o(spark, sf_dir) -> DataFrame:
+    """Orders as invoices (every field present)."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("k"), F.concat(F.lit("ord_"), k, F.lit(".pdf")).alias("filename"),
+        F.concat(F.lit("INV-"), k).alias("invoice_number"), F.to_date("o_orderdate").alias("invoice_date"),
+        _amount(_cents(F.col("o_totalprice"))).alias("total_amount"))
+
+
+def txn_l(spark, sf_dir) -> DataFrame:
+    """Line items as bank transactions (competing candidates per order)."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.lit("li").alias("statement_id"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_idx"),
+        F.to_date("l_shipdate").alias("date"),
+        F.concat(F.lit("PAY INV-"), F.col("l_orderkey"), F.lit(" P"), F.col("l_partkey")).alias("description"),
+        _amount(_cents(F.col("l_extendedprice"))).alias("amount"))

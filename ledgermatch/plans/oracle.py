@@ -45,7 +45,7 @@ def candidates_cte(inv: str = "inv_v", txn: str = "txn_v", tol: int = 2, days: i
 
 BEST = """best AS (
   SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, date, row_idx, statement_id) AS rn
+    SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, date, row_idx, statement_id, tcents, description) AS rn
     FROM cand) WHERE rn = 1)"""
 
 MATCH_SELECT = """SELECT i.filename, i.invoice_number, strftime(i.invoice_date, '%Y-%m-%d') AS invoice_date,
@@ -57,3 +57,78 @@ FROM inv_v i LEFT JOIN best b ON b.k = i.k"""
 ORACLE: dict[str, str] = {}
 
 ORACLE["match_best"] = f"WITH {INV_V},\n{TXN_V},\n{candidates_cte()},\n{BEST}\n{MATCH_SELECT}"
+
+INV_O = f"""inv_o AS (
+  SELECT o_orderkey AS k, 'ord_' || o_orderkey || '.pdf' AS filename, 'INV-' || o_orderkey AS invoice_number,
+         CAST(o_orderdate AS DATE) AS invoice_date, {CENTS} AS cents
+  FROM orders)"""
+
+TXN_L = """txn_l AS (
+  SELECT 'li' AS statement_id, l_orderkey * 8 + l_linenumber AS row_idx, CAST(l_shipdate AS DATE) AS date,
+         'PAY INV-' || l_orderkey || ' P' || l_partkey AS description,
+         CAST(round(l_extendedprice * 100) AS BIGINT) AS cents
+  FROM lineitem)"""
+
+OL = f"WITH {INV_O},\n{TXN_L},\n{candidates_cte('inv_o', 'txn_l', 500, 90)}"
+
+ORACLE["join_amount_band"] = f"""WITH {INV_V},\n{TXN_V}
+SELECT i.filename, t.row_idx AS bank_row_idx, abs(t.cents) - abs(i.cents) AS amount_diff_cents
+FROM inv_v i JOIN txn_v t ON abs(t.cents) BETWEEN abs(i.cents) - 2 AND abs(i.cents) + 2
+WHERE i.cents IS NOT NULL"""
+
+ORACLE["join_date_window"] = f"""{OL}
+SELECT i.filename, c.row_idx AS bank_row_idx, strftime(c.date, '%Y-%m-%d') AS bank_date,
+       CAST(c.tcents AS DOUBLE) / 100 AS bank_amount, round(c.score, 6) AS match_score
+FROM cand c JOIN inv_o i ON i.k = c.k"""
+
+ORACLE["argmax_best"] = f"""{OL},\n{BEST}
+SELECT i.filename, i.invoice_number, strftime(i.invoice_date, '%Y-%m-%d') AS invoice_date,
+       CAST(i.cents AS DOUBLE) / 100 AS total_amount, b.k IS NOT NULL AS matched,
+       round(b.score, 6) AS match_score, strftime(b.date, '%Y-%m-%d') AS bank_date,
+       CAST(b.tcents AS DOUBLE) / 100 AS bank_amount, b.description AS bank_description
+FROM inv_o i LEFT JOIN best b ON b.k = i.k"""
+
+ORACLE["match_ambiguity"] = f"""{OL}
+SELECT i.filename, count(c.k) AS n_candidates FROM inv_o i LEFT JOIN cand c ON c.k = i.k GROUP BY i.filename"""
+
+ORACLE["rank_candidates"] = f"""{OL}
+SELECT i.filename, c.row_idx AS bank_row_idx, round(c.score, 6) AS match_score,
+       row_number() OVER (PARTITION BY c.k ORDER BY c.score DESC, c.date, c.row_idx, c.statement_id,
+                          c.tcents, c.description) AS rank
+FROM cand c JOIN inv_o i ON i.k = c.k"""
+
+ORACLE["pred_amount_tolerance"] = f"""WITH {INV_V},\n{TXN_V}
+SELECT t.row_idx, coalesce(abs(abs(t.cents) - abs(i.cents)) <= 2, false) AS amount_ok
+FROM txn_v t JOIN inv_v i ON i.k = t.row_idx"""
+
+ORACLE["pred_date_window"] = f"""WITH {INV_V},\n{TXN_V}
+SELECT t.row_idx, (i.invoice_date IS NULL OR (t.date >= i.invoice_date AND t.date - i.invoice_date <= 90)) AS date_ok
+FROM txn_v t JOIN inv_v i ON i.k = t.row_idx"""
+
+FLAG_BASE = f"WITH {INV_V},\n{TXN_V},\n{candidates_cte()},\n{BEST}"
+USED_TX = """used AS (SELECT DISTINCT date, tcents, lower(regexp_replace(description, '\\s', '', 'g')) AS d FROM best)"""
+
+ORACLE["mark_invoices"] = f"""{FLAG_BASE}
+SELECT i.filename, b.k IS NOT NULL AS matched FROM inv_v i LEFT JOIN best b ON b.k = i.k"""
+
+ORACLE["mark_transactions"] = f"""{FLAG_BASE},\n{USED_TX}
+SELECT t.statement_id, t.row_idx, EXISTS (SELECT 1 FROM used u WHERE u.date = t.date AND u.tcents = t.cents
+        AND u.d = lower(regexp_replace(t.description, '\\s', '', 'g'))) AS matched
+FROM txn_v t"""
+
+ORACLE["anti_transactions"] = f"""{FLAG_BASE},\n{USED_TX}
+SELECT t.statement_id, t.row_idx FROM txn_v t WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.date = t.date
+        AND u.tcents = t.cents AND u.d = lower(regexp_replace(t.description, '\\s', '', 'g')))"""
+
+ORACLE["unmatched_invoices"] = f"""{FLAG_BASE}
+SELECT i.filename FROM inv_v i LEFT JOIN best b ON b.k = i.k WHERE b.k IS NULL"""
+
+ORACLE["summary_counts"] = f"""{FLAG_BASE},\n{USED_TX}
+SELECT (SELECT count(*) FROM inv_v) AS invoices, (SELECT count(*) FROM best) AS invoices_matched,
+       (SELECT count(*) FROM inv_v) - (SELECT count(*) FROM best) AS invoices_unmatched,
+       (SELECT count(*) FROM txn_v) AS transactions,
+       (SELECT count(*) FROM txn_v t WHERE EXISTS (SELECT 1 FROM used u WHERE u.date = t.date AND u.tcents = t.cents
+          AND u.d = lower(regexp_replace(t.description, '\\s', '', 'g')))) AS transactions_used"""
+
+ORACLE["sort_transactions"] = f"""WITH {TXN_V}
+SELECT statement_id, row_idx, strftime(date, '%Y-%m-%d') AS date FROM txn_v ORDER BY date, statement_id, row_idx"""

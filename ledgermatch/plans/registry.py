@@ -50,3 +50,114 @@ def q_match_best(spark, sf_dir):
     """J3 flagship: inv_v x txn_v, tolerance 0.02, 90 days, best per invoice."""
     m = match(fx.inv_v(spark, sf_dir), fx.txn_v(spark, sf_dir), 0.02, 90)
     return match_output(m)
+
+
+# ---------------------------------------------------------------- joins / arg-max
+from ..operators.matching import candidates, rank_candidates  # noqa: E402
+from ..operators import flags as FL  # noqa: E402
+
+
+@query("join_amount_band")
+def q_join_amount_band(spark, sf_dir):
+    """Amount band only (invoice dates ignored), tolerance 0.02."""
+    inv = fx.inv_v(spark, sf_dir).withColumn("invoice_date", F.lit(None).cast("date"))
+    c = candidates(inv, fx.txn_v(spark, sf_dir), 0.02, 90)
+    return c.select("filename", "bank_row_idx",
+                    (F.abs("bank_cents") - F.abs("_inv_cents")).alias("amount_diff_cents"))
+
+
+@query("join_date_window")
+def q_join_date_window(spark, sf_dir):
+    """Amount band 5.00 and 0..90 days, orders x lineitem, with scores."""
+    c = candidates(fx.inv_o(spark, sf_dir), fx.txn_l(spark, sf_dir), 5.00, 90)
+    return c.select("filename", "bank_row_idx", iso("bank_date").alias("bank_date"),
+                    (F.col("bank_cents") / 100).cast("double").alias("bank_amount"),
+                    r6("match_score").alias("match_score"))
+
+
+@query("argmax_best")
+def q_argmax_best(spark, sf_dir):
+    """A1: best of competing candidates, orders x lineitem, tolerance 5.00."""
+    return match_output(match(fx.inv_o(spark, sf_dir), fx.txn_l(spark, sf_dir), 5.00, 90))
+
+
+@query("match_ambiguity")
+def q_match_ambiguity(spark, sf_dir):
+    """Number of candidates per invoice."""
+    m = match(fx.inv_o(spark, sf_dir), fx.txn_l(spark, sf_dir), 5.00, 90)
+    return m.select("filename", "n_candidates")
+
+
+@query("rank_candidates")
+def q_rank_candidates(spark, sf_dir):
+    """Candidates ranked per invoice (ranking form of A1)."""
+    c = candidates(fx.inv_o(spark, sf_dir), fx.txn_l(spark, sf_dir), 5.00, 90)
+    return rank_candidates(c).select("filename", "bank_row_idx", r6("match_score").alias("match_score"),
+                                     F.col("rank").cast("long").alias("rank"))
+
+
+def _inv_txn_pairs(spark, sf_dir):
+    i = fx.inv_v(spark, sf_dir)
+    t = fx.txn_v(spark, sf_dir)
+    return t.join(i, t.row_idx == i.k, "inner")
+
+
+@query("pred_amount_tolerance")
+def q_pred_amount(spark, sf_dir):
+    """P8 on each transaction and its own invoice (NULL total -> false)."""
+    from ..operators.matching import amount_within
+    from ..functions.amounts import amount_to_cents
+    p = _inv_txn_pairs(spark, sf_dir)
+    return p.select("row_idx", amount_within(amount_to_cents(F.col("amount")),
+                                             amount_to_cents(F.col("total_amount")), 2).alias("amount_ok"))
+
+
+@query("pred_date_window")
+def q_pred_date(spark, sf_dir):
+    """P9 on each transaction and its own invoice (NULL date -> true)."""
+    from ..operators.matching import date_within
+    p = _inv_txn_pairs(spark, sf_dir)
+    return p.select("row_idx", date_within(F.col("invoice_date"), F.col("date"), 90).alias("date_ok"))
+
+
+def _flagship_inputs(spark, sf_dir):
+    inv = fx.inv_v(spark, sf_dir)
+    txn = fx.txn_v(spark, sf_dir)
+    return inv, txn, match(inv, txn, 0.02, 90)
+
+
+@query("mark_invoices")
+def q_mark_invoices(spark, sf_dir):
+    inv, _, m = _flagship_inputs(spark, sf_dir)
+    return FL.mark_invoices(inv, m).select("filename", "matched")
+
+
+@query("mark_transactions")
+def q_mark_transactions(spark, sf_dir):
+    _, txn, m = _flagship_inputs(spark, sf_dir)
+    return FL.mark_transactions(txn, m).select("statement_id", "row_idx", "matched")
+
+
+@query("anti_transactions")
+def q_anti_transactions(spark, sf_dir):
+    _, txn, m = _flagship_inputs(spark, sf_dir)
+    return FL.unused_transactions(txn, m).select("statement_id", "row_idx")
+
+
+@query("unmatched_invoices")
+def q_unmatched(spark, sf_dir):
+    inv, _, m = _flagship_inputs(spark, sf_dir)
+    return FL.unmatched_invoices(FL.mark_invoices(inv, m)).select("filename")
+
+
+@query("summary_counts")
+def q_summary_counts(spark, sf_dir):
+    inv, txn, m = _flagship_inputs(spark, sf_dir)
+    return FL.summary_counts(FL.mark_invoices(inv, m), FL.mark_transactions(txn, m))
+
+
+@query("sort_transactions")
+def q_sort_transactions(spark, sf_dir):
+    from ..operators.statements import sort_transactions
+    t = sort_transactions(fx.txn_v(spark, sf_dir))
+    return t.select("statement_id", "row_idx", iso("date").alias("date"))
