@@ -34,7 +34,7 @@ def _month_map() -> Column:
 
 def _ymd(y: Column, m: Column, d: Column) -> Column:
     year = F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
-    return F.try_to_date(F.concat(year, F.lit("-"), m.cast("string"), F.lit("-"), d), F.lit("y-M-d"))
+    return F.try_to_date(F.concat(year, F.lit("-"), m.cast("string"), F.lit("-"), d), "y-M-d")
 
 
 def parse_date(text) -> Column:

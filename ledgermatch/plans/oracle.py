@@ -132,3 +132,80 @@ SELECT (SELECT count(*) FROM inv_v) AS invoices, (SELECT count(*) FROM best) AS
 
 ORACLE["sort_transactions"] = f"""WITH {TXN_V}
 SELECT statement_id, row_idx, strftime(date, '%Y-%m-%d') AS date FROM txn_v ORDER BY date, statement_id, row_idx"""
+
+FR_AMT = "translate(format('{:,.2f}', CAST({c} AS DOUBLE) / 100), ',.', ' ,')"
+
+
+def fr_amt(cents_expr: str) -> str:
+    return FR_AMT.replace("{c}", cents_expr)
+
+
+ORD = f"""ord AS (SELECT o_orderkey AS k, o_custkey AS custkey, CAST(o_orderdate AS DATE) AS d, {CENTS} AS cents FROM orders)"""
+
+SECTION = ("'Facture N° INV-' || k || chr(10) || 'SOCIETE SUP ' || (k % 100) || chr(10) || 'CLIENT CUS ' || custkey"
+           " || chr(10) || 'Date de facture : ' || strftime(d, '%d/%m/%Y') || chr(10) || 'Total TTC : ' || "
+           + fr_amt("cents") + " || ' EUR'")
+
+SECS = f"""secs AS (
+  SELECT k, 'doc_' || (k // 2) || '.pdf' AS src, row_number() OVER (PARTITION BY k // 2 ORDER BY k) AS section_no,
+         count(*) OVER (PARTITION BY k // 2) AS n_sections, custkey, d, cents FROM ord)"""
+
+ORACLE["split_sections"] = f"""WITH {ORD},\n{SECS}
+SELECT CASE WHEN n_sections > 1 THEN src || '#' || section_no ELSE src END AS filename,
+       CAST(section_no AS INTEGER) AS section_no, CAST(n_sections AS INTEGER) AS n_sections, {SECTION} AS text
+FROM secs"""
+
+ORACLE["extract_invoice_fields"] = f"""WITH {ORD},\n{SECS}
+SELECT CASE WHEN n_sections > 1 THEN src || '#' || section_no ELSE src END AS filename,
+       CAST(section_no AS INTEGER) AS section_no, 'INV-' || k AS invoice_number,
+       strftime(d, '%Y-%m-%d') AS invoice_date, CAST(cents AS DOUBLE) / 100 AS total_amount, 'EUR' AS currency,
+       'SOCIETE SUP ' || (k % 100) AS supplier_name, 'CLIENT CUS ' || custkey AS customer_name,
+       replace({SECTION}, chr(10), ' | ') AS header_snippet
+FROM secs"""
+
+ORACLE["find_invoice_number"] = f"""WITH {ORD}
+SELECT k, CASE WHEN k % 5 = 4 THEN NULL ELSE 'INV-' || k END AS invoice_number FROM ord"""
+
+ORACLE["find_invoice_date"] = f"""WITH {ORD}
+SELECT k, CASE WHEN k % 5 = 4 THEN NULL ELSE strftime(d, '%Y-%m-%d') END AS invoice_date FROM ord"""
+
+ORACLE["find_total_amount"] = f"""WITH {ORD}
+SELECT k, CAST(CASE WHEN k % 5 = 4 THEN cents - 1000 ELSE cents END AS DOUBLE) / 100 AS total_amount FROM ord"""
+
+ORACLE["find_currency"] = f"""WITH {ORD}
+SELECT k, 'EUR' AS currency, k % 4 <> 3 AS currency_detected FROM ord"""
+
+ORACLE["infer_supplier"] = f"""WITH {ORD}
+SELECT k, CASE WHEN k % 3 = 1 THEN 'CLIENT CUS ' || custkey ELSE 'SOCIETE SUP ' || (k % 100) END AS supplier_name
+FROM ord"""
+
+ORACLE["infer_customer"] = f"""WITH {ORD}
+SELECT k, CASE WHEN k % 3 = 0 THEN 'CLIENT CUS ' || custkey
+               ELSE 'Total TTC : ' || {fr_amt('cents')} || ' EUR' END AS customer_name
+FROM ord"""
+
+ORACLE["header_snippet"] = """SELECT doc_id, array_to_string(list_filter(list_transform(
+         string_split(replace(text, chr(13), ''), chr(10)), lambda x: trim(x)), lambda x: x <> '')[1:6], ' | ') AS header_snippet
+FROM documents"""
+
+ORACLE["text_max_amount"] = """SELECT l_orderkey AS k, CAST(max(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 AS max_amount
+FROM lineitem GROUP BY l_orderkey"""
+
+ORACLE["fn_parse_amount"] = f"""WITH {ORD}
+SELECT k, CAST(CASE WHEN k % 3 = 0 THEN -cents ELSE cents END AS DOUBLE) / 100 AS amount FROM ord"""
+
+ORACLE["fn_parse_date"] = f"""WITH {ORD}
+SELECT k, CASE WHEN k % 16 = 7 THEN NULL
+               WHEN k % 8 = 1 THEN strftime(make_date(2000 + year(d) % 100, month(d), day(d)), '%Y-%m-%d')
+               ELSE strftime(d, '%Y-%m-%d') END AS date FROM ord"""
+
+ORACLE["fn_strip_accents"] = "SELECT doc_id, strip_accents(text) AS text FROM documents"
+
+ORACLE["fn_std_header"] = """SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) AS std
+FROM documents"""
+
+ORACLE["score_levenshtein"] = f"""WITH {TXN_V}
+SELECT row_idx, round({lev_score("('INV-' || ((row_idx * 7) % 10000))", 'description')}, 6) AS score FROM txn_v"""
+
+ORACLE["score_partial_ratio_hit"] = f"""WITH {TXN_V}
+SELECT row_idx, contains(lower(description), lower('INV-' || ((row_idx * 7) % 10000))) AS hit FROM txn_v"""

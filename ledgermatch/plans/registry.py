@@ -161,3 +161,223 @@ def q_sort_transactions(spark, sf_dir):
     from ..operators.statements import sort_transactions
     t = sort_transactions(fx.txn_v(spark, sf_dir))
     return t.select("statement_id", "row_idx", iso("date").alias("date"))
+
+
+# ---------------------------------------------------------------- extraction
+from ..operators.extraction import extract_invoices, split_sections  # noqa: E402
+from ..functions import invoice_fields as IF  # noqa: E402
+from ..functions.amounts import format_fr_amount, format_en_amount, parse_amount  # noqa: E402
+from ..functions.dates import parse_date  # noqa: E402
+from ..functions.text import strip_accents, standardize_header, text_lines  # noqa: E402
+from ..functions.similarity import levenshtein_score, partial_ratio  # noqa: E402
+
+# French month names used to render dates.
+FR_MONTHS = ["janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août",
+             "septembre", "octobre", "novembre", "décembre"]
+
+
+def _orders(spark, sf_dir):
+    o = fx.table(spark, sf_dir, "orders")
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    return o.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("custkey"),
+                    F.to_date("o_orderdate").alias("d"),
+                    (cents.cast("decimal(20,0)") / 100).cast("decimal(18,2)").alias("total"),
+                    cents.alias("cents"))
+
+
+def _variant(k_mod, texts):
+    out = None
+    for i, t in enumerate(texts):
+        out = F.when(k_mod == i, t) if out is None else out.when(k_mod == i, t)
+    return out
+
+
+@query("split_sections")
+def q_split_sections(spark, sf_dir):
+    """F10 + W1: two invoices per document, labelled name#1 / name#2."""
+    s = split_sections(fx.invtext_v(spark, sf_dir))
+    return s.select("filename", "section_no", "n_sections", "text")
+
+
+@query("extract_invoice_fields")
+def q_extract_fields(spark, sf_dir):
+    """Document text -> invoice rows (round trip of the section template)."""
+    e = extract_invoices(fx.invtext_v(spark, sf_dir))
+    return e.select("filename", "section_no", "invoice_number", iso("invoice_date").alias("invoice_date"),
+                    dbl("total_amount").alias("total_amount"), "currency", "supplier_name",
+                    "customer_name", "header_snippet")
+
+
+@query("find_invoice_number")
+def q_find_number(spark, sf_dir):
+    """the three number patterns and a text without number."""
+    o = _orders(spark, sf_dir)
+    k = F.col("k")
+    num = F.concat(F.lit("INV-"), k)
+    text = _variant(k % 5, [
+        F.concat(F.lit("Facture N° "), num, F.lit("\nMontant dû")),
+        F.concat(F.lit("INVOICE # "), num, F.lit("\nDue")),
+        F.concat(F.lit("Reçu\nfacture : "), num),
+        F.concat(F.lit("Réf. client 12\nFacture numéro "), num),
+        F.concat(F.lit("Bon de livraison "), k)])
+    return o.select("k", IF.find_invoice_number(IF.folded(text)).alias("invoice_number"))
+
+
+@query("find_invoice_date")
+def q_find_date(spark, sf_dir):
+    """labelled numeric, labelled ISO, labelled month name, unlabelled."""
+    o = _orders(spark, sf_dir)
+    k, d = F.col("k"), F.col("d")
+    fr = F.concat(F.dayofmonth(d).cast("string"), F.lit(" "),
+                  F.element_at(F.array(*map(F.lit, FR_MONTHS)), F.month(d)), F.lit(" "), F.year(d).cast("string"))
+    text = _variant(k % 5, [
+        F.concat(F.lit("Facture 1\nDate de facture : "), F.date_format(d, "dd/MM/yyyy")),
+        F.concat(F.lit("Invoice 1\nInvoice date: "), F.date_format(d, "yyyy-MM-dd")),
+        F.concat(F.lit("Facture 1\nDate : "), fr),
+        F.concat(F.lit("Facture 1\nÉmise le "), F.date_format(d, "dd-MM-yyyy")),
+        F.lit("Facture 1\nSans date")])
+    return o.select("k", iso(IF.find_invoice_date(IF.lowered(text))).alias("invoice_date"))
+
+
+@query("find_total_amount")
+def q_find_total(spark, sf_dir):
+    """F8: both labels, French and English numbers, the largest-amount
+    fallback, and a sub-total line that is hit first (as in the reference)."""
+    o = _orders(spark, sf_dir)
+    k, t = F.col("k"), F.col("total")
+    sub = (t - F.lit(10)).cast("decimal(18,2)")
+    text = _variant(k % 5, [
+        F.concat(F.lit("Facture 1\nTotal TTC : "), format_fr_amount(t), F.lit(" EUR")),
+        F.concat(F.lit("Facture 1\nMontant TTC : "), format_en_amount(t)),
+        F.concat(F.lit("Facture 1\nTOTAL: "), t.cast("string")),
+        F.concat(F.lit("Facture 1\nArticle A : 12,00\nArticle B : "), format_fr_amount(t)),
+        F.concat(F.lit("Facture 1\nSous-total : "), format_fr_amount(sub), F.lit("\nTotal TTC : "),
+                 format_fr_amount(t))])
+    return o.select("k", dbl(IF.find_total_amount(IF.lowered(text))).alias("total_amount"))
+
+
+@query("find_currency")
+def q_find_currency(spark, sf_dir):
+    """euro markers; EUR is also the default."""
+    o = _orders(spark, sf_dir)
+    k, t = F.col("k"), format_fr_amount(F.col("total"))
+    text = _variant(k % 4, [F.concat(F.lit("Total : "), t, F.lit(" EUR")),
+                            F.concat(F.lit("Total : "), t, F.lit(" €")),
+                            F.concat(F.lit("Total : "), t, F.lit(" euros")),
+                            F.concat(F.lit("Total : "), t, F.lit(" USD"))])
+    low = IF.lowered(text)
+    return o.select("k", IF.find_currency(low).alias("currency"), IF.currency_detected(low).alias("currency_detected"))
+
+
+def _entity_text(spark, sf_dir):
+    o = _orders(spark, sf_dir)
+    k = F.col("k")
+    sup = F.concat(F.lit("SOCIETE SUP "), k % 100)
+    cus = F.concat(F.lit("CLIENT CUS "), F.col("custkey"))
+    tail = F.concat(F.lit("Date de facture : "), F.date_format("d", "dd/MM/yyyy"), F.lit("\nTotal TTC : "),
+                    format_fr_amount(F.col("total")), F.lit(" EUR"))
+    head = F.concat(F.lit("Facture N° INV-"), k)
+    text = _variant(k % 3, [
+        F.concat_ws("\n", head, sup, cus, tail),
+        F.concat_ws("\n", head, F.lower(sup), cus, tail),
+        F.concat_ws("\n", head, sup, F.concat(F.lit("CLIENT "), sup, F.lit(" FILIALE")), tail)])
+    return o.select("k", text_lines(text).alias("lines"))
+
+
+@query("infer_supplier")
+def q_infer_supplier(spark, sf_dir):
+    """first entity-looking line."""
+    e = _entity_text(spark, sf_dir)
+    return e.select("k", IF.infer_supplier("lines").alias("supplier_name"))
+
+
+@query("infer_customer")
+def q_infer_customer(spark, sf_dir):
+    """later entity line without supplier or invoice words."""
+    e = _entity_text(spark, sf_dir)
+    return e.select("k", IF.infer_customer("lines", IF.infer_supplier("lines")).alias("customer_name"))
+
+
+@query("header_snippet")
+def q_header_snippet(spark, sf_dir):
+    """F13 on whole documents (noise corpus)."""
+    d = fx.table(spark, sf_dir, "documents")
+    return d.select("doc_id", IF.header_snippet(text_lines("text")).alias("header_snippet"))
+
+
+@query("text_max_amount")
+def q_text_max_amount(spark, sf_dir):
+    """A2: largest amount in a text built from an order's line items."""
+    li = fx.table(spark, sf_dir, "lineitem")
+    amt = (F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("decimal(20,0)") / 100).cast("decimal(18,2)")
+    line = F.concat(F.lit("Ligne "), F.col("l_linenumber"), F.lit(" : "), format_fr_amount(amt), F.lit(" EUR"))
+    docs = li.groupBy(F.col("l_orderkey").alias("k")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber"), line.alias("l")))),
+                                 lambda x: x["l"]), "\n").alias("text"))
+    return docs.select("k", dbl(IF.text_max_amount(IF.lowered("text"))).alias("max_amount"))
+
+
+@query("fn_parse_amount")
+def q_parse_amount(spark, sf_dir):
+    """round trip of signed totals through eight renderings."""
+    o = _orders(spark, sf_dir)
+    k = F.col("k")
+    v = F.when(k % 3 == 0, -F.col("total")).otherwise(F.col("total")).cast("decimal(18,2)")
+    a = F.abs(v)
+    sign = F.when(v < 0, F.lit("- ")).otherwise(F.lit("+ "))
+    en = F.format_number(v, 2)
+    text = _variant(k % 8, [
+        format_fr_amount(v),
+        F.translate(en, ",.", " ,"),
+        F.translate(en, ",.", " ,"),
+        en,
+        F.translate(en, ",.", ".,"),
+        F.translate(v.cast("string"), ".", ","),
+        v.cast("string"),
+        F.concat(F.lit("Montant: "), sign, format_fr_amount(a), F.lit(" EUR"))])
+    return o.select("k", dbl(parse_amount(text)).alias("amount"))
+
+
+@query("fn_parse_date")
+def q_parse_date(spark, sf_dir):
+    """round trip of order dates through eight renderings, plus an
+    impossible day."""
+    o = _orders(spark, sf_dir)
+    k, d = F.col("k"), F.col("d")
+    fr = F.concat(F.dayofmonth(d).cast("string"), F.lit(" "),
+                  F.element_at(F.array(*map(F.lit, FR_MONTHS)), F.month(d)), F.lit(" "), F.year(d).cast("string"))
+    text = _variant(k % 8, [
+        F.date_format(d, "dd/MM/yyyy"), F.date_format(d, "d/M/yy"), F.date_format(d, "yyyy-MM-dd"), fr,
+        F.date_format(d, "d MMM yyyy"), F.date_format(d, "dd.MM.yyyy"), F.date_format(d, "yyyy-MM-dd 00:00:00"),
+        F.when(k % 16 == 7, F.concat(F.lit("31/02/"), F.year(d))).otherwise(F.date_format(d, "MMMM d, yyyy"))])
+    return o.select("k", iso(parse_date(text)).alias("date"))
+
+
+@query("fn_strip_accents")
+def q_strip_accents(spark, sf_dir):
+    """F3 on whole documents."""
+    d = fx.table(spark, sf_dir, "documents")
+    return d.select("doc_id", strip_accents("text").alias("text"))
+
+
+@query("fn_std_header")
+def q_std_header(spark, sf_dir):
+    """F4 on whole documents."""
+    d = fx.table(spark, sf_dir, "documents")
+    return d.select("doc_id", standardize_header("text").alias("std"))
+
+
+@query("score_levenshtein")
+def q_score_levenshtein(spark, sf_dir):
+    """normalised Levenshtein similarity x 100."""
+    t = fx.txn_v(spark, sf_dir)
+    num = F.concat(F.lit("INV-"), (F.col("row_idx") * 7) % 10000)
+    return t.select("row_idx", r6(levenshtein_score(num, F.col("description"))).alias("score"))
+
+
+@query("score_partial_ratio_hit")
+def q_partial_ratio_hit(spark, sf_dir):
+    """F16: partial ratio reaches 100 exactly when one string contains the other."""
+    t = fx.txn_v(spark, sf_dir)
+    num = F.concat(F.lit("INV-"), (F.col("row_idx") * 7) % 10000)
+    return t.select("row_idx", (partial_ratio(num, F.col("description")) >= 100.0).alias("hit"))
