@@ -7,7 +7,7 @@ from itertools import chain
 
 from pyspark.sql import Column, functions as F
 
-from .text import ktrim, strip_accents
+from .text import fold_latin1, ktrim
 
 # Month names after accent folding and lower-casing,
 # French then English, full and abbreviated.
@@ -20,10 +20,11 @@ MONTHS = {
     "jan": 1, "feb": 2, "mar": 3, "apr": 4, "jun": 6, "jul": 7, "aug": 8, "sep": 9,
 }
 
-# Day-first numeric (05/01/2024, 5-1-24, 05.01.2024); ISO year-first with an
-# optional time part; "15 janvier 2023" / "1er mai 2024"; "Jan 15, 2023".
-_DMY = r"^(\d{1,2})[-/. ](\d{1,2})[-/. ](\d{4}|\d{2})$"
-_YMD = r"^(\d{4})[-/. ](\d{1,2})[-/. ](\d{1,2})(?:[ t]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?$"
+# One numeric shape covers day-first (05/01/2024, 5-1-24, 05.01.2024) and
+# ISO year-first dates (with an optional time part): a four-digit first
+# number means year-first. Month-name dates are "15 janvier 2023" or
+# "1er mai 2024"; "Jan 15, 2023" is first rewritten to that order.
+_NUM = r"^(\d{1,4})[-/. ](\d{1,2})[-/. ](\d{1,4})(?:[ t]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?$"
 _D_MONTH_Y = r"^(\d{1,2})(?:er)?\s+([a-z]+)\.?,?\s+(\d{4})$"
 _MONTH_D_Y = r"^([a-z]+)\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})$"
 
@@ -32,25 +33,18 @@ def _month_map() -> Column:
     return F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in MONTHS.items()))
 
 
-def _ymd(y: Column, m: Column, d: Column) -> Column:
-    year = F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
-    return F.try_to_date(F.concat(year, F.lit("-"), m.cast("string"), F.lit("-"), d), "y-M-d")
-
-
 def parse_date(text) -> Column:
-    """Parse a date token to DateType; NULL when it is not a full date."""
+    """Parse a date token to DateType; NULL when it is not a full, valid
+    date. Two-digit years are 20yy."""
     c = F.col(text) if isinstance(text, str) else text
-    s = F.lower(ktrim(strip_accents(c)))
-    months = _month_map()
-
-    def g(pat, i):
-        return F.regexp_extract(s, pat, i)
-
-    dmy = _ymd(g(_DMY, 3), g(_DMY, 2), g(_DMY, 1))
-    ymd = _ymd(g(_YMD, 1), g(_YMD, 2), g(_YMD, 3))
-    named = _ymd(g(_D_MONTH_Y, 3), F.try_element_at(months, g(_D_MONTH_Y, 2)), g(_D_MONTH_Y, 1))
-    named_en = _ymd(g(_MONTH_D_Y, 3), F.try_element_at(months, g(_MONTH_D_Y, 1)), g(_MONTH_D_Y, 2))
-    return (F.when(s.rlike(_DMY), dmy)
-            .when(s.rlike(_YMD), ymd)
-            .when(s.rlike(_D_MONTH_Y), named)
-            .when(s.rlike(_MONTH_D_Y), named_en))
+    s = F.regexp_replace(F.lower(ktrim(fold_latin1(c))), _MONTH_D_Y, "$2 $1 $3")
+    a, b, z = (F.regexp_extract(s, _NUM, i) for i in (1, 2, 3))
+    year_first = F.length(a) == 4
+    day_first = (F.length(a) <= 2) & F.length(z).isin(2, 4)
+    nd, nm, ny = (F.regexp_extract(s, _D_MONTH_Y, i) for i in (1, 2, 3))
+    month_no = F.try_element_at(_month_map(), nm).cast("string")
+    y = F.when(year_first & (F.length(z) <= 2), a).when(day_first, z).when(ny != "", ny)
+    m = F.when(year_first | day_first, b).when(ny != "", month_no)
+    d = F.when(year_first, z).when(day_first, a).when(ny != "", nd)
+    year = F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
+    return F.try_to_date(F.concat(year, F.lit("-"), m, F.lit("-"), d), "y-M-d")

@@ -11,14 +11,13 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _fold_table() -> tuple[str, str]:
+def _fold_table(blocks=((0x00C0, 0x0250), (0x0370, 0x0530), (0x1E00, 0x1F00), (0x1F00, 0x2000))) -> tuple[str, str]:
     """Single-letter accent folding built from the Unicode rule:
     NFD-decompose and drop non-spacing marks (category Mn). Spark has no NFD
     function, so the precomposed letters of the Latin, Greek and Cyrillic
     blocks are folded with ``translate`` and any remaining combining mark is
     removed by a regex."""
     src, dst = [], []
-    blocks = [(0x00C0, 0x0250), (0x0370, 0x0530), (0x1E00, 0x1F00), (0x1F00, 0x2000)]
     for lo, hi in blocks:
         for cp in range(lo, hi):
             ch = chr(cp)
@@ -31,6 +30,9 @@ def _fold_table() -> tuple[str, str]:
 
 
 _FOLD_SRC, _FOLD_DST = _fold_table()
+# Latin-1 letters only: enough for month names and short tokens, and keeps
+# generated code small where the fold is applied many times per row.
+_LATIN1_SRC, _LATIN1_DST = _fold_table(((0x00C0, 0x0100),))
 
 
 def strip_accents(text) -> Column:
@@ -40,6 +42,10 @@ def strip_accents(text) -> Column:
     return F.regexp_replace(folded, r"\p{Mn}+", "")
 
 
+def fold_latin1(text) -> Column:
+    return F.translate(_col(text), _LATIN1_SRC, _LATIN1_DST)
+
+
 def standardize_header(text) -> Column:
     """Accent-fold, lower-case, runs of non-alphanumerics -> one space, trim."""
     low = F.lower(strip_accents(F.coalesce(_col(text), F.lit(""))))

@@ -39,10 +39,10 @@ def grid_to_rows(grid: DataFrame, search_rows: int | None = HEADER_SEARCH_ROWS,
     if search_rows is not None:
         cand = cand.where(F.col("row_idx") < search_rows)
     hdr_idx = cand.groupBy("statement_id").agg(F.min("row_idx").alias("header_idx"))
-    hdr = grid.join(hdr_idx, on=[grid.statement_id == hdr_idx.statement_id,
-                                 grid.row_idx == hdr_idx.header_idx], how="inner") \
-        .select(grid.statement_id, "header_idx",
-                F.transform("cells", lambda x: F.coalesce(ktrim(x), F.lit(""))).alias("headers"))
+    g = grid.select(F.col("statement_id").alias("_sid"), F.col("row_idx").alias("_ri"), F.col("cells").alias("_hc"))
+    hdr = g.join(hdr_idx, on=[g._sid == hdr_idx.statement_id, g._ri == hdr_idx.header_idx], how="inner") \
+        .select("statement_id", "header_idx",
+                F.transform("_hc", lambda x: F.coalesce(ktrim(x), F.lit(""))).alias("headers"))
     rows = grid.join(hdr, on="statement_id", how="inner").where(F.col("row_idx") > F.col("header_idx"))
     return rows.select("statement_id", "row_idx", "headers", "cells")
 

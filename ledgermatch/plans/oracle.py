@@ -209,3 +209,220 @@ SELECT row_idx, round({lev_score("('INV-' || ((row_idx * 7) % 10000))", 'descrip
 
 ORACLE["score_partial_ratio_hit"] = f"""WITH {TXN_V}
 SELECT row_idx, contains(lower(description), lower('INV-' || ((row_idx * 7) % 10000))) AS hit FROM txn_v"""
+
+# ---------------------------------------------------------------- statements / sources
+
+
+def std(x: str) -> str:
+    return f"trim(regexp_replace(lower(strip_accents({x})), '[^a-z0-9]+', ' ', 'g'))"
+
+
+HDR0 = """hdr0(sid, idx, header) AS (VALUES ('st_0',0,'Date'),('st_0',1,'Libellé'),('st_0',2,'Montant'),
+  ('st_1',0,'Booking Date'),('st_1',1,'Label'),('st_1',2,'Débit'),('st_1',3,'Crédit'),
+  ('st_2',0,'Date opération'),('st_2',1,'Description'),('st_2',2,'Amount'),('st_2',3,'Solde'),
+  ('st_3',0,'Valeur'),('st_3',1,'Détails'),('st_3',2,'Debit'),('st_3',3,'Credit'))"""
+
+RULES = """rules(field, rank, cand) AS (VALUES ('date',0,'date'),('date',1,'date operation'),('date',2,'operation date'),
+  ('date',3,'transaction date'),('date',4,'booking date'),('date',5,'valeur'),
+  ('description',0,'description'),('description',1,'libelle'),('description',2,'label'),('description',3,'details'),
+  ('description',4,'detail'),('amount',0,'montant'),('amount',1,'amount'),('amount',2,'montant eur'),
+  ('amount',3,'debit/credit'),('amount',4,'debit credit'),('debit',0,'debit'),('debit',1,'retrait'),
+  ('credit',0,'credit'),('credit',1,'versement'),('balance',0,'solde'))"""
+
+COLUMN_RULES = f"""WITH {TXN_V},
+lay0 AS (SELECT DISTINCT statement_id AS sid FROM txn_v),
+{HDR0},
+nh AS (SELECT sid, count(*) AS n FROM hdr0 GROUP BY sid),
+hv AS (
+  SELECT h.sid || ':full' AS lid, h.idx, h.header FROM hdr0 h JOIN lay0 USING (sid)
+  UNION ALL SELECT h.sid || ':nolast', h.idx, h.header FROM hdr0 h JOIN lay0 USING (sid) JOIN nh USING (sid)
+            WHERE h.idx < nh.n - 1
+  UNION ALL SELECT h.sid || ':nofirst', h.idx - 1, h.header FROM hdr0 h JOIN lay0 USING (sid) WHERE h.idx >= 1),
+lay AS (SELECT lid, string_agg(header, '|' ORDER BY idx) AS layout FROM hv GROUP BY lid),
+hl AS (SELECT DISTINCT l.layout, hv.idx, hv.header FROM hv JOIN lay l USING (lid)),
+{RULES},
+p AS (SELECT hl.layout, hl.idx, r.field, r.rank, r.cand, {std('hl.header')} AS std FROM hl CROSS JOIN rules r),
+p2 AS (SELECT *, std = cand AS exact, std <> '' AND contains(std, cand) AS cont,
+              jaro_winkler_similarity(std, cand) AS jw FROM p),
+claims AS (SELECT layout, field AS cf, arg_min(idx, rank * 1000 + idx) AS cidx FROM p2 WHERE exact GROUP BY layout, field),
+free AS (SELECT * FROM p2 WHERE NOT EXISTS (
+          SELECT 1 FROM claims c WHERE c.layout = p2.layout AND c.cidx = p2.idx AND c.cf <> p2.field)),
+jwr AS (SELECT layout, field, idx AS jw_idx FROM (
+          SELECT *, row_number() OVER (PARTITION BY layout, field ORDER BY jw DESC, idx, rank) AS rn FROM free)
+        WHERE rn = 1),
+best AS (SELECT layout, field, arg_min(idx, rank * 1000 + idx) FILTER (WHERE exact) AS exact_idx,
+                min(idx) FILTER (WHERE cont) AS contains_idx, max(jw) AS jw_best
+         FROM free GROUP BY layout, field),
+bj AS (SELECT b.*, j.jw_idx FROM best b JOIN jwr j USING (layout, field))"""
+
+ORACLE["header_best_match"] = f"""{COLUMN_RULES}
+SELECT layout, field, CAST(exact_idx AS INTEGER) AS exact_idx, CAST(contains_idx AS INTEGER) AS contains_idx,
+       CAST(jw_idx AS INTEGER) AS jw_idx, round(jw_best, 6) AS jw_best FROM bj"""
+
+ORACLE["detect_columns"] = f"""{COLUMN_RULES},
+ch AS (SELECT layout, field, coalesce(exact_idx, contains_idx, CASE WHEN jw_best >= 0.85 THEN jw_idx END) AS c FROM bj),
+w AS (SELECT layout, max(c) FILTER (WHERE field = 'date') AS d, max(c) FILTER (WHERE field = 'description') AS s,
+             max(c) FILTER (WHERE field = 'amount') AS a, max(c) FILTER (WHERE field = 'debit') AS db,
+             max(c) FILTER (WHERE field = 'credit') AS cr, max(c) FILTER (WHERE field = 'balance') AS bal
+      FROM ch GROUP BY layout),
+w2 AS (SELECT *, coalesce(a, CASE WHEN db IS NULL AND cr IS NULL THEN bal END) AS amt FROM w)
+SELECT layout, CAST(d AS INTEGER) AS date_idx, CAST(s AS INTEGER) AS description_idx, CAST(amt AS INTEGER) AS amount_idx,
+       CAST(CASE WHEN a IS NULL THEN db END AS INTEGER) AS debit_idx, CAST(CASE WHEN a IS NULL THEN cr END AS INTEGER) AS credit_idx,
+       CASE WHEN d IS NULL THEN 'no date column' WHEN s IS NULL THEN 'no description column'
+            WHEN amt IS NULL AND db IS NULL AND cr IS NULL THEN 'no amount column' END AS reject_reason
+FROM w2"""
+
+ORACLE["resolve_suggested_column"] = f"""WITH {TXN_V},\n{HDR0},
+s AS (SELECT statement_id, row_idx, (['Date', 'libelle', 'Montant EUR', 'debit', 'xyz', ''])[row_idx % 6 + 1] AS sug FROM txn_v),
+p AS (SELECT s.statement_id, s.row_idx, s.sug, h.idx, h.header, {std('h.header')} AS hs, {std('s.sug')} AS ts
+      FROM s JOIN hdr0 h ON h.sid = s.statement_id),
+p2 AS (SELECT *, jaro_winkler_similarity(hs, ts) AS jw,
+              row_number() OVER (PARTITION BY statement_id, row_idx ORDER BY jaro_winkler_similarity(hs, ts) DESC, idx) AS rn
+       FROM p),
+r AS (SELECT statement_id, row_idx, any_value(sug) AS sug, min(idx) FILTER (WHERE hs = ts) AS eq,
+             max(jw) AS jwb, min(idx) FILTER (WHERE rn = 1) AS jwi
+      FROM p2 GROUP BY statement_id, row_idx),
+r2 AS (SELECT *, CASE WHEN trim(sug) = '' THEN NULL ELSE coalesce(eq, CASE WHEN jwb >= 0.75 THEN jwi END) END AS ri FROM r)
+SELECT r2.statement_id, r2.row_idx, h.header AS resolved
+FROM r2 LEFT JOIN hdr0 h ON h.sid = r2.statement_id AND h.idx = r2.ri"""
+
+TX_OUT = "statement_id, row_idx, strftime(date, '%Y-%m-%d') AS date, description, CAST(cents AS DOUBLE) / 100 AS amount"
+
+ORACLE["harmonise_statements"] = f"WITH {TXN_V}\nSELECT {TX_OUT} FROM txn_v"
+
+ORACLE["signed_amount"] = f"""WITH {TXN_V}
+SELECT statement_id, row_idx, CASE WHEN cents <> 0 THEN CAST(cents AS DOUBLE) / 100 END AS amount
+FROM txn_v WHERE statement_id IN ('st_1', 'st_3')"""
+
+ORACLE["filter_valid_tx"] = f"""WITH {TXN_V}
+SELECT {TX_OUT} FROM txn_v WHERE NOT (row_idx % 19 = 0 OR row_idx % 23 = 0 OR row_idx % 29 = 0)"""
+
+ORACLE["agg_reject_report"] = f"""WITH {TXN_V}
+SELECT statement_id, count(*) AS rows_in,
+       count(*) FILTER (WHERE NOT (row_idx % 19 = 0 OR row_idx % 23 = 0 OR row_idx % 29 = 0)) AS rows_kept,
+       CAST(0 AS BIGINT) AS dropped_layout,
+       count(*) FILTER (WHERE row_idx % 19 = 0) AS dropped_no_date,
+       count(*) FILTER (WHERE row_idx % 19 <> 0 AND row_idx % 23 = 0) AS dropped_no_description,
+       count(*) FILTER (WHERE row_idx % 19 <> 0 AND row_idx % 23 <> 0 AND row_idx % 29 = 0) AS dropped_no_amount
+FROM txn_v GROUP BY statement_id"""
+
+EN_AMT = "format('{:,.2f}', CAST({c} AS DOUBLE) / 100)"
+
+CELLS_V = f"""cells_v AS (
+  SELECT statement_id, row_idx,
+    CASE statement_id WHEN 'st_0' THEN 'Date|Libellé|Montant' WHEN 'st_1' THEN 'Booking Date|Label|Débit|Crédit'
+      WHEN 'st_2' THEN 'Date opération|Description|Amount|Solde' ELSE 'Valeur|Détails|Debit|Credit' END AS headers,
+    CASE statement_id
+      WHEN 'st_0' THEN strftime(date, '%d/%m/%Y') || '|' || description || '|' || {fr_amt('cents')}
+      WHEN 'st_2' THEN strftime(date, '%d/%m/%Y') || '|' || description || '|' || {EN_AMT.replace('{c}', 'cents')} || '|0,00'
+      ELSE strftime(date, '%Y-%m-%d') || '|' || description || '|'
+           || CASE WHEN cents < 0 THEN {fr_amt('abs(cents)')} ELSE '' END || '|'
+           || CASE WHEN cents > 0 THEN {fr_amt('abs(cents)')} ELSE '' END END AS cells
+  FROM txn_v)"""
+
+ORACLE["src_grid_header"] = f"""WITH {TXN_V},\n{CELLS_V}
+SELECT statement_id, row_number() OVER (PARTITION BY statement_id ORDER BY row_idx) + 1 AS row_idx, headers, cells
+FROM cells_v"""
+
+ORACLE["src_csv_sniff"] = f"""WITH {TXN_V},\n{CELLS_V}
+SELECT statement_id, row_idx + 2 AS row_idx, headers, cells FROM cells_v"""
+
+ORACLE["src_statement_lines"] = f"WITH {TXN_V}\nSELECT {TX_OUT} FROM txn_v WHERE row_idx % 10 <> 0"
+
+ORACLE["src_route_format"] = """SELECT 'f' || o_orderkey || (['.PDF', '.csv', '.XLSX', '.xls', '.txt'])[o_orderkey % 5 + 1] AS filename,
+       CASE o_orderkey % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'csv' WHEN 2 THEN 'excel' WHEN 3 THEN 'excel' END AS format,
+       CASE WHEN o_orderkey % 5 = 4 THEN 'unsupported format: f' || o_orderkey || '.txt' END AS reject_reason
+FROM orders"""
+
+ORACLE["set_union_sources"] = f"""WITH {TXN_V}
+SELECT {TX_OUT}, 'grid' AS row_source FROM txn_v WHERE statement_id IN ('st_0', 'st_1')
+UNION ALL
+SELECT {TX_OUT}, 'lines' AS row_source FROM txn_v WHERE statement_id NOT IN ('st_0', 'st_1') AND row_idx % 10 <> 0"""
+
+ORACLE["src_page_concat"] = """SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text, count(*) AS n_pages
+FROM conversations GROUP BY conv_id"""
+
+# ---------------------------------------------------------------- model answers
+
+RESP_V = f"""resp_v AS (
+  SELECT k, filename, invoice_number, invoice_date, cents,
+    '{{"invoice_number":' || CASE WHEN k % 5 = 0 THEN 'null' ELSE '"LLM-' || k || '"' END
+    || ',"invoice_date":"' || coalesce(strftime(invoice_date, '%Y-%m-%d'), '')
+    || '","total_amount":"' || coalesce({fr_amt('cents')}, '') || '","currency":"eur"}}' AS js
+  FROM inv_v WHERE k % 2 = 0)"""
+
+ORACLE["json_block"] = f"WITH {INV_V},\n{RESP_V}\nSELECT k, js AS block FROM resp_v"
+
+ORACLE["json_invoice_fields"] = f"""WITH {INV_V}
+SELECT k, CASE WHEN k % 5 <> 0 THEN 'LLM-' || k END AS llm_invoice_number,
+       strftime(invoice_date, '%Y-%m-%d') AS llm_invoice_date, CAST(cents AS DOUBLE) / 100 AS llm_total_amount,
+       'EUR' AS llm_currency
+FROM inv_v WHERE k % 2 = 0"""
+
+ORACLE["json_transactions"] = f"""WITH {TXN_V},
+items AS (SELECT *, statement_id || '#' || (row_idx // 10) AS sid,
+                 row_number() OVER (PARTITION BY statement_id, row_idx // 10 ORDER BY row_idx) - 1 AS pos FROM txn_v)
+SELECT sid AS statement_id, pos AS row_idx, strftime(date, '%Y-%m-%d') AS date, description,
+       CAST(cents AS DOUBLE) / 100 AS amount
+FROM items WHERE row_idx % 4 <> 3"""
+
+ORACLE["overlay_enrichment"] = f"""WITH {INV_V}
+SELECT filename, CASE WHEN k % 2 = 0 AND k % 5 <> 0 THEN 'LLM-' || k ELSE invoice_number END AS invoice_number,
+       strftime(invoice_date, '%Y-%m-%d') AS invoice_date, CAST(cents AS DOUBLE) / 100 AS total_amount,
+       'EUR' AS currency
+FROM inv_v"""
+
+# ---------------------------------------------------------------- sinks
+
+
+def xml_field(name: str, expr: str) -> str:
+    esc = f"replace(replace(replace({expr}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    return (f"CASE WHEN coalesce({expr}, '') = '' THEN '    <{name}/>' || chr(10) "
+            f"ELSE '    <{name}>' || {esc} || '</{name}>' || chr(10) END")
+
+
+ORACLE["sink_xml_rows"] = f"""WITH {INV_V}
+SELECT '  <invoice>' || chr(10) || {xml_field('filename', "(filename || '&<x>')")}
+       || {xml_field('invoice_number', 'invoice_number')}
+       || {xml_field('invoice_date', "strftime(invoice_date, '%Y-%m-%d')")}
+       || {xml_field('total_amount', "printf('%.2f', CAST(cents AS DOUBLE) / 100)")}
+       || {xml_field('currency', "'EUR'")} || '  </invoice>' AS xml
+FROM inv_v"""
+
+MATCH_ROWS = f"""{FLAG_BASE},
+mr AS (SELECT i.filename, i.invoice_number, strftime(i.invoice_date, '%Y-%m-%d') AS invoice_date,
+              printf('%.2f', CAST(i.cents AS DOUBLE) / 100) AS total_amount,
+              CASE WHEN b.k IS NOT NULL THEN 'true' ELSE 'false' END AS matched,
+              printf('%.6f', round(b.score, 6)) AS match_score, strftime(b.date, '%Y-%m-%d') AS bank_date,
+              printf('%.2f', CAST(b.tcents AS DOUBLE) / 100) AS bank_amount, b.description AS bank_description
+       FROM inv_v i LEFT JOIN best b ON b.k = i.k)"""
+
+_MCOLS = ["filename", "invoice_number", "invoice_date", "total_amount", "matched", "match_score", "bank_date",
+          "bank_amount", "bank_description"]
+
+ORACLE["sink_csv_rows"] = f"""{MATCH_ROWS}
+SELECT {" || ',' || ".join(f"coalesce({c}, '')" for c in _MCOLS)} AS line FROM mr"""
+
+
+def _json_member(c: str, first: bool) -> str:
+    quoted = c not in ("total_amount", "matched", "match_score", "bank_amount")
+    val = f"'\"' || {c} || '\"'" if quoted else c
+    lead = "" if first else ","
+    return f"CASE WHEN {c} IS NOT NULL THEN '{lead}\"{c}\":' || {val} ELSE '' END"
+
+
+ORACLE["sink_json_rows"] = f"""{MATCH_ROWS}
+SELECT '{{' || {" || ".join(_json_member(c, i == 0) for i, c in enumerate(_MCOLS))} || '}}' AS json FROM mr"""
+
+INV_X = f"""inv_x AS (
+  SELECT k, 'doc_' || (k // 2) || '.pdf' || CASE WHEN count(*) OVER (PARTITION BY k // 2) > 1
+           THEN '#' || row_number() OVER (PARTITION BY k // 2 ORDER BY k) ELSE '' END AS filename,
+         'INV-' || k AS invoice_number, d AS invoice_date, cents, custkey FROM ord)"""
+
+ORACLE["summary_invoices"] = f"""WITH {ORD},\n{INV_X},\n{TXN_V},
+txn_l10 AS (SELECT * FROM txn_v WHERE row_idx % 10 <> 0),
+{candidates_cte('inv_x', 'txn_l10', 2, 90)},\n{BEST}
+SELECT i.filename, i.invoice_number, strftime(i.invoice_date, '%Y-%m-%d') AS invoice_date,
+       CAST(i.cents AS DOUBLE) / 100 AS total_amount, 'EUR' AS currency, 'SOCIETE SUP ' || (i.k % 100) AS supplier_name,
+       'CLIENT CUS ' || i.custkey AS customer_name, b.k IS NOT NULL AS matched
+FROM inv_x i LEFT JOIN best b ON b.k = i.k"""

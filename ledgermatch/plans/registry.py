@@ -381,3 +381,267 @@ def q_partial_ratio_hit(spark, sf_dir):
     t = fx.txn_v(spark, sf_dir)
     num = F.concat(F.lit("INV-"), (F.col("row_idx") * 7) % 10000)
     return t.select("row_idx", (partial_ratio(num, F.col("description")) >= 100.0).alias("hit"))
+
+
+# ---------------------------------------------------------------- statements / sources
+from ..operators.columns import detect_columns, header_best_match, resolve_suggested_column  # noqa: E402
+from ..operators import statements as ST  # noqa: E402
+from ..sources.delimited import delimited_to_rows  # noqa: E402
+from ..sources.lines import parse_statement_lines  # noqa: E402
+from ..sources.routing import route_by_extension, union_sources  # noqa: E402
+from ..sources.documents import concat_pages  # noqa: E402
+
+
+def _layouts(spark, sf_dir):
+    """Header lists of the cells view plus two damaged variants (last or
+    first column missing)."""
+    h = fx.cells_v(spark, sf_dir).select("headers")
+    n = F.size("headers")
+    return h.select("headers").unionByName(h.select(F.slice("headers", 1, n - 1).alias("headers"))) \
+        .unionByName(h.select(F.slice("headers", 2, n - 1).alias("headers")))
+
+
+def _tx_out(df):
+    return df.select("statement_id", "row_idx", iso("date").alias("date"), "description",
+                     dbl("amount").alias("amount"))
+
+
+@query("header_best_match")
+def q_header_best_match(spark, sf_dir):
+    """A5 + F18: per layout and field, exact / containing / most similar header."""
+    b = header_best_match(_layouts(spark, sf_dir))
+    return b.select(F.array_join("headers", "|").alias("layout"), "field", "exact_idx", "contains_idx",
+                    "jw_idx", r6("jw_best").alias("jw_best"))
+
+
+@query("detect_columns")
+def q_detect_columns(spark, sf_dir):
+    """column map per distinct header list, with reject reason."""
+    d = detect_columns(_layouts(spark, sf_dir))
+    return d.select(F.array_join("headers", "|").alias("layout"), "date_idx", "description_idx", "amount_idx",
+                    "debit_idx", "credit_idx", "reject_reason")
+
+
+# Suggested column names, as a model might answer them.
+SUGGESTIONS = ["Date", "libelle", "Montant EUR", "debit", "xyz", ""]
+
+
+@query("resolve_suggested_column")
+def q_resolve_suggested(spark, sf_dir):
+    """suggested name -> real header (equal standardised, else JW >= 0.75)."""
+    c = fx.cells_v(spark, sf_dir)
+    sug = F.element_at(F.array(*map(F.lit, SUGGESTIONS)), (F.col("row_idx") % 6 + 1).cast("int"))
+    r = resolve_suggested_column(c.select("statement_id", "row_idx", "headers", sug.alias("suggested")))
+    return r.select("statement_id", "row_idx", "resolved")
+
+
+@query("harmonise_statements")
+def q_harmonise(spark, sf_dir):
+    """Four layouts -> one transaction table."""
+    return _tx_out(ST.load_statements(fx.cells_v(spark, sf_dir)))
+
+
+@query("signed_amount")
+def q_signed_amount(spark, sf_dir):
+    """Debit / credit cells -> signed amount."""
+    c = fx.cells_v(spark, sf_dir).where(F.col("statement_id").isin("st_1", "st_3"))
+    amt = ST.signed_amount(F.lit(None).cast("decimal(18,2)"), parse_amount(F.get("cells", 2)),
+                           parse_amount(F.get("cells", 3)))
+    return c.select("statement_id", "row_idx", dbl(amt).alias("amount"))
+
+
+def _damaged_cells(spark, sf_dir):
+    c = fx.cells_v(spark, sf_dir)
+    k = F.col("row_idx")
+
+    def dmg(x, i):
+        amount_cell = (i >= 2) & ~((F.col("statement_id") == "st_2") & (i == 3))
+        return (F.when((i == 0) & (k % 19 == 0), F.lit("xx/yy/zzzz"))
+                .when((i == 1) & (k % 23 == 0), F.lit(""))
+                .when(amount_cell & (k % 29 == 0), F.lit(""))
+                .otherwise(x))
+    return c.withColumn("cells", F.transform("cells", dmg))
+
+
+@query("filter_valid_tx")
+def q_filter_valid(spark, sf_dir):
+    """Rows without date, description or amount are dropped."""
+    return _tx_out(ST.filter_valid(ST.harmonise(_damaged_cells(spark, sf_dir))))
+
+
+@query("agg_reject_report")
+def q_reject_report(spark, sf_dir):
+    """Rows in / kept / dropped by reason per statement."""
+    return ST.reject_report(ST.harmonise(_damaged_cells(spark, sf_dir)))
+
+
+def _cells_str(df):
+    return df.select("statement_id", "row_idx", F.array_join("headers", "|").alias("headers"),
+                     F.array_join("cells", "|").alias("cells"))
+
+
+@query("src_grid_header")
+def q_grid_header(spark, sf_dir):
+    """S3: header row found in a headerless grid."""
+    return _cells_str(ST.grid_to_rows(fx.grid_v(spark, sf_dir)))
+
+
+_SEP_BY_STATEMENT = {"st_0": ";", "st_1": "\t", "st_2": "|", "st_3": ","}
+
+
+def delimited_lines(spark, sf_dir):
+    """The cells view written as delimited text, one separator per statement;
+    the comma file quotes every cell. Line 0 is blank, line 1 the header."""
+    c = fx.cells_v(spark, sf_dir)
+    sid = F.col("statement_id")
+
+    def render(arr):
+        q = F.transform(arr, lambda x: F.concat(F.lit('"'), x, F.lit('"')))
+        return (F.when(sid == "st_0", F.array_join(arr, ";")).when(sid == "st_1", F.array_join(arr, "\t"))
+                .when(sid == "st_2", F.array_join(arr, "|")).otherwise(F.array_join(q, ",")))
+    data = c.select("statement_id", (F.col("row_idx") + 2).alias("line_no"), render(F.col("cells")).alias("line"))
+    heads = c.select("statement_id", "headers").distinct()
+    header = heads.select("statement_id", F.lit(1).cast("long").alias("line_no"), render(F.col("headers")).alias("line"))
+    blank = heads.select("statement_id", F.lit(0).cast("long").alias("line_no"), F.lit("").alias("line"))
+    return blank.unionByName(header).unionByName(data)
+
+
+@query("src_csv_sniff")
+def q_csv_sniff(spark, sf_dir):
+    """Separator sniffing and quote-aware splitting."""
+    return _cells_str(delimited_to_rows(delimited_lines(spark, sf_dir)))
+
+
+@query("src_statement_lines")
+def q_statement_lines(spark, sf_dir):
+    """Date + description + amount lines; balance lines skipped."""
+    return _tx_out(parse_statement_lines(fx.lines_v(spark, sf_dir)))
+
+
+# File extensions cycled over by the routing check.
+EXTENSIONS = [".PDF", ".csv", ".XLSX", ".xls", ".txt"]
+
+
+@query("src_route_format")
+def q_route_format(spark, sf_dir):
+    """Routing by file extension; unknown extensions are rejected rows."""
+    o = fx.table(spark, sf_dir, "orders")
+    ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    files = o.select(F.concat(F.lit("f"), F.col("o_orderkey"), ext).alias("filename"))
+    return route_by_extension(files).select("filename", "format", "reject_reason")
+
+
+@query("set_union_sources")
+def q_union_sources(spark, sf_dir):
+    """Grid statements plus line statements for those without a grid."""
+    grid = ST.load_statements(fx.cells_v(spark, sf_dir).where(F.col("statement_id").isin("st_0", "st_1")))
+    lines = parse_statement_lines(fx.lines_v(spark, sf_dir))
+    u = union_sources(grid, lines)
+    return u.select("statement_id", "row_idx", iso("date").alias("date"), "description",
+                    dbl("amount").alias("amount"), "row_source")
+
+
+@query("src_page_concat")
+def q_page_concat(spark, sf_dir):
+    """Pages (conversation turns) joined into one document text."""
+    return concat_pages(fx.table(spark, sf_dir, "conversations"), "conv_id", "turn")
+
+
+# ---------------------------------------------------------------- model answers
+from ..operators.enrichment import json_invoice_fields, json_transactions, overlay  # noqa: E402
+from ..functions.text import json_block  # noqa: E402
+
+
+@query("json_block")
+def q_json_block(spark, sf_dir):
+    """JSON object cut out of a free-text answer."""
+    return fx.resp_v(spark, sf_dir).select("k", json_block("answer").alias("block"))
+
+
+@query("json_invoice_fields")
+def q_json_invoice_fields(spark, sf_dir):
+    """answer -> invoice fields (JSON null and blanks stay NULL)."""
+    p = json_invoice_fields(fx.resp_v(spark, sf_dir))
+    return p.select("k", "llm_invoice_number", iso("llm_invoice_date").alias("llm_invoice_date"),
+                    dbl("llm_total_amount").alias("llm_total_amount"), "llm_currency")
+
+
+def tx_answers(spark, sf_dir):
+    """Answers listing up to ten transactions each; the amount comes as a
+    JSON number, as ``amount_text`` or as ``montant``; some items have a
+    blank description."""
+    t = fx._txn_base(spark, sf_dir)
+    k = F.col("row_idx")
+    amt = (F.col("cents").cast("decimal(20,0)") / 100).cast("decimal(18,2)")
+    q = F.lit('"')
+    head = F.concat(F.lit('{"date":"'), F.date_format("date", "yyyy-MM-dd"), F.lit('","description":"'),
+                    F.when(k % 4 == 3, F.lit("")).otherwise(F.col("description")), q)
+    item = F.concat(head, F.when(k % 4 == 0, F.concat(F.lit(',"amount":'), amt.cast("string")))
+                    .when(k % 4 == 1, F.concat(F.lit(',"amount_text":"'), format_fr_amount(amt), q))
+                    .otherwise(F.concat(F.lit(',"montant":"'), format_en_amount(amt), q)), F.lit("}"))
+    chunk = F.concat(F.col("statement_id"), F.lit("#"), F.floor(k / 10).cast("bigint"))
+    return t.groupBy(chunk.alias("statement_id")).agg(
+        F.concat(F.lit('Réponse : {"transactions":['),
+                 F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), item.alias("i")))),
+                                          lambda x: x["i"]), ","), F.lit("]}")).alias("answer"))
+
+
+@query("json_transactions")
+def q_json_transactions(spark, sf_dir):
+    """transactions listed in answers."""
+    return _tx_out(json_transactions(tx_answers(spark, sf_dir)))
+
+
+@query("overlay_enrichment")
+def q_overlay(spark, sf_dir):
+    """J7 + P6: non-empty answer fields replace heuristic ones."""
+    inv = fx.inv_v(spark, sf_dir)
+    p = json_invoice_fields(fx.resp_v(spark, sf_dir)).drop("k")
+    o = overlay(inv, p, on=["filename"])
+    return o.select("filename", "invoice_number", iso("invoice_date").alias("invoice_date"),
+                    dbl("total_amount").alias("total_amount"), "currency")
+
+
+# ---------------------------------------------------------------- sinks
+from ..sinks.writers import csv_line, invoice_xml_element, invoice_xml_fields, json_line  # noqa: E402
+
+
+@query("sink_xml_rows")
+def q_sink_xml(spark, sf_dir):
+    """One <invoice> element per invoice."""
+    inv = fx.inv_v(spark, sf_dir)
+    f = invoice_xml_fields(inv.withColumn("filename", F.concat(F.col("filename"), F.lit("&<x>"))))
+    return f.select(invoice_xml_element(f).alias("xml"))
+
+
+def _match_cells(spark, sf_dir):
+    inv, _, m = _flagship_inputs(spark, sf_dir)
+    return m.select("filename", "invoice_number", "invoice_date", "total_amount", "matched",
+                    F.round("match_score", 6).cast("decimal(12,6)").alias("match_score"),
+                    "bank_date", "bank_amount", "bank_description")
+
+
+@query("sink_csv_rows")
+def q_sink_csv(spark, sf_dir):
+    """Match rows as CSV lines."""
+    m = _match_cells(spark, sf_dir)
+    return m.select(csv_line([F.col(c) for c in m.columns]).alias("line"))
+
+
+@query("sink_json_rows")
+def q_sink_json(spark, sf_dir):
+    """Match rows as JSON objects (NULL fields omitted)."""
+    m = _match_cells(spark, sf_dir)
+    return m.select(json_line([F.col(c) for c in m.columns]).alias("json"))
+
+
+@query("summary_invoices")
+def q_summary_invoices(spark, sf_dir):
+    """P4 in the full flow: extracted invoices flagged against the line
+    statements, without raw text."""
+    from .reconcile import reconcile
+    r = reconcile(fx.invtext_v(spark, sf_dir), statement_lines=fx.lines_v(spark, sf_dir))
+    s = r["invoices"]
+    return s.select("filename", "invoice_number", iso("invoice_date").alias("invoice_date"),
+                    dbl("total_amount").alias("total_amount"), "currency", "supplier_name", "customer_name",
+                    "matched")
