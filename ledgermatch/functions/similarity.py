@@ -10,6 +10,8 @@ candidates, distinct header x rule pairs); they memoise per Arrow batch.
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType
@@ -144,3 +146,12 @@ def _jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def jaro_winkler(a, b) -> Column:
     return _jaro_winkler_udf(_col(a), _col(b))
+
+
+# Ship this module's code with the UDFs (by value), so that Python workers do
+# not need the package installed or on their path.
+try:
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle
+    pass

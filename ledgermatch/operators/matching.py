@@ -162,8 +162,9 @@ def _salt_hot_buckets(inv: DataFrame, txn: DataFrame, keys, salts: int, hot_rows
               .drop("_hot"))
     hot_i = hot.select(*[F.col(f"_t_{k}").alias(k) for k in keys], "_ab", "_db", "_hot")
     inv = (inv.join(hot_i, on=keys + ["_ab", "_db"], how="left")
-              .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                                             .otherwise(F.array(F.lit(0)))).cast("long"))
+              .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"),
+                                                                             F.lit(salts - 1).cast("long")))
+                                             .otherwise(F.array(F.lit(0).cast("long")))))
               .drop("_hot"))
     txn = txn.withColumn("_salt", F.col("_salt").cast("long"))
     return inv, txn

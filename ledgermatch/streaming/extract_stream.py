@@ -13,8 +13,8 @@ from ..session import checkpoint_dir
 def extract_invoice_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int = 1000) -> DataFrame:
     """Streaming DataFrame of extracted invoices from text files dropped
     into ``source_dir`` (each file one document)."""
-    docs = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", max_files_per_trigger) \
-        .text(source_dir) \
+    docs = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger) \
+        .text(source_dir, wholetext=True) \
         .select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("text"))
     return extract_invoices(docs).drop("raw_text")
 
