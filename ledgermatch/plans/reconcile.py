@@ -45,17 +45,28 @@ def load_transactions(statement_rows: DataFrame | None = None, delimited_lines:
 def reconcile(invoice_docs: DataFrame, statement_rows: DataFrame | None = None,
               delimited_lines: DataFrame | None = None, statement_lines: DataFrame | None = None,
               answers: DataFrame | None = None, amount_tolerance=0.02, max_days: int = 90,
-              **match_options) -> dict[str, DataFrame]:
+              persist: bool = True, **match_options) -> dict[str, DataFrame]:
     """Returns ``invoices`` (flagged, no raw text), ``matches``,
-    ``transactions`` (flagged) and ``summary`` (one row of counts)."""
-    inv = extract_invoices(invoice_docs)
+    ``transactions`` (flagged) and ``summary`` (one row of counts).
+
+    The extracted invoices and the harmonised transactions feed the match,
+    both flag joins and the summary; with ``persist`` they are kept
+    (memory and disk, recomputed from lineage if an executor is lost)
+    instead of being re-extracted for every output. Call ``unpersist`` on
+    ``out["_invoices"]`` / ``out["_transactions"]`` when done."""
+    inv = extract_invoices(invoice_docs).drop("raw_text")
     if answers is not None:
         inv = overlay(inv, json_invoice_fields(answers), on=["filename"])
     tx = load_transactions(statement_rows, delimited_lines, statement_lines)
+    if persist:
+        from pyspark import StorageLevel
+        inv = inv.persist(StorageLevel.MEMORY_AND_DISK)
+        tx = tx.persist(StorageLevel.MEMORY_AND_DISK)
     m = match(inv, tx, amount_tolerance, max_days, invoice_key=["filename", "section_no"], **match_options)
     fi = summary_invoices(mark_invoices(inv, m))
     ft = mark_transactions(tx, m)
-    return {"invoices": fi, "matches": m, "transactions": ft, "summary": summary_counts(fi, ft)}
+    return {"invoices": fi, "matches": m, "transactions": ft, "summary": summary_counts(fi, ft),
+            "_invoices": inv, "_transactions": tx}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
