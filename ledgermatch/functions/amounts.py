@@ -14,10 +14,12 @@ AMOUNT_TYPE = DecimalType(18, 2)
 # Fixed values. One amount grammar for every input (invoice text, statement
 # cells, statement lines, model answers): optional sign, then either a
 # grouped integer (groups of three after space, dot or comma) or plain
-# digits, then an optional decimal part of one or two digits.
-AMOUNT_PATTERN = r"([+-]?)\s*(\d{1,3}(?:[ .,]\d{3})+(?!\d)|\d+)(?:[.,](\d{1,2})(?!\d))?"
-# No-break space and narrow no-break space count as group separators.
-SPACE_LIKE = "\u00a0\u202f"
+# digits, then an optional decimal part of one or two digits. No-break space
+# and narrow no-break space count as spaces.
+_SP = r"[\s\u00a0\u202f]"
+AMOUNT_PATTERN = (r"([+-]?)" + _SP + r"*(\d{1,3}(?:[ .,\u00a0\u202f]\d{3})+(?!\d)|\d+)"
+                  r"(?:[.,](\d{1,2})(?!\d))?")
+_DECIMALS = r"[.,](\d{1,2})$"
 
 
 def _col(c) -> Column:
@@ -29,15 +31,16 @@ def parse_amount(text) -> Column:
 
     ``1 234,56``, ``1.234,56``, ``1,234.56`` and ``1234,56`` all give 1234.56;
     a single decimal digit is tenths (``12.5`` -> 12.50).
+
+    One regex search finds the amount; its value is all of its digits
+    divided by 10^(number of decimal digits), negated when it carries a minus.
     """
-    s = F.translate(_col(text), SPACE_LIKE, "  ")
-    sign = F.regexp_extract(s, AMOUNT_PATTERN, 1)
-    whole = F.regexp_extract(s, AMOUNT_PATTERN, 2)
-    frac = F.regexp_extract(s, AMOUNT_PATTERN, 3)
-    digits = F.regexp_replace(whole, r"[ .,]", "")
-    number = F.concat(digits, F.lit("."), F.rpad(frac, 2, "0")).try_cast(AMOUNT_TYPE)
-    value = F.when(whole != "", number)
-    return F.when(sign == "-", -value).otherwise(value)
+    found = F.regexp_extract(_col(text), AMOUNT_PATTERN, 0)
+    digits = F.regexp_replace(found, r"[^0-9]", "").try_cast("decimal(20,0)")
+    scale = F.length(F.regexp_extract(found, _DECIMALS, 1))
+    value = (digits / F.when(scale == 2, F.lit(100)).when(scale == 1, F.lit(10)).otherwise(F.lit(1)))
+    signed = F.when(F.contains(found, F.lit("-")), -value).otherwise(value)
+    return signed.try_cast(AMOUNT_TYPE)
 
 
 def amount_to_cents(amount) -> Column:

@@ -20,31 +20,34 @@ MONTHS = {
     "jan": 1, "feb": 2, "mar": 3, "apr": 4, "jun": 6, "jul": 7, "aug": 8, "sep": 9,
 }
 
-# One numeric shape covers day-first (05/01/2024, 5-1-24, 05.01.2024) and
-# ISO year-first dates (with an optional time part): a four-digit first
-# number means year-first. Month-name dates are "15 janvier 2023" or
-# "1er mai 2024"; "Jan 15, 2023" is first rewritten to that order.
-_NUM = r"^(\d{1,4})[-/. ](\d{1,2})[-/. ](\d{1,4})(?:[ t]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?$"
-_D_MONTH_Y = r"^(\d{1,2})(?:er)?\s+([a-z]+)\.?,?\s+(\d{4})$"
+# Numeric shapes: day-first (05/01/2024, 5-1-24, 05.01.2024) or ISO
+# year-first with an optional time; a four-digit first number means
+# year-first. Month-name shapes: "15 janvier 2023", "1er mai 2024",
+# "Jan 15, 2023" (rewritten to day-month-year first).
+_NUM = r"^(\d{1,4})[-/. ](\d{1,2})[-/. ](\d{1,4})(?: \d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?$"
 _MONTH_D_Y = r"^([a-z]+)\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})$"
+_D_MONTH_Y = r"^(\d{1,2})(?:er)?\s+([a-z]+)\.?,?\s+(\d{4})$"
 
 
 def _month_map() -> Column:
-    return F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in MONTHS.items()))
+    return F.create_map(*chain.from_iterable((F.lit(k), F.lit(str(v))) for k, v in MONTHS.items()))
 
 
 def parse_date(text) -> Column:
     """Parse a date token to DateType; NULL when it is not a full, valid
-    date. Two-digit years are 20yy."""
+    date. Two-digit years are 20yy.
+
+    Numeric dates (the common case) cost three anchored extracts; only the
+    rows that are not numeric are lower-cased and accent-folded for the
+    month-name shapes."""
     c = F.col(text) if isinstance(text, str) else text
-    s = F.regexp_replace(F.lower(ktrim(fold_latin1(c))), _MONTH_D_Y, "$2 $1 $3")
+    s = ktrim(c)
     a, b, z = (F.regexp_extract(s, _NUM, i) for i in (1, 2, 3))
-    year_first = F.length(a) == 4
-    day_first = (F.length(a) <= 2) & F.length(z).isin(2, 4)
-    nd, nm, ny = (F.regexp_extract(s, _D_MONTH_Y, i) for i in (1, 2, 3))
-    month_no = F.try_element_at(_month_map(), nm).cast("string")
-    y = F.when(year_first & (F.length(z) <= 2), a).when(day_first, z).when(ny != "", ny)
-    m = F.when(year_first | day_first, b).when(ny != "", month_no)
-    d = F.when(year_first, z).when(day_first, a).when(ny != "", nd)
-    year = F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
-    return F.try_to_date(F.concat(year, F.lit("-"), m, F.lit("-"), d), "y-M-d")
+    year_first = (F.length(a) == 4) & (F.length(z) <= 2)
+    day_first = (F.length(a).between(1, 2)) & F.length(z).isin(2, 4)
+    named = F.regexp_replace(F.lower(fold_latin1(s)), _MONTH_D_Y, "$2 $1 $3")
+    nd, nm, ny = (F.regexp_extract(named, _D_MONTH_Y, i) for i in (1, 2, 3))
+    ymd = (F.when(year_first, F.concat_ws("-", a, b, z))
+           .when(day_first, F.concat_ws("-", F.when(F.length(z) == 2, F.concat(F.lit("20"), z)).otherwise(z), b, a))
+           .when(F.length(a) == 0, F.concat_ws("-", ny, F.try_element_at(_month_map(), nm), nd)))
+    return F.try_to_date(ymd, "y-M-d")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.amounts import parse_amount
 from ..functions.dates import parse_date
 from ..functions.text import json_block, ktrim
+from .once import evaluate_once
 
 ANSWER_SCHEMA = "invoice_number string, invoice_date string, total_amount string, currency string"
 TX_SCHEMA = ("transactions array<struct<date: string, description: string, amount: string, "
@@ -29,13 +30,13 @@ def _blank_to_null(c):
 def json_invoice_fields(answers: DataFrame, answer_col: str = "answer") -> DataFrame:
     """invoice fields from a free-text answer holding a JSON object.
     JSON null and blank values stay NULL (they never overlay)."""
-    p = F.from_json(json_block(answer_col), ANSWER_SCHEMA)
-    return answers.select(
-        "*",
-        _blank_to_null(p["invoice_number"]).alias("llm_invoice_number"),
-        parse_date(_blank_to_null(p["invoice_date"])).alias("llm_invoice_date"),
-        parse_amount(_blank_to_null(p["total_amount"])).alias("llm_total_amount"),
-        F.upper(_blank_to_null(p["currency"])).alias("llm_currency"))
+    parsed = answers.withColumn("_p", F.from_json(json_block(answer_col), ANSWER_SCHEMA))
+    p = F.col("_p")
+    return evaluate_once(parsed, {
+        "llm_invoice_number": _blank_to_null(p["invoice_number"]),
+        "llm_invoice_date": parse_date(_blank_to_null(p["invoice_date"])),
+        "llm_total_amount": parse_amount(_blank_to_null(p["total_amount"])),
+        "llm_currency": F.upper(_blank_to_null(p["currency"]))}).drop("_p")
 
 
 def json_transactions(answers: DataFrame, answer_col: str = "answer",
@@ -49,10 +50,11 @@ def json_transactions(answers: DataFrame, answer_col: str = "answer",
     date_s = ktrim(F.col("t.date"))
     desc = ktrim(F.col("t.description"))
     amt_s = F.coalesce(F.col("t.amount"), F.col("t.amount_text"), F.col("t.montant"))
-    rows = items.where((F.coalesce(date_s, F.lit("")) != "") & (F.coalesce(desc, F.lit("")) != "")) \
-        .select(id_col, F.col("row_idx").cast("long").alias("row_idx"), parse_date(date_s).alias("date"),
-                desc.alias("description"), parse_amount(ktrim(amt_s)).alias("amount"))
-    return rows.where(F.col("date").isNotNull() & F.col("amount").isNotNull())
+    kept = items.where((F.coalesce(date_s, F.lit("")) != "") & (F.coalesce(desc, F.lit("")) != "")) \
+        .select(id_col, F.col("row_idx").cast("long").alias("row_idx"), "t")
+    rows = evaluate_once(kept, {"date": parse_date(date_s), "description": desc,
+                                "amount": parse_amount(ktrim(amt_s))})
+    return rows.where(F.col("date").isNotNull() & F.col("amount").isNotNull()).drop("t")
 
 
 def json_column_map(answers: DataFrame, answer_col: str = "answer") -> DataFrame:

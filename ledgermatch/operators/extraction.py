@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import invoice_fields as IF
 from ..functions.text import ktrim
+from .once import evaluate_once
 
 # Fixed value: a new invoice starts at a line beginning with
 # "reçu n°" / "facture" / "invoice" (case-insensitive); used as a zero-width
@@ -48,15 +49,15 @@ def extract_fields(sections: DataFrame, text_col: str = "text") -> DataFrame:
     base = sections.withColumn("_fold", IF.folded(text_col)) \
         .withColumn("_low", F.lower(F.col("_fold"))) \
         .withColumn("_lines", IF.section_lines(text_col))
-    out = base.select(
-        "*",
-        IF.find_invoice_number("_fold").alias("invoice_number"),
-        IF.find_invoice_date("_low").alias("invoice_date"),
-        IF.find_total_amount("_low").alias("total_amount"),
-        IF.find_currency("_low").alias("currency"),
-        IF.currency_detected("_low").alias("currency_detected"),
-        IF.infer_supplier("_lines").alias("supplier_name"),
-        IF.header_snippet("_lines").alias("header_snippet"))
+    out = evaluate_once(base, {
+        "invoice_number": IF.find_invoice_number("_fold"),
+        "invoice_date": IF.find_invoice_date("_low"),
+        "total_amount": IF.find_total_amount("_low"),
+        "currency_detected": IF.currency_detected("_low"),
+        "supplier_name": IF.infer_supplier("_lines"),
+        "header_snippet": IF.header_snippet("_lines")})
+    out = out.withColumn("currency", F.when(F.col("currency_detected"), F.lit("EUR"))
+                         .otherwise(F.lit(IF.DEFAULT_CURRENCY)))
     out = out.withColumn("customer_name", IF.infer_customer("_lines", "supplier_name"))
     return out.drop("_fold", "_low", "_lines")
 

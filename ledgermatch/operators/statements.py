@@ -14,6 +14,7 @@ from ..functions.amounts import parse_amount
 from ..functions.dates import parse_date
 from ..functions.text import ktrim
 from .columns import detect_columns
+from .once import evaluate_once
 
 HEADER_SEARCH_ROWS = 5   # fixed value: the header is one of the first five rows
 HEADER_MIN_CELLS = 2     # fixed value: ... and has at least two non-empty cells
@@ -70,11 +71,13 @@ def harmonise(statement_rows: DataFrame, column_map: DataFrame | None = None) ->
     amount = signed_amount(parsed[0], parsed[1], parsed[2])
     reason = F.when(F.col("date_idx").isNull() & F.col("reject_reason").isNull(), F.lit("unknown layout")) \
         .otherwise(F.col("reject_reason"))
-    return j.select("statement_id", "row_idx",
-                    parse_date(cell("date_idx")).alias("date"),
-                    ktrim(cell("description_idx")).alias("description"),
-                    amount.alias("amount"),
-                    reason.alias("reject_reason"))
+    base = j.select("statement_id", "row_idx", "cells", "date_idx", "description_idx", "amount_idx",
+                    "debit_idx", "credit_idx", reason.alias("_reason"))
+    out = evaluate_once(base, {"date": parse_date(cell("date_idx")),
+                               "description": ktrim(cell("description_idx")),
+                               "amount": amount})
+    return out.select("statement_id", "row_idx", "date", "description", "amount",
+                      F.col("_reason").alias("reject_reason"))
 
 
 def drop_reason(df: DataFrame) -> Column:

@@ -7,12 +7,19 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.amounts import parse_amount
 from ..functions.dates import parse_date
 from ..functions.text import ktrim
+from ..operators.once import evaluate_once
 
 # Fixed value: a statement line starts with a numeric date.
 LINE_START = r"^(\d{1,2}[\-/]\d{1,2}[\-/]\d{2,4})\s+(.*)"
 # The amount ends the line, follows whitespace and is well grouped, so digits
 # that end the description (INV-123) are not taken for it.
 LINE_AMOUNT = r"(?:^|\s)([+-]?\s?(?:\d{1,3}(?:[ .]\d{3})+|\d+)(?:[.,]\d{1,2})?)$"
+# Both in one pattern over the untrimmed line: date, description (the
+# shortest prefix, possibly none, after which an amount ends the line),
+# amount.
+_AMT = r"([+-]?\s?(?:\d{1,3}(?:[ .]\d{3})+|\d+)(?:[.,]\d{1,2})?)"
+LINE_PATTERN = (r"^[\s\p{Z}]*(\d{1,2}[\-/]\d{1,2}[\-/]\d{2,4})\s+(?:(.*?)\s)??" + _AMT
+                + r"[\s\p{Z}]*$")
 
 
 def parse_statement_lines(lines: DataFrame, line_col: str = "line", id_col: str = "statement_id",
@@ -20,14 +27,15 @@ def parse_statement_lines(lines: DataFrame, line_col: str = "line", id_col: str
     """Trimmed non-blank lines that start with a date and end with an amount
     -> (statement_id, row_idx, date, description, amount); other lines are
     skipped."""
-    l = ktrim(F.col(line_col))
-    date_s = F.regexp_extract(l, LINE_START, 1)
-    rest = F.regexp_extract(l, LINE_START, 2)
-    amt_s = F.regexp_extract(rest, LINE_AMOUNT, 1)
-    desc = ktrim(F.left(rest, F.length(rest) - F.length(amt_s)))
-    out = lines.select(F.col(id_col).alias("statement_id"), F.col(no_col).cast("long").alias("row_idx"),
-                       date_s.alias("_d"), amt_s.alias("_a"), desc.alias("description"))
-    out = out.where((F.col("_d") != "") & (F.col("_a") != "")) \
-        .select("statement_id", "row_idx", parse_date("_d").alias("date"), "description",
-                parse_amount("_a").alias("amount"))
-    return out.where(F.col("date").isNotNull() & F.col("amount").isNotNull())
+    # one regex pass: a matching line becomes "date<US>description<US>amount"
+    sep = "\u001f"
+    parts = F.split(F.regexp_replace(F.col(line_col), LINE_PATTERN, f"$1{sep}$2{sep}$3"), sep)
+    base = evaluate_once(lines.select(F.col(id_col).alias("statement_id"),
+                                      F.col(no_col).cast("long").alias("row_idx"), line_col),
+                         {"_parts": F.when(F.size(parts) == 3, parts)})
+    parsed = evaluate_once(base, {
+        "date": parse_date(F.col("_parts")[0]),
+        "description": ktrim(F.col("_parts")[1]),
+        "amount": parse_amount(F.col("_parts")[2])})
+    return parsed.where(F.col("date").isNotNull() & F.col("amount").isNotNull()) \
+        .select("statement_id", "row_idx", "date", "description", "amount")
