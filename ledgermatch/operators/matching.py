@@ -120,10 +120,10 @@ def candidates(invoices: DataFrame, transactions: DataFrame, amount_tolerance=0.
     # Invoice side: explode into the (amount bucket, date bucket) pairs it can meet.
     lo_ab = F.floor(F.greatest(F.col("_inv_acents") - tol, F.lit(0)) / F.lit(aw)).cast("long")
     hi_ab = F.floor((F.col("_inv_acents") + tol) / F.lit(aw)).cast("long")
-    db_min = transactions.select(
-        _floor_div(_epoch_day(F.min("date")), dw).alias("m")).scalar()
-    db_max = transactions.select(
-        _floor_div(_epoch_day(F.max("date")), dw).alias("m")).scalar()
+    # one scalar subquery (reused for both ends) reads the date range
+    span = transactions.select(F.struct(_floor_div(_epoch_day(F.min("date")), dw).alias("lo"),
+                                        _floor_div(_epoch_day(F.max("date")), dw).alias("hi")).alias("s")).scalar()
+    db_min, db_max = span["lo"], span["hi"]
     lo_db = F.when(F.col("_inv_day").isNull(), db_min).otherwise(_floor_div(F.col("_inv_day"), dw))
     hi_db = F.when(F.col("_inv_day").isNull(), db_max).otherwise(
         _floor_div(F.col("_inv_day") + F.lit(int(max_days)), dw))
@@ -232,13 +232,31 @@ def match(invoices: DataFrame, transactions: DataFrame, amount_tolerance=0.02,
 
 
 def rank_candidates(cands: DataFrame, invoice_key: Sequence[str] = ("filename",),
-                    tie_order: str = "date") -> DataFrame:
-    """The same arg-max in ranking form (``row_number`` over the invoice
-    partition). Kept to cross-check ``match``; the aggregate form is the one
-    to use at scale because it reduces candidates before the shuffle."""
+                    tie_order: str = "date", partitions: int | None = None) -> DataFrame:
+    """Every candidate with its rank (1 = best) inside its invoice; the
+    ranking form of ``match``'s arg-max.
+
+    Skew-safe, without a window over whole invoices: candidates are
+    range-partitioned on (invoice, order key), so one invoice with a huge
+    candidate set spans several tasks. Each task numbers its sorted rows;
+    a per-(task, invoice) count table (at most one row per task and
+    invoice) gives every task's offset within the invoice, and the rank is
+    offset + position.
+    """
     from pyspark.sql import Window
-    w = Window.partitionBy(*invoice_key).orderBy(*_order_cols(tie_order))
-    return cands.withColumn("rank", F.row_number().over(w))
+    ikey = list(invoice_key)
+    order = _order_cols(tie_order)
+    n = partitions or int(cands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tagged = (cands.repartitionByRange(n, *[F.col(k) for k in ikey], *order)
+              .sortWithinPartitions(*[F.col(k) for k in ikey], *order)
+              .withColumn("_pid", F.spark_partition_id())
+              .withColumn("_seq", F.monotonically_increasing_id()))
+    counts = tagged.groupBy("_pid", *ikey).agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first"))
+    before = Window.partitionBy(*ikey).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    ranked = tagged.join(offsets.select("_pid", *ikey, "_off", "_first"), on=["_pid", *ikey], how="inner")
+    return ranked.withColumn("rank", (F.col("_off") + F.col("_seq") - F.col("_first") + 1).cast("long")) \
+        .drop("_pid", "_seq", "_off", "_first")
 
 
 def _order_cols(tie_order: str):

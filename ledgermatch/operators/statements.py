@@ -2,8 +2,9 @@
 P3, O1).
 
 ``statement_rows``: statement_id, row_idx, headers array<string>,
-cells array<string>. ``row_idx`` is the 0-based row position inside the
-statement's grid (or file).
+cells array<string>. ``row_idx`` orders the rows of a statement's grid (or
+file); the header search looks at rows with ``row_idx`` below 5, so grids
+are expected to number their rows from 0.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ the DuckDB oracle can build the same rows from the same parquet files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.amounts import AMOUNT_TYPE, format_en_amount, format_fr_amount
 
@@ -115,12 +115,11 @@ def cells_v(spark, sf_dir) -> DataFrame:
 
 
 def grid_v(spark, sf_dir) -> DataFrame:
-    """Headerless grid per statement: a title row (one non-empty cell), the
-    header row, then the data rows; ``row_idx`` is the 0-based row position."""
+    """Headerless grid per statement: a title row (one non-empty cell) at
+    position 0, the header row at 1, then the data rows in key order
+    (positions increase; gaps are allowed)."""
     c = cells_v(spark, sf_dir)
-    data = c.select("statement_id",
-                    (F.row_number().over(Window.partitionBy("statement_id").orderBy("row_idx")) + 1)
-                    .cast("long").alias("row_idx"), "cells")
+    data = c.select("statement_id", (F.col("row_idx") + 2).cast("long").alias("row_idx"), "cells")
     heads = c.select("statement_id", "headers").distinct()
     title = heads.select("statement_id", F.lit(0).cast("long").alias("row_idx"),
                          F.array(F.concat(F.lit("RELEVE "), F.col("statement_id")), F.lit(""), F.lit("")).alias("cells"))

@@ -140,3 +140,24 @@ def test_partial_ratio_scorer(spark):
             [("s", 1, D(2024, 1, 2), "VIREMENT FACTURE INV-1 MERCI", Decimal("5.00")),
              ("s", 2, D(2024, 1, 2), "INV-7", Decimal("5.00"))], scorer="partial_ratio")
     assert r["a"].bank_row_idx == 1 and r["a"].match_score == 105.0
+
+
+def test_rank_hot_invoice_spans_partitions(spark):
+    # one invoice with 600 candidates (a hot key) and a few ordinary ones
+    invs = [("hot", "N0", None, Decimal("50.00"))] + [(f"i{k}", f"N{k}", D(2024, 1, 1), Decimal(k)) for k in range(1, 6)]
+    txns = [("s", j, D(2023, 1, 1) + dt.timedelta(j % 300), f"PAY N{j % 17}", Decimal("50.00")) for j in range(600)]
+    txns += [("s", 1000 + k, D(2024, 1, 2), f"N{k}", Decimal(k)) for k in range(1, 6)]
+    i, t = spark.createDataFrame(invs, INV), spark.createDataFrame(txns, TXN)
+    c = candidates(i, t)
+    ranked = rank_candidates(c, partitions=6)
+    hot = ranked.where("filename = 'hot'").select("rank", "match_score", "bank_date", "bank_row_idx").collect()
+    assert sorted(r["rank"] for r in hot) == list(range(1, 601))
+    by_rank = sorted(hot, key=lambda r: r["rank"])
+    keys = [(-r.match_score, r.bank_date, r.bank_row_idx) for r in by_rank]
+    assert keys == sorted(keys)
+    best = {r.filename: r.bank_row_idx for r in match(i, t).collect()}
+    assert best["hot"] == by_rank[0].bank_row_idx
+    # the hot invoice really was spread over several range partitions
+    parts = c.repartitionByRange(6, "filename", F.col("match_score").desc()) \
+        .where("filename = 'hot'").select(F.spark_partition_id()).distinct().count()
+    assert parts > 1
