@@ -98,23 +98,32 @@ def find_currency(lowered_text) -> Column:
     return F.when(currency_detected(lowered_text), F.lit("EUR")).otherwise(F.lit(DEFAULT_CURRENCY))
 
 
-def infer_supplier(lines) -> Column:
+def entity_flags(lines) -> Column:
+    """``is_entity_line`` of every line, computed once per section."""
+    return F.transform(_col(lines), is_entity_line)
+
+
+def infer_supplier(lines, flags=None) -> Column:
     """first non-blank line that looks like an entity name."""
-    return F.get(F.filter(_col(lines), is_entity_line), 0)
+    flags = entity_flags(lines) if flags is None else _col(flags)
+    pos = F.array_position(flags, True)
+    return F.when(pos > 0, F.get(_col(lines), (pos - 1).cast("int")))
 
 
-def infer_customer(lines, supplier) -> Column:
+def infer_customer(lines, supplier, flags=None) -> Column:
     """from the second line on, an entity line that contains neither the
     supplier nor an invoice word."""
+    flags = entity_flags(lines) if flags is None else _col(flags)
     sup = F.lower(_col(supplier))
+    pairs = F.zip_with(_col(lines), flags, lambda l, e: F.struct(l.alias("l"), e.alias("e")))
 
-    def ok(x, i):
-        low = F.lower(x)
-        cond = (i >= 1) & is_entity_line(x) & (sup.isNull() | ~F.contains(low, sup))
+    def ok(p, i):
+        low = F.lower(p["l"])
+        cond = (i >= 1) & p["e"] & (sup.isNull() | ~F.contains(low, sup))
         for w in NOT_CUSTOMER_WORDS:
             cond = cond & ~F.contains(low, F.lit(w))
         return cond
-    return F.get(F.filter(_col(lines), ok), 0)
+    return F.get(F.filter(pairs, ok), 0)["l"]
 
 
 def header_snippet(lines, n: int = 6) -> Column:

@@ -48,18 +48,19 @@ def extract_fields(sections: DataFrame, text_col: str = "text") -> DataFrame:
     currency_detected, supplier_name, customer_name, header_snippet."""
     base = sections.withColumn("_fold", IF.folded(text_col)) \
         .withColumn("_low", F.lower(F.col("_fold"))) \
-        .withColumn("_lines", IF.section_lines(text_col))
+        .withColumn("_lines", IF.section_lines(text_col)) \
+        .withColumn("_ent", IF.entity_flags("_lines"))
     out = evaluate_once(base, {
         "invoice_number": IF.find_invoice_number("_fold"),
         "invoice_date": IF.find_invoice_date("_low"),
         "total_amount": IF.find_total_amount("_low"),
         "currency_detected": IF.currency_detected("_low"),
-        "supplier_name": IF.infer_supplier("_lines"),
+        "supplier_name": IF.infer_supplier("_lines", "_ent"),
         "header_snippet": IF.header_snippet("_lines")})
     out = out.withColumn("currency", F.when(F.col("currency_detected"), F.lit("EUR"))
                          .otherwise(F.lit(IF.DEFAULT_CURRENCY)))
-    out = out.withColumn("customer_name", IF.infer_customer("_lines", "supplier_name"))
-    return out.drop("_fold", "_low", "_lines")
+    out = out.withColumn("customer_name", IF.infer_customer("_lines", "supplier_name", "_ent"))
+    return out.drop("_fold", "_low", "_lines", "_ent")
 
 
 def extract_invoices(docs: DataFrame, text_col: str = "text", filename_col: str = "filename",
