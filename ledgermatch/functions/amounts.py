@@ -35,7 +35,17 @@ def parse_amount(text) -> Column:
     One regex search finds the amount; its value is all of its digits
     divided by 10^(number of decimal digits), negated when it carries a minus.
     """
-    found = F.regexp_extract(_col(text), AMOUNT_PATTERN, 0)
+    return amount_value(find_amount(text))
+
+
+def find_amount(text) -> Column:
+    """The first amount-shaped substring of ``text`` ('' when none)."""
+    return F.regexp_extract(_col(text), AMOUNT_PATTERN, 0)
+
+
+def amount_value(found) -> Column:
+    """Value of a string found by ``find_amount``."""
+    found = _col(found)
     digits = F.regexp_replace(found, r"[^0-9]", "").try_cast("decimal(20,0)")
     scale = F.length(F.regexp_extract(found, _DECIMALS, 1))
     value = (digits / F.when(scale == 2, F.lit(100)).when(scale == 1, F.lit(10)).otherwise(F.lit(1)))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .amounts import parse_amount
+from .amounts import amount_value, find_amount, parse_amount
 from .dates import parse_date
 from .text import is_entity_line, strip_accents, text_lines
 
@@ -76,7 +76,8 @@ def find_invoice_date(lowered_text) -> Column:
 def text_max_amount(lowered_text) -> Column:
     """A2: the largest amount-looking token of the text (whole text)."""
     tokens = F.regexp_extract_all(_col(lowered_text), F.lit(AMOUNT_TOKEN), 0)
-    return F.array_max(F.filter(F.transform(tokens, parse_amount), lambda x: x.isNotNull()))
+    values = F.transform(F.transform(tokens, find_amount), amount_value)
+    return F.array_max(F.filter(values, lambda x: x.isNotNull()))
 
 
 def find_total_amount(lowered_text) -> Column:
@@ -115,10 +116,11 @@ def infer_customer(lines, supplier, flags=None) -> Column:
     supplier nor an invoice word."""
     flags = entity_flags(lines) if flags is None else _col(flags)
     sup = F.lower(_col(supplier))
-    pairs = F.zip_with(_col(lines), flags, lambda l, e: F.struct(l.alias("l"), e.alias("e")))
+    pairs = F.zip_with(_col(lines), flags,
+                       lambda l, e: F.struct(l.alias("l"), F.lower(l).alias("low"), e.alias("e")))
 
     def ok(p, i):
-        low = F.lower(p["l"])
+        low = p["low"]
         cond = (i >= 1) & p["e"] & (sup.isNull() | ~F.contains(low, sup))
         for w in NOT_CUSTOMER_WORDS:
             cond = cond & ~F.contains(low, F.lit(w))

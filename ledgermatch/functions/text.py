@@ -78,8 +78,8 @@ def is_entity_line(line) -> Column:
     c = _col(line)
     letters = F.regexp_count(c, F.lit(r"\p{L}"))
     upper = F.regexp_count(c, F.lit(r"\p{Lu}"))
-    return (F.length(c) >= 3) & (letters > 0) & (
-        F.when(letters > 0, upper / letters).otherwise(F.lit(0.0)) >= 0.6)
+    # try_divide is NULL for a line without letters (no ANSI division error)
+    return (F.length(c) >= 3) & F.coalesce(F.try_divide(upper, letters) >= 0.6, F.lit(False))
 
 
 def json_block(text) -> Column:

@@ -18,13 +18,15 @@ def split_fields(line, sep: str) -> Column:
     """CSV fields of one line for a fixed separator: quote-aware, trimmed,
     surrounding quotes removed and doubled quotes undone."""
     c = F.col(line) if isinstance(line, str) else line
-    parts = F.split(c, _REGEX_SEP[sep] + _OUTSIDE_QUOTES)
+    # trim in one pass first, so the unquoting lambda only reads its argument
+    parts = F.transform(F.split(c, _REGEX_SEP[sep] + _OUTSIDE_QUOTES), ktrim)
 
-    def clean(x):
-        t = ktrim(x)
-        return F.when(t.rlike('^".*"$'),
-                      F.regexp_replace(F.regexp_extract(t, '^"(.*)"$', 1), '""', '"')).otherwise(t)
-    return F.transform(parts, clean)
+    def unquote(t):
+        n = F.length(t)
+        quoted = (n >= 2) & F.startswith(t, F.lit('"')) & F.endswith(t, F.lit('"'))
+        inner = F.right(F.left(t, n - 1), n - 2)
+        return F.when(quoted, F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(t)
+    return F.transform(parts, unquote)
 
 
 def read_statement_lines(spark: SparkSession, path: str) -> DataFrame:
