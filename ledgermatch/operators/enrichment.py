@@ -15,6 +15,7 @@ from ..functions.amounts import parse_amount
 from ..functions.dates import parse_date
 from ..functions.text import json_block, ktrim
 from .once import evaluate_once
+from ..sources.tables import spread
 
 ANSWER_SCHEMA = "invoice_number string, invoice_date string, total_amount string, currency string"
 TX_SCHEMA = ("transactions array<struct<date: string, description: string, amount: string, "
@@ -30,7 +31,7 @@ def _blank_to_null(c):
 def json_invoice_fields(answers: DataFrame, answer_col: str = "answer") -> DataFrame:
     """invoice fields from a free-text answer holding a JSON object.
     JSON null and blank values stay NULL (they never overlay)."""
-    parsed = answers.withColumn("_p", F.from_json(json_block(answer_col), ANSWER_SCHEMA))
+    parsed = spread(answers).withColumn("_p", F.from_json(json_block(answer_col), ANSWER_SCHEMA))
     p = F.col("_p")
     return evaluate_once(parsed, {
         "llm_invoice_number": _blank_to_null(p["invoice_number"]),
@@ -46,7 +47,8 @@ def json_transactions(answers: DataFrame, answer_col: str = "answer",
     blank date or description are skipped, then rows need a date and an
     amount that parse."""
     p = F.from_json(json_block(answer_col), TX_SCHEMA)
-    items = answers.select(F.col(id_col), F.posexplode(p["transactions"]).alias("row_idx", "t"))
+    items = spread(answers.select(id_col, answer_col)) \
+        .select(F.col(id_col), F.posexplode(p["transactions"]).alias("row_idx", "t"))
     date_s = ktrim(F.col("t.date"))
     desc = ktrim(F.col("t.description"))
     amt_s = F.coalesce(F.col("t.amount"), F.col("t.amount_text"), F.col("t.montant"))

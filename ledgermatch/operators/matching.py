@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.amounts import AMOUNT_TYPE, amount_to_cents, cents_to_amount
 from ..functions.similarity import levenshtein_score, partial_ratio
+from ..sources.tables import spread
 
 EXACT_BONUS = 5.0  # fixed value: bonus for equal absolute amounts
 
@@ -116,6 +117,7 @@ def candidates(invoices: DataFrame, transactions: DataFrame, amount_tolerance=0.
                    F.col("row_idx").cast("long").alias("bank_row_idx"))
            .withColumn("_ab", F.floor(F.abs("bank_cents") / F.lit(aw)).cast("long"))
            .withColumn("_db", _floor_div(_epoch_day(F.col("bank_date")), dw)))
+    txn = spread(txn)
 
     # Invoice side: explode into the (amount bucket, date bucket) pairs it can meet.
     lo_ab = F.floor(F.greatest(F.col("_inv_acents") - tol, F.lit(0)) / F.lit(aw)).cast("long")

@@ -16,6 +16,7 @@ from ..functions.dates import parse_date
 from ..functions.text import ktrim
 from .columns import detect_columns
 from .once import evaluate_once
+from ..sources.tables import spread
 
 HEADER_SEARCH_ROWS = 5   # fixed value: the header is one of the first five rows
 HEADER_MIN_CELLS = 2     # fixed value: ... and has at least two non-empty cells
@@ -62,7 +63,8 @@ def harmonise(statement_rows: DataFrame, column_map: DataFrame | None = None) ->
     reject_reason (layout-level; NULL when the layout is usable).
     """
     cmap = column_map if column_map is not None else detect_columns(statement_rows.select("headers"))
-    j = statement_rows.join(cmap, on="headers", how="left")
+    rows = spread(statement_rows.select("statement_id", "row_idx", "headers", "cells"))
+    j = rows.join(cmap, on="headers", how="left")
 
     def cell(idx):
         return F.when(F.col(idx).isNotNull(), F.get(F.col("cells"), F.col(idx)))

@@ -177,7 +177,7 @@ FR_MONTHS = ["janvier", "février", "mars", "avril", "mai", "juin", "juillet", "
 
 
 def _orders(spark, sf_dir):
-    o = fx.table(spark, sf_dir, "orders")
+    o = fx.base(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
     return o.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("custkey"),
                     F.to_date("o_orderdate").alias("d"),
@@ -301,14 +301,14 @@ def q_infer_customer(spark, sf_dir):
 @query("header_snippet")
 def q_header_snippet(spark, sf_dir):
     """F13 on whole documents (noise corpus)."""
-    d = fx.table(spark, sf_dir, "documents")
+    d = fx.base(spark, sf_dir, "documents", "doc_id", "text")
     return d.select("doc_id", IF.header_snippet(text_lines("text")).alias("header_snippet"))
 
 
 @query("text_max_amount")
 def q_text_max_amount(spark, sf_dir):
     """A2: largest amount in a text built from an order's line items."""
-    li = fx.table(spark, sf_dir, "lineitem")
+    li = fx.base(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice")
     amt = (F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("decimal(20,0)") / 100).cast("decimal(18,2)")
     line = F.concat(F.lit("Ligne "), F.col("l_linenumber"), F.lit(" : "), format_fr_amount(amt), F.lit(" EUR"))
     docs = li.groupBy(F.col("l_orderkey").alias("k")).agg(
@@ -356,14 +356,14 @@ def q_parse_date(spark, sf_dir):
 @query("fn_strip_accents")
 def q_strip_accents(spark, sf_dir):
     """F3 on whole documents."""
-    d = fx.table(spark, sf_dir, "documents")
+    d = fx.base(spark, sf_dir, "documents", "doc_id", "text")
     return d.select("doc_id", strip_accents("text").alias("text"))
 
 
 @query("fn_std_header")
 def q_std_header(spark, sf_dir):
     """F4 on whole documents."""
-    d = fx.table(spark, sf_dir, "documents")
+    d = fx.base(spark, sf_dir, "documents", "doc_id", "text")
     return d.select("doc_id", standardize_header("text").alias("std"))
 
 

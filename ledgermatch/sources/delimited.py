@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import ktrim
+from .tables import spread
 
 # Separators tried in this order; the first that splits the
 # header line into more than one field wins.
@@ -55,6 +56,7 @@ def delimited_to_rows(lines: DataFrame) -> DataFrame:
     """Statement text lines -> statement_rows (statement_id, row_idx,
     headers, cells). Blank lines are skipped; statements with no usable
     separator yield nothing."""
+    lines = spread(lines.select("statement_id", "line_no", "line"))
     sniff = sniff_separator(lines).where(F.col("sep").isNotNull())
     j = lines.join(sniff, on="statement_id", how="inner") \
         .where((F.col("line_no") >= F.col("header_no")) & (F.coalesce(ktrim(F.col("line")), F.lit("")) != ""))

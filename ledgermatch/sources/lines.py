@@ -8,6 +8,7 @@ from ..functions.amounts import parse_amount
 from ..functions.dates import parse_date
 from ..functions.text import ktrim
 from ..operators.once import evaluate_once
+from .tables import spread
 
 # Fixed value: a statement line starts with a numeric date.
 LINE_START = r"^(\d{1,2}[\-/]\d{1,2}[\-/]\d{2,4})\s+(.*)"
@@ -30,8 +31,8 @@ def parse_statement_lines(lines: DataFrame, line_col: str = "line", id_col: str
     # one regex pass: a matching line becomes "date<US>description<US>amount"
     sep = "\u001f"
     parts = F.split(F.regexp_replace(F.col(line_col), LINE_PATTERN, f"$1{sep}$2{sep}$3"), sep)
-    base = evaluate_once(lines.select(F.col(id_col).alias("statement_id"),
-                                      F.col(no_col).cast("long").alias("row_idx"), line_col),
+    base = evaluate_once(spread(lines.select(F.col(id_col).alias("statement_id"),
+                                             F.col(no_col).cast("long").alias("row_idx"), line_col)),
                          {"_parts": F.when(F.size(parts) == 3, parts)})
     parsed = evaluate_once(base, {
         "date": parse_date(F.col("_parts")[0]),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
@@ -17,7 +17,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
         return df
-    return df.repartition(want)
+    # hash of all columns: deterministic on retry without the local sort
+    # that a round-robin repartition performs first
+    return df.repartition(want, *[F.col(c) for c in df.columns])
 
 
 def read_table(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
