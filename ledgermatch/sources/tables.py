@@ -14,6 +14,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     shuffle. Inputs that already have enough splits (the normal case on a
     cluster) are returned unchanged, so no shuffle is added there.
     """
+    if df.isStreaming:
+        return df  # a stream's partitioning is set by its source
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
         return df
