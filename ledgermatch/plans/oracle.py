@@ -425,3 +425,23 @@ SELECT i.filename, i.invoice_number, strftime(i.invoice_date, '%Y-%m-%d') AS inv
        CAST(i.cents AS DOUBLE) / 100 AS total_amount, 'EUR' AS currency, 'SOCIETE SUP ' || (i.k % 100) AS supplier_name,
        'CLIENT CUS ' || i.custkey AS customer_name, b.k IS NOT NULL AS matched
 FROM inv_x i LEFT JOIN best b ON b.k = i.k"""
+
+
+# The same column suggestions as the Spark query (NULL = JSON null or blank).
+_SUGGESTIONS = [
+    ("Date", "Libellé", "Montant", None, None),
+    ("booking date", "label", None, "Débit", "Crédit"),
+    ("Date opération", "Description", "Amount", None, None),
+    (None, "Détails", None, "Debit", "Credit"),
+]
+_CKEYS = ["date_column", "description_column", "amount_column", "debit_column", "credit_column"]
+
+
+def _suggestion(i: int) -> str:
+    whens = " ".join(f"WHEN {n} THEN " + ("NULL" if s[i] is None else f"'{s[i]}'")
+                     for n, s in enumerate(_SUGGESTIONS))
+    return f"CASE row_idx % 4 {whens} END AS {_CKEYS[i]}"
+
+
+ORACLE["json_column_map"] = f"""WITH {TXN_V}
+SELECT statement_id, row_idx, {", ".join(_suggestion(i) for i in range(5))} FROM txn_v"""

@@ -645,3 +645,37 @@ def q_summary_invoices(spark, sf_dir):
     return s.select("filename", "invoice_number", iso("invoice_date").alias("invoice_date"),
                     dbl("total_amount").alias("total_amount"), "currency", "supplier_name", "customer_name",
                     "matched")
+
+
+from ..operators.enrichment import json_column_map  # noqa: E402
+
+# Column suggestions cycled over by the column-map answers
+# (None is a JSON null, "" a blank answer).
+COLUMN_SUGGESTIONS = [
+    ("Date", "Libellé", "Montant", None, None),
+    ("booking date", "label", "", "Débit", "Crédit"),
+    ("Date opération", "Description", "Amount", "", None),
+    ("", "Détails", None, "Debit", "Credit"),
+]
+COLUMN_KEYS = ["date_column", "description_column", "amount_column", "debit_column", "credit_column"]
+
+
+def column_answers(spark, sf_dir):
+    """One free-text answer per transaction row suggesting its columns."""
+    t = fx.txn_v(spark, sf_dir).select("statement_id", "row_idx")
+    v = F.col("row_idx") % len(COLUMN_SUGGESTIONS)
+
+    def js(i, key):
+        out = None
+        for n, sug in enumerate(COLUMN_SUGGESTIONS):
+            val = F.lit("null") if sug[i] is None else F.lit('"' + sug[i] + '"')
+            out = F.when(v == n, val) if out is None else out.when(v == n, val)
+        return F.concat(F.lit(('{' if i == 0 else ',') + f'"{key}":'), out)
+    body = F.concat(*[js(i, k) for i, k in enumerate(COLUMN_KEYS)], F.lit("}"))
+    return t.select("statement_id", "row_idx", F.concat(F.lit("Colonnes : "), body, F.lit(" ok")).alias("answer"))
+
+
+@query("json_column_map")
+def q_json_column_map(spark, sf_dir):
+    """suggested columns from an answer (JSON null and blanks -> NULL)."""
+    return json_column_map(column_answers(spark, sf_dir)).select("statement_id", "row_idx", *COLUMN_KEYS)
