@@ -76,8 +76,9 @@ def is_entity_line(line) -> Column:
     characters, at least one letter, and 60 % or more of its letters upper
     case (F14). Division guarded for ANSI mode."""
     c = _col(line)
-    letters = F.regexp_count(c, F.lit(r"\p{L}"))
-    upper = F.regexp_count(c, F.lit(r"\p{Lu}"))
+    # count by deleting runs of everything else (one match per run, not per letter)
+    letters = F.length(F.regexp_replace(c, r"\P{L}+", ""))
+    upper = F.length(F.regexp_replace(c, r"\P{Lu}+", ""))
     # try_divide is NULL for a line without letters (no ANSI division error)
     return (F.length(c) >= 3) & F.coalesce(F.try_divide(upper, letters) >= 0.6, F.lit(False))
 
