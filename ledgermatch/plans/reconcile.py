@@ -8,6 +8,7 @@ statement grids / delimited lines / text lines --harmonise-->      |
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.enrichment import json_invoice_fields, overlay
@@ -52,21 +53,23 @@ def reconcile(invoice_docs: DataFrame, statement_rows: DataFrame | None = None,
     The extracted invoices and the harmonised transactions feed the match,
     both flag joins and the summary; with ``persist`` they are kept
     (memory and disk, recomputed from lineage if an executor is lost)
-    instead of being re-extracted for every output. Call ``unpersist`` on
-    ``out["_invoices"]`` / ``out["_transactions"]`` when done."""
+    instead of being re-extracted for every output; so is the match result,
+    which feeds both flag joins. Call ``unpersist`` on ``out["_invoices"]``,
+    ``out["_transactions"]`` and ``out["_matches"]`` when done."""
     inv = extract_invoices(invoice_docs).drop("raw_text")
     if answers is not None:
         inv = overlay(inv, json_invoice_fields(answers), on=["filename"])
     tx = load_transactions(statement_rows, delimited_lines, statement_lines)
     if persist:
-        from pyspark import StorageLevel
         inv = inv.persist(StorageLevel.MEMORY_AND_DISK)
         tx = tx.persist(StorageLevel.MEMORY_AND_DISK)
     m = match(inv, tx, amount_tolerance, max_days, invoice_key=["filename", "section_no"], **match_options)
+    if persist:
+        m = m.persist(StorageLevel.MEMORY_AND_DISK)  # feeds both flag joins
     fi = summary_invoices(mark_invoices(inv, m))
     ft = mark_transactions(tx, m)
     return {"invoices": fi, "matches": m, "transactions": ft, "summary": summary_counts(fi, ft),
-            "_invoices": inv, "_transactions": tx}
+            "_invoices": inv, "_transactions": tx, "_matches": m}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

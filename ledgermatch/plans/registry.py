@@ -121,9 +121,13 @@ def q_pred_date(spark, sf_dir):
 
 
 def _flagship_inputs(spark, sf_dir):
+    """Invoices, transactions and their matches; the matches feed several
+    outputs (flags on both sides), so they are kept (memory and disk,
+    recomputed from lineage if lost) instead of being matched twice."""
+    from pyspark import StorageLevel
     inv = fx.inv_v(spark, sf_dir)
     txn = fx.txn_v(spark, sf_dir)
-    return inv, txn, match(inv, txn, 0.02, 90)
+    return inv, txn, match(inv, txn, 0.02, 90).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 @query("mark_invoices")
