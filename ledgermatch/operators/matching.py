@@ -210,7 +210,7 @@ def match(invoices: DataFrame, transactions: DataFrame, amount_tolerance=0.02,
                            "bank_statement_id", "bank_row_idx")
     cand_rows = cands.select(*ikey, *[F.lit(None).alias(c) for c in carried],
                              cand_struct.alias("_c"), _order_key(tie_order).alias("_o"))
-    inv_rows = invoices.select(
+    inv_rows = spread(invoices.select(*ikey, *carried)).select(
         *ikey, *carried,
         F.lit(None).cast(cand_rows.schema["_c"].dataType).alias("_c"),
         F.lit(None).cast(cand_rows.schema["_o"].dataType).alias("_o"))
