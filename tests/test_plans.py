@@ -20,3 +20,18 @@ def test_flagship_scan_is_pruned(spark):
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_totalprice:double,o_orderdate:timestamp_ntz>" in plan \
         or "o_orderpriority" not in plan
     assert "o_orderstatus" not in plan and "o_orderpriority" not in plan
+
+
+def test_match_plan_at_scale_shape(spark):
+    """With broadcasting off (both sides large), the band join is a
+    sort-merge join on the bucket keys and the arg-max is reduced map-side
+    (partial min_by) before the shuffle on the invoice key."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = E.queries()["match_best"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" in plan and "NestedLoop" not in plan
+    assert "_ab" in plan and "_db" in plan
+    assert "partial_min_by" in plan
