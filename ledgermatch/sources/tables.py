@@ -16,8 +16,14 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """
     if df.isStreaming:
         return df  # a stream's partitioning is set by its source
+    qe = df._jdf.queryExecution()
+    plan = qe.executedPlan().toString()  # planned, not executed
+    if "Exchange" in plan or "Subquery" in plan or "AdaptiveSparkPlan" in plan:
+        # already shuffled upstream (post-shuffle partitions are plenty), and
+        # asking an adaptive plan for its partitions would run its stages
+        return df
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    if qe.toRdd().getNumPartitions() >= want:  # scan-only plan: no job runs
         return df
     # hash of all columns: deterministic on retry without the local sort
     # that a round-robin repartition performs first

@@ -19,3 +19,16 @@ def test_filter_does_not_re_run_parse(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     filter_line = [l for l in plan.splitlines() if "Filter" in l][0]
     assert "regexp" not in filter_line  # the filter reads the generated column
+
+
+def test_building_operators_runs_no_job(spark):
+    from ledgermatch.operators.extraction import extract_invoices
+    from ledgermatch.operators.matching import match
+    from ledgermatch.plans import fixtures as fx
+    docs = fx.invtext_v(spark, "/root/testdata/sf0.001")   # reading parquet footers may run a job
+    txn = fx.txn_v(spark, "/root/testdata/sf0.001")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    before = store.jobsList(None).size()
+    inv = extract_invoices(docs)
+    match(inv, txn, invoice_key=["filename", "section_no"])
+    assert store.jobsList(None).size() == before
