@@ -26,6 +26,7 @@ def test_match_plan_at_scale_shape(spark):
     """With broadcasting off (both sides large), the band join is a
     sort-merge join on the bucket keys and the arg-max is reduced map-side
     (partial min_by) before the shuffle on the invoice key."""
+    spark.catalog.clearCache()  # other queries persist the same match result
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
