@@ -683,3 +683,12 @@ def column_answers(spark, sf_dir):
 def q_json_column_map(spark, sf_dir):
     """suggested columns from an answer (JSON null and blanks -> NULL)."""
     return json_column_map(column_answers(spark, sf_dir)).select("statement_id", "row_idx", *COLUMN_KEYS)
+
+
+@query("match_keyed")
+def q_match_keyed(spark, sf_dir):
+    """J3 with an equality key: each invoice only meets the transactions of
+    its customer's statement (statement_id joins the bucket keys)."""
+    inv = fx.inv_v(spark, sf_dir).withColumn("statement_id", F.concat(F.lit("st_"), F.col("o_custkey") % 4))
+    m = match(inv, fx.txn_v(spark, sf_dir), 0.02, 90, keys=["statement_id"], invoice_key=["filename"])
+    return match_output(m)
