@@ -450,3 +450,6 @@ SELECT statement_id, row_idx, {", ".join(_suggestion(i) for i in range(5))} FROM
 _KEYED_CAND = candidates_cte().replace(
     "   AND (i.invoice_date IS NULL", "   AND t.statement_id = 'st_' || (i.o_custkey % 4)\n   AND (i.invoice_date IS NULL")
 ORACLE["match_keyed"] = f"WITH {INV_V},\n{TXN_V},\n{_KEYED_CAND},\n{BEST}\n{MATCH_SELECT}"
+
+# salting must not change the result: same SQL as the plain best match
+ORACLE["match_salted"] = ORACLE["match_best"]

@@ -692,3 +692,12 @@ def q_match_keyed(spark, sf_dir):
     inv = fx.inv_v(spark, sf_dir).withColumn("statement_id", F.concat(F.lit("st_"), F.col("o_custkey") % 4))
     m = match(inv, fx.txn_v(spark, sf_dir), 0.02, 90, keys=["statement_id"], invoice_key=["filename"])
     return match_output(m)
+
+
+@query("match_salted")
+def q_match_salted(spark, sf_dir):
+    """J3 through the hot-key path: bucket pairs holding two or more
+    transactions are salted 8 ways (their invoices replicated); the result
+    must equal the plain match."""
+    m = match(fx.inv_v(spark, sf_dir), fx.txn_v(spark, sf_dir), 0.02, 90, hot_key_salts=8, hot_key_rows=2)
+    return match_output(m)
