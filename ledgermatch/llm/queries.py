@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -24,3 +24,12 @@ def op9_piece_codec(spark, sf_dir):
     from .piece_codec import transcode
     return transcode(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"),
                      ("n_tokens", "ids_sha256", "decoded_sha256"), carry=("doc_id",))
+
+
+@query
+def op8_token_store(spark, sf_dir):
+    """Write every document's ids (end id 2) as Parquet in doc_id order, read the files back, return their digests."""
+    from .token_store import digest_tokens, write_tokens
+    path = shared_path(spark, "tokens")
+    write_tokens(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path, end_id=2)
+    return digest_tokens(spark, path)
