@@ -33,3 +33,23 @@ def op8_token_store(spark, sf_dir):
     path = shared_path(spark, "tokens")
     write_tokens(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path, end_id=2)
     return digest_tokens(spark, path)
+
+
+@query
+def op2_decontaminate(spark, sf_dir):
+    """Words of every document inside occurrences of benchmark windows, and whether they contaminate it."""
+    from .decontaminate import contamination, items_digest
+    found = contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return found.select("doc_id", "n_words", "n_hit", "n_items", items_digest().alias("items_sha256"), "contaminated")
+
+
+@query
+def op10_shard_shuffle(spark, sf_dir):
+    """Uniform shuffle of all documents into 8 shards whose row counts differ by one at most."""
+    from .shard_shuffle import shuffle_into_shards
+    shuffled = shuffle_into_shards(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), 8, seed=17)
+    data = F.col("text").cast("binary")
+    return shuffled.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+                           F.coalesce(F.crc32(data), F.lit(0)).cast("long").alias("text_crc32"), F.lit("rows").alias("law"),
+                           F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"),
+                           F.lit(None).cast("int").alias("grown_shard"))
