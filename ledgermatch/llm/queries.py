@@ -53,3 +53,30 @@ def op10_shard_shuffle(spark, sf_dir):
                            F.coalesce(F.crc32(data), F.lit(0)).cast("long").alias("text_crc32"), F.lit("rows").alias("law"),
                            F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"),
                            F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op3_quality_rules(spark, sf_dir):
+    """Base rules and a learned decision list over statistics of every whole text."""
+    from .quality_rules import judge, learn
+    docs = table(spark, sf_dir, "documents")
+    judged = judge(docs, learn(docs, table(spark, sf_dir, "labels")), carry=["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                         "kept")
+
+
+@query
+def op4_license_scan(spark, sf_dir):
+    """License phrases and template joins of every whole text."""
+    from .license_scan import scan_licenses
+    return scan_licenses(spark, table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
+@query
+def op7_language_id(spark, sf_dir):
+    """Predicted language of every whole text."""
+    from .language_id import fit, held_out, identify
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.where(~held_out()))
+    found = identify(spark, docs.select("doc_id", "text", held_out().alias("held_out")), model, ["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score")
