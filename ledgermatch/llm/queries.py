@@ -80,3 +80,13 @@ def op7_language_id(spark, sf_dir):
     model = fit(docs.where(~held_out()))
     found = identify(spark, docs.select("doc_id", "text", held_out().alias("held_out")), model, ["doc_id", "held_out"])
     return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op6_toxicity(spark, sf_dir):
+    """Toxicity score of every whole text."""
+    from .toxicity import fit, score_toxicity, training_fold
+    docs = table(spark, sf_dir, "documents")
+    model = fit(spark, docs, table(spark, sf_dir, "labels"))
+    rows = docs.select("doc_id", "text", (~training_fold()).alias("held_out"))
+    return score_toxicity(spark, rows, model, ["doc_id", "held_out"])
