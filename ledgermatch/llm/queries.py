@@ -90,3 +90,13 @@ def op6_toxicity(spark, sf_dir):
     model = fit(spark, docs, table(spark, sf_dir, "labels"))
     rows = docs.select("doc_id", "text", (~training_fold()).alias("held_out"))
     return score_toxicity(spark, rows, model, ["doc_id", "held_out"])
+
+
+@query
+def op5_quality_knn(spark, sf_dir):
+    """Quality score of every whole text."""
+    from .quality_knn import fit, score_quality, training_fold
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return score_quality(spark, docs.select("doc_id", "text", (~training_fold()).alias("held_out")), model,
+                         ["doc_id", "held_out"])

@@ -40,8 +40,9 @@ _OPEN, _CLOSE, _EITHER = "“„«‹", "”»›", "\""
 _STRIP = ".,;:!?()[]{}<>\"'“”„«»‹›…#*$%&|-–—_/\\"
 
 
-def distance_for(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+def distance_for(term: str, beginning: bool = False) -> int:
+    """Errors that a term allows; short terms and word beginnings have too many neighbours to allow any."""
+    return 0 if beginning or len(term) < 5 else 1 if len(term) < 11 else 2
 
 
 class FuzzyLexicon:
@@ -52,9 +53,9 @@ class FuzzyLexicon:
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
         self.reach = [0]  # the most errors that a term below the node allows
-        for k, (term, _) in enumerate(terms):
+        for k, (term, beginning) in enumerate(terms):
             at = 0
-            allowed = distance_for(term)
+            allowed = distance_for(term, beginning)
             self.reach[0] = max(self.reach[0], allowed)
             for c in term:
                 if c not in self.children[at]:
@@ -89,7 +90,7 @@ class FuzzyLexicon:
             best[node] = e
             for k in self.ends[node]:
                 term, beginning = self.terms[k]
-                if beginning and e <= distance_for(term):
+                if beginning and e <= distance_for(term, True):
                     todo.append((-k - 1, e))
             todo.extend((child, e + 1) for child in self.children[node].values())
         key = frozenset(best.items())
@@ -99,7 +100,7 @@ class FuzzyLexicon:
             self.states[key] = len(self.sets)
             self.sets.append(key)
             self.steps.append({})
-            found = [(e, k) for node, e in key if node >= 0 for k in self.ends[node] if e <= distance_for(self.terms[k][0])]
+            found = [(e, k) for node, e in key if node >= 0 for k in self.ends[node] if e <= distance_for(*self.terms[k])]
             found += [(e, -node - 1) for node, e in key if node < 0]
             self.accepts.append(min(found, default=None))
         return self.states[key]
