@@ -100,3 +100,10 @@ def op5_quality_knn(spark, sf_dir):
     model = fit(docs, table(spark, sf_dir, "labels"))
     return score_quality(spark, docs.select("doc_id", "text", (~training_fold()).alias("held_out")), model,
                          ["doc_id", "held_out"])
+
+
+@query
+def op1_jaccard_join(spark, sf_dir):
+    """Class and number of links of every document at 5-word Jaccard similarity 0.8."""
+    from .jaccard_join import jaccard_join
+    return jaccard_join(spark, table(spark, sf_dir, "documents"))
