@@ -45,7 +45,7 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     wide = data.astype(np.uint32)
     packed = wide[:-3] | wide[1:-2] << 8 | wide[2:-1] << 16 | wide[3:] << 24
     blank = data == 0x20
-    good = (data[3:] != 0) & ~(blank[1:-2] & (blank[:-3] | blank[2:-1])) & ~(blank[2:-1] & blank[3:])
+    good = (data[:-3] != 0) & (data[3:] != 0) & ~(blank[1:-2] & (blank[:-3] | blank[2:-1])) & ~(blank[2:-1] & blank[3:])
     kept = np.concatenate([[0], np.cumsum(good)])
     return packed[good], kept[np.minimum(ends, len(good))]
 

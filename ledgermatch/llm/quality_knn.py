@@ -11,7 +11,7 @@ Learning sees at most MAX_LABELLED labelled rows of the training fold (smallest
 by its text alone.
 
 Results at the edges: null and empty texts have no terms, hence similarity 0 to all, and get the share of good labels;
-without labelled rows every score is 0.5; ties between neighbours go to the smaller place in the sample; repeated
+without labelled rows every score is 0.5; neighbours equally near to the K-th share the places left; repeated
 documents score alike; extra columns are carried, those named like an output are replaced; empty tables give no rows.
 """
 
@@ -23,7 +23,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField
 
 from .common import Shipped, append_columns
 
@@ -31,7 +31,7 @@ MAX_LABELLED = 6_000
 DIMENSIONS = 2048
 RANK = 48
 K = 15
-BLOCK = 512  # documents in one product
+BLOCK = 256  # documents in one product
 MEMO_LIMIT = 200_000
 #: A-Z -> A, a-z and all bytes above 0x7F -> a, 0-9 -> 9; other bytes stay.
 _SHAPE = bytes(0x41 if 0x41 <= c <= 0x5A else 0x39 if 0x30 <= c <= 0x39 else 0x61 if 0x61 <= c <= 0x7A or c >= 0x80 else c
@@ -162,12 +162,13 @@ class NeighbourModel:
         for at in range(0, len(texts), BLOCK):
             rows = _matrix([self.terms.counts(t) for t in texts[at:at + BLOCK]])
             near = _unit(_unit(rows * self.idf) @ self.projection) @ self.vectors.T
+            near = np.round(np.maximum(near, 0), 5)
             k = min(K, near.shape[1])
-            best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            cosine = np.maximum(np.take_along_axis(near, best, 1), 0)
-            weight = cosine ** 8 + 1e-6  # near neighbours outvote far ones
-            vote = (weight * self.labels[best]).sum(1) / weight.sum(1)
-            out[at:at + BLOCK] = np.where(cosine.max(1) > 0, vote, self.prior)
+            last = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k][:, None]
+            above, equal = near > last, near == last  # equals share the places left
+            share = (k - above.sum(1)) / equal.sum(1)
+            weight = (near ** 8 + 1e-6) * (above + equal * share[:, None])  # near neighbours outvote far ones
+            out[at:at + BLOCK] = np.where(near.max(1) > 0, weight @ self.labels / weight.sum(1), self.prior)
         return out
 
 
@@ -203,3 +204,13 @@ def score_quality(spark: SparkSession, docs: DataFrame, model: NeighbourModel, c
         return [pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32), pa.int32())]
 
     return append_columns(docs, work, [StructField("score", DoubleType()), StructField("predicted", IntegerType())], carry)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, model: NeighbourModel) -> DataFrame:
+    """``docs``, all columns, without the documents that the model rejects."""
+    shipped = Shipped(spark, model, 32 << 20)
+
+    def work(texts):
+        return [pa.array(shipped.get().scores(texts) >= 0.5)]
+
+    return append_columns(docs, work, [StructField("__keep", BooleanType())]).where("__keep").select(*docs.columns)

@@ -25,7 +25,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField
 
 from .common import Shipped, append_columns, shared_path
 
@@ -344,3 +344,14 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, model: ToxicityModel, c
         return [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
 
     return append_columns(docs, work, [StructField("score", DoubleType()), StructField("predicted", IntegerType())], carry)
+
+
+def keep_civil(spark: SparkSession, docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """``docs``, all columns, without the documents that the model finds toxic."""
+    shipped = Shipped(spark, model)
+
+    def work(texts):
+        own = shipped.get()
+        return [pa.array([own.score(t) < 0.5 for t in texts], pa.bool_())]
+
+    return append_columns(docs, work, [StructField("__keep", BooleanType())]).where("__keep").select(*docs.columns)
