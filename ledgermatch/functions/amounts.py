@@ -15,11 +15,14 @@ AMOUNT_TYPE = DecimalType(18, 2)
 # cells, statement lines, model answers): optional sign, then either a
 # grouped integer (groups of three after space, dot or comma) or plain
 # digits, then an optional decimal part of one or two digits. No-break space
-# and narrow no-break space count as spaces.
+# and narrow no-break space count as spaces. Blanks are only looked for after
+# a sign and are never given back, so a run of blanks costs one pass.
 _SP = r"[\s\u00a0\u202f]"
-AMOUNT_PATTERN = (r"([+-]?)" + _SP + r"*(\d{1,3}(?:[ .,\u00a0\u202f]\d{3})+(?!\d)|\d+)"
-                  r"(?:[.,](\d{1,2})(?!\d))?")
+GROUPED = r"(?:\d{1,3}(?:[ .,\u00a0\u202f]\d{3})+(?!\d)|\d+)"
+AMOUNT_PATTERN = r"(?:[+-]" + _SP + r"*+)?" + GROUPED + r"(?:[.,](?:\d{1,2})(?!\d))?"
 _DECIMALS = r"[.,](\d{1,2})$"
+# A number as programs write it: digits with one dot, or an exponent.
+_PLAIN = r"^[+-]?(?:\d*\.\d+|\d+\.?\d*[eE][+-]?\d{1,2}|\d*\.\d+[eE][+-]?\d{1,2})$"
 
 
 def _col(c) -> Column:
@@ -30,12 +33,17 @@ def parse_amount(text) -> Column:
     """First amount found in ``text`` as decimal(18,2); NULL if none.
 
     ``1 234,56``, ``1.234,56``, ``1,234.56`` and ``1234,56`` all give 1234.56;
-    a single decimal digit is tenths (``12.5`` -> 12.50).
+    a single decimal digit is tenths (``12.5`` -> 12.50). A text that is
+    nothing but a plain or scientific number with one dot (``0.125``,
+    ``12345678.9``, ``1.0E7``) is that number, rounded half up.
 
     One regex search finds the amount; its value is all of its digits
     divided by 10^(number of decimal digits), negated when it carries a minus.
     """
-    return amount_value(find_amount(text))
+    c = _col(text)
+    bare = F.trim(c)
+    number = F.round(bare.try_cast("decimal(38,8)"), 2).try_cast(AMOUNT_TYPE)
+    return F.when(F.rlike(bare, F.lit(_PLAIN)), number).otherwise(amount_value(find_amount(c)))
 
 
 def find_amount(text) -> Column:

@@ -21,12 +21,15 @@ MONTHS = {
 }
 
 # Numeric shapes: day-first (05/01/2024, 5-1-24, 05.01.2024) or ISO
-# year-first with an optional time; a four-digit first number means
-# year-first. Month-name shapes: "15 janvier 2023", "1er mai 2024",
+# year-first, both with an optional time (after a blank or T) and offset; a
+# four-digit first number means year-first. Eight digits are yyyyMMdd.
+# Month-name shapes: "15 janvier 2023", "15-Jan-2024", "1er mai 2024",
 # "Jan 15, 2023" (rewritten to day-month-year first).
-_NUM = r"^(\d{1,4})[-/. ](\d{1,2})[-/. ](\d{1,4})(?: \d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?$"
+_NUM = (r"^(\d{1,4})[-/. ](\d{1,2})[-/. ](\d{1,4})"
+        r"(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?: ?(?:Z|[+-]\d{2}:?\d{2}))?)?$")
+_COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
 _MONTH_D_Y = r"^([a-z]+)\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})$"
-_D_MONTH_Y = r"^(\d{1,2})(?:er)?\s+([a-z]+)\.?,?\s+(\d{4})$"
+_D_MONTH_Y = r"^(\d{1,2})(?:er)?[\s-]+([a-z]+)\.?,?[\s-]+(\d{4}|\d{2})$"
 
 
 def _month_map() -> Column:
@@ -47,7 +50,10 @@ def parse_date(text) -> Column:
     day_first = (F.length(a).between(1, 2)) & F.length(z).isin(2, 4)
     named = F.regexp_replace(F.lower(fold_latin1(s)), _MONTH_D_Y, "$2 $1 $3")
     nd, nm, ny = (F.regexp_extract(named, _D_MONTH_Y, i) for i in (1, 2, 3))
+    ny = F.when(F.length(ny) == 2, F.concat(F.lit("20"), ny)).otherwise(ny)
+    compact = F.regexp_replace(s, _COMPACT, "$1-$2-$3")
     ymd = (F.when(year_first, F.concat_ws("-", a, b, z))
            .when(day_first, F.concat_ws("-", F.when(F.length(z) == 2, F.concat(F.lit("20"), z)).otherwise(z), b, a))
+           .when(F.rlike(s, F.lit(_COMPACT)), compact)
            .when(F.length(a) == 0, F.concat_ws("-", ny, F.try_element_at(_month_map(), nm), nd)))
     return F.try_to_date(ymd, "y-M-d")

@@ -13,17 +13,18 @@ from .dates import parse_date
 from .text import is_entity_line, strip_accents, text_lines
 
 # Invoice number patterns, tried in this order on the
-# accent-folded text; the first that matches wins.
+# accent-folded text; the first that matches wins. Blank runs are possessive:
+# what follows them is never a blank, so giving blanks back cannot help.
 NUMBER_PATTERNS = [
-    r"(?iu)facture\s*(?:n[°o]|no|num(?:ero)?)?\s*[:#-]?\s*([a-z0-9\-_/]{3,})",
-    r"(?iu)invoice\s*(?:n[°o]|no|#)?\s*[:#-]?\s*([a-z0-9\-_/]{3,})",
-    r"(?iu)\b(?:facture|invoice)\s*[:#-]?\s*([a-z0-9\-_/]{3,})",
+    r"(?iu)facture\s*+(?:n[°o]|no|num(?:ero)?)?\s*+[:#-]?\s*+([a-z0-9\-_/]{3,})",
+    r"(?iu)invoice\s*+(?:n[°o]|no|#)?\s*+[:#-]?\s*+([a-z0-9\-_/]{3,})",
+    r"(?iu)\b(?:facture|invoice)\s*+[:#-]?\s*+([a-z0-9\-_/]{3,})",
 ]
 NUMBER_STRIP = " :#-/"
 
 # A labelled date, else the first date-looking token
 # (on the lower-cased, accent-folded text).
-DATE_LABELLED = (r"date\s*(?:de\s*facture|facture|invoice)?\s*[:#-]?\s*"
+DATE_LABELLED = (r"date\s*+(?:de\s*+facture|facture|invoice)?\s*+[:#-]?\s*+"
                  r"([0-9]{1,2}[\-/\.][0-9]{1,2}[\-/\.][0-9]{2,4}"
                  r"|[0-9]{4}[\-/\.][0-9]{1,2}[\-/\.][0-9]{1,2}|\d{1,2}\s\w+\s\d{4})")
 DATE_ANY = r"(\d{1,2}[-/. ]\d{1,2}[-/. ]\d{2,4}|\d{4}[-/. ]\d{1,2}[-/. ]\d{1,2})"

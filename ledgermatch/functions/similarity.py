@@ -32,15 +32,19 @@ def levenshtein_score(number, description) -> Column:
 
 
 def _lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence, one machine word (or big
+    integer) of ``a`` at a time: a step per character of ``b``."""
     if not a or not b:
         return 0
-    prev = [0] * (len(b) + 1)
-    for ca in a:
-        cur = [0]
-        for j, cb in enumerate(b):
-            cur.append(prev[j] + 1 if ca == cb else max(prev[j + 1], cur[j]))
-        prev = cur
-    return prev[-1]
+    masks: dict[str, int] = {}
+    for i, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        hit = row & masks.get(c, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
 
 
 def _indel_ratio(a: str, b: str) -> float:
@@ -96,8 +100,11 @@ def partial_ratio(number, description) -> Column:
     number is blank."""
     a = F.lower(_col(number))
     b = F.lower(F.coalesce(_col(description), F.lit("")))
+    # one string inside the other is settled in the JVM; only the rest is sent to Python
+    rest = F.when((F.length(b) > 0) & ~F.contains(b, a) & ~F.contains(a, b), a)
     return F.when(F.coalesce(F.trim(_col(number)), F.lit("")) == "", F.lit(0.0)) \
-        .otherwise(_partial_ratio_udf(a, b))
+        .when(F.length(b) == 0, F.lit(0.0)).when(F.contains(b, a) | F.contains(a, b), F.lit(100.0)) \
+        .otherwise(_partial_ratio_udf(rest, b))
 
 
 def jaro_winkler_py(a: str, b: str) -> float:

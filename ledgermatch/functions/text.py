@@ -56,8 +56,9 @@ def safe_lower(text) -> Column:
     return F.lower(F.coalesce(_col(text), F.lit("")))
 
 
-# Unicode-aware trim: ``trim`` only removes ASCII spaces.
-_TRIM_RE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+# Unicode-aware trim: ``trim`` only removes ASCII spaces. The look-behind lets
+# a trailing run start at its first blank only, which keeps inner runs linear.
+_TRIM_RE = r"^[\s\p{Z}]++|(?<![\s\p{Z}])[\s\p{Z}]++$"
 
 
 def ktrim(text) -> Column:

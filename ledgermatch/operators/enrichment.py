@@ -15,9 +15,7 @@ from ..functions.amounts import parse_amount
 from ..functions.dates import parse_date
 from ..functions.text import json_block, ktrim
 from .once import evaluate_once
-from ..sources.tables import spread
 
-ANSWER_SCHEMA = "invoice_number string, invoice_date string, total_amount string, currency string"
 TX_SCHEMA = ("transactions array<struct<date: string, description: string, amount: string, "
              "amount_text: string, montant: string>>")
 COLUMNS_SCHEMA = ("date_column string, description_column string, amount_column string, "
@@ -28,10 +26,22 @@ def _blank_to_null(c):
     return F.nullif(ktrim(c), F.lit(""))
 
 
+def find_value(block, key: str):
+    """The scalar under the first ``key`` of a JSON text, at any depth, as a
+    string; NULL if it is missing, null, an object or a list. ``block`` must
+    hold valid JSON."""
+    token = F.regexp_extract(block, '"' + key + r'"\s*+:\s*+("[^"\\]*+(?:\\.[^"\\]*+)*+"|[-+0-9.eE]++|true|false|null)', 1)
+    return F.from_json(F.concat(F.lit('{"v":'), F.nullif(token, F.lit("")), F.lit("}")), "v string")["v"]
+
+
 def json_invoice_fields(answers: DataFrame, answer_col: str = "answer") -> DataFrame:
-    """invoice fields from a free-text answer holding a JSON object.
-    JSON null and blank values stay NULL (they never overlay)."""
-    parsed = spread(answers).withColumn("_p", F.from_json(json_block(answer_col), ANSWER_SCHEMA))
+    """invoice fields from a free-text answer holding a JSON object, at
+    any depth. JSON null and blank values stay NULL (they never overlay)."""
+    names = ["invoice_number", "invoice_date", "total_amount", "currency"]
+    block = answers.withColumn("_b", json_block(answer_col))
+    valid = F.when(F.from_json("_b", "map<string,string>").isNotNull(), F.col("_b"))
+    parsed = block.withColumn("_v", valid).withColumn("_p", F.struct(*[find_value(F.col("_v"), n).alias(n) for n in names])) \
+        .drop("_b", "_v")
     p = F.col("_p")
     return evaluate_once(parsed, {
         "llm_invoice_number": _blank_to_null(p["invoice_number"]),
@@ -47,7 +57,7 @@ def json_transactions(answers: DataFrame, answer_col: str = "answer",
     blank date or description are skipped, then rows need a date and an
     amount that parse."""
     p = F.from_json(json_block(answer_col), TX_SCHEMA)
-    items = spread(answers.select(id_col, answer_col)) \
+    items = answers.select(id_col, answer_col) \
         .select(F.col(id_col), F.posexplode(p["transactions"]).alias("row_idx", "t"))
     date_s = ktrim(F.col("t.date"))
     desc = ktrim(F.col("t.description"))
@@ -71,12 +81,22 @@ OVERLAY_FIELDS = ["invoice_number", "invoice_date", "total_amount", "currency"]
 
 
 def overlay(invoices: DataFrame, parsed_answers: DataFrame,
-            on: Sequence[str] = ("filename",)) -> DataFrame:
+            on: Sequence[str] | None = None) -> DataFrame:
     """J7 + P6: left join of parsed answers to invoices; a non-empty answer
-    field replaces the heuristic one."""
+    field replaces the heuristic one. ``on``: filename, and section_no where
+    both sides have it.
+
+    Several answers for one key count as one: the one with the most fields,
+    the largest values among equals. So invoices never multiply."""
+    if on is None:
+        on = ["filename"] + (["section_no"] if "section_no" in invoices.columns
+                             and "section_no" in parsed_answers.columns else [])
     on = list(on)
-    ans = parsed_answers.select(*on, *[F.col(f"llm_{f}") for f in OVERLAY_FIELDS])
+    fields = [f"llm_{f}" for f in OVERLAY_FIELDS]
+    filled = sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0))
+    ans = parsed_answers.groupBy(*on).agg(F.max(F.struct(filled.alias("_n"), *fields)).alias("_a")) \
+        .select(*on, *[F.col("_a")[f].alias(f) for f in fields])
     j = invoices.join(ans, on=on, how="left")
     for f in OVERLAY_FIELDS:
         j = j.withColumn(f, F.coalesce(F.col(f"llm_{f}"), F.col(f)))
-    return j.drop(*[f"llm_{f}" for f in OVERLAY_FIELDS])
+    return j.drop(*fields)

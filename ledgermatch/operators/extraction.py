@@ -7,14 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import invoice_fields as IF
 from ..functions.text import ktrim
 from .once import evaluate_once
-from ..sources.tables import spread
 
 # Fixed value: a new invoice starts at a line beginning with
 # "reçu n°" / "facture" / "invoice" (case-insensitive); used as a zero-width
 # split point after a newline.
 SECTION_START = r"(?iu)(?<=\n)(?=(?:re[çc]u\s*n[°o]|facture|invoice)\b)"
 # Trailing blanks of every line (only \n ends a line).
-_LINE_END_BLANKS = r"(?md)[\t\x0B\f\x1C-\x1F\p{Z}]+$"
+_LINE_END_BLANKS = r"(?md)(?<![\t\x0B\f\x1C-\x1F\p{Z}])[\t\x0B\f\x1C-\x1F\p{Z}]++$"
 
 
 def normalize_text(text) -> F.Column:
@@ -32,7 +31,6 @@ def split_sections(docs: DataFrame, text_col: str = "text", filename_col: str =
     parts = F.split(normalize_text(text_col), SECTION_START)
     secs = F.filter(F.transform(parts, ktrim), lambda x: x != "")
     others = [c for c in docs.columns if c not in (text_col, filename_col)]
-    docs = spread(docs)
     exploded = docs.select(F.col(filename_col).alias("source_file"), *others,
                            secs.alias("_secs")) \
         .select("*", F.size("_secs").alias("n_sections"), F.posexplode("_secs").alias("_pos", "text"))

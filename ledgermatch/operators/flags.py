@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.amounts import AMOUNT_TYPE
+from ..functions.text import ktrim
 
 
 def _inv_key_cols(df: DataFrame):
     return [F.col("filename").alias("_k_file"),
-            F.coalesce(F.lower(F.regexp_replace(F.col("invoice_number"), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")),
-                       F.lit("")).alias("_k_num"),
+            F.coalesce(F.lower(ktrim("invoice_number")), F.lit("")).alias("_k_num"),
             F.coalesce(F.col("total_amount").cast(AMOUNT_TYPE).cast("string"), F.lit("")).alias("_k_amt")]
 
 

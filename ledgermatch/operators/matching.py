@@ -14,19 +14,22 @@ Plan shape: the tolerance band and the day window become equi-join keys.
 Amounts are integral cents; bucket width ``2*tol+1`` cents puts every
 invoice in at most two amount buckets, and ``max_days+1`` day buckets put it
 in at most two date buckets. The invoice side is exploded into those (at
-most four) bucket pairs, the transaction side is not copied at all, and the
-exact predicates stay as a residual filter inside the hash/sort-merge join.
-Invoices without a date are spread over the date buckets that the
-transactions actually occupy (two scalar subqueries), so one join handles
-both kinds. The arg-max is ``min_by`` over a union of the invoice rows and
-the candidate rows grouped by invoice: candidates are reduced per invoice
-before the shuffle (partial aggregation) and the left-outer semantics come
-for free, with no second join back to the invoices.
+most four) bucket pairs, the transaction side is not copied, and the exact
+predicates stay as a residual condition inside the hash/sort-merge join.
+Invoices without a date join on the amount bucket alone, in a second branch.
+
+``match`` reduces both inputs first: equal invoice rows to one row with its
+number of copies, equal transactions (date, amount, description) to their
+first row with a count, which takes the repeats out of hot buckets. Then the
+exploded invoices are joined from the left and reduced by one ``min_by``
+per invoice, so unmatched invoices need no second join, and neither the
+exploded side nor anything else is broadcast by an estimate made before it
+grew.
 
 Skew: a hot amount is split across date buckets; AQE splits whatever hot
 join partitions remain. ``hot_key_salts > 0`` additionally salts bucket
-pairs holding at least ``hot_key_rows`` transactions: their transactions
-are spread over that many salts and only their invoices are replicated.
+pairs holding at least ``hot_key_rows`` transactions: their transactions are
+dealt over that many salts and only their invoices are replicated.
 """
 
 from __future__ import annotations
@@ -38,7 +41,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.amounts import AMOUNT_TYPE, amount_to_cents, cents_to_amount
 from ..functions.similarity import levenshtein_score, partial_ratio
-from ..sources.tables import spread
 
 EXACT_BONUS = 5.0  # fixed value: bonus for equal absolute amounts
 
@@ -76,6 +78,64 @@ def _score(scorer: str, number: Column, description: Column) -> Column:
     raise ValueError(f"unknown scorer {scorer!r}")
 
 
+def _invoice_side(invoices: DataFrame, kept: Sequence[str]) -> DataFrame:
+    """``kept`` columns plus what the join compares."""
+    return invoices.select(*kept, F.col("invoice_number").alias("_inv_number"),
+                           F.col("invoice_date").alias("_inv_date"),
+                           amount_to_cents("total_amount").alias("_inv_cents")) \
+        .withColumn("_inv_acents", F.abs("_inv_cents")).withColumn("_inv_day", _epoch_day(F.col("_inv_date")))
+
+
+def _transaction_side(transactions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    stmt = (F.col("statement_id") if "statement_id" in transactions.columns
+            else F.lit(None).cast("string"))
+    return transactions.where(F.col("amount").isNotNull() & F.col("date").isNotNull()).select(
+        *[F.col(k).alias(f"_t_{k}") for k in keys], F.col("date").alias("bank_date"),
+        amount_to_cents("amount").alias("bank_cents"), F.col("description").alias("bank_description"),
+        stmt.alias("bank_statement_id"), F.col("row_idx").cast("long").alias("bank_row_idx"))
+
+
+def _band_join(inv: DataFrame, txn: DataFrame, keys: Sequence[str], amount_tolerance, max_days: int, how: str,
+               hot_key_salts: int, hot_key_rows: int) -> DataFrame:
+    """``inv`` (``_invoice_side``) joined to ``txn`` (``_transaction_side``)
+    on the bands; with ``how="left"`` an invoice keeps at least one row."""
+    if max_days < 0:
+        raise ValueError("max_days must be >= 0")
+    tol = tolerance_cents(amount_tolerance)
+    aw = 2 * tol + 1          # amount bucket width (cents)
+    dw = int(max_days) + 1    # date bucket width (days)
+    txn = txn.withColumn("_ab", F.floor(F.abs("bank_cents") / F.lit(aw)).cast("long")) \
+        .withColumn("_db", _floor_div(_epoch_day(F.col("bank_date")), dw))
+    lo_ab = F.floor(F.greatest(F.col("_inv_acents") - tol, F.lit(0)) / F.lit(aw)).cast("long")
+    hi_ab = F.floor((F.col("_inv_acents") + tol) / F.lit(aw)).cast("long")
+    inv = inv.withColumn("_ab", F.explode_outer(F.sequence(lo_ab, hi_ab)))
+    if how != "left":
+        inv = inv.where(F.col("_ab").isNotNull())
+    out = None
+    for dated in (True, False):
+        i, t, join_keys = inv.where(F.col("_inv_date").isNotNull() == F.lit(dated)), txn, ["_ab"]
+        if dated:
+            i = i.withColumn("_db", F.explode(F.sequence(
+                _floor_div(F.col("_inv_day"), dw), _floor_div(F.col("_inv_day") + F.lit(int(max_days)), dw))))
+            join_keys = ["_ab", "_db"]
+        if hot_key_salts and hot_key_salts > 1:
+            i, t = _salt_hot_buckets(i, t, keys, join_keys, hot_key_salts, hot_key_rows)
+            join_keys = join_keys + ["_salt"]
+        cond = [i[k] == t[k] for k in join_keys] + [i[k] == t[f"_t_{k}"] for k in keys]
+        cond.append(F.abs(t["bank_cents"]).between(i["_inv_acents"] - tol, i["_inv_acents"] + tol))
+        cond.append(date_within(i["_inv_date"], t["bank_date"], max_days))
+        kept = [c for c in inv.columns if c != "_ab"]
+        bank = [c for c in t.columns if c.startswith("bank_")]
+        pairs = i.join(t, on=cond, how=how).select(*[i[c] for c in kept], *bank)
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
+def _total_score(scorer: str) -> Column:
+    return _score(scorer, F.col("_inv_number"), F.col("bank_description")) + F.when(
+        F.abs("bank_cents") == F.col("_inv_acents"), F.lit(EXACT_BONUS)).otherwise(F.lit(0.0))
+
+
 def candidates(invoices: DataFrame, transactions: DataFrame, amount_tolerance=0.02,
                max_days: int = 90, keys: Sequence[str] = (), scorer: str = "levenshtein",
                invoice_key: Sequence[str] = ("filename",), hot_key_salts: int = 0,
@@ -87,83 +147,28 @@ def candidates(invoices: DataFrame, transactions: DataFrame, amount_tolerance=0.
     ``bank_cents``, ``bank_description``, ``bank_statement_id``,
     ``bank_row_idx``, ``match_score``.
     """
-    if max_days < 0:
-        raise ValueError("max_days must be >= 0")
-    tol = tolerance_cents(amount_tolerance)
-    aw = 2 * tol + 1          # amount bucket width (cents)
-    dw = int(max_days) + 1    # date bucket width (days)
-    keys = list(keys)
-    ikey = list(invoice_key)
-
-    inv = (invoices
-           .where(F.col("total_amount").isNotNull())
-           .select(*[F.col(c) for c in dict.fromkeys(ikey + keys)],
-                   F.col("invoice_number").alias("_inv_number"),
-                   F.col("invoice_date").alias("_inv_date"),
-                   amount_to_cents("total_amount").alias("_inv_cents"))
-           .withColumn("_inv_acents", F.abs("_inv_cents"))
-           .withColumn("_inv_day", _epoch_day(F.col("_inv_date"))))
-
-    txn_cols = [F.col(k).alias(f"_t_{k}") for k in keys]
-    stmt = (F.col("statement_id") if "statement_id" in transactions.columns
-            else F.lit(None).cast("string"))
-    txn = (transactions
-           .where(F.col("amount").isNotNull() & F.col("date").isNotNull())
-           .select(*txn_cols,
-                   F.col("date").alias("bank_date"),
-                   amount_to_cents("amount").alias("bank_cents"),
-                   F.col("description").alias("bank_description"),
-                   stmt.alias("bank_statement_id"),
-                   F.col("row_idx").cast("long").alias("bank_row_idx"))
-           .withColumn("_ab", F.floor(F.abs("bank_cents") / F.lit(aw)).cast("long"))
-           .withColumn("_db", _floor_div(_epoch_day(F.col("bank_date")), dw)))
-    txn = spread(txn)
-
-    # Invoice side: explode into the (amount bucket, date bucket) pairs it can meet.
-    lo_ab = F.floor(F.greatest(F.col("_inv_acents") - tol, F.lit(0)) / F.lit(aw)).cast("long")
-    hi_ab = F.floor((F.col("_inv_acents") + tol) / F.lit(aw)).cast("long")
-    # one scalar subquery (reused for both ends) reads the date range
-    span = transactions.select(F.struct(_floor_div(_epoch_day(F.min("date")), dw).alias("lo"),
-                                        _floor_div(_epoch_day(F.max("date")), dw).alias("hi")).alias("s")).scalar()
-    db_min, db_max = span["lo"], span["hi"]
-    lo_db = F.when(F.col("_inv_day").isNull(), db_min).otherwise(_floor_div(F.col("_inv_day"), dw))
-    hi_db = F.when(F.col("_inv_day").isNull(), db_max).otherwise(
-        _floor_div(F.col("_inv_day") + F.lit(int(max_days)), dw))
-    inv = (inv.withColumn("_ab", F.explode(F.sequence(lo_ab, hi_ab)))
-              .withColumn("_db", F.explode(F.sequence(lo_db, hi_db))))
-
-    join_keys = ["_ab", "_db"]
-    if hot_key_salts and hot_key_salts > 1:
-        inv, txn = _salt_hot_buckets(inv, txn, keys, hot_key_salts, hot_key_rows)
-        join_keys.append("_salt")
-
-    cond = [inv[k] == txn[k] for k in join_keys]
-    cond += [inv[k] == txn[f"_t_{k}"] for k in keys]
-    cond.append(F.abs(txn["bank_cents"]).between(inv["_inv_acents"] - tol, inv["_inv_acents"] + tol))
-    cond.append(date_within(inv["_inv_date"], txn["bank_date"], max_days))
-    pairs = inv.join(txn, on=cond, how="inner")
-
-    score = _score(scorer, F.col("_inv_number"), F.col("bank_description")) + F.when(
-        F.abs("bank_cents") == F.col("_inv_acents"), F.lit(EXACT_BONUS)).otherwise(F.lit(0.0))
-    return pairs.select(*[inv[c] for c in dict.fromkeys(ikey + keys)], "_inv_cents",
-                        "bank_date", "bank_cents", "bank_description",
-                        "bank_statement_id", "bank_row_idx", score.alias("match_score"))
+    kept = list(dict.fromkeys([*invoice_key, *keys]))
+    pairs = _band_join(_invoice_side(invoices.where(F.col("total_amount").isNotNull()), kept),
+                       _transaction_side(transactions, keys), list(keys), amount_tolerance, max_days, "inner",
+                       hot_key_salts, hot_key_rows)
+    return pairs.select(*kept, "_inv_cents", "bank_date", "bank_cents", "bank_description",
+                        "bank_statement_id", "bank_row_idx", _total_score(scorer).alias("match_score"))
 
 
-def _salt_hot_buckets(inv: DataFrame, txn: DataFrame, keys, salts: int, hot_rows: int):
-    """Spread transactions of hot bucket pairs over ``salts`` salts and copy
-    only the invoices of those pairs. The hot-pair table has at most
+def _salt_hot_buckets(inv: DataFrame, txn: DataFrame, keys, bucket: Sequence[str], salts: int, hot_rows: int):
+    """Deal the transactions of hot buckets over ``salts`` salts and copy
+    only the invoices of those buckets. The hot-bucket table has at most
     |transactions| / hot_rows rows; it is joined without a hint so AQE
     broadcasts it only when its measured size is small."""
-    bkeys = [f"_t_{k}" for k in keys] + ["_ab", "_db"]
+    bkeys = [f"_t_{k}" for k in keys] + list(bucket)
     hot = (txn.groupBy(*bkeys).count().where(F.col("count") >= hot_rows)
               .select(*bkeys, F.lit(True).alias("_hot")))
     txn = (txn.join(hot, on=bkeys, how="left")
               .withColumn("_salt", F.when(F.col("_hot"), F.pmod(
                   F.xxhash64("bank_statement_id", "bank_row_idx"), F.lit(salts))).otherwise(F.lit(0)))
               .drop("_hot"))
-    hot_i = hot.select(*[F.col(f"_t_{k}").alias(k) for k in keys], "_ab", "_db", "_hot")
-    inv = (inv.join(hot_i, on=keys + ["_ab", "_db"], how="left")
+    hot_i = hot.select(*[F.col(f"_t_{k}").alias(k) for k in keys], *bucket, "_hot")
+    inv = (inv.join(hot_i, on=list(keys) + list(bucket), how="left")
               .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"),
                                                                              F.lit(salts - 1).cast("long")))
                                              .otherwise(F.array(F.lit(0).cast("long")))))
@@ -192,7 +197,9 @@ def match(invoices: DataFrame, transactions: DataFrame, amount_tolerance=0.02,
     (decimal), optionally section_no and the ``keys`` columns.
     ``transactions``: date, description, amount (decimal), row_idx,
     optionally statement_id and the ``keys`` columns.
-    ``invoice_key`` must identify an invoice (default: filename [, section_no]).
+    ``invoice_key`` names the columns that label an invoice (default:
+    filename [, section_no]); invoices that share them but differ in number,
+    date or total stay apart, and equal rows stay as many as they are.
 
     Output: invoice key, invoice_number, invoice_date, total_amount, matched,
     match_score, bank_date, bank_amount, bank_description,
@@ -200,28 +207,27 @@ def match(invoices: DataFrame, transactions: DataFrame, amount_tolerance=0.02,
     """
     if invoice_key is None:
         invoice_key = ["filename"] + (["section_no"] if "section_no" in invoices.columns else [])
-    ikey = list(invoice_key)
-    keys = list(keys)
+    ikey, keys = list(invoice_key), list(keys)
     carried = [c for c in ("invoice_number", "invoice_date", "total_amount") if c not in ikey]
-
-    cands = candidates(invoices, transactions, amount_tolerance, max_days, keys, scorer,
-                       ikey, hot_key_salts, hot_key_rows)
-    cand_struct = F.struct("match_score", "bank_date", "bank_cents", "bank_description",
-                           "bank_statement_id", "bank_row_idx")
-    cand_rows = cands.select(*ikey, *[F.lit(None).alias(c) for c in carried],
-                             cand_struct.alias("_c"), _order_key(tie_order).alias("_o"))
-    inv_rows = spread(invoices.select(*ikey, *carried)).select(
-        *ikey, *carried,
-        F.lit(None).cast(cand_rows.schema["_c"].dataType).alias("_c"),
-        F.lit(None).cast(cand_rows.schema["_o"].dataType).alias("_o"))
-    cand_rows = cand_rows.select(*ikey, *[F.col(c).cast(inv_rows.schema[c].dataType) for c in carried],
-                                 "_c", "_o")
-    best = (inv_rows.unionByName(cand_rows)
-            .groupBy(*ikey)
-            .agg(*[F.max(c).alias(c) for c in carried],
-                 F.min_by("_c", "_o").alias("_best"),
-                 F.count("_c").alias("n_candidates")))
-    return best.select(
+    label = list(dict.fromkeys([*ikey, *keys, *carried]))
+
+    inv = invoices.groupBy(*label).agg(F.count(F.lit(1)).alias("_copies"))
+    own = [f"_t_{k}" for k in keys] + ["bank_date", "bank_cents", "bank_description"]
+    place = ["bank_row_idx", "bank_statement_id"] if tie_order == "date" else ["bank_statement_id", "bank_row_idx"]
+    txn = _transaction_side(transactions, keys).groupBy(*own).agg(
+        F.min(F.struct(*place)).alias("_p"), F.count(F.lit(1)).alias("bank_copies")) \
+        .select(*own, *[F.col("_p")[c].alias(c) for c in place], "bank_copies")
+
+    side = _invoice_side(inv, label + ["_copies"])
+    pairs = _band_join(side, txn, keys, amount_tolerance, max_days, "left", hot_key_salts, hot_key_rows) \
+        .withColumn("match_score", _total_score(scorer))
+    found = F.col("bank_date").isNotNull()
+    best = pairs.groupBy(*label, "_copies").agg(
+        F.min_by(F.when(found, F.struct("match_score", "bank_date", "bank_cents", "bank_description",
+                                        "bank_statement_id", "bank_row_idx")),
+                 F.when(found, _order_key(tie_order))).alias("_best"),
+        F.coalesce(F.sum("bank_copies"), F.lit(0)).alias("n_candidates"))
+    return best.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(
         *ikey, *carried,
         F.col("_best").isNotNull().alias("matched"),
         F.col("_best.match_score").alias("match_score"),
@@ -234,31 +240,30 @@ def match(invoices: DataFrame, transactions: DataFrame, amount_tolerance=0.02,
 
 
 def rank_candidates(cands: DataFrame, invoice_key: Sequence[str] = ("filename",),
-                    tie_order: str = "date", partitions: int | None = None) -> DataFrame:
+                    tie_order: str = "date") -> DataFrame:
     """Every candidate with its rank (1 = best) inside its invoice; the
     ranking form of ``match``'s arg-max.
 
-    Skew-safe, without a window over whole invoices: candidates are
-    range-partitioned on (invoice, order key), so one invoice with a huge
-    candidate set spans several tasks. Each task numbers its sorted rows;
-    a per-(task, invoice) count table (at most one row per task and
-    invoice) gives every task's offset within the invoice, and the rank is
-    offset + position.
+    No window over whole invoices: an invoice's candidates are cut by the
+    leading parts of the order itself (the score, then the month or the
+    statement). The small counts of those parts give each one its offset, and
+    ``row_number`` runs inside a part. Everything derives from the rows'
+    values, so both branches agree however they are partitioned.
     """
     from pyspark.sql import Window
     ikey = list(invoice_key)
     order = _order_cols(tie_order)
-    n = partitions or int(cands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tagged = (cands.repartitionByRange(n, *[F.col(k) for k in ikey], *order)
-              .sortWithinPartitions(*[F.col(k) for k in ikey], *order)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_seq", F.monotonically_increasing_id()))
-    counts = tagged.groupBy("_pid", *ikey).agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first"))
-    before = Window.partitionBy(*ikey).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    ranked = tagged.join(offsets.select("_pid", *ikey, "_off", "_first"), on=["_pid", *ikey], how="inner")
-    return ranked.withColumn("rank", (F.col("_off") + F.col("_seq") - F.col("_first") + 1).cast("long")) \
-        .drop("_pid", "_seq", "_off", "_first")
+    second = (F.year("bank_date") * 12 + F.month("bank_date")) if tie_order == "date" else F.col("bank_statement_id")
+    parts = ["_step", "_part"]
+    cut = cands.withColumn("_step", -F.col("match_score")).withColumn("_part", second)
+    before = Window.partitionBy(*ikey).orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy(*ikey, *parts).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select(*[F.col(c).alias(f"_o{k}") for k, c in enumerate(ikey + parts)],
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    ranked = cut.withColumn("_own", F.row_number().over(Window.partitionBy(*ikey, *parts).orderBy(*order)))
+    on = [ranked[c].eqNullSafe(offsets[f"_o{k}"]) for k, c in enumerate(ikey + parts)]
+    return ranked.join(offsets, on=on, how="inner") \
+        .withColumn("rank", (F.col("_off") + F.col("_own")).cast("long")).select(*cands.columns, "rank")
 
 
 def _order_cols(tie_order: str):

@@ -3,8 +3,7 @@ P3, O1).
 
 ``statement_rows``: statement_id, row_idx, headers array<string>,
 cells array<string>. ``row_idx`` orders the rows of a statement's grid (or
-file); the header search looks at rows with ``row_idx`` below 5, so grids
-are expected to number their rows from 0.
+file).
 """
 
 from __future__ import annotations
@@ -14,12 +13,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.amounts import parse_amount
 from ..functions.dates import parse_date
 from ..functions.text import ktrim
-from .columns import detect_columns
+from .columns import detect_columns, suggested_map
 from .once import evaluate_once
-from ..sources.tables import spread
 
-HEADER_SEARCH_ROWS = 5   # fixed value: the header is one of the first five rows
-HEADER_MIN_CELLS = 2     # fixed value: ... and has at least two non-empty cells
+HEADER_MIN_CELLS = 2     # fixed value: a header has at least two non-empty cells
 
 
 def non_empty_cells(cells) -> Column:
@@ -28,43 +25,66 @@ def non_empty_cells(cells) -> Column:
     return F.size(F.filter(c, lambda x: F.coalesce(ktrim(x), F.lit("")) != ""))
 
 
-def grid_to_rows(grid: DataFrame, search_rows: int | None = HEADER_SEARCH_ROWS,
-                 min_cells: int = HEADER_MIN_CELLS) -> DataFrame:
-    """S3: find each statement's header row (the first row with at least
-    ``min_cells`` non-empty cells among the first ``search_rows`` rows; None
-    searches all rows) and attach its trimmed cells as ``headers`` to every
-    later row. Statements without such a row yield nothing.
+def grid_headers(grid: DataFrame, min_cells: int = HEADER_MIN_CELLS) -> DataFrame:
+    """Per statement the first row with at least ``min_cells`` non-empty
+    cells, wherever it stands: header_idx and its trimmed cells as
+    ``headers``; both NULL for a statement without such a row."""
+    cells = F.transform("cells", lambda x: F.coalesce(ktrim(x), F.lit("")))
+    candidate = F.when(non_empty_cells("cells") >= min_cells, F.struct("row_idx", cells.alias("headers")))
+    return grid.groupBy("statement_id").agg(F.min(candidate).alias("_h")) \
+        .select("statement_id", F.col("_h.row_idx").alias("header_idx"), F.col("_h.headers").alias("headers"))
 
-    The header lookup is an aggregation (partial per task, skew-proof);
-    attaching it is a join on statement_id that AQE may broadcast or split.
-    """
-    cand = grid.where(non_empty_cells("cells") >= min_cells)
-    if search_rows is not None:
-        cand = cand.where(F.col("row_idx") < search_rows)
-    hdr_idx = cand.groupBy("statement_id").agg(F.min("row_idx").alias("header_idx"))
-    g = grid.select(F.col("statement_id").alias("_sid"), F.col("row_idx").alias("_ri"), F.col("cells").alias("_hc"))
-    hdr = g.join(hdr_idx, on=[g._sid == hdr_idx.statement_id, g._ri == hdr_idx.header_idx], how="inner") \
-        .select("statement_id", "header_idx",
-                F.transform("_hc", lambda x: F.coalesce(ktrim(x), F.lit(""))).alias("headers"))
-    rows = grid.join(hdr, on="statement_id", how="inner").where(F.col("row_idx") > F.col("header_idx"))
+
+def grid_to_rows(grid: DataFrame, min_cells: int = HEADER_MIN_CELLS) -> DataFrame:
+    """S3: attach each statement's header (``grid_headers``) to every later
+    row. Statements without a header yield nothing here and a row of
+    ``grid_rejects``.
+
+    The header comes out of one aggregation (partial per task); attaching it
+    is one join on statement_id that AQE may broadcast or split."""
+    rows = grid.join(grid_headers(grid, min_cells), on="statement_id", how="inner") \
+        .where(F.col("row_idx") > F.col("header_idx"))
     return rows.select("statement_id", "row_idx", "headers", "cells")
 
 
+def grid_rejects(grid: DataFrame, min_cells: int = HEADER_MIN_CELLS) -> DataFrame:
+    """Statements of which no row can be a header: statement_id, reason."""
+    return grid_headers(grid, min_cells).where(F.col("header_idx").isNull()) \
+        .select("statement_id", F.lit("no header row").alias("reason"))
+
+
 def signed_amount(amount, debit, credit) -> Column:
     """The amount cell if it parses; else debit != 0 -> -|debit|, else
     credit != 0 -> +|credit|, else NULL."""
     return F.coalesce(amount, F.when(debit != 0, -F.abs(debit)).when(credit != 0, F.abs(credit)))
 
 
-def harmonise(statement_rows: DataFrame, column_map: DataFrame | None = None) -> DataFrame:
+MAP_FIELDS = ["date_idx", "description_idx", "amount_idx", "debit_idx", "credit_idx"]
+
+
+def harmonise(statement_rows: DataFrame, column_map: DataFrame | None = None,
+              suggestions: DataFrame | None = None) -> DataFrame:
     """Apply the column map of each row's header list.
 
+    ``suggestions`` (statement_id and the five names of
+    ``enrichment.json_column_map``) serve the statements whose headers are
+    not recognised: their resolved names replace the failed map.
+
     Output: statement_id, row_idx, date, description, amount,
     reject_reason (layout-level; NULL when the layout is usable).
     """
     cmap = column_map if column_map is not None else detect_columns(statement_rows.select("headers"))
-    rows = spread(statement_rows.select("statement_id", "row_idx", "headers", "cells"))
-    j = rows.join(cmap, on="headers", how="left")
+    j = statement_rows.select("statement_id", "row_idx", "headers", "cells").join(cmap, on="headers", how="left")
+    if suggestions is not None:
+        failed = statement_rows.select("statement_id", "headers").distinct() \
+            .join(cmap.where(F.col("reject_reason").isNotNull()).select("headers"), "headers")
+        given = suggested_map(failed, suggestions).select(
+            "statement_id", "headers", F.struct(*MAP_FIELDS).alias("_given"))
+        j = j.join(given, on=["statement_id", "headers"], how="left")
+        ok = F.col("_given").isNotNull()
+        j = j.select("statement_id", "row_idx", "headers", "cells",
+                     *[F.when(ok, F.col("_given")[f]).otherwise(F.col(f)).alias(f) for f in MAP_FIELDS],
+                     F.when(~ok, F.col("reject_reason")).alias("reject_reason"))
 
     def cell(idx):
         return F.when(F.col(idx).isNotNull(), F.get(F.col("cells"), F.col(idx)))
@@ -74,8 +94,7 @@ def harmonise(statement_rows: DataFrame, column_map: DataFrame | None = None) ->
     amount = signed_amount(parsed[0], parsed[1], parsed[2])
     reason = F.when(F.col("date_idx").isNull() & F.col("reject_reason").isNull(), F.lit("unknown layout")) \
         .otherwise(F.col("reject_reason"))
-    base = j.select("statement_id", "row_idx", "cells", "date_idx", "description_idx", "amount_idx",
-                    "debit_idx", "credit_idx", reason.alias("_reason"))
+    base = j.select("statement_id", "row_idx", "cells", *MAP_FIELDS, reason.alias("_reason"))
     out = evaluate_once(base, {"date": parse_date(cell("date_idx")),
                                "description": ktrim(cell("description_idx")),
                                "amount": amount})
@@ -118,9 +137,18 @@ def require_transactions(report: DataFrame) -> DataFrame:
         .drop("_check")
 
 
-def load_statements(statement_rows: DataFrame) -> DataFrame:
+def statement_rejects(harmonised: DataFrame) -> DataFrame:
+    """Statements none of whose rows is a transaction: statement_id and the
+    reason that most rows share (the smallest among equals)."""
+    counted = harmonised.groupBy("statement_id", drop_reason(harmonised).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    worst = counted.groupBy("statement_id").agg(F.count_if(F.col("reason").isNull()).alias("kept"),
+                                                F.min_by("reason", F.struct(-F.col("n"), "reason")).alias("reason"))
+    return worst.where("kept = 0").select("statement_id", "reason")
+
+
+def load_statements(statement_rows: DataFrame, suggestions: DataFrame | None = None) -> DataFrame:
     """Column detection + harmonisation + validity filter in one plan."""
-    return filter_valid(harmonise(statement_rows))
+    return filter_valid(harmonise(statement_rows, suggestions=suggestions))
 
 
 def sort_transactions(tx: DataFrame) -> DataFrame:

@@ -10,21 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.amounts import AMOUNT_TYPE, format_en_amount, format_fr_amount
-from ..sources.tables import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def base(spark: SparkSession, sf_dir: str, name: str, *cols: str, spread_rows: bool = True) -> DataFrame:
-    """The columns a view needs; views that render text are spread over the
-    cores when the file has few splits (the test files are single row
-    groups). Transaction views are not: the matcher spreads its own
-    projected transactions, and its date-range subquery should only scan
-    the date column."""
-    df = table(spark, sf_dir, name).select(*cols)
-    return spread(df) if spread_rows else df
+def base(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+    """The columns a view needs, dealt over the session's cores: the test
+    files are single row groups, and rendering text is work per row."""
+    return table(spark, sf_dir, name).select(*cols).repartition(spark.sparkContext.defaultParallelism)
 
 
 def _cents(x) -> F.Column:
@@ -47,21 +42,22 @@ def inv_v(spark, sf_dir) -> DataFrame:
         F.col("o_custkey"))
 
 
-def _txn_base(spark, sf_dir, spread_rows: bool = True) -> DataFrame:
+def _txn_base(spark, sf_dir) -> DataFrame:
+    """One transaction per order; those of every third key lie 200 days
+    later, outside the window of their invoice."""
     k = F.col("o_orderkey")
     cents = (_cents(F.col("o_totalprice")) + (k % 7 - 3)) * F.when(k % 2 == 0, -1).otherwise(1)
-    return (base(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice",
-                 spread_rows=spread_rows)
-            .where(k % 3 != 0).select(
+    days = k % 120 + F.when(k % 3 == 0, 200).otherwise(0)
+    return base(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").select(
         F.concat(F.lit("st_"), F.col("o_custkey") % 4).alias("statement_id"),
         k.alias("row_idx"),
-        F.date_add(F.to_date("o_orderdate"), (k % 120).cast("int")).alias("date"),
+        F.date_add(F.to_date("o_orderdate"), days.cast("int")).alias("date"),
         F.concat(F.lit("VIR INV-"), k, F.lit(" CLIENT")).alias("description"),
-        cents.alias("cents")))
+        cents.alias("cents"))
 
 
 def txn_v(spark, sf_dir) -> DataFrame:
-    return _txn_base(spark, sf_dir, spread_rows=False).select(
+    return _txn_base(spark, sf_dir).select(
         "statement_id", "row_idx", "date", "description", _amount(F.col("cents")).alias("amount"))
 
 
@@ -101,7 +97,7 @@ def lines_v(spark, sf_dir) -> DataFrame:
 LAYOUTS = {
     "st_0": ["Date", "Libellé", "Montant"],
     "st_1": ["Booking Date", "Label", "Débit", "Crédit"],
-    "st_2": ["Date opération", "Description", "Amount", "Solde"],
+    "st_2": ["Date opération", "Narration", "Amount", "Debit", "Credit", "Solde"],
     "st_3": ["Valeur", "Détails", "Debit", "Credit"],
 }
 
@@ -116,41 +112,49 @@ def cells_v(spark, sf_dir) -> DataFrame:
     dmy = F.date_format("date", "dd/MM/yyyy")
     iso = F.date_format("date", "yyyy-MM-dd")
     sid = F.col("statement_id")
+    split = F.col("row_idx") % 5 == 0  # rows of st_2 that fill debit or credit instead of the amount
     headers = F.when(sid == "st_0", F.array(*map(F.lit, LAYOUTS["st_0"]))) \
         .when(sid == "st_1", F.array(*map(F.lit, LAYOUTS["st_1"]))) \
         .when(sid == "st_2", F.array(*map(F.lit, LAYOUTS["st_2"]))) \
         .otherwise(F.array(*map(F.lit, LAYOUTS["st_3"])))
     cells = F.when(sid == "st_0", F.array(dmy, F.col("description"), fr)) \
         .when(sid == "st_1", F.array(iso, F.col("description"), debit, credit)) \
-        .when(sid == "st_2", F.array(dmy, F.col("description"), format_en_amount(amount), F.lit("0,00"))) \
+        .when(sid == "st_2", F.array(dmy, F.col("description"), F.when(split, F.lit("")).otherwise(format_en_amount(amount)),
+                                     F.when(split, debit).otherwise(F.lit("")), F.when(split, credit).otherwise(F.lit("")),
+                                     F.lit("0,00"))) \
         .otherwise(F.array(iso, F.col("description"), debit, credit))
     return t.select("statement_id", "row_idx", headers.alias("headers"), cells.alias("cells"))
 
 
 def grid_v(spark, sf_dir) -> DataFrame:
-    """Headerless grid per statement: a title row (one non-empty cell) at
-    position 0, the header row at 1, then the data rows in key order
-    (positions increase; gaps are allowed)."""
+    """Headerless grid per statement: title rows (one non-empty cell), the
+    header row at position 1, 4, 7 or 10 by statement, then the data rows in
+    key order (positions increase; gaps are allowed)."""
     c = cells_v(spark, sf_dir)
-    data = c.select("statement_id", (F.col("row_idx") + 2).cast("long").alias("row_idx"), "cells")
-    heads = c.select("statement_id", "headers").distinct()
-    title = heads.select("statement_id", F.lit(0).cast("long").alias("row_idx"),
+    data = c.select("statement_id", (F.col("row_idx") + 11).cast("long").alias("row_idx"), "cells")
+    heads = c.select("statement_id", "headers").distinct().withColumn(
+        "at", F.substring("statement_id", 4, 1).cast("long") * 3 + 1)
+    title = heads.select("statement_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("at") - 1)).alias("row_idx"),
                          F.array(F.concat(F.lit("RELEVE "), F.col("statement_id")), F.lit(""), F.lit("")).alias("cells"))
-    header = heads.select("statement_id", F.lit(1).cast("long").alias("row_idx"), F.col("headers").alias("cells"))
+    header = heads.select("statement_id", F.col("at").alias("row_idx"), F.col("headers").alias("cells"))
     return title.unionByName(header).unionByName(data)
 
 
 def resp_v(spark, sf_dir) -> DataFrame:
-    """Free-text model answers holding a JSON object, for even order keys."""
-    i = inv_v(spark, sf_dir).where(F.col("k") % 2 == 0)
+    """Free-text model answers: a JSON object for even order keys (amounts as
+    text or as JSON numbers), no JSON for odd ones."""
+    i = inv_v(spark, sf_dir)
     k = F.col("k")
     q = F.lit('"')
     number = F.when(k % 5 == 0, F.lit("null")).otherwise(F.concat(q, F.lit("LLM-"), k, q))
     date = F.concat(q, F.coalesce(F.date_format("invoice_date", "yyyy-MM-dd"), F.lit("")), q)
-    total = F.concat(q, F.coalesce(format_fr_amount(F.col("total_amount")), F.lit("")), q)
+    total = F.when(F.col("total_amount").isNotNull() & (k % 4 == 2), F.col("total_amount").cast("double").cast("string")) \
+        .otherwise(F.concat(q, F.coalesce(format_fr_amount(F.col("total_amount")), F.lit("")), q))
     js = F.concat(F.lit('{"invoice_number":'), number, F.lit(',"invoice_date":'), date,
                   F.lit(',"total_amount":'), total, F.lit(',"currency":"eur"}'))
-    return i.select("k", "filename", F.concat(F.lit("Voici : "), js, F.lit(" fin")).alias("answer"))
+    js = F.when(k % 6 == 0, F.concat(F.lit('{"facture":'), js, F.lit("}"))).otherwise(js)  # nested
+    answer = F.when(k % 2 == 0, F.concat(F.lit("Voici : "), js, F.lit(" fin"))).when(k % 4 == 1, F.lit("Je ne sais pas"))
+    return i.select("k", "filename", answer.alias("answer"))
 
 
 def inv_o(spark, sf_dir) -> DataFrame:
@@ -165,7 +169,7 @@ def inv_o(spark, sf_dir) -> DataFrame:
 def txn_l(spark, sf_dir) -> DataFrame:
     """Line items as bank transactions (competing candidates per order)."""
     return base(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate", "l_partkey",
-                "l_extendedprice", spread_rows=False).select(
+                "l_extendedprice").select(
         F.lit("li").alias("statement_id"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_idx"),
         F.to_date("l_shipdate").alias("date"),

@@ -3,52 +3,85 @@
 invoice documents --split/extract--> invoices --(overlay answers)--+
 statement grids / delimited lines / text lines --harmonise-->      |
                                          transactions -------------+--> match
---> flagged invoices, flagged transactions, run counts
+--> flagged invoices, flagged transactions, run counts, rejects
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.enrichment import json_invoice_fields, overlay
+from ..operators.enrichment import json_column_map, json_invoice_fields, json_transactions, overlay
 from ..operators.extraction import extract_invoices
 from ..operators.flags import mark_invoices, mark_transactions, summary_counts, summary_invoices
 from ..operators.matching import match
-from ..operators.statements import load_statements
-from ..sources.delimited import delimited_to_rows
+from ..operators.statements import filter_valid, grid_rejects, grid_to_rows, harmonise, statement_rejects
+from ..sources.delimited import delimited_rejects, delimited_to_rows
 from ..sources.lines import parse_statement_lines
 from ..sources.routing import union_sources
+from ..session import checkpoint_dir
 from . import fixtures as fx
 
 
+TX_COLUMNS = ["statement_id", "row_idx", "date", "description", "amount"]
+
+
 def load_transactions(statement_rows: DataFrame | None = None, delimited_lines: DataFrame | None = None,
-                      statement_lines: DataFrame | None = None) -> DataFrame:
-    """All statement sources -> one transaction table. Grid/delimited rows
-    win; text lines only count for statements without them."""
-    grid = None
+                      statement_lines: DataFrame | None = None, grids: DataFrame | None = None,
+                      column_answers: DataFrame | None = None, transaction_answers: DataFrame | None = None
+                      ) -> tuple[DataFrame, DataFrame]:
+    """All statement sources -> (transactions, rejects).
+
+    Rows come from ready rows, delimited text and raw grids; ``column_answers``
+    (statement_id, answer) suggest columns where headers are not recognised.
+    Text lines add what no row of their statement has. ``transaction_answers``
+    (statement_id, answer) serve the statements that yield nothing else.
+    ``rejects``: statement_id and reason of every statement without any
+    transaction."""
+    rows, reasons = [], []
     if statement_rows is not None:
-        grid = load_statements(statement_rows)
+        rows.append(statement_rows.select("statement_id", "row_idx", "headers", "cells"))
     if delimited_lines is not None:
-        d = load_statements(delimited_to_rows(delimited_lines))
-        grid = d if grid is None else grid.unionByName(d)
-    lines = parse_statement_lines(statement_lines) if statement_lines is not None else None
-    cols = ["statement_id", "row_idx", "date", "description", "amount"]
-    if grid is not None and lines is not None:
-        return union_sources(grid, lines)
-    if grid is not None:
-        return grid.select(*cols).withColumn("row_source", F.lit("grid"))
-    if lines is not None:
-        return lines.select(*cols).withColumn("row_source", F.lit("lines"))
-    raise ValueError("no statement source given")
+        rows.append(delimited_to_rows(delimited_lines))
+        reasons.append(delimited_rejects(delimited_lines))
+    if grids is not None:
+        rows.append(grid_to_rows(grids))
+        reasons.append(grid_rejects(grids))
+    tx = None
+    if rows:
+        suggestions = None if column_answers is None else json_column_map(column_answers)
+        # both feed several outputs: kept in the shared folder, which also keeps the plan small
+        checkpoint_dir(rows[0].sparkSession)
+        harmonised = harmonise(reduce(DataFrame.unionByName, rows).checkpoint(), suggestions=suggestions).checkpoint()
+        reasons.append(statement_rejects(harmonised))
+        tx = filter_valid(harmonised).select(*TX_COLUMNS).withColumn("row_source", F.lit("grid"))
+    if statement_lines is not None:
+        lines = parse_statement_lines(statement_lines).select(*TX_COLUMNS)
+        reasons.append(statement_lines.select("statement_id").distinct().join(
+            lines.select("statement_id").distinct(), "statement_id", "left_anti")
+            .select("statement_id", F.lit("no transaction line").alias("reason")))
+        tx = lines.withColumn("row_source", F.lit("lines")) if tx is None else union_sources(tx, lines)
+    if transaction_answers is not None:
+        told = json_transactions(transaction_answers).select(*TX_COLUMNS).withColumn("row_source", F.lit("answers"))
+        tx = told if tx is None else tx.unionByName(told.join(tx.select("statement_id").distinct(), "statement_id", "left_anti"))
+    if tx is None:
+        raise ValueError("no statement source given")
+    if not reasons:
+        return tx, tx.select("statement_id", F.lit(None).cast("string").alias("reason")).limit(0)
+    rejects = reduce(DataFrame.unionByName, reasons).join(tx.select("statement_id").distinct(), "statement_id", "left_anti")
+    return tx, rejects.groupBy("statement_id").agg(F.min("reason").alias("reason"))
 
 
 def reconcile(invoice_docs: DataFrame, statement_rows: DataFrame | None = None,
               delimited_lines: DataFrame | None = None, statement_lines: DataFrame | None = None,
               answers: DataFrame | None = None, amount_tolerance=0.02, max_days: int = 90,
-              persist: bool = True, **match_options) -> dict[str, DataFrame]:
+              persist: bool = True, grids: DataFrame | None = None, column_answers: DataFrame | None = None,
+              transaction_answers: DataFrame | None = None, **match_options) -> dict[str, DataFrame]:
     """Returns ``invoices`` (flagged, no raw text), ``matches``,
-    ``transactions`` (flagged) and ``summary`` (one row of counts).
+    ``transactions`` (flagged), ``summary`` (one row of counts) and
+    ``rejects`` (statements without a transaction, with the reason).
 
     The extracted invoices and the harmonised transactions feed the match,
     both flag joins and the summary; with ``persist`` they are kept
@@ -58,17 +91,19 @@ def reconcile(invoice_docs: DataFrame, statement_rows: DataFrame | None = None,
     ``out["_transactions"]`` and ``out["_matches"]`` when done."""
     inv = extract_invoices(invoice_docs).drop("raw_text")
     if answers is not None:
-        inv = overlay(inv, json_invoice_fields(answers), on=["filename"])
-    tx = load_transactions(statement_rows, delimited_lines, statement_lines)
+        inv = overlay(inv, json_invoice_fields(answers))
+    tx, rejects = load_transactions(statement_rows, delimited_lines, statement_lines, grids, column_answers,
+                                    transaction_answers)
     if persist:
         inv = inv.persist(StorageLevel.MEMORY_AND_DISK)
         tx = tx.persist(StorageLevel.MEMORY_AND_DISK)
-    m = match(inv, tx, amount_tolerance, max_days, invoice_key=["filename", "section_no"], **match_options)
+    ikey = ["filename", "section_no"] + (["path"] if "path" in inv.columns else [])
+    m = match(inv, tx, amount_tolerance, max_days, invoice_key=ikey, **match_options)
     if persist:
         m = m.persist(StorageLevel.MEMORY_AND_DISK)  # feeds both flag joins
     fi = summary_invoices(mark_invoices(inv, m))
     ft = mark_transactions(tx, m)
-    return {"invoices": fi, "matches": m, "transactions": ft, "summary": summary_counts(fi, ft),
+    return {"invoices": fi, "matches": m, "transactions": ft, "summary": summary_counts(fi, ft), "rejects": rejects,
             "_invoices": inv, "_transactions": tx, "_matches": m}
 
 

@@ -93,6 +93,8 @@ def q_rank_candidates(spark, sf_dir):
     """Candidates ranked per invoice (ranking form of A1)."""
     c = candidates(fx.inv_o(spark, sf_dir), fx.txn_l(spark, sf_dir), 5.00, 90)
     return rank_candidates(c).select("filename", "bank_row_idx", r6("match_score").alias("match_score"),
+                                     iso("bank_date").alias("bank_date"), F.col("bank_cents").cast("long").alias("bank_cents"),
+                                     "bank_description", "bank_statement_id",
                                      F.col("rank").cast("long").alias("rank"))
 
 
@@ -121,13 +123,11 @@ def q_pred_date(spark, sf_dir):
 
 
 def _flagship_inputs(spark, sf_dir):
-    """Invoices, transactions and their matches; the matches feed several
-    outputs (flags on both sides), so they are kept (memory and disk,
-    recomputed from lineage if lost) instead of being matched twice."""
-    from pyspark import StorageLevel
+    """Invoices, transactions and their matches. A query that reads the
+    matches once plans them once; nothing is kept."""
     inv = fx.inv_v(spark, sf_dir)
     txn = fx.txn_v(spark, sf_dir)
-    return inv, txn, match(inv, txn, 0.02, 90).persist(StorageLevel.MEMORY_AND_DISK)
+    return inv, txn, match(inv, txn, 0.02, 90)
 
 
 @query("mark_invoices")
@@ -323,14 +323,15 @@ def q_text_max_amount(spark, sf_dir):
 
 @query("fn_parse_amount")
 def q_parse_amount(spark, sf_dir):
-    """round trip of signed totals through eight renderings."""
+    """round trip of signed totals through twelve renderings: grouped,
+    with no-break blanks, plain, scientific, and inside text."""
     o = _orders(spark, sf_dir)
     k = F.col("k")
     v = F.when(k % 3 == 0, -F.col("total")).otherwise(F.col("total")).cast("decimal(18,2)")
     a = F.abs(v)
     sign = F.when(v < 0, F.lit("- ")).otherwise(F.lit("+ "))
     en = F.format_number(v, 2)
-    text = _variant(k % 8, [
+    text = _variant(k % 12, [
         format_fr_amount(v),
         F.translate(en, ",.", " ,"),
         F.translate(en, ",.", " ,"),
@@ -338,22 +339,28 @@ def q_parse_amount(spark, sf_dir):
         F.translate(en, ",.", ".,"),
         F.translate(v.cast("string"), ".", ","),
         v.cast("string"),
-        F.concat(F.lit("Montant: "), sign, format_fr_amount(a), F.lit(" EUR"))])
+        F.concat(F.lit("Montant: "), sign, format_fr_amount(a), F.lit(" EUR")),
+        F.concat((v * 10).cast("decimal(18,1)").cast("string"), F.lit("E-1")),
+        F.concat(v.cast("string"), F.lit("4")),
+        F.concat(F.lit("  "), v.cast("string"), F.lit("0000 ")),
+        F.concat(F.lit("Solde "), F.translate(en, ",.", "\u202f,"))])
     return o.select("k", dbl(parse_amount(text)).alias("amount"))
 
 
 @query("fn_parse_date")
 def q_parse_date(spark, sf_dir):
-    """round trip of order dates through eight renderings, plus an
+    """round trip of order dates through eleven renderings, plus an
     impossible day."""
     o = _orders(spark, sf_dir)
     k, d = F.col("k"), F.col("d")
     fr = F.concat(F.dayofmonth(d).cast("string"), F.lit(" "),
                   F.element_at(F.array(*map(F.lit, FR_MONTHS)), F.month(d)), F.lit(" "), F.year(d).cast("string"))
-    text = _variant(k % 8, [
+    text = _variant(F.when(k % 5 == 4, 8 + k % 3).otherwise(k % 8), [
         F.date_format(d, "dd/MM/yyyy"), F.date_format(d, "d/M/yy"), F.date_format(d, "yyyy-MM-dd"), fr,
         F.date_format(d, "d MMM yyyy"), F.date_format(d, "dd.MM.yyyy"), F.date_format(d, "yyyy-MM-dd 00:00:00"),
-        F.when(k % 16 == 7, F.concat(F.lit("31/02/"), F.year(d))).otherwise(F.date_format(d, "MMMM d, yyyy"))])
+        F.when(k % 16 == 7, F.concat(F.lit("31/02/"), F.year(d))).otherwise(F.date_format(d, "MMMM d, yyyy")),
+        F.date_format(d, "dd-MMM-yyyy"), F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T10:00:00")),
+        F.date_format(d, "yyyyMMdd")])
     return o.select("k", iso(parse_date(text)).alias("date"))
 
 
@@ -396,13 +403,24 @@ from ..sources.routing import route_by_extension, union_sources  # noqa: E402
 from ..sources.documents import concat_pages  # noqa: E402
 
 
-def _layouts(spark, sf_dir):
-    """Header lists of the cells view plus two damaged variants (last or
-    first column missing)."""
-    h = fx.cells_v(spark, sf_dir).select("headers")
-    n = F.size("headers")
-    return h.select("headers").unionByName(h.select(F.slice("headers", 1, n - 1).alias("headers"))) \
-        .unionByName(h.select(F.slice("headers", 2, n - 1).alias("headers")))
+def _layouts(spark, sf_dir, numbered: bool = True):
+    """The header list of every transaction row, changed by its key: case,
+    accents, typos, blanks, a number, and a missing first or last column."""
+    c = fx.cells_v(spark, sf_dir).select("row_idx", "headers")
+    k, n = F.col("row_idx"), F.size("headers")
+
+    def change(x):
+        v = k % 8
+        return (F.when(v == 1, F.upper(x)).when(v == 2, F.lower(x)).when(v == 3, strip_accents(x))
+                .when(v == 4, F.concat(x, F.lit(" EUR"))).when(v == 5, F.substr(x, F.lit(2)))
+                .when(v == 6, F.concat(x, F.lit("s"))).when(v == 7, F.concat(F.lit("  "), F.replace(x, F.lit(" "), F.lit("_"))))
+                .otherwise(x))
+    cut = F.floor(k / 8) % 3
+    part = F.when(cut == 1, F.slice("headers", F.lit(1), n - 1)).when(cut == 2, F.slice("headers", F.lit(2), n - 1)) \
+        .otherwise(F.col("headers"))
+    changed = F.transform(part, lambda x, i: F.when(F.lit(numbered) & (i == 0) & (k % 7 == 0), F.concat(
+        change(x), F.lit(" "), (k % 101).cast("string"))).otherwise(change(x)))
+    return c.select(changed.alias("headers"))
 
 
 def _tx_out(df):
@@ -413,7 +431,7 @@ def _tx_out(df):
 @query("header_best_match")
 def q_header_best_match(spark, sf_dir):
     """A5 + F18: per layout and field, exact / containing / most similar header."""
-    b = header_best_match(_layouts(spark, sf_dir))
+    b = header_best_match(_layouts(spark, sf_dir, numbered=False))
     return b.select(F.array_join("headers", "|").alias("layout"), "field", "exact_idx", "contains_idx",
                     "jw_idx", r6("jw_best").alias("jw_best"))
 
@@ -426,6 +444,10 @@ def q_detect_columns(spark, sf_dir):
                     "debit_idx", "credit_idx", "reject_reason")
 
 
+# The money headers of the derived layouts.
+IF_HEADERS = {"Montant": "amount", "Amount": "amount", "Débit": "debit", "Debit": "debit", "Crédit": "credit",
+              "Credit": "credit"}
+
 # Suggested column names, as a model might answer them.
 SUGGESTIONS = ["Date", "libelle", "Montant EUR", "debit", "xyz", ""]
 
@@ -447,11 +469,19 @@ def q_harmonise(spark, sf_dir):
 
 @query("signed_amount")
 def q_signed_amount(spark, sf_dir):
-    """Debit / credit cells -> signed amount."""
-    c = fx.cells_v(spark, sf_dir).where(F.col("statement_id").isin("st_1", "st_3"))
-    amt = ST.signed_amount(F.lit(None).cast("decimal(18,2)"), parse_amount(F.get("cells", 2)),
-                           parse_amount(F.get("cells", 3)))
-    return c.select("statement_id", "row_idx", dbl(amt).alias("amount"))
+    """Amount cell, else debit / credit cells -> signed amount."""
+    c = fx.cells_v(spark, sf_dir)
+    at = {sid: {h: i for i, h in enumerate(strip) } for sid, strip in (
+        (sid, [IF_HEADERS.get(h, h) for h in heads]) for sid, heads in fx.LAYOUTS.items())}
+
+    def cell(name):
+        out = F.lit(None).cast("string")
+        for sid, places in at.items():
+            if name in places:
+                out = F.when(F.col("statement_id") == sid, F.get("cells", places[name])).otherwise(out)
+        return parse_amount(out)
+    return c.select("statement_id", "row_idx",
+                    dbl(ST.signed_amount(cell("amount"), cell("debit"), cell("credit"))).alias("amount"))
 
 
 def _damaged_cells(spark, sf_dir):
@@ -459,7 +489,7 @@ def _damaged_cells(spark, sf_dir):
     k = F.col("row_idx")
 
     def dmg(x, i):
-        amount_cell = (i >= 2) & ~((F.col("statement_id") == "st_2") & (i == 3))
+        amount_cell = (i >= 2) & ~((F.col("statement_id") == "st_2") & (i == 5))
         return (F.when((i == 0) & (k % 19 == 0), F.lit("xx/yy/zzzz"))
                 .when((i == 1) & (k % 23 == 0), F.lit(""))
                 .when(amount_cell & (k % 29 == 0), F.lit(""))
@@ -503,7 +533,12 @@ def delimited_lines(spark, sf_dir):
         q = F.transform(arr, lambda x: F.concat(F.lit('"'), x, F.lit('"')))
         return (F.when(sid == "st_0", F.array_join(arr, ";")).when(sid == "st_1", F.array_join(arr, "\t"))
                 .when(sid == "st_2", F.array_join(arr, "|")).otherwise(F.array_join(q, ",")))
-    data = c.select("statement_id", (F.col("row_idx") + 2).alias("line_no"), render(F.col("cells")).alias("line"))
+    broken = (sid == "st_3") & (F.col("row_idx") % 6 == 0)  # records with a line break inside quotes
+    whole = c.select("statement_id", (F.col("row_idx") * 2 + 2).alias("line_no"),
+                     F.when(broken, F.transform("cells", lambda x: F.replace(x, F.lit("VIR "), F.lit("VIR\n"))))
+                     .otherwise(F.col("cells")).alias("cells"))
+    data = whole.select("statement_id", "line_no", F.posexplode(F.split(render(F.col("cells")), "\n")).alias("_p", "line")) \
+        .select("statement_id", (F.col("line_no") + F.col("_p")).alias("line_no"), "line")
     heads = c.select("statement_id", "headers").distinct()
     header = heads.select("statement_id", F.lit(1).cast("long").alias("line_no"), render(F.col("headers")).alias("line"))
     blank = heads.select("statement_id", F.lit(0).cast("long").alias("line_no"), F.lit("").alias("line"))
@@ -537,8 +572,10 @@ def q_route_format(spark, sf_dir):
 
 @query("set_union_sources")
 def q_union_sources(spark, sf_dir):
-    """Grid statements plus line statements for those without a grid."""
+    """Grid rows plus the statement lines that no grid row repeats."""
     grid = ST.load_statements(fx.cells_v(spark, sf_dir).where(F.col("statement_id").isin("st_0", "st_1")))
+    grid = grid.withColumn("description", F.when(F.col("row_idx") % 2 == 1, F.concat("description", F.lit(" G")))
+                           .otherwise(F.col("description")))
     lines = parse_statement_lines(fx.lines_v(spark, sf_dir))
     u = union_sources(grid, lines)
     return u.select("statement_id", "row_idx", iso("date").alias("date"), "description",
@@ -559,7 +596,8 @@ from ..functions.text import json_block  # noqa: E402
 @query("json_block")
 def q_json_block(spark, sf_dir):
     """JSON object cut out of a free-text answer."""
-    return fx.resp_v(spark, sf_dir).select("k", json_block("answer").alias("block"))
+    block = F.regexp_replace(json_block("answer"), '("total_amount":)("[^"]*"|[-+0-9.eE]+)', "$1@")
+    return fx.resp_v(spark, sf_dir).select("k", block.alias("block"))
 
 
 @query("json_invoice_fields")
@@ -601,7 +639,8 @@ def q_overlay(spark, sf_dir):
     """J7 + P6: non-empty answer fields replace heuristic ones."""
     inv = fx.inv_v(spark, sf_dir)
     p = json_invoice_fields(fx.resp_v(spark, sf_dir)).drop("k")
-    o = overlay(inv, p, on=["filename"])
+    again = p.withColumns({f"llm_{f}": F.lit(None).cast(p.schema[f"llm_{f}"].dataType) for f in ("invoice_date", "currency")})
+    o = overlay(inv, p.unionByName(again), on=["filename"])  # a poorer second answer for every file
     return o.select("filename", "invoice_number", iso("invoice_date").alias("invoice_date"),
                     dbl("total_amount").alias("total_amount"), "currency")
 
@@ -701,3 +740,55 @@ def q_match_salted(spark, sf_dir):
     must equal the plain match."""
     m = match(fx.inv_v(spark, sf_dir), fx.txn_v(spark, sf_dir), 0.02, 90, hot_key_salts=8, hot_key_rows=2)
     return match_output(m)
+
+
+def _odd_headers(spark, sf_dir):
+    """The cells view under headers that no rule recognises for st_0 and
+    st_2, and an answer per statement that names its columns (st_2's answer
+    names no such column)."""
+    c = fx.cells_v(spark, sf_dir)
+    sid = F.col("statement_id")
+    hidden = F.transform("headers", lambda x, i: F.concat(F.lit("zq"), i.cast("string")))
+    rows = c.withColumn("headers", F.when(sid.isin("st_0", "st_2"), hidden).otherwise(F.col("headers")))
+    told = c.select("statement_id").distinct().select("statement_id", F.when(sid == "st_0", F.lit(
+        'Oui : {"date_column":"ZQ0","description_column":"zq1","amount_column":"zq 2"}')).otherwise(
+        F.lit('{"date_column":"wwwww","description_column":"kkkkk","amount_column":null}')).alias("answer"))
+    return rows, told
+
+
+@query("harmonise_suggested")
+def q_harmonise_suggested(spark, sf_dir):
+    """F24 -> F20 -> J8: unrecognised headers are read through a suggestion."""
+    rows, told = _odd_headers(spark, sf_dir)
+    return _tx_out(ST.load_statements(rows, suggestions=json_column_map(told)))
+
+
+@query("reconcile_rejects")
+def q_reconcile_rejects(spark, sf_dir):
+    """Rejects of a run: statements without any transaction and why; answers
+    listing transactions take the place of missing lines."""
+    from .reconcile import load_transactions
+    rows, told = _odd_headers(spark, sf_dir)
+    lines = fx.lines_v(spark, sf_dir)
+    blank = lines.select(F.concat(F.lit("blank_"), "statement_id").alias("statement_id"), "line_no", F.lit(" ").alias("line"))
+    grid = fx.grid_v(spark, sf_dir).select(F.concat(F.lit("bare_"), "statement_id").alias("statement_id"), "row_idx",
+                                           F.slice("cells", 1, 1).alias("cells"))
+    tx, rejects = load_transactions(rows, delimited_lines=blank, statement_lines=lines.withColumn(
+        "statement_id", F.concat(F.lit("l_"), "statement_id")), grids=grid, column_answers=told,
+        transaction_answers=tx_answers(spark, sf_dir))
+    counted = tx.groupBy("row_source").agg(F.count(F.lit(1)).alias("rows"))
+    return rejects.select("statement_id", "reason", F.lit(0).cast("long").alias("rows")).unionByName(
+        counted.select(F.concat(F.lit("from "), "row_source").alias("statement_id"), F.lit(None).cast("string").alias("reason"),
+                       "rows"))
+
+
+@query("match_repeated_names")
+def q_match_repeated_names(spark, sf_dir):
+    """J3 where three invoices share a file name, and one transaction lies
+    thousands of years ahead."""
+    inv = fx.inv_v(spark, sf_dir).withColumn("filename", F.concat(F.lit("inv_"), F.floor(F.col("k") / 3), F.lit(".pdf")))
+    txn = fx.txn_v(spark, sf_dir)
+    far = txn.agg(F.max("row_idx").alias("m")).select(
+        F.lit("far").alias("statement_id"), (F.col("m") + 1).alias("row_idx"), F.lit("9999-12-31").cast("date").alias("date"),
+        F.lit("FAR").alias("description"), F.lit("1.00").cast("decimal(18,2)").alias("amount"))
+    return match_output(match(inv, txn.unionByName(far), 0.02, 90))

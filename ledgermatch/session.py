@@ -44,18 +44,18 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for cutting lineage.
+def shared_root(spark: SparkSession) -> str | None:
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``,
+    as it stands there; None where it is unset."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
 
-    The cluster names it in ``spark.checkpoint.dir``; we only invent one when
-    the session has none (local runs and tests).
-    """
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's folder for cutting lineage; Spark makes a new one below
+    the shared root for each session. Only where no root is configured (local
+    runs and tests) a temporary one is set."""
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if configured:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir() or configured
-    local = tempfile.mkdtemp(prefix="ledgermatch-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(local)
-    return sc.getCheckpointDir() or local
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_root(spark) or tempfile.mkdtemp(
+            prefix="ledgermatch-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
+    return sc.getCheckpointDir()

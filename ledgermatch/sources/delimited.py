@@ -2,69 +2,110 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import ktrim
-from .tables import spread
 
 # Separators tried in this order; the first that splits the
 # header line into more than one field wins.
 SEPARATORS = [",", ";", "\t", "|"]
 _REGEX_SEP = {",": ",", ";": ";", "\t": "\\t", "|": "\\|"}
-# Split only where the separator is followed by an even number of quotes.
-_OUTSIDE_QUOTES = '(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# Stands for a separator inside quotes while a line is split; a noncharacter, never in text.
+_MARK = "\ufdd0"
 
 
 def split_fields(line, sep: str) -> Column:
-    """CSV fields of one line for a fixed separator: quote-aware, trimmed,
-    surrounding quotes removed and doubled quotes undone."""
+    """CSV fields of one record for a fixed separator: quote-aware, trimmed,
+    surrounding quotes removed and doubled quotes undone.
+
+    Every second piece between quotes is quoted text; its separators are
+    masked, then the record is split. Two plain splits, linear in the text."""
     c = F.col(line) if isinstance(line, str) else line
+    masked = F.transform(F.split(c, '"'), lambda p, i: F.when(i % 2 == 1, F.translate(p, sep, _MARK)).otherwise(p))
     # trim in one pass first, so the unquoting lambda only reads its argument
-    parts = F.transform(F.split(c, _REGEX_SEP[sep] + _OUTSIDE_QUOTES), ktrim)
+    parts = F.transform(F.split(F.array_join(masked, '"'), _REGEX_SEP[sep]), ktrim)
 
     def unquote(t):
         n = F.length(t)
         quoted = (n >= 2) & F.startswith(t, F.lit('"')) & F.endswith(t, F.lit('"'))
         inner = F.right(F.left(t, n - 1), n - 2)
-        return F.when(quoted, F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(t)
+        return F.translate(F.when(quoted, F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(t), _MARK, sep)
     return F.transform(parts, unquote)
 
 
 def read_statement_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text files -> (statement_id = file name, line_no, line); each file is
-    read whole so that line numbers are exact."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("statement_id"), F.col("value").alias("text"))
-    return files.select("statement_id", F.posexplode(F.split(F.regexp_replace("text", "\r", ""), "\n"))
-                        .alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
+    """Text files -> (statement_id = full path, file_name, line_no, line).
+
+    Files are read in splits. ``line_no`` is the split's first byte plus the
+    line's place in the split: unique and ascending in a file, since a line
+    takes at least one byte."""
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("statement_id"), F.col("_metadata.file_name").alias("file_name"),
+        F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_seq"),
+        F.regexp_replace("value", "\r", "").alias("line"))
+    split = Window.partitionBy("statement_id", "_at").orderBy("_seq")  # at most one split's lines
+    return raw.withColumn("line_no", F.col("_at") + F.row_number().over(split) - 1) \
+        .select("statement_id", "file_name", "line_no", "line")
+
+
+def join_quoted_lines(lines: DataFrame) -> DataFrame:
+    """Lines of one record (a line break stands inside quotes) as one line,
+    under the number of the first.
+
+    Only statements with a line of an odd number of quotes take part; the
+    quotes before each of their lines are counted by a running sum, which
+    sorts a statement's lines with spilling and holds none of them. All
+    other lines pass by without a shuffle."""
+    q = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    counted = lines.select("statement_id", "line_no", "line", F.coalesce(q, F.lit(0)).alias("_q"))
+    odd = counted.where(F.col("_q") % 2 == 1).select("statement_id").distinct()
+    plain = lines.select("statement_id", "line_no", "line").join(odd, "statement_id", "left_anti")
+    own = Window.partitionBy("statement_id").orderBy("line_no")
+    before = F.coalesce(F.sum("_q").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    part = counted.join(odd, "statement_id", "left_semi") \
+        .withColumn("_first", F.when(before % 2 == 0, F.col("line_no"))) \
+        .withColumn("_record", F.max("_first").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = part.groupBy("statement_id", "_record").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("line"))
+    return plain.unionByName(joined.select("statement_id", F.col("_record").alias("line_no"), "line"))
+
+
+def _not_blank(line: str = "line") -> Column:
+    return F.coalesce(ktrim(F.col(line)), F.lit("")) != ""
 
 
 def sniff_separator(lines: DataFrame) -> DataFrame:
-    """Per statement: header line number and chosen separator (NULL when no
-    separator gives more than one field)."""
-    nonblank = lines.where(F.coalesce(ktrim(F.col("line")), F.lit("")) != "")
-    first = nonblank.groupBy("statement_id").agg(F.min_by("line", "line_no").alias("header_line"),
-                                                 F.min("line_no").alias("header_no"))
-    choice = None
+    """Per statement: the number of its header (the first line that is not
+    blank), the separator that line shows (NULL when none gives more than one
+    field) and its cells."""
+    first = lines.where(_not_blank()).groupBy("statement_id").agg(F.min("line_no").alias("line_no"))
+    sep = cells = None
     for s in SEPARATORS:
-        hit = F.size(split_fields(F.col("header_line"), s)) > 1
-        choice = F.when(hit, F.lit(s)) if choice is None else choice.when(hit, F.lit(s))
-    return first.select("statement_id", "header_no", choice.alias("sep"))
+        fields = split_fields(F.col("line"), s)
+        hit = F.size(fields) > 1
+        sep = F.when(hit, F.lit(s)) if sep is None else sep.when(hit, F.lit(s))
+        cells = F.when(hit, fields) if cells is None else cells.when(hit, fields)
+    return lines.select("statement_id", "line_no", "line").join(first, on=["statement_id", "line_no"], how="inner") \
+        .select("statement_id", F.col("line_no").alias("header_no"), sep.alias("sep"), cells.alias("headers"))
 
 
 def delimited_to_rows(lines: DataFrame) -> DataFrame:
     """Statement text lines -> statement_rows (statement_id, row_idx,
     headers, cells). Blank lines are skipped; statements with no usable
-    separator yield nothing."""
-    lines = spread(lines.select("statement_id", "line_no", "line"))
-    sniff = sniff_separator(lines).where(F.col("sep").isNotNull())
-    j = lines.join(sniff, on="statement_id", how="inner") \
-        .where((F.col("line_no") >= F.col("header_no")) & (F.coalesce(ktrim(F.col("line")), F.lit("")) != ""))
+    separator yield nothing here and a row of ``delimited_rejects``."""
+    usable = sniff_separator(lines).where(F.col("sep").isNotNull())
+    data = join_quoted_lines(lines).where(_not_blank()).join(usable, on="statement_id", how="inner") \
+        .where(F.col("line_no") > F.col("header_no"))
     cells = None
     for s in SEPARATORS:
-        expr = split_fields(F.col("line"), s)
-        cells = F.when(F.col("sep") == s, expr) if cells is None else cells.when(F.col("sep") == s, expr)
-    j = j.withColumn("cells", cells)
-    header = j.where(F.col("line_no") == F.col("header_no")).select("statement_id", F.col("cells").alias("headers"))
-    data = j.where(F.col("line_no") > F.col("header_no")).select("statement_id", F.col("line_no").alias("row_idx"), "cells")
-    return data.join(header, on="statement_id", how="inner").select("statement_id", "row_idx", "headers", "cells")
+        fields = split_fields(F.col("line"), s)
+        cells = F.when(F.col("sep") == s, fields) if cells is None else cells.when(F.col("sep") == s, fields)
+    return data.select("statement_id", F.col("line_no").alias("row_idx"), "headers", cells.alias("cells"))
+
+
+def delimited_rejects(lines: DataFrame) -> DataFrame:
+    """Statements that can't be read: statement_id, reason (only blank lines,
+    or no separator that splits the header)."""
+    readable = sniff_separator(lines).where(F.col("sep").isNotNull()).select("statement_id")
+    return lines.select("statement_id").distinct().join(readable, on="statement_id", how="left_anti") \
+        .select("statement_id", F.lit("no separator").alias("reason"))

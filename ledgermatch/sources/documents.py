@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: (filename, text). Byte decoding of PDFs is not part
-    of the library; feed extracted text files or any table with a text
-    column."""
+    """One row per file: (path, filename, text); ``path`` tells files of one
+    name apart. Byte decoding of PDFs is not part of the library; feed
+    extracted text files or any table with a text column. A document is one
+    row: sections are split in its whole text."""
     return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("filename"), F.col("value").alias("text"))
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("filename"),
+        F.col("value").alias("text"))
 
 
 def concat_pages(pages: DataFrame, doc_col: str, page_col: str, text_col: str = "text",

@@ -4,23 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.amounts import parse_amount
+from ..functions.amounts import GROUPED, parse_amount
 from ..functions.dates import parse_date
 from ..functions.text import ktrim
 from ..operators.once import evaluate_once
-from .tables import spread
 
-# Fixed value: a statement line starts with a numeric date.
-LINE_START = r"^(\d{1,2}[\-/]\d{1,2}[\-/]\d{2,4})\s+(.*)"
-# The amount ends the line, follows whitespace and is well grouped, so digits
-# that end the description (INV-123) are not taken for it.
-LINE_AMOUNT = r"(?:^|\s)([+-]?\s?(?:\d{1,3}(?:[ .]\d{3})+|\d+)(?:[.,]\d{1,2})?)$"
-# Both in one pattern over the untrimmed line: date, description (the
-# shortest prefix, possibly none, after which an amount ends the line),
-# amount.
-_AMT = r"([+-]?\s?(?:\d{1,3}(?:[ .]\d{3})+|\d+)(?:[.,]\d{1,2})?)"
-LINE_PATTERN = (r"^[\s\p{Z}]*(\d{1,2}[\-/]\d{1,2}[\-/]\d{2,4})\s+(?:(.*?)\s)??" + _AMT
-                + r"[\s\p{Z}]*$")
+# Fixed value: a statement line starts with a numeric date. One pattern over
+# the untrimmed line: date, description (the shortest prefix, possibly none,
+# after which an amount ends the line, so digits that end the description are
+# not taken for it), amount in the grammar of ``functions.amounts``.
+LINE_PATTERN = (r"^[\s\p{Z}]*+(\d{1,2}[\-/]\d{1,2}[\-/]\d{2,4})[\s\p{Z}]++(?:(.*?)[\s\p{Z}])??([+-]?[\s\p{Z}]?" + GROUPED
+                + r"(?:[.,]\d{1,2})?)[\s\p{Z}]*+$")
+# Separates the three parts for one split; a noncharacter, never in text.
+_MARK = "\ufdd0"
 
 
 def parse_statement_lines(lines: DataFrame, line_col: str = "line", id_col: str = "statement_id",
@@ -28,11 +24,11 @@ def parse_statement_lines(lines: DataFrame, line_col: str = "line", id_col: str
     """Trimmed non-blank lines that start with a date and end with an amount
     -> (statement_id, row_idx, date, description, amount); other lines are
     skipped."""
-    # one regex pass: a matching line becomes "date<US>description<US>amount"
-    sep = "\u001f"
+    # one regex pass: a matching line becomes "date<mark>description<mark>amount"
+    sep = _MARK
     parts = F.split(F.regexp_replace(F.col(line_col), LINE_PATTERN, f"$1{sep}$2{sep}$3"), sep)
-    base = evaluate_once(spread(lines.select(F.col(id_col).alias("statement_id"),
-                                             F.col(no_col).cast("long").alias("row_idx"), line_col)),
+    base = evaluate_once(lines.select(F.col(id_col).alias("statement_id"),
+                                      F.col(no_col).cast("long").alias("row_idx"), line_col),
                          {"_parts": F.when(F.size(parts) == 3, parts)})
     parsed = evaluate_once(base, {
         "date": parse_date(F.col("_parts")[0]),

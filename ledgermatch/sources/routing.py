@@ -22,11 +22,14 @@ def route_by_extension(files: DataFrame, name_col: str = "filename") -> DataFram
 
 
 def union_sources(grid_tx: DataFrame, line_tx: DataFrame) -> DataFrame:
-    """Grid transactions plus line transactions of the statements that
-    have no grid transaction; ``row_source`` tells which."""
+    """Grid transactions plus the line transactions that no grid row of
+    the same statement repeats (date, amount and description without blanks
+    and case); ``row_source`` tells which."""
     cols = ["statement_id", "row_idx", "date", "description", "amount"]
+    bare = F.lower(F.regexp_replace("description", r"[\s\p{Z}]+", ""))
     g = grid_tx.select(*cols).withColumn("row_source", F.lit("grid"))
-    with_grid = g.select("statement_id").distinct()
-    l = line_tx.select(*cols).join(with_grid, on="statement_id", how="left_anti") \
-        .withColumn("row_source", F.lit("lines"))
-    return g.unionByName(l)
+    seen = g.select("statement_id", "date", "amount", bare.alias("_bare")).distinct()
+    lines = line_tx.select(*cols).withColumn("_bare", bare) \
+        .join(seen, on=["statement_id", "date", "amount", "_bare"], how="left_anti") \
+        .select(*cols).withColumn("row_source", F.lit("lines"))
+    return g.unionByName(lines)

@@ -1,34 +1,11 @@
-"""Table reading with enough parallelism for CPU-heavy row work."""
+"""Table reading. Partitioning is the reader's and the caller's choice: no operator repartitions its inputs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over at least ``min_partitions`` partitions (default:
-    the cluster's default parallelism) when it has fewer.
-
-    Parsing, scoring and extraction are CPU work per row; an input of one
-    large row group would otherwise run in a single task until the first
-    shuffle. Inputs that already have enough splits (the normal case on a
-    cluster) are returned unchanged, so no shuffle is added there.
-    """
-    if df.isStreaming:
-        return df  # a stream's partitioning is set by its source
-    qe = df._jdf.queryExecution()
-    plan = qe.executedPlan().toString()  # planned, not executed
-    if "Exchange" in plan or "Subquery" in plan or "AdaptiveSparkPlan" in plan:
-        # already shuffled upstream (post-shuffle partitions are plenty), and
-        # asking an adaptive plan for its partitions would run its stages
-        return df
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if qe.toRdd().getNumPartitions() >= want:  # scan-only plan: no job runs
-        return df
-    # hash of all columns: deterministic on retry without the local sort
-    # that a round-robin repartition performs first
-    return df.repartition(want, *[F.col(c) for c in df.columns])
-
-
-def read_table(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
-    return spread(spark.read.parquet(path), min_partitions)
+def read_table(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """A Parquet table; ``partitions`` deals its rows out anew, for files of few and large row groups."""
+    df = spark.read.parquet(path)
+    return df if partitions is None else df.repartition(partitions)

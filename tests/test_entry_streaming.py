@@ -23,3 +23,16 @@ def test_stream_extraction(spark):
     q.stop()
     got = {(r.filename, r.invoice_number) for r in spark.sql("SELECT * FROM lm_stream_test").collect()}
     assert got == {("a.txt#1", "INV-1"), ("a.txt#2", "INV-2")}
+
+
+def test_stream_needs_a_lasting_folder(spark, monkeypatch):
+    import pytest
+    from ledgermatch.streaming import extract_stream
+    s = extract_invoice_stream(spark, tempfile.mkdtemp(prefix="lm-stream-"))
+    monkeypatch.setattr(extract_stream, "shared_root", lambda _: None)
+    with pytest.raises(ValueError):
+        extract_stream.start_invoice_stream(s, tempfile.mkdtemp())
+    root = tempfile.mkdtemp()
+    monkeypatch.setattr(extract_stream, "shared_root", lambda _: root)
+    extract_stream.start_invoice_stream(s, tempfile.mkdtemp(), "a").stop()
+    assert os.listdir(root) == ["stream-a"]

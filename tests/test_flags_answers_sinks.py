@@ -66,3 +66,19 @@ def test_xml(spark):
     write_invoices_xml(inv, out)
     text = "".join(open(p).read() for p in glob.glob(out + "/part-*"))
     assert "<invoices>" in text and "<total_amount>12.50</total_amount>" in text and "a&amp;b.pdf" in text
+
+
+def test_numbers_depth_and_repeats_of_answers(spark):
+    a = spark.createDataFrame([("a", '{"x": {"invoice_number": "N\\"1", "total_amount": 10000000.0}}'), ("b", '{"total_amount": 0.125}'),
+                               ("c", '{"total_amount": 1.0E7, "invoice_number": {"v": 1}}'), ("a", '{"currency": "usd"}')],
+                              "filename string, answer string")
+    p = json_invoice_fields(a)
+    got = sorted((r.filename, r.llm_invoice_number, str(r.llm_total_amount)) for r in p.where("llm_total_amount is not null").collect())
+    assert got == [("a", 'N"1', "10000000.00"), ("b", None, "0.13"), ("c", None, "10000000.00")]
+    inv = spark.createDataFrame([("a", "H1", D(2024, 1, 1), Decimal("1.00"), "EUR")],
+                                "filename string, invoice_number string, invoice_date date, total_amount decimal(18,2), currency string")
+    rows = overlay(inv, p).collect()
+    assert len(rows) == 1 and rows[0].invoice_number == 'N"1'
+    t = spark.createDataFrame([("s", '{"transactions": [{"date": "2024-01-05", "description": "A", "amount": 10000000.0}]}')],
+                              "statement_id string, answer string")
+    assert [r.amount for r in json_transactions(t).collect()] == [Decimal("10000000.00")]

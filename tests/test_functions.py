@@ -71,3 +71,42 @@ def test_similarity_helpers():
     assert partial_ratio_py("paiement inv-123", "inv-123") == 100.0
     assert 0 < partial_ratio_py("inv-124", "paiement inv-123") < 100
     assert partial_ratio_py("", "abc") == 0.0
+
+
+def test_plain_numbers_are_numbers(spark):
+    cases = {"0.125": Decimal("0.13"), "12.345": Decimal("12.35"), "1.0E7": Decimal("10000000.00"), "10000000.0": Decimal("10000000.00"),
+             "12345678.9": Decimal("12345678.90"), "-2.5e-1": Decimal("-0.25"), "1.234,56": Decimal("1234.56"),
+             "Total 12.345 EUR": Decimal("12345.00"), "1.234.567": Decimal("1234567.00")}
+    assert one_col(spark, list(cases), parse_amount) == list(cases.values())
+
+
+def test_more_date_forms(spark):
+    cases = {"15-Jan-2024": dt.date(2024, 1, 15), "2024-01-05T10:00:00": dt.date(2024, 1, 5), "20240105": dt.date(2024, 1, 5),
+             "2024-01-05T10:00:00.5Z": dt.date(2024, 1, 5), "15 janv. 24": dt.date(2024, 1, 15), "20241305": None, "123456789": None}
+    assert one_col(spark, list(cases), parse_date) == list(cases.values())
+
+
+def test_blank_runs_stay_linear(spark):
+    import time
+    from ledgermatch.functions import invoice_fields as IF
+    from ledgermatch.functions.text import ktrim
+    gap = " " * 100_000
+    df = spark.createDataFrame([("a" + gap + "b",), ("facture" + gap + "!",), ("date" + gap + "x",), (gap + "7,00",)], "t string")
+    start = time.time()
+    rows = df.select(ktrim("t").alias("a"), IF.find_invoice_number("t").alias("b"), IF.find_invoice_date("t").alias("c"),
+                     parse_amount("t").alias("d"), IF.text_max_amount("t").alias("e")).collect()
+    assert time.time() - start < 30
+    assert len(rows[0].a) == 100_002 and rows[3].d == Decimal("7.00") and rows[3].a == "7,00"
+
+
+def test_partial_ratio_below_100():
+    assert round(partial_ratio_py("abcd", "xxabzdyy"), 4) == 75.0
+    assert round(partial_ratio_py("inv-123", "paiement inv-124"), 4) == 85.7143
+    assert partial_ratio_py("ab", "cd") == 0.0 and round(partial_ratio_py("abc", "bc"), 4) == 100.0
+    assert round(partial_ratio_py("this is", "that was it"), 4) == round(partial_ratio_py("that was it", "this is"), 4)
+
+
+def test_partial_ratio_column(spark):
+    from ledgermatch.functions.similarity import partial_ratio
+    df = spark.createDataFrame([("INV-1", "x inv-1 y"), ("abcd", "xxabzdyy"), (None, "a"), ("a", None), ("", "a")], "a string, b string")
+    assert [r[0] for r in df.select(partial_ratio("a", "b")).collect()] == [100.0, 75.0, 0.0, 0.0, 0.0]
