@@ -264,7 +264,8 @@ bj AS (SELECT b.*, j.jw_idx FROM best b JOIN jwr j USING (layout, field))"""
 # numbers; similarities are compared on headers without them.
 ORACLE["header_best_match"] = f"""{COLUMN_RULES.replace(" || CASE WHEN idx = 0 AND k % 7 = 0 THEN ' ' || (k % 101) ELSE '' END", "")}
 SELECT layout, field, CAST(exact_idx AS INTEGER) AS exact_idx, CAST(contains_idx AS INTEGER) AS contains_idx,
-       CAST(jw_idx AS INTEGER) AS jw_idx, round(jw_best, 6) AS jw_best FROM bj"""
+       CAST(CASE WHEN jw_best >= 0.85 THEN jw_idx END AS INTEGER) AS jw_idx,
+       CASE WHEN jw_best >= 0.85 THEN round(jw_best, 6) END AS jw_best FROM bj"""
 
 ORACLE["detect_columns"] = f"""{COLUMN_RULES},
 ch AS (SELECT layout, field, coalesce(exact_idx, contains_idx, CASE WHEN jw_best >= 0.85 THEN jw_idx END) AS c FROM bj),

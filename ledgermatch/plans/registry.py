@@ -430,10 +430,12 @@ def _tx_out(df):
 
 @query("header_best_match")
 def q_header_best_match(spark, sf_dir):
-    """A5 + F18: per layout and field, exact / containing / most similar header."""
+    """A5 + F18: per layout and field, exact / containing / most similar header
+    (the last where its similarity counts, from 0.85 on)."""
     b = header_best_match(_layouts(spark, sf_dir, numbered=False))
     return b.select(F.array_join("headers", "|").alias("layout"), "field", "exact_idx", "contains_idx",
-                    "jw_idx", r6("jw_best").alias("jw_best"))
+                    F.when(F.col("jw_best") >= 0.85, F.col("jw_idx")).alias("jw_idx"),
+                    F.when(F.col("jw_best") >= 0.85, r6("jw_best")).alias("jw_best"))
 
 
 @query("detect_columns")
