@@ -2,13 +2,14 @@
 the flagship scans read only the columns they use."""
 
 import __spark_entry__ as E
+from ledgermatch.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_no_nested_loop_or_cartesian_anywhere(spark):
     bad = {}
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
         if "NestedLoopJoin" in plan or "CartesianProduct" in plan:
             bad[name] = plan[:500]
