@@ -107,3 +107,23 @@ def op1_jaccard_join(spark, sf_dir):
     """Class and number of links of every document at 5-word Jaccard similarity 0.8."""
     from .jaccard_join import jaccard_join
     return jaccard_join(spark, table(spark, sf_dir, "documents"))
+
+
+_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE["op2_decontaminate"] = f"""WITH dw AS (SELECT doc_id, regexp_extract_all({_LOW}, {_WORD}) AS w FROM documents),
+iw AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all({_LOW}, {_WORD}) AS w FROM benchmark),
+iv AS (SELECT item, least(13, len(w)) AS n, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS pos FROM iw WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, n, array_to_string(list_slice(w, pos, pos + n - 1), ' ') AS t FROM iv),
+sizes AS (SELECT DISTINCT n FROM win),
+dv AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS pos FROM dw, sizes WHERE len(w) >= n),
+dt AS (SELECT doc_id, n, pos, array_to_string(list_slice(w, pos, pos + n - 1), ' ') AS t FROM dv),
+hits AS (SELECT dt.doc_id, dt.n, dt.pos, win.item FROM dt JOIN win ON win.n = dt.n AND win.t = dt.t),
+hw AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS p FROM hits) GROUP BY doc_id),
+hi AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+       FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(hw.n_hit, 0) AS n_hit, coalesce(hi.n_items, 0) AS n_items,
+       sha256(coalesce(hi.items, '')) AS items_sha256,
+       coalesce(hw.n_hit, 0) > 0 AND 20 * coalesce(hw.n_hit, 0) >= len(d.w) AS contaminated
+FROM dw d LEFT JOIN hw ON hw.doc_id = d.doc_id LEFT JOIN hi ON hi.doc_id = d.doc_id"""
