@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Each round is a few aggregations and joins over the edges and is written below spark.checkpoint.dir, so lineage stays
-short and nothing but a row count and a checksum reaches the driver.
+short and nothing but a row count and a checksum reaches the driver. So are the minima that a step joins back: both
+sides of that join are then plain exchanges, which adaptive execution splits where one node holds most edges.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     mark = _checksum(now)
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        low = _written(spark, both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = _written(spark, large)  # every edge points from the larger to the smaller end
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = _written(spark, large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")) \
             .union(low.select("a", F.col("m").alias("b"))).distinct()
         now = _written(spark, small)
