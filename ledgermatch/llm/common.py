@@ -7,11 +7,12 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
-#: Texts are worked on in runs of at most this many characters (or one text), which bounds a task's Python memory.
+#: Texts are worked on in runs of at most this many bytes (or one text), which bounds a task's Python memory.
 SLICE_CHARS = 2_000_000
 
 #: Bytes that separate words of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` become blanks, A-Z become a-z; UTF-8 bytes above 0x7F stay.
@@ -62,17 +63,50 @@ class Shipped:
         return box["obj"]
 
 
-def slices(texts: Sequence[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Index ranges whose texts sum to at most ``limit`` characters (or hold a single text)."""
+class Memo(dict):
+    """Results of ``make`` for short keys that come again; ``map(memo.__getitem__, keys)`` makes what is missing.
+
+    A key is kept when it comes a second time, so that the many keys that come once do not drive out the frequent ones.
+    Bounded: at most ``limit`` kept and three quarters as many fresh keys; what is full starts anew.
+    """
+
+    def __init__(self, make: Callable, limit: int):
+        super().__init__()
+        self.make, self.limit = make, limit
+        self.fresh: dict = {}
+
+    def __missing__(self, key):
+        got = self.fresh.get(key)
+        if got is None:
+            got = self.make(key)
+            if len(key) <= 64:
+                if len(self.fresh) >= self.limit * 3 // 4:
+                    self.fresh.clear()
+                self.fresh[key] = got
+            return got
+        if len(self) >= self.limit:
+            self.clear()
+        self[key] = got
+        return got
+
+
+def slices(lengths: Sequence[int], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Index ranges whose lengths sum to at most ``limit`` (or hold a single item)."""
     start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
+    for i, n in enumerate(lengths):
         if i > start and size + n > limit:
             yield start, i
             start, size = i, 0
         size += n
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(lengths):
+        yield start, len(lengths)
+
+
+def text_runs(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list]]:
+    """Runs of a batch's rows with their texts, so that few texts at a time are Python objects."""
+    texts = batch.column(column)
+    for a, b in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        yield a, b, texts.slice(a, b - a).to_pylist()
 
 
 def append_columns(df: DataFrame, fn: Callable[[list], list[pa.Array]], fields: Sequence[StructField],
@@ -89,9 +123,8 @@ def append_columns(df: DataFrame, fn: Callable[[list], list[pa.Array]], fields:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(len(kept)).to_pylist()
-            for a, b in slices(texts):
+            for a, b, texts in text_runs(batch, len(kept)):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays(part.columns[:-1] + fn(texts[a:b]), names=schema.names)
+                yield pa.RecordBatch.from_arrays(part.columns[:-1] + fn(texts), names=schema.names)
 
     return source.mapInArrow(run, schema)

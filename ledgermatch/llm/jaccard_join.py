@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import folded_words, shared_path, slices
+from .common import folded_words, shared_path, text_runs
 from .components import components
 
 WORDS = 5
@@ -342,10 +342,9 @@ def links(spark: SparkSession, groups: DataFrame, docs: DataFrame, threshold: fl
     def remake(batches):
         memo = WordHashes()
         for batch in batches:
-            all_texts = batch.column(len(fields)).to_pylist()
-            for s, e in slices(all_texts):
+            for s, e, some in text_runs(batch, len(fields)):
                 keys = batch.column(4).slice(s, e - s).to_pylist()
-                sets = [shingles(t, memo) for t in all_texts[s:e]]
+                sets = [shingles(t, memo) for t in some]
                 keep = [k for k, (own, key) in enumerate(zip(sets, keys)) if xxhash.xxh3_128_digest(own.tobytes()) == key]
                 rows = pa.RecordBatch.from_arrays(batch.columns[:len(fields)], names=fields).slice(s, e - s) \
                     .take(pa.array(keep, pa.int64()))

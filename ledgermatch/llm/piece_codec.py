@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField
 
-from .common import Shipped, append_columns
+from .common import Memo, Shipped, append_columns
 
 MARK = "▁"  # stands for a blank inside pieces
-MEMO_LIMIT = 600_000  # cuts whose ids a worker keeps, in two generations
+MEMO_LIMIT = 400_000  # cuts whose ids a worker keeps, see Memo
 PAIR_LIMIT = 400_000  # pairs whose compatibility a worker keeps
 
 
@@ -85,8 +85,7 @@ class PieceCodec:
         self.lines = not any("\n" in p for p in self.pieces)
         self.runs = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.pairs: dict = {}
-        self.young: dict = {"": b""}
-        self.old: dict = {}
+        self.memo = Memo(self.encode_run, MEMO_LIMIT)
 
     # -- encoding
 
@@ -147,6 +146,8 @@ class PieceCodec:
 
     def encode_run(self, run: str) -> bytes:
         """Ids of one cut as little-endian 32-bit integers; unknown characters become bytes and merge with nothing."""
+        if not run:
+            return b""
         out = array("I")
         if self.known.issuperset(run):
             out.extend(self.backtrack(run))
@@ -169,25 +170,8 @@ class PieceCodec:
         """All ids with the begin and end ids, as little-endian 32-bit integers."""
         if not text:
             return array("I", (self.bos, self.eos)).tobytes()
-        runs = self.cut(text)
-        parts = list(map(self.young.get, runs))
-        if None in parts:
-            for k, part in enumerate(parts):
-                if part is None:
-                    parts[k] = self._miss(runs[k])
-        return array("I", (self.bos,)).tobytes() + b"".join(parts) + array("I", (self.eos,)).tobytes()
-
-    def _miss(self, run: str) -> bytes:
-        part = self.young.get(run)
-        if part is None:
-            part = self.old.get(run)
-            if part is None:
-                part = self.encode_run(run)
-            if len(run) <= 64:
-                if len(self.young) >= MEMO_LIMIT // 2:
-                    self.old, self.young = self.young, {"": b""}
-                self.young[run] = part
-        return part
+        runs = map(self.memo.__getitem__, self.cut(text))
+        return array("I", (self.bos,)).tobytes() + b"".join(runs) + array("I", (self.eos,)).tobytes()
 
     # -- decoding
 

@@ -25,83 +25,82 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import Shipped, slices
+from .common import Memo, Shipped, text_runs
 
 #: Unicode White_Space, as the library's pre-tokenizer sees it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-MEMO_LIMIT = 800_000
+#: White space other than blanks and line breaks, and both of these side by side.
+RARE = "\0\t\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+TWICE = ("  ", "\n\n", " \n", "\n ")
+PLAIN = re.compile(r"(\n)?( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+MEMO_LIMIT = 400_000  # cuts that a worker keeps, see Memo
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 128 << 10
 
 
 class CutEncoder:
-    """Byte-level BPE ids by cuts; pickles as the tokenizer file's text."""
+    """Byte-level BPE ids by cuts. Pickles as the tokenizer file's text."""
 
     def __init__(self, spec: str):
         import json
-        self.spec = spec
+
         from tokenizers import Tokenizer
+        self.spec = spec
         self.tokenizer = Tokenizer.from_str(spec)
+        self.model = self.tokenizer.model
         known = json.loads(spec)
         pre = known.get("pre_tokenizer") or {}
         #: whether the file's rules cut before white space: the byte-level pattern and no normaliser before it
         self.cuts = not known.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) \
             and not pre.get("add_prefix_space") and not known.get("truncation") and not known.get("padding")
         self.special = [t["content"] for t in known.get("added_tokens", [])]
-        self.odd = re.compile("[\0\t\v\f\r" + SPACE[len("\\t-\\r "):] + "]|[ \n][ \n]|^[ \n]|[ \n]$")
         self.runs = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-        self.young: dict = {}
-        self.old: dict = {}
-
-    def __getstate__(self):
-        return {"spec": self.spec}
+        self.memo, self.marks = Memo(self.cut_ids, MEMO_LIMIT), {}
+        #: the letters that stand for bytes in the vocabulary
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: chr(256 + n) for n, b in enumerate(hidden)}
 
-    def __setstate__(self, state):
-        self.__init__(state["spec"])
+    def __reduce__(self):
+        return CutEncoder, (self.spec,)
 
     def cut(self, text: str) -> list[str]:
         """Cuts that tokenise alone as they do in the text."""
-        if self.odd.search(text):
+        if any(c in text for c in RARE) or any(c in text for c in TWICE) or text[0] in " \n" or text[-1] in " \n":
             return self.runs.findall(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")  # single blanks and line breaks only
 
-    def ids(self, cuts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(cuts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        rows, missing = [], {}
-        for t in texts:
-            if not t:
-                rows.append((None, []))
-            elif not self.cuts or any(s in t for s in self.special):
-                rows.append((t, None))
-            else:
-                cuts = self.cut(t)
-                parts = list(map(self.young.get, cuts))
-                if None in parts:
-                    for k, p in enumerate(parts):
-                        if p is None:
-                            p = self.old.get(cuts[k])
-                            if p is None:
-                                missing[cuts[k]] = None
-                            parts[k] = p if p is not None else cuts[k]
-                rows.append((None, parts))
-        if missing:
-            asked = list(missing)
-            for at in range(0, len(asked), 20_000):
-                missing.update(zip(asked[at:at + 20_000], self.ids(asked[at:at + 20_000])))
-        out = []
-        for t, parts in rows:
-            if t is not None:
-                out.append(self.ids([t])[0])
-            else:
-                out.append(b"".join([missing[p] if p.__class__ is str else p for p in parts]) if missing
-                           else b"".join(parts))
-        if len(self.young) + len(missing) > MEMO_LIMIT // 2:
-            self.old, self.young = self.young, {}
-        self.young.update((c, p) for c, p in missing.items() if len(c) <= 64)
-        return out
+    def cut_ids(self, cut: str) -> bytes:
+        """Ids of one cut as little-endian 32-bit integers."""
+        plain = PLAIN.fullmatch(cut)
+        if plain is None:
+            return self.ids(cut)
+        line, word, marks = plain.groups()  # pre-tokens that need no general pattern: a line break, a word, marks
+        if line or marks:  # the word alone is often known
+            return (self.part(line) if line else b"") + self.memo[word] + (self.part(marks) if marks else b"")
+        return self.part(word)
+
+    def part(self, text: str) -> bytes:
+        """Ids of one pre-token, by the library's merge model; a few thousand short runs of marks are kept."""
+        got = self.marks.get(text)
+        if got is None:
+            shown = text.replace(" ", "\u0120").replace("\n", "\u010a") if text.isascii() else \
+                text.encode().decode("latin-1").translate(self.letters)
+            got = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            if not text[-1].isalpha() and len(text) <= 4 and len(self.marks) < 4000:
+                self.marks[text] = got
+        return got
+
+    def ids(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a whole text as little-endian 32-bit integers."""
+        if not text:
+            return b""
+        if not self.cuts or any(s in text for s in self.special):
+            return self.ids(text)
+        return b"".join(map(self.memo.__getitem__, self.cut(text)))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, path: str, end_id: int | None = None,
@@ -121,9 +120,8 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, path
     def run(batches):
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                rows = [ids + tail for ids in shipped.get().encode(texts[a:b])]
+            for a, b, texts in text_runs(batch, 1):
+                rows = [ids + tail for ids in map(shipped.get().encode, texts)]
                 sizes = [len(r) // 4 for r in rows]
                 ends = [0]
                 for n in sizes:
