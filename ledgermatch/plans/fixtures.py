@@ -102,6 +102,20 @@ LAYOUTS = {
 }
 
 
+def _headers(sid) -> F.Column:
+    out = F.array(*map(F.lit, LAYOUTS["st_3"]))
+    for name in ("st_2", "st_1", "st_0"):
+        out = F.when(sid == name, F.array(*map(F.lit, LAYOUTS[name]))).otherwise(out)
+    return out
+
+
+def heads_v(spark, sf_dir) -> DataFrame:
+    """The statements of ``cells_v`` and their headers."""
+    found = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("st_"), F.col("o_custkey") % 4).alias("statement_id")).distinct()
+    return found.withColumn("headers", _headers(F.col("statement_id")))
+
+
 def cells_v(spark, sf_dir) -> DataFrame:
     t = _txn_base(spark, sf_dir)
     amount = _amount(F.col("cents"))
@@ -113,17 +127,13 @@ def cells_v(spark, sf_dir) -> DataFrame:
     iso = F.date_format("date", "yyyy-MM-dd")
     sid = F.col("statement_id")
     split = F.col("row_idx") % 5 == 0  # rows of st_2 that fill debit or credit instead of the amount
-    headers = F.when(sid == "st_0", F.array(*map(F.lit, LAYOUTS["st_0"]))) \
-        .when(sid == "st_1", F.array(*map(F.lit, LAYOUTS["st_1"]))) \
-        .when(sid == "st_2", F.array(*map(F.lit, LAYOUTS["st_2"]))) \
-        .otherwise(F.array(*map(F.lit, LAYOUTS["st_3"])))
     cells = F.when(sid == "st_0", F.array(dmy, F.col("description"), fr)) \
         .when(sid == "st_1", F.array(iso, F.col("description"), debit, credit)) \
         .when(sid == "st_2", F.array(dmy, F.col("description"), F.when(split, F.lit("")).otherwise(format_en_amount(amount)),
                                      F.when(split, debit).otherwise(F.lit("")), F.when(split, credit).otherwise(F.lit("")),
                                      F.lit("0,00"))) \
         .otherwise(F.array(iso, F.col("description"), debit, credit))
-    return t.select("statement_id", "row_idx", headers.alias("headers"), cells.alias("cells"))
+    return t.select("statement_id", "row_idx", _headers(sid).alias("headers"), cells.alias("cells"))
 
 
 def grid_v(spark, sf_dir) -> DataFrame:
@@ -132,7 +142,7 @@ def grid_v(spark, sf_dir) -> DataFrame:
     key order (positions increase; gaps are allowed)."""
     c = cells_v(spark, sf_dir)
     data = c.select("statement_id", (F.col("row_idx") + 11).cast("long").alias("row_idx"), "cells")
-    heads = c.select("statement_id", "headers").distinct().withColumn(
+    heads = heads_v(spark, sf_dir).withColumn(
         "at", F.substring("statement_id", 4, 1).cast("long") * 3 + 1)
     title = heads.select("statement_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("at") - 1)).alias("row_idx"),
                          F.array(F.concat(F.lit("RELEVE "), F.col("statement_id")), F.lit(""), F.lit("")).alias("cells"))

@@ -541,10 +541,9 @@ def delimited_lines(spark, sf_dir):
                      .otherwise(F.col("cells")).alias("cells"))
     data = whole.select("statement_id", "line_no", F.posexplode(F.split(render(F.col("cells")), "\n")).alias("_p", "line")) \
         .select("statement_id", (F.col("line_no") + F.col("_p")).alias("line_no"), "line")
-    heads = c.select("statement_id", "headers").distinct()
-    header = heads.select("statement_id", F.lit(1).cast("long").alias("line_no"), render(F.col("headers")).alias("line"))
-    blank = heads.select("statement_id", F.lit(0).cast("long").alias("line_no"), F.lit("").alias("line"))
-    return blank.unionByName(header).unionByName(data)
+    top = fx.heads_v(spark, sf_dir).select("statement_id", F.posexplode(F.array(F.lit(""), render(F.col("headers"))))
+                                           .alias("line_no", "line"))
+    return top.withColumn("line_no", F.col("line_no").cast("long")).unionByName(data)
 
 
 @query("src_csv_sniff")
