@@ -108,9 +108,11 @@ def fit(train: DataFrame, most: int = MAX_PER_LANGUAGE) -> LanguageFilters:
     train = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     prior = {r["lang"]: r["count"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang")
              .limit(MAX_LANGUAGES).collect()}
-    few = train.where(F.col("lang").isin(list(prior))).select("lang", "text", "doc_id") if prior else train.limit(0)
-    few = few.withColumn("__n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))) \
-        .where(F.col("__n") <= most).select("lang", "text")
+    known = train.where(F.col("lang").isin(list(prior))) if prior else train.limit(0)
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")  # on ids alone; texts are joined to few rows
+    ids = known.select("lang", "doc_id").withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= most) \
+        .select("lang", "doc_id").distinct()
+    few = known.select("lang", "doc_id", "text").join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", "text")
 
     def run(batches):  # counts of packed grams, one row per language, gram and batch
         for batch in batches:
