@@ -13,14 +13,13 @@ nothing, an empty documents table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import Shipped, append_columns, folded_words, shared_path
 
@@ -169,7 +168,6 @@ def _merge(df: DataFrame) -> DataFrame:
                                              pa.array([sorted({*x, *y}) for x, y in zip(c, d)], pa.list_(pa.string()))],
                 names=[f.name for f in out])
 
-    from pyspark.sql.types import StructType
     return df.select(*kept, _SPANS, "__s", _ITEMS, "__i").mapInArrow(run, StructType(out))
 
 

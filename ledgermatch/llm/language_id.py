@@ -16,7 +16,6 @@ to the more frequent, then the smaller name; extra columns are carried, those na
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa

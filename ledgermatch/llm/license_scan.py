@@ -21,7 +21,7 @@ from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField
 
 from .common import Shipped, append_columns, folded_words
 
