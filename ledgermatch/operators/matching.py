@@ -39,7 +39,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.amounts import AMOUNT_TYPE, amount_to_cents, cents_to_amount
+from ..functions.amounts import amount_to_cents, cents_to_amount
 from ..functions.similarity import levenshtein_score, partial_ratio
 
 EXACT_BONUS = 5.0  # fixed value: bonus for equal absolute amounts
