@@ -1,11 +1,12 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-Blocks are the lines of a document; a line of more than BLOCK_WORDS words gives overlapping runs of that many words.
+Blocks are all runs of BLOCK_WORDS consecutive words of a text, across its line breaks (a shorter text is one block).
 A block and a template, as sets of words, join if the block holds at least the share ``least`` of the template's words.
 All template words are ordered by the number of documents that hold them, counted over the whole corpus, rarest first.
 A block that joins must hold one of the first ``|T| - need + 1`` words of the template (prefix filter, through an
 inverted index), must have ``need`` template words at all (length filter), and at the first common word both sides must
-have enough words left (positional filter); survivors are verified exactly.
+have enough words left (positional filter). A block that joins makes its whole text join, so texts pass these filters first;
+for the templates that are left a window over the places of their words finds the best block exactly.
 
 Base phrases are found by their consecutive words. ``score`` is 1 where a base phrase stands, else the greatest share
 among the joining blocks, else 0.
@@ -100,23 +101,38 @@ class TemplateIndex:
                         places.append(at)
                         labels.add(label)
         if not held.isdisjoint(self.starts):
-            for block in blocks(text):
-                block = set(block)
-                if not block.isdisjoint(self.starts):
-                    for t, share in self.join(block).items():
-                        found[t] = max(share, found.get(t, 0.0))
+            found = self.join(held)
+            if found and len(words) > BLOCK_WORDS:
+                own = [(k, r) for k, r in enumerate(map(self.rank.get, words)) if r is not None]
+                best = {t: self.best_block(t, own) for t in found}
+                found = {t: n / len(self.templates[t][1]) for t, n in best.items() if n >= self.templates[t][2]}
         return len(words), places, labels, found
 
+    def best_block(self, t: int, own: list[tuple[int, int]]) -> int:
+        """The most words of template ``t`` that a block holds; ``own``: places and ranks of a text's template words."""
+        wanted = frozenset(self.templates[t][1])
+        hits = [h for h in own if h[1] in wanted]
+        held, first, best = Counter(), 0, 0
+        for k, r in hits:
+            held[r] += 1
+            while hits[first][0] <= k - BLOCK_WORDS:
+                gone = hits[first][1]
+                held[gone] -= 1
+                if not held[gone]:
+                    del held[gone]
+                first += 1
+            if len(held) > best:
+                best = len(held)
+                if best == len(wanted):
+                    break
+        return best
+
 
 def blocks(text: str):
-    """Word lists of a text's blocks."""
-    for line in text.split("\n"):
-        words = folded_words(line)
-        if len(words) <= BLOCK_WORDS:
-            yield words
-        else:
-            for at in range(0, len(words) - BLOCK_WORDS // 2, BLOCK_WORDS // 2):
-                yield words[at:at + BLOCK_WORDS]
+    """Word lists of a text's blocks: what ``TemplateIndex.scan`` finds the best of without forming them."""
+    words = folded_words(text)
+    for at in range(max(1, len(words) - BLOCK_WORDS + 1)):
+        yield words[at:at + BLOCK_WORDS]
 
 
 def template_frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[bytes, int]:

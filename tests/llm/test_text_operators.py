@@ -159,6 +159,40 @@ def test_license_scan_equals_brute_force(spark, frame):
     assert S.scan_licenses(spark, docs.limit(0)).count() == 0
 
 
+WRAPPED = {
+    "mit": "# Permission is hereby granted, free of charge, to any person obtaining a copy\n"
+           "# of this software and associated documentation files (the \"Software\"), to deal\n",
+    "apache-2": " * you may not use this file except in compliance with the License.\n"
+                " * You may obtain a copy of the License at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0\n",
+    "bsd": "// Redistribution and use in source and binary forms, with or without\n"
+           "// modification, are permitted provided that the following conditions are\n// met:\n",
+    "mpl-2": "/* This Source Code Form is subject to the terms of the Mozilla Public\n"
+             " * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at x */\n",
+}
+
+
+def test_wrapped_notices_are_found(spark, frame):
+    rng = random.Random(19)
+    fill = lambda n: "\n".join(sentence(rng, 7) for _ in range(n)) + "\n"
+    texts = list(WRAPPED.values()) + [fill(a) + t + fill(30) for t in WRAPPED.values() for a in range(9)]
+    texts += [" ".join(fill(a).split() + t.split() + fill(20).split()) for t in WRAPPED.values() for a in range(0, 30, 3)]
+    vocabulary = sorted({w.decode() for _, t in S.TEMPLATES for w in folded_words(t)})
+    texts += [re.sub(" ", lambda _: rng.choice("   \n"), " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(400))))
+              for _ in range(40)]
+    got = {r["doc_id"]: r for r in S.scan_licenses(spark, frame(texts)).collect()}
+    for k, t in enumerate(texts):
+        words, best = plain_words(t), {}
+        for n, (_, template) in enumerate(S.TEMPLATES):
+            own = set(plain_words(template))
+            share = max(len(own & set(words[at:at + 64])) / len(own) for at in range(max(1, len(words) - 63)))
+            if share >= 0.8:
+                best[n] = share
+        assert got[k]["blocks"] == ",".join(f"{S.TEMPLATES[n][0]}:{n}:{v:.4f}" for n, v in best.items())
+        for label, notice in WRAPPED.items():
+            if notice in t or " ".join(notice.split()) in t:
+                assert label in got[k]["labels"].split(",")
+
+
 # -- language
 
 def test_language_filters(spark, frame):
