@@ -1,6 +1,7 @@
 """Toxicity: misspelling-tolerant lexicon search and context-window scores.
 
-The lexicon (whole words, and word beginnings with many endings) is learned from labelled texts by document counts. It
+The lexicon (whole words, and word beginnings with many endings beside them) is learned from labelled texts by document
+counts. Beginnings are matched as they are; a whole word keeps its own errors also where it starts with a beginning. It
 is stored as a trie; intersecting the trie with a Levenshtein automaton finds the terms within the distance that a
 term's length allows. The intersection is determinised lazily: a state is the set of (trie node, errors so far), and
 most words leave it after a few letters. Words that clean training texts hold as well are not counted as misspellings.
@@ -268,7 +269,8 @@ def _evidence(a: int, b: int, na: int, nb: int) -> float:
 
 def choose_terms(toxic: dict, clean: dict, n_toxic: int, n_clean: int, ratio: float = 10.0, evidence: float = 20.0
                  ) -> list[tuple[str, bool]]:
-    """Terms that toxic texts hold ``ratio`` times as often; a beginning needs at least 4 endings in toxic texts."""
+    """Terms that toxic texts hold ``ratio`` times as often; a beginning needs at least 4 endings in toxic texts. Words
+    that start with a beginning stay beside it, for their misspellings."""
     def good(t):
         a, b = toxic[t], clean.get(t, 0)
         return (a + 0.5) / (n_toxic + 1) >= ratio * (b + 0.5) / (n_clean + 1) and _evidence(a, b, n_toxic, n_clean) >= evidence
@@ -278,8 +280,7 @@ def choose_terms(toxic: dict, clean: dict, n_toxic: int, n_clean: int, ratio: fl
     stems = {t for t, beginning in fine if beginning and endings[t] >= 4}
     stems = {s for s in stems if not any(o.startswith(s) and o != s and toxic[o, True] >= 0.95 * toxic[s, True] for o in stems)}
     stems = {s for s in stems if not any(s.startswith(o) and o != s for o in stems)}
-    words = {w for w, beginning in fine if not beginning and not any(w.startswith(s) for s in stems)}
-    return sorted([(s, True) for s in stems] + [(w, False) for w in words])
+    return sorted([(s, True) for s in stems] + [t for t in fine if not t[1]])
 
 
 def training_fold(fold: int = 5):

@@ -75,6 +75,20 @@ def test_toxicity_is_learned(spark, frame, toxic_rows):
     assert T.score_toxicity(spark, docs.limit(0), model).count() == 0
 
 
+def test_inflected_words_keep_their_errors(spark):
+    rng = random.Random(12)
+    forms = ["scoundrel", "scoundrels", "scoundrelly", "scoundreling", "scoundreled", "scoundreldom"]
+    texts = [words(rng, 40) + (" " + " ".join(rng.sample(forms, 4)) if k % 4 == 0 else "") for k in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id long, toxic int")
+    model = T.fit(spark, docs, labels)
+    assert any(b and "scoundrel".startswith(t) for t, b in model.terms) and {(w, False) for w in forms} <= set(model.terms)
+    for w in ("scaundrel", "zcoundrel", "s0oundrels", "coundrelly", "sccoundreling"):
+        assert model.match(w), w
+        assert model.score("you " + w + " a b c d e f " + w) > model.score("you a b c d e f")
+    assert model.match("scoundrelish")[0] == 0
+
+
 # -- quality
 
 def test_neighbours_vote(spark, frame):
