@@ -10,8 +10,9 @@ Every hit is weighed by its context: hits inside quotation marks, or after a wor
 and the hits within WINDOW words add up. A logistic model of the weighed hits, their density and the best window gives
 the score.
 
-Learning sees at most MAX_LABELLED labelled training rows (smallest hash of doc_id; equal texts once); every whole text
-is scored by its text alone.
+Learning sees at most MAX_LABELLED labelled training rows (smallest hash of doc_id; equal texts once). All their terms
+are weighed by Spark, however rare, short or without letters; only those with enough evidence reach the driver. Every
+whole text is scored by its text alone.
 
 Results at the edges: null and empty texts get the score of a text without hits; without toxic or without clean training
 rows the lexicon is empty and every score is 0; repeated documents score alike; extra columns are carried, those named
@@ -21,6 +22,7 @@ like an output are replaced; empty tables give no rows.
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -31,7 +33,6 @@ from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField
 from .common import Shipped, append_columns, shared_path
 
 MAX_LABELLED = 20_000
-MAX_CANDIDATES = 20_000  # terms that the driver weighs, the most frequent in toxic texts
 WINDOW = 20  # words on either side
 QUOTED = 0.3  # weight of a quoted hit
 MEMO_LIMIT = 300_000
@@ -42,8 +43,13 @@ _STRIP = ".,;:!?()[]{}<>\"'“”„«»‹›…#*$%&|-–—_/\\"
 
 
 def distance_for(term: str, beginning: bool = False) -> int:
-    """Errors that a term allows; short terms and word beginnings have too many neighbours to allow any."""
-    return 0 if beginning or len(term) < 5 else 1 if len(term) < 11 else 2
+    """Errors that a term allows; short terms, word beginnings and terms that are not all letters and marks (numbers,
+    addresses) have too many neighbours to allow any."""
+    return 0 if beginning or len(term) < 5 or not _spelled(term) else 1 if len(term) < 11 else 2
+
+
+def _spelled(word: str) -> bool:
+    return word.isalpha() or all(unicodedata.category(c)[0] in "LM" for c in word)
 
 
 class FuzzyLexicon:
@@ -228,58 +234,57 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.5, rounds: int = 3
 
 
 def _terms_of(text: str, lengths=(4, 5, 6)) -> set[tuple[str, bool]]:
-    words = {w.strip(_STRIP) for w in text.lower().split()}
-    out = {(w, False) for w in words if len(w) >= 4 and w.isalpha()}
-    return out | {(w[:n], True) for w, _ in out for n in lengths if len(w) > n}
+    """Every word, and the beginnings of those that are spelled in letters and marks."""
+    words = {w.strip(_STRIP) for w in text.lower().split()} - {""}
+    out = {(w, False) for w in words}
+    return out | {(w[:n], True) for w in words if len(w) > lengths[0] and _spelled(w) for n in lengths if len(w) > n}
 
 
-def _count_terms(rows: DataFrame, wanted: Shipped | None = None, least: int = 1) -> DataFrame:
-    """Documents that hold each term, summed by task before the shuffle; with ``wanted`` only of those terms."""
+def _count_terms(sample: DataFrame) -> DataFrame:
+    """Toxic texts ``a`` and clean texts ``b`` that hold each term, summed by task before the shuffle."""
     def run(batches):
-        held = Counter()
-        only = None if wanted is None else wanted.get()
+        held, size = (Counter(), Counter()), 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                own = _terms_of(t)
-                held.update(own if only is None else own & only)
-            if len(held) > 500_000:
-                yield _term_batch(held)
-                held = Counter()
-        yield _term_batch(held)
+            for t, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if label in (0, 1):
+                    held[1 - label].update(_terms_of(t))
+                    size += len(t)
+                if len(held[0]) + len(held[1]) > 300_000 or size > 20_000_000:
+                    yield from map(_term_batch, held, (True, False))
+                    held, size = (Counter(), Counter()), 0
+        yield from map(_term_batch, held, (True, False))
 
-    return rows.select("text").mapInArrow(run, "term string, beginning boolean, n long") \
-        .groupBy("term", "beginning").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return sample.select("text", "label").mapInArrow(run, "term string, beginning boolean, a long, b long") \
+        .groupBy("term", "beginning").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
-def _term_batch(held: Counter) -> pa.RecordBatch:
+def _term_batch(held: Counter, toxic: bool) -> pa.RecordBatch:
+    counts, none = pa.array(held.values(), pa.int64()), pa.array([0] * len(held), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array([t for t, _ in held], pa.string()), pa.array([b for _, b in held], pa.bool_()),
-                                       pa.array(held.values(), pa.int64())], names=["term", "beginning", "n"])
+                                       *((counts, none) if toxic else (none, counts))], names=["term", "beginning", "a", "b"])
 
 
-def _evidence(a: int, b: int, na: int, nb: int) -> float:
-    """Log-likelihood ratio of a of na toxic and b of nb clean texts."""
-    p = (a + b) / (na + nb)
-    out = 0.0
-    for got, n in ((a, na), (b, nb)):
-        for x, q in ((got, p), (n - got, 1 - p)):
-            if x:
-                out += 2 * x * math.log(x / (n * q))
-    return out
-
+def proven(counts: DataFrame, n_toxic: int, n_clean: int, ratio: float = 10.0, evidence: float = 20.0) -> DataFrame:
+    """Terms that toxic texts hold ``ratio`` times as often, by a log-likelihood ratio of ``evidence``. The evidence
+    is the only floor: with a toxic share of a tenth, 5 texts suffice for a term that no clean text holds."""
+    a, b, p = F.col("a"), F.col("b"), (F.col("a") + F.col("b")) / F.lit(n_toxic + n_clean)
+    total = F.lit(0.0)
+    for got, n in ((a, n_toxic), (b, n_clean)):
+        for x, q in ((got, p), (F.lit(n) - got, 1 - p)):
+            total += F.when(x > 0, 2 * x * (F.log(x) - F.log(n * q))).otherwise(0.0)
+    often = (a + 0.5) / (n_toxic + 1) >= ratio * (b + 0.5) / (n_clean + 1)
+    return counts.where((a > 0) & often & (total >= evidence))
 
-def choose_terms(toxic: dict, clean: dict, n_toxic: int, n_clean: int, ratio: float = 10.0, evidence: float = 20.0
-                 ) -> list[tuple[str, bool]]:
-    """Terms that toxic texts hold ``ratio`` times as often; a beginning needs at least 4 endings in toxic texts. Words
-    that start with a beginning stay beside it, for their misspellings."""
-    def good(t):
-        a, b = toxic[t], clean.get(t, 0)
-        return (a + 0.5) / (n_toxic + 1) >= ratio * (b + 0.5) / (n_clean + 1) and _evidence(a, b, n_toxic, n_clean) >= evidence
 
-    fine = {t for t in toxic if good(t)}
+def choose_terms(fine: dict) -> list[tuple[str, bool]]:
+    """The lexicon from proven terms and their toxic texts; a beginning needs at least 4 proven endings. Words that start
+    with a beginning stay beside it, for their misspellings."""
     endings = Counter(w[:n] for w, beginning in fine if not beginning for n in (4, 5, 6) if len(w) > n)
     stems = {t for t, beginning in fine if beginning and endings[t] >= 4}
-    stems = {s for s in stems if not any(o.startswith(s) and o != s and toxic[o, True] >= 0.95 * toxic[s, True] for o in stems)}
-    stems = {s for s in stems if not any(s.startswith(o) and o != s for o in stems)}
+    same = {o[:n] for o in stems for n in (4, 5) if n < len(o) and (o[:n], True) in fine
+            and fine[o, True] >= 0.95 * fine[o[:n], True]}  # a longer beginning stands for almost all of their texts
+    stems -= same
+    stems = {s for s in stems if not any(s[:n] in stems for n in (4, 5) if n < len(s))}
     return sorted([(s, True) for s in stems] + [t for t in fine if not t[1]])
 
 
@@ -301,13 +306,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "t
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return ToxicityModel([])
-    common = max(3, n_toxic // 100)
-    toxic = {(r["term"], r["beginning"]): r["n"] for r in
-             _count_terms(sample.where("label = 1"), least=common).orderBy(F.desc("n"), "term", "beginning")
-             .limit(MAX_CANDIDATES).collect()}
-    wanted = Shipped(spark, frozenset(toxic))
-    clean = {(r["term"], r["beginning"]): r["n"] for r in _count_terms(sample.where("label = 0"), wanted).collect()}
-    terms = choose_terms(toxic, clean, n_toxic, n_clean)
+    found = proven(_count_terms(sample), n_toxic, n_clean).collect()
+    terms = choose_terms({(r["term"], r["beginning"]): r["a"] for r in found})
     draft = Shipped(spark, ToxicityModel(terms))
 
     def variants(batches):  # words of clean texts that are near a term without being one

@@ -89,6 +89,35 @@ def test_inflected_words_keep_their_errors(spark):
     assert model.match("scoundrelish")[0] == 0
 
 
+def test_rare_and_short_terms_are_learned(spark):
+    rng = random.Random(13)
+    texts, toxic = [words(rng, 12) for _ in range(6000)], set(range(0, 6000, 10))
+    learn = [r["doc_id"] for r in spark.range(6000).withColumnRenamed("id", "doc_id").where(T.training_fold()).orderBy("doc_id").collect()]
+    bad = [k for k in learn if k in toxic]
+    rare = ["zounds", "xi", "傻瓜", "k1ll", "ไอ้โง่", "f*ck"]
+    for n, w in enumerate(rare):  # five texts of about 480 each
+        for k in bad[5 * n:5 * n + 5]:
+            texts[k] += " " + w
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k in toxic)) for k in range(6000)], "doc_id long, toxic int")
+    model = T.fit(spark, docs, labels)
+    assert {w for w, b in model.terms if not b} == set(rare)
+    assert model.match("zoundz")[0] == 1 and model.match("xi!") and not model.match("xa") and not model.match("k2ll")
+
+
+def test_evidence_of_columns_equals_plain_sums(spark):
+    rows = [("t", False, a, b) for a in (0, 1, 4, 5, 9, 40, 100) for b in (0, 1, 2, 30, 900)]
+    got = {(r["a"], r["b"]) for r in T.proven(spark.createDataFrame(rows, "term string, beginning boolean, a long, b long"), 100, 900).collect()}
+    want = set()
+    for _, _, a, b in rows:
+        p, total = (a + b) / 1000, 0.0
+        for x, q in ((a, 100 * p), (100 - a, 100 * (1 - p)), (b, 900 * p), (900 - b, 900 * (1 - p))):
+            total += 2 * x * np.log(x / q) if x else 0.0
+        if total >= 20 and (a + 0.5) / 101 >= 10 * (b + 0.5) / 901:
+            want.add((a, b))
+    assert got == want and (5, 0) in got and (4, 0) not in got
+
+
 # -- quality
 
 def test_neighbours_vote(spark, frame):
