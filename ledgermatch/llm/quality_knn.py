@@ -1,11 +1,14 @@
 """Quality classifier: similarity-weighted vote of the nearest labelled documents in a latent semantic space.
 
 A document is a bag of terms over its whole text: its words with letters folded to their shape (case, letters, digits,
-marks), pairs of neighbouring shapes, and marks for words that repeat their left neighbour and lines or 4-word runs that
-stood before in the text. Terms are hashed to DIMENSIONS buckets, weighed by log frequency and inverse document
-frequency, and projected on the leading singular vectors of the labelled documents' matrix. The labelled vectors are
-broadcast (at most MAX_LABELLED by RANK numbers, checked); every document's cosine products with all of them are
-computed exactly, in blocks, and its K nearest neighbours vote with weights that grow with the similarity.
+marks), pairs of neighbouring shapes, marks for words that repeat their left neighbour and lines or 4-word runs that
+stood before in the text, and the words themselves (A-Z folded, marks as blanks), with the character trigrams of those
+over LONG bytes, such as text without blanks. For shapes, tokens of more than PIECE bytes are cut into pieces, and shapes
+of more than SHAPE characters into parts, all of which count. Terms are hashed to DIMENSIONS buckets (shapes and words
+apart), weighed by log frequency (words by WORD_WEIGHT besides) and inverse document frequency, and projected on the
+leading singular vectors of the labelled documents' matrix. The labelled vectors are broadcast (at most MAX_LABELLED by
+RANK numbers, checked); every document's cosine products with all of them are computed exactly, in blocks, and its K
+nearest neighbours vote with weights that grow with the similarity.
 
 Learning sees at most MAX_LABELLED labelled rows of the training fold (smallest hash of doc_id); every whole text is scored
 by its text alone.
@@ -17,6 +20,7 @@ documents score alike; extra columns are carried, those named like an output are
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 
@@ -25,10 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField
 
-from .common import Shipped, append_columns
+from .common import Memo, Shipped, append_columns, folded_words
 
 MAX_LABELLED = 6_000
-DIMENSIONS = 2048
+SHAPE_BUCKETS, WORD_BUCKETS = 2048, 1024
+DIMENSIONS = SHAPE_BUCKETS + WORD_BUCKETS
+WORD_WEIGHT = 0.5
+PIECE, SHAPE, LONG = 64, 12, 12
 RANK = 48
 K = 15
 BLOCK = 256  # documents in one product
@@ -36,27 +43,37 @@ MEMO_LIMIT = 200_000
 #: A-Z -> A, a-z and all bytes above 0x7F -> a, 0-9 -> 9; other bytes stay.
 _SHAPE = bytes(0x41 if 0x41 <= c <= 0x5A else 0x39 if 0x30 <= c <= 0x39 else 0x61 if 0x61 <= c <= 0x7A or c >= 0x80 else c
                for c in range(256))
+_RUN = re.compile(rb"(.)\1{2,}", re.DOTALL)
 
 
 def _bucket(term: bytes) -> int:
-    return zlib.crc32(term) % DIMENSIONS
+    return zlib.crc32(term) % SHAPE_BUCKETS
 
 
-def _shape(word: bytes) -> bytes:
-    """The shape with runs of one character cut to two."""
-    shape = word.translate(_SHAPE)
-    out = bytearray()
-    for c in shape[:64]:
-        if len(out) < 2 or out[-1] != c or out[-2] != c:
-            out.append(c)
-    return bytes(out[:12])
+def _shapes(word: bytes) -> list[bytes]:
+    """The shape with runs of one character cut to two, in parts of SHAPE characters."""
+    shape = _RUN.sub(rb"\1\1", word.translate(_SHAPE))
+    return [shape[k:k + SHAPE] for k in range(0, len(shape), SHAPE)]
+
+
+def _word_bucket(word: bytes) -> int:
+    return zlib.crc32(b"w" + word) % WORD_BUCKETS
+
+
+def _trigrams(words: bytes) -> np.ndarray:
+    """Buckets of all runs of three characters."""
+    c = np.frombuffer(words.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    mixed = (c[:-2] << np.uint64(42)) ^ (c[1:-1] << np.uint64(21)) ^ c[2:]
+    return ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % WORD_BUCKETS
 
 
 class Terms:
     """Term buckets of a text; a worker keeps the shapes of frequent words."""
 
     def __init__(self):
-        self.shapes: dict[bytes, int] = {}  # word -> number of its shape
+        self.shapes: dict[bytes, int] = {}  # word -> number of its shape, or -1 - its place in parts
+        self.parts: list[list[int]] = []  # numbers of shapes of more than one part
+        self.words = Memo(_word_bucket, MEMO_LIMIT)
         self.numbers: dict[bytes, int] = {}
         self.single: list[int] = []  # bucket of each shape
         self.pairs: dict[int, int] = {}
@@ -68,15 +85,26 @@ class Terms:
         self.__init__()
 
     def _number(self, word: bytes) -> int:
-        shape = _shape(word)
-        if shape not in self.numbers:
-            self.numbers[shape] = len(self.single)
-            self.single.append(_bucket(b"s" + shape))
+        own = []
+        for shape in _shapes(word):
+            if shape not in self.numbers:
+                self.numbers[shape] = len(self.single)
+                self.single.append(_bucket(b"s" + shape))
+            own.append(self.numbers[shape])
         if len(self.shapes) >= MEMO_LIMIT:
             self.shapes.clear()
-        got = self.shapes[word] = self.numbers[shape]
+        if len(own) > 1:
+            self.parts.append(own)
+            own = [-len(self.parts)]
+        got = self.shapes[word] = own[0]
         return got
 
+    def _word_counts(self, text: str) -> np.ndarray:
+        words = folded_words(text)
+        out = np.bincount(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)), minlength=WORD_BUCKETS)
+        long = b" ".join(w for w in words if len(w) > LONG)
+        return out + np.bincount(_trigrams(long), minlength=WORD_BUCKETS) if long else out
+
     def counts(self, text: str | None) -> dict[int, float]:
         """Bucket -> weight log(1 + times)."""
         if not text:
@@ -85,16 +113,20 @@ class Terms:
         words = data.split()
         if not words:
             return {}
-        if len(self.numbers) > MEMO_LIMIT:
+        if max(map(len, words)) > PIECE:
+            words = [w[k:k + PIECE] for w in words for k in range(0, len(w), PIECE)]
+        if len(self.numbers) > MEMO_LIMIT or len(self.parts) > MEMO_LIMIT:
             self.__init__()
         shapes = list(map(self.shapes.get, words))
         if None in shapes:
             for k, s in enumerate(shapes):
                 if s is None:
-                    shapes[k] = self.shapes.get(words[k], -1)
-                    if shapes[k] < 0:
+                    shapes[k] = self.shapes.get(words[k])
+                    if shapes[k] is None:
                         shapes[k] = self._number(words[k])
         own = np.array(shapes, np.int64)
+        if (own < 0).any():
+            own = np.array([n for s in shapes for n in ((s,) if s >= 0 else self.parts[-s - 1])], np.int64)
         hashes = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
         out: Counter = Counter()
         values, n = np.unique(own, return_counts=True)
@@ -122,7 +154,11 @@ class Terms:
             level = int(10 * part / whole)  # how large a part, in tenths
             for k in range(level):
                 out[_bucket(b"r" + name + b"%d" % k)] += max(4, size // 4)
-        return {b: float(np.log1p(c)) for b, c in out.items()}
+        weights = {b: float(np.log1p(c)) for b, c in out.items()}
+        n = self._word_counts(text)
+        at = n.nonzero()[0]
+        weights.update(zip((at + SHAPE_BUCKETS).tolist(), (WORD_WEIGHT * np.log1p(n[at])).tolist()))
+        return weights
 
 
 def _matrix(rows: list[dict[int, float]]) -> np.ndarray:

@@ -156,3 +156,24 @@ def test_blocked_products_equal_plain_cosines():
                 weight = (cosine ** 8 + 1e-6) * (1 if cosine > last else left / (order == last).sum())
                 vote, total = vote + weight * label, total + weight
         assert score == pytest.approx(vote / total, abs=1e-3)
+
+
+def test_whole_tokens_and_vocabulary_count():
+    rng = random.Random(14)
+
+    def bag(text):
+        return K.Terms().counts(text)
+
+    start = "汉字" * 40  # 240 bytes; then one token to its end
+    for a, b in ((start + "好人" * 500, start + "坏蛋" * 500), ("x" * 70 + "|AB9#c" * 300, "x" * 70 + "|ab#C9" * 300),
+                 ("Ab1#Cd2$Ef3%Gh4&", "Ab1#Cd2$Ef3%99..")):
+        assert bag(a) != bag(b)
+    short, long = bag("Ab1#" * 16), bag("Ab1#" * 1600)
+    assert max(long[b] for b in long if b < K.SHAPE_BUCKETS) > max(short[b] for b in short if b < K.SHAPE_BUCKETS)
+    assert K._shapes(b"aaaBBBB11#") == [b"aaAA99#"] and b"".join(K._shapes(b"aB1#" * 16)) == b"aA9#" * 16
+    pool = sorted({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(80)})
+    good, bad = pool[::2], pool[1::2]  # alike in shape
+    for blank in (" ", ""):  # words, and one token without blanks
+        texts = [blank.join(rng.choice(bad if k % 2 else good) for _ in range(60)) for k in range(120)]
+        model = K.NeighbourModel([bag(t) for t in texts[:80]], [1 - k % 2 for k in range(80)])
+        assert ((model.scores(texts[80:]) >= 0.5) == [k % 2 == 0 for k in range(80, 120)]).all()
