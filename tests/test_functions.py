@@ -1,7 +1,7 @@
 import datetime as dt
 from decimal import Decimal
 
-from conftest import one_col
+from helpers import one_col
 from pyspark.sql import functions as F
 
 from ledgermatch.functions import (is_entity_line, json_block, levenshtein_score, parse_amount,
