@@ -54,7 +54,9 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
             self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
+        got = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:  # long tokens seldom come again
+            self[word] = got
         return got
 
 
@@ -92,13 +94,14 @@ SIGNED = StructType([StructField("key", BinaryType()), StructField("sig", ArrayT
 
 
 def sign(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id``, ``key`` (a 128-bit hash of the shingle set; null without words), ``sig`` and the set's ``size``."""
-    schema = StructType([docs.schema["doc_id"]] + SIGNED.fields)
+    """``doc_id``, ``hash`` of the text, ``key`` (a 128-bit hash of the shingle set; null without words), ``sig`` and the
+    set's ``size``."""
+    schema = StructType([docs.schema["doc_id"], StructField("hash", LongType())] + SIGNED.fields)
 
     def run(batches):
         memo, (a, b) = WordHashes(), _permutations()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             keys, sigs, sizes = [], [], []
             for t in texts:
                 own = shingles(t, memo)
@@ -107,11 +110,11 @@ def sign(docs: DataFrame, text: str = "text") -> DataFrame:
                 sigs.append(signature(own, a, b) if len(own) else np.zeros(BANDS, np.int64))
             flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.binary()),
+                [batch.column(0), batch.column(1), pa.array(keys, pa.binary()),
                  pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), pa.array(flat)),
                  pa.array(sizes, pa.int32())], names=schema.names)
 
-    return docs.select("doc_id", F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.xxhash64(text).alias("__hash"), F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
 # -- pruning
@@ -331,13 +334,16 @@ def verify(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, limit: Fraction
 def links(spark: SparkSession, groups: DataFrame, docs: DataFrame, threshold: float, tolerance: float, block: int) -> DataFrame:
     """``a, b, n``: for b null, n more links of text a; else an edge of a spanning forest of the links.
 
-    ``groups``: key, rep (a doc_id that has the text), copies, sig, size, label."""
+    ``groups``: key, rep (a doc_id that has the text), hash (of a text with that id), copies, sig, size, label."""
     limit, least = Fraction(threshold).limit_denominator(1000), least_matches(threshold, tolerance)
     sized = groups.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
     members = groups.join(sized, "label")
     fields = ["label", "n", "total", "copies", "key", "sig"]
     schema = StructType([members.schema[f] for f in fields] + [StructField("own", ArrayType(LongType(), False))])
-    texts = docs.select(F.col("doc_id").alias("rep"), F.col("text").alias("__text")).join(members, "rep")
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), F.col("text").alias("__text")) \
+        .join(members, "rep").select(*fields, "__text")
+    nameless = docs.where("doc_id IS NULL AND text IS NOT NULL").select(F.xxhash64("text").alias("hash"), F.col("text").alias("__text")) \
+        .dropDuplicates(["hash"]).join(members.where("rep IS NULL"), "hash").select(*fields, "__text")
 
     def remake(batches):
         memo = WordHashes()
@@ -354,7 +360,7 @@ def links(spark: SparkSession, groups: DataFrame, docs: DataFrame, threshold: fl
                 yield pa.RecordBatch.from_arrays(rows.columns + [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
                                                  names=schema.names)
 
-    sets = texts.select(*fields, "__text").mapInArrow(remake, schema)
+    sets = texts.union(nameless).mapInArrow(remake, schema)
     blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("total") / BLOCK_SHINGLES))
     cells = _cells(sets, blocks, "key").select("label", "i", "j", "part", "copies", "key", "sig", "own")
     out = StructType(EDGES.fields + [StructField("n", LongType())])
@@ -400,41 +406,51 @@ def links(spark: SparkSession, groups: DataFrame, docs: DataFrame, threshold: fl
     return cells.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(run, out)
 
 
-def jaccard_join(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE,
-                 block: int = BLOCK) -> DataFrame:
-    """One row per document: ``doc_id``, ``class_id`` (the smallest doc_id that links lead to), ``n_links`` (other
-    documents at or above the threshold) and ``copies`` (documents with the same shingle set, itself included)."""
+def _classified(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE,
+                block: int = BLOCK) -> DataFrame:
+    """The rows of ``jaccard_join`` with ``hash`` of the text, ``key`` and ``first``: the (doc_id, hash) that stands first
+    in the row's class."""
     def written(df, label):
         path = shared_path(spark, label)
         df.write.parquet(path)
         return spark.read.parquet(path)
 
     signed = written(sign(docs), "signed")
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "hash"))
     reps = written(signed.where(F.col("key").isNotNull()).groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"),
-        F.first("size").alias("size")), "reps")
+        F.min("doc_id").alias("rep"), F.min("hash").alias("hash"), F.min(named).alias("first"), F.count(F.lit(1)).alias("copies"),
+        F.first("sig").alias("sig"), F.first("size").alias("size")), "reps")
     likely = components(spark, likely_pairs(spark, reps, threshold, tolerance, block))
-    groups = written(reps.join(likely.withColumnRenamed("node", "key"), "key"), "groups")
+    groups = written(reps.drop("first").join(likely.withColumnRenamed("node", "key"), "key"), "groups")
     found = written(links(spark, groups, docs, threshold, tolerance, block), "links")
     counts = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("linked"))
     labels = components(spark, found.where("b is not null").select("a", "b")).withColumnRenamed("node", "key")
-    classes = reps.select("key", "rep", "copies").join(labels, "key")
-    smallest = classes.groupBy("label").agg(F.min("rep").alias("__least"))
-    linked = classes.join(smallest, "label").join(counts, "key", "left").select("key", "__least", "linked")
-    per_key = written(reps.select("key", "rep", "copies").join(linked, "key", "left").select(
-        "key", F.coalesce("__least", "rep").alias("class_id"), "copies",
+    classes = reps.select("key", "first").join(labels, "key")
+    smallest = classes.groupBy("label").agg(F.min("first").alias("__first"))
+    linked = classes.join(smallest, "label").join(counts, "key", "left").select("key", "__first", "linked")
+    per_key = written(reps.select("key", "first", "copies").join(linked, "key", "left").select(
+        "key", F.coalesce("__first", "first").alias("first"), "copies",
         (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
-    return signed.select("doc_id", "key").join(per_key, "key", "left").select(
-        "doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    return signed.select("doc_id", "hash", "key").join(per_key, "key", "left").select(
+        "doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("copies"), "hash", "key", "first")
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """One row per document: ``doc_id``, ``class_id`` (the smallest doc_id that links lead to), ``n_links`` (other
+    documents at or above the threshold) and ``copies`` (documents with the same shingle set, itself included).
+
+    Options: ``threshold``, ``tolerance`` (of the pruning), ``block`` (rows of a block in a cell)."""
+    return _classified(spark, docs, **options).select("doc_id", "class_id", "n_links", "copies")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each class: the one of the smallest doc_id. Of rows that repeat a doc_id one stays
-    if their texts are alike; rows without a doc_id stay."""
-    found = jaccard_join(spark, docs, **options)
-    gone = found.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    twice = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(twice.select(*docs.columns))
+    """``docs`` with one document of each class: the one of the smallest doc_id. Decided by doc_id and text, so that of
+    rows that repeat a doc_id only those with like texts go; rows without a doc_id and texts without words stay."""
+    own = F.struct("doc_id", "hash")
+    found = _classified(spark, docs, **options).where("key IS NOT NULL AND doc_id IS NOT NULL")
+    gone = found.where(own != F.col("first")).select("doc_id", F.col("hash").alias("__hash")).distinct()
+    twice = found.where(own == F.col("first")).groupBy("doc_id", F.col("hash").alias("__hash")).count().where("count > 1").drop("count")
+    kept = docs.withColumn("__hash", F.xxhash64("text")).join(gone, ["doc_id", "__hash"], "left_anti")
+    once = kept.join(twice, ["doc_id", "__hash"], "left_semi").dropDuplicates(["doc_id", "__hash"])
+    return kept.join(twice, ["doc_id", "__hash"], "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))

@@ -163,3 +163,19 @@ def test_shards_of_odd_tables(spark):
     rows = H.shuffle_into_shards(spark, docs, 8).collect()
     assert sorted(r["shard"] for r in rows) == [0, 1, 2, 3, 4] and {r["slot"] for r in rows} == {0}
     assert H.shuffle_into_shards(spark, docs.limit(0), 8).count() == 0
+
+
+def test_repeated_ids_keep_their_clean_texts(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(20)) for x in "abcd")
+    docs = spark.createDataFrame([(3, b), (7, a), (7, b), (9, c), (9, d), (9, d), (None, c)], "doc_id long, text string")
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in J.one_of_each(spark, docs).collect())
+    assert kept == sorted([("3", b), ("7", a), ("9", c), ("9", d), ("None", c)])
+
+
+def test_texts_without_ids_keep_their_links(spark):
+    base = [f"w{k}" for k in range(100)]
+    near = base[:99] + ["other"]
+    docs = spark.createDataFrame([(None, " ".join(base))] * 3 + [(5, " ".join(near)), (None, "alone " * 9), (None, None)],
+                                 "doc_id long, text string")
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in J.jaccard_join(spark, docs).collect())
+    assert got == Counter({(None, 5, 3): 3, (5, 5, 3): 1, (None, None, 0): 2})
