@@ -2,7 +2,7 @@
 
 Every item gives its windows of ``width`` consecutive words (all its words if it has fewer). Their hashes, with the
 words behind them, go to the workers as a broadcast set, in blocks of bounded text size; the whole documents are scanned
-once a block. A scan looks up each word in the block's vocabulary, hashes the windows that consist of known words only,
+once a block, and where there are several, each scan writes its hits by text and the last one joins them. A scan looks up each word in the block's vocabulary, hashes the windows that consist of known words only,
 looks the hashes up and compares the words behind every hit, so equal hashes of different words never count.
 
 Results at the edges: null and empty texts have no words and no hits and are not contaminated; null items give no
@@ -14,6 +14,7 @@ nothing, an empty documents table gives no rows.
 from __future__ import annotations
 
 import re
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import Shipped, append_columns, folded_words, shared_path
+from .common import Shipped, append_columns, folded_words, shared_path, text_runs
 
 WIDTH = 13
 BLOCK_BYTES = 4 << 20  # benchmark text in one broadcast
@@ -118,57 +119,82 @@ def merge_spans(a: list[int], b: list[int]) -> list[int]:
     return out
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int):
-    """Items in blocks of about ``block_bytes`` of text; one block at a time is on the driver."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """Items in blocks of about ``block_bytes`` of text."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), "text") \
         .withColumn("block", F.pmod(F.xxhash64("name", "text"), F.lit(blocks)))
-    for b in range(blocks):
-        yield [(r["name"], r["text"]) for r in named.where(F.col("block") == b).collect()]
+    return [named.where(F.col("block") == b) for b in range(blocks)]
+
+
+def _windows(spark: SparkSession, block: DataFrame, width: int) -> Shipped:
+    """The window set of one block, which alone is on the driver."""
+    return Shipped(spark, WindowSet([(r["name"], r["text"]) for r in block.collect()], width), 256 << 20)
 
 
 def mark_hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
               block_bytes: int = BLOCK_BYTES, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``docs`` plus __words (their number), __spans (hit runs as start, end, ...) and __items (names of items)."""
-    spans, items = ArrayType(IntegerType()), ArrayType(StringType())
     carry = [c for c in (carry if carry is not None else docs.columns) if c.lower() not in (_SPANS, _ITEMS, _WORDS)]
-    one = _blocks(benchmark, block_bytes)
-    marked = None
-    for block in one:
-        windows = Shipped(spark, WindowSet(block, width), 256 << 20)
-        fields = [StructField(_WORDS, LongType()), StructField("__s", spans), StructField("__i", items)]
-
-        def work(texts, windows=windows):
-            n, s, i = windows.get().scan(texts)
-            return [pa.array(n, pa.int64()), pa.array(s, pa.list_(pa.int32())), pa.array(i, pa.list_(pa.string()))]
-
-        if marked is None:
-            marked = append_columns(docs, work, fields, carry, text) \
-                .withColumnsRenamed({"__s": _SPANS, "__i": _ITEMS})
-        else:  # a further block: what the earlier ones found is written, so that one set at a time is in memory
-            path = shared_path(spark, "hits")
-            marked.write.parquet(path)
-            marked = _merge(append_columns(spark.read.parquet(path), work, fields,
-                                           [c for c in marked.columns if c != _WORDS], text))
-    return marked
-
-
-def _merge(df: DataFrame) -> DataFrame:
-    kept = [c for c in df.columns if c not in ("__s", "__i", _SPANS, _ITEMS)]
-    out = [df.schema[c] for c in kept] + [StructField(_SPANS, ArrayType(IntegerType())),
-                                          StructField(_ITEMS, ArrayType(StringType()))]
-
-    def run(batches):
+    blocks = _blocks(benchmark, block_bytes)
+    if len(blocks) > 1:
+        return _mark_blocks(spark, docs, blocks, width, text, carry)
+    windows = _windows(spark, blocks[0], width)
+
+    def work(texts):
+        n, s, i = windows.get().scan(texts)
+        return [pa.array(n, pa.int64()), pa.array(s, pa.list_(pa.int32())), pa.array(i, pa.list_(pa.string()))]
+
+    fields = [StructField(_WORDS, LongType()), StructField(_SPANS, ArrayType(IntegerType())), StructField(_ITEMS, ArrayType(StringType()))]
+    return append_columns(docs, work, fields, carry, text)
+
+
+def _text_name(text: str) -> list:
+    """128 bits that name a text."""
+    return [F.xxhash64(text).alias("__t1"), F.xxhash64(F.lit(1), text).alias("__t2")]
+
+
+def _mark_blocks(spark: SparkSession, docs: DataFrame, blocks: list[DataFrame], width: int, text: str, carry: list[str]) -> DataFrame:
+    """A scan for each block, which writes the hits alone, by text; then one scan that counts words, joined to them. One
+    window set at a time is in memory, and no document is copied for a block."""
+    path = shared_path(spark, "hits")
+    for number, block in enumerate(blocks):
+        windows = _windows(spark, block, width)
+
+        def scan(batches, windows=windows):
+            for batch in batches:
+                for a, b, texts in text_runs(batch, 2):
+                    _, spans, items = windows.get().scan(texts)
+                    hit = [k for k, s in enumerate(spans) if s]
+                    names = batch.slice(a, b - a).take(pa.array(hit, pa.int64()))
+                    yield pa.RecordBatch.from_arrays(
+                        [names.column(0), names.column(1), pa.array([spans[k] for k in hit], pa.list_(pa.int32())),
+                         pa.array([items[k] for k in hit], pa.list_(pa.string()))], names=["__t1", "__t2", "s", "i"])
+
+        docs.select(*_text_name(text), text).mapInArrow(scan, "__t1 long, __t2 long, s array<int>, i array<string>") \
+            .dropDuplicates(["__t1", "__t2"]).write.parquet(f"{path}/block={number}")
+        windows.box.destroy()
+    merged = StructType([StructField("__t1", LongType()), StructField("__t2", LongType()),
+                         StructField(_SPANS, ArrayType(IntegerType())), StructField(_ITEMS, ArrayType(StringType()))])
+
+    def merge(batches):  # a row a text, with a list of each block's spans
         for batch in batches:
-            a, b = batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist()
-            c, d = batch.column(len(kept) + 2).to_pylist(), batch.column(len(kept) + 3).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                batch.columns[:len(kept)] + [pa.array([merge_spans(x, y) for x, y in zip(a, b)], pa.list_(pa.int32())),
-                                             pa.array([sorted({*x, *y}) for x, y in zip(c, d)], pa.list_(pa.string()))],
-                names=[f.name for f in out])
-
-    return df.select(*kept, _SPANS, "__s", _ITEMS, "__i").mapInArrow(run, StructType(out))
+            spans = [reduce(merge_spans, s) for s in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int32())), batch.column(3)],
+                                             names=merged.names)
+
+    hits = spark.read.parquet(path).groupBy("__t1", "__t2").agg(  # a row a block
+        F.collect_list("s").alias("s"), F.array_distinct(F.flatten(F.collect_list("i"))).alias("i")).mapInArrow(merge, merged)
+
+    def count(texts):
+        return [pa.array([len(folded_words(t)) for t in texts], pa.int64())]
+
+    named = docs.select(*carry, *([] if text in carry else [text]), *_text_name(text))
+    counted = append_columns(named, count, [StructField(_WORDS, LongType())], [*carry, "__t1", "__t2"], text)
+    return counted.join(hits, ["__t1", "__t2"], "left").select(
+        *carry, _WORDS, F.coalesce(_SPANS, F.array().cast("array<int>")).alias(_SPANS),
+        F.coalesce(_ITEMS, F.array().cast("array<string>")).alias(_ITEMS))
 
 
 def _hit_words():
