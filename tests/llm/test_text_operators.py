@@ -213,8 +213,17 @@ def test_language_filters(spark, frame):
     assert {r["lang_pred"] for r in L.identify(spark, docs, nothing).collect()} == {"und"}
 
 
+def filters_of(profiles, bits):
+    names = list(profiles)
+    masks = np.zeros((-(-len(names) // 64), 1 << bits), np.uint64)
+    for k, name in enumerate(names):
+        for h in L.HASHES:
+            masks[k // 64, (profiles[name] * np.uint32(h)) >> np.uint32(32 - bits)] |= np.uint64(1 << k % 64)
+    return masks
+
+
 def test_language_counts_equal_brute_force():
-    profiles = {"a": np.array([1, 5, 9], np.uint32), "b": np.arange(0, 2000, 7, dtype=np.uint32)}
+    profiles = {"b": np.arange(0, 2000, 7, dtype=np.uint32), "a": np.array([1, 5, 9], np.uint32)}
     texts = ["the cat", None, "", "A b", "ééé x"]
     packed, ends = L.grams(texts)
     own = []
@@ -224,10 +233,57 @@ def test_language_counts_equal_brute_force():
                     if not (g[1] == 32 and 32 in (g[0], g[2]) or g[2] == g[3] == 32)])
     assert np.diff([0, *ends]).tolist() == [len(x) for x in own]
     assert packed.tolist() == [int.from_bytes(g, "little") for x in own for g in x]
-    model = L.LanguageFilters(profiles, {"a": 1, "b": 2})
-    assert model.names == ["b", "a"]
+    model = L.LanguageFilters(list(profiles), filters_of(profiles, 12))
     for k, name in enumerate(model.names):  # every member is found
         hit = np.ones(len(profiles[name]), bool)
         for h in L.HASHES:
             hit &= (model.masks[0][model.at(profiles[name], h)] >> np.uint8(k)) & 1 == 1
         assert hit.all()
+
+
+def test_language_masks_hold_every_gram_of_every_language(spark):
+    rng = random.Random(30)
+    rows = []
+    for k in range(300):  # more languages than one mask word, and than any former bound
+        for n in range(3):
+            rows.append((1000 * k + n, f"l{k:03d}", " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(20))))
+    rows += [(None, "l000", "zzzz yyyy"), (5, None, "qqqq"), (6, "l001", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = L.fit(docs)
+    by = {}
+    for i, lang, text in rows:
+        if i is not None and lang and text:
+            by.setdefault(lang, []).append(text)
+    assert sorted(model.names) == sorted(by) and len(model.masks) == 5
+    want = filters_of({n: np.unique(L.grams(by[n])[0]) for n in model.names}, model.bits)
+    assert (want == model.masks).all() and (model.false < L.FALSE_RATE).all()
+    got = L.identify(spark, docs.where("text is not null and lang is not null and doc_id is not null"), model, ["lang"])
+    assert got.where("lang <> lang_pred").count() == 0
+
+
+def test_language_sample_is_by_ids_and_clashing_columns_are_replaced(spark):
+    rows = [(k, "xx" if k % 3 else "yy", f"text {k}", "old", "old") for k in range(9000)] + [(7, "xx", f"again {k}", "o", "o") for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, lang_pred string, score string")
+    counts = docs.groupBy("lang").count().withColumnRenamed("count", "n")
+    few = L.training_texts(docs, counts, 200).groupBy("lang").count().collect()
+    assert all(60 < r["count"] < 300 for r in few) and len(few) == 2
+    again = L.identify(spark, docs, L.fit(docs))
+    assert sorted(again.columns) == sorted(docs.columns) and dict(again.dtypes)["score"] == "double"
+    null = spark.createDataFrame([(None,), (3,)], "doc_id long").select(L.held_out().alias("h")).collect()
+    assert null[0]["h"] is True and null[1]["h"] is not None
+
+
+@pytest.mark.parametrize("carry", [["doc_id"], None])
+def test_blocks_of_a_large_benchmark_equal_one_set(spark, carry):
+    rng = random.Random(31)
+    items = [(f"i{k}", " ".join(rng.choice("abcdefgh") for _ in range(rng.choice([0, 5, 13, 30])))) for k in range(60)] + [("i1", "x y z"), (None, "q r s")]
+    texts = [None, "", "q r s"] + [" ".join(rng.choice("abcdefgh") for _ in range(40)) + " " + " ".join(t for _, t in rng.sample(items, 3)) for _ in range(80)]
+    docs = spark.createDataFrame([(k, t, "old") for k, t in enumerate(texts + texts[:20])], "doc_id long, text string, n_hit string")
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    size = sum(len(t) for _, t in items)
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items", "contaminated"]
+    whole = D.contamination(spark, docs, benchmark, carry=carry).select(*columns).collect()
+    parts = D.contamination(spark, docs, benchmark, carry=carry, block_bytes=-(-size // 3)).select(*columns).collect()
+    assert sorted(map(str, whole)) == sorted(map(str, parts)) and any(r["n_items"] > 2 for r in whole)
+    kept = D.remove_documents(spark, docs, benchmark, block_bytes=-(-size // 4))
+    assert kept.columns == docs.columns and kept.count() == sum(not r["contaminated"] for r in whole)
