@@ -21,8 +21,11 @@ _SP = r"[\s\u00a0\u202f]"
 GROUPED = r"(?:\d{1,3}(?:[ .,\u00a0\u202f]\d{3})+(?!\d)|\d+)"
 AMOUNT_PATTERN = r"(?:[+-]" + _SP + r"*+)?" + GROUPED + r"(?:[.,](?:\d{1,2})(?!\d))?"
 _DECIMALS = r"[.,](\d{1,2})$"
-# A number as programs write it: digits with one dot, or an exponent.
-_PLAIN = r"^[+-]?(?:\d*\.\d+|\d+\.?\d*[eE][+-]?\d{1,2}|\d*\.\d+[eE][+-]?\d{1,2})$"
+# A number as programs write it: digits with one dot, or an exponent. One to
+# three digits, a dot and three digits are a grouped integer instead, as people
+# write them (``1.234`` is 1234), unless the first digit is a zero (``0.125``).
+_PLAIN = (r"^[+-]?(?![1-9]\d{0,2}\.\d{3}$)"
+          r"(?:\d*\.\d+|\d+\.?\d*[eE][+-]?\d{1,2}|\d*\.\d+[eE][+-]?\d{1,2})$")
 
 
 def _col(c) -> Column:
@@ -35,15 +38,21 @@ def parse_amount(text) -> Column:
     ``1 234,56``, ``1.234,56``, ``1,234.56`` and ``1234,56`` all give 1234.56;
     a single decimal digit is tenths (``12.5`` -> 12.50). A text that is
     nothing but a plain or scientific number with one dot (``0.125``,
-    ``12345678.9``, ``1.0E7``) is that number, rounded half up.
+    ``12345678.9``, ``1.0E7``) is that number, rounded half up; ``1.234`` is a
+    grouped 1234. What is a number by type (a numeric cell, a JSON number) goes
+    through ``number_amount`` and keeps its dot.
 
     One regex search finds the amount; its value is all of its digits
     divided by 10^(number of decimal digits), negated when it carries a minus.
     """
     c = _col(text)
     bare = F.trim(c)
-    number = F.round(bare.try_cast("decimal(38,8)"), 2).try_cast(AMOUNT_TYPE)
-    return F.when(F.rlike(bare, F.lit(_PLAIN)), number).otherwise(amount_value(find_amount(c)))
+    return F.when(F.rlike(bare, F.lit(_PLAIN)), number_amount(bare)).otherwise(amount_value(find_amount(c)))
+
+
+def number_amount(number) -> Column:
+    """A numeric value as decimal(18,2), rounded half up; NULL out of range."""
+    return F.round(_col(number).try_cast("decimal(38,8)"), 2).try_cast(AMOUNT_TYPE)
 
 
 def find_amount(text) -> Column:

@@ -109,7 +109,8 @@ def partial_ratio(number, description) -> Column:
 
 def jaro_winkler_py(a: str, b: str) -> float:
     """Jaro-Winkler similarity: scaling 0.1, common prefix up to 4, boost only
-    when the Jaro similarity is at least 0.7."""
+    when the Jaro similarity is over 0.7; an odd character out of place counts
+    for no transposition."""
     if a is None or b is None:
         return 0.0
     if a == b:
@@ -128,15 +129,15 @@ def jaro_winkler_py(a: str, b: str) -> float:
     if m == 0:
         return 0.0
     hi_hits = [hi[j] for j in range(len(hi)) if hi_flags[j]]
-    half_transpositions = sum(1 for x, y in zip(lo_hits, hi_hits) if x != y)
+    transpositions = sum(1 for x, y in zip(lo_hits, hi_hits) if x != y) // 2
     prefix = 0
     for i in range(min(4, len(lo))):
         if a[i] == b[i]:
             prefix += 1
         else:
             break
-    j = (m / len(a) + m / len(b) + (m - half_transpositions / 2) / m) / 3
-    return j if j < 0.7 else j + 0.1 * prefix * (1 - j)
+    j = (m / len(a) + m / len(b) + (m - transpositions) / m) / 3
+    return j if j <= 0.7 else j + 0.1 * prefix * (1 - j)
 
 
 @F.pandas_udf(DoubleType())

@@ -2,7 +2,8 @@
 
 The reference can ask a local model for invoice fields, bank columns or
 transactions. Calling a model is not part of this library; its *answers*
-arrive as a text column and are parsed here with ``from_json``.
+arrive as a text column and are parsed here as VARIANT values, which keep
+numbers and texts apart.
 """
 
 from __future__ import annotations
@@ -11,13 +12,11 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.amounts import parse_amount
+from ..functions.amounts import number_amount, parse_amount
 from ..functions.dates import parse_date
 from ..functions.text import json_block, ktrim
 from .once import evaluate_once
 
-TX_SCHEMA = ("transactions array<struct<date: string, description: string, amount: string, "
-             "amount_text: string, montant: string>>")
 COLUMNS_SCHEMA = ("date_column string, description_column string, amount_column string, "
                   "debit_column string, credit_column string")
 
@@ -26,28 +25,67 @@ def _blank_to_null(c):
     return F.nullif(ktrim(c), F.lit(""))
 
 
-def find_value(block, key: str):
-    """The scalar under the first ``key`` of a JSON text, at any depth, as a
-    string; NULL if it is missing, null, an object or a list. ``block`` must
-    hold valid JSON."""
-    token = F.regexp_extract(block, '"' + key + r'"\s*+:\s*+("[^"\\]*+(?:\\.[^"\\]*+)*+"|[-+0-9.eE]++|true|false|null)', 1)
-    return F.from_json(F.concat(F.lit('{"v":'), F.nullif(token, F.lit("")), F.lit("}")), "v string")["v"]
+# How deep answers are searched: what models wrap a result in is a level or two.
+MAX_DEPTH = 6
+
+
+def parse_answer(text):
+    """The JSON object in a free-text answer as a VARIANT; NULL if there is
+    none or it is not valid JSON."""
+    return F.try_parse_json(json_block(text))
+
+
+def _get(v, path: str, type_: str = "variant"):
+    return F.try_variant_get(v, path, type_)
+
+
+def find_value(answer, key: str):
+    """The value of ``key`` in the object or, level by level, in the objects and
+    lists within it (the first of a level), as a VARIANT. Strings are values
+    here, so a key quoted within one is not found. NULL if missing or null."""
+    def inner(v):
+        values = F.map_values(F.coalesce(_get(v, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
+        return F.concat(values, F.coalesce(_get(v, "$", "array<variant>"), F.array().cast("array<variant>")))
+    level, found = F.array(answer), []
+    for _ in range(MAX_DEPTH):
+        hits = F.filter(F.transform(level, lambda v: _get(v, f"$.{key}")), lambda v: v.isNotNull() & ~F.is_variant_null(v))
+        found.append(F.get(hits, F.lit(0)))
+        level = F.flatten(F.transform(F.filter(level, lambda v: v.isNotNull()), inner))
+    return F.coalesce(*found)
+
+
+def _kind(v):
+    return F.schema_of_variant(v)
+
+
+def text_value(v):
+    """A scalar VARIANT as text; NULL for objects, lists and blanks."""
+    scalar = ~F.startswith(_kind(v), F.lit("OBJECT")) & ~F.startswith(_kind(v), F.lit("ARRAY"))
+    return _blank_to_null(F.when(scalar, _get(v, "$", "string")))
+
+
+def amount_of(v):
+    """Money by type: a JSON text is read as people write amounts (``"1.234"``
+    is 1234), a JSON number is that number (``1.234`` is 1.23)."""
+    return F.when(_kind(v) == "STRING", parse_amount(text_value(v))) \
+        .when(F.rlike(_kind(v), F.lit("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)")), number_amount(_get(v, "$", "string")))
 
 
 def json_invoice_fields(answers: DataFrame, answer_col: str = "answer") -> DataFrame:
     """invoice fields from a free-text answer holding a JSON object, at
-    any depth. JSON null and blank values stay NULL (they never overlay)."""
+    any of MAX_DEPTH levels. JSON null and blank values stay NULL (they never overlay)."""
     names = ["invoice_number", "invoice_date", "total_amount", "currency"]
-    block = answers.withColumn("_b", json_block(answer_col))
-    valid = F.when(F.from_json("_b", "map<string,string>").isNotNull(), F.col("_b"))
-    parsed = block.withColumn("_v", valid).withColumn("_p", F.struct(*[find_value(F.col("_v"), n).alias(n) for n in names])) \
-        .drop("_b", "_v")
-    p = F.col("_p")
-    return evaluate_once(parsed, {
-        "llm_invoice_number": _blank_to_null(p["invoice_number"]),
-        "llm_invoice_date": parse_date(_blank_to_null(p["invoice_date"])),
-        "llm_total_amount": parse_amount(_blank_to_null(p["total_amount"])),
-        "llm_currency": F.upper(_blank_to_null(p["currency"]))}).drop("_p")
+    parsed = evaluate_once(answers, {"_v": parse_answer(answer_col)})
+    top = {n: _get(F.col("_v"), f"$.{n}") for n in names}
+    plain = {n: F.when(v.isNotNull() & ~F.is_variant_null(v), v) for n, v in top.items()}
+    # most answers hold their fields at the top; only what is missing there is searched for
+    found = evaluate_once(parsed, {f"_{n}": F.coalesce(plain[n], F.when(F.rlike(answer_col, F.lit(r"(?s)\{.*[\[{]")), find_value(F.col("_v"), n)))
+                                   for n in names})
+    return evaluate_once(found, {
+        "llm_invoice_number": text_value(F.col("_invoice_number")),
+        "llm_invoice_date": parse_date(text_value(F.col("_invoice_date"))),
+        "llm_total_amount": amount_of(F.col("_total_amount")),
+        "llm_currency": F.upper(text_value(F.col("_currency")))}).drop("_v", *[f"_{n}" for n in names])
 
 
 def json_transactions(answers: DataFrame, answer_col: str = "answer",
@@ -56,17 +94,16 @@ def json_transactions(answers: DataFrame, answer_col: str = "answer",
     The amount may also come as ``amount_text`` or ``montant``; items with a
     blank date or description are skipped, then rows need a date and an
     amount that parse."""
-    p = F.from_json(json_block(answer_col), TX_SCHEMA)
-    items = answers.select(id_col, answer_col) \
-        .select(F.col(id_col), F.posexplode(p["transactions"]).alias("row_idx", "t"))
-    date_s = ktrim(F.col("t.date"))
-    desc = ktrim(F.col("t.description"))
-    amt_s = F.coalesce(F.col("t.amount"), F.col("t.amount_text"), F.col("t.montant"))
-    kept = items.where((F.coalesce(date_s, F.lit("")) != "") & (F.coalesce(desc, F.lit("")) != "")) \
-        .select(id_col, F.col("row_idx").cast("long").alias("row_idx"), "t")
-    rows = evaluate_once(kept, {"date": parse_date(date_s), "description": desc,
-                                "amount": parse_amount(ktrim(amt_s))})
-    return rows.where(F.col("date").isNotNull() & F.col("amount").isNotNull()).drop("t")
+    told = evaluate_once(answers.select(id_col, answer_col), {"_v": _get(parse_answer(answer_col), "$.transactions")})
+    items = told.lateralJoin(told.sparkSession.tvf.variant_explode(F.col("_v").outer())) \
+        .select(F.col(id_col), F.col("pos").cast("long").alias("row_idx"), F.col("value").alias("t"))
+    amounts = [F.when(~F.is_variant_null(v), v) for v in (_get(F.col("t"), f"$.{n}") for n in ("amount", "amount_text", "montant"))]
+    fields = evaluate_once(items, {"_date": text_value(_get(F.col("t"), "$.date")), "description": text_value(_get(F.col("t"), "$.description")),
+                                   "_amount": F.coalesce(*amounts)})
+    kept = fields.where(F.col("_date").isNotNull() & F.col("description").isNotNull())
+    rows = evaluate_once(kept, {"date": parse_date(F.col("_date")), "amount": amount_of(F.col("_amount"))})
+    return rows.where(F.col("date").isNotNull() & F.col("amount").isNotNull()) \
+        .select(id_col, "row_idx", "date", "description", "amount")
 
 
 def json_column_map(answers: DataFrame, answer_col: str = "answer") -> DataFrame:

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.amounts import GROUPED, parse_amount
+from ..functions.amounts import parse_amount
 from ..functions.dates import parse_date
 from ..functions.text import ktrim
 from ..operators.once import evaluate_once
 
-# Fixed value: a statement line starts with a numeric date. One pattern over
-# the untrimmed line: date, description (the shortest prefix, possibly none,
-# after which an amount ends the line, so digits that end the description are
-# not taken for it), amount in the grammar of ``functions.amounts``.
-LINE_PATTERN = (r"^[\s\p{Z}]*+(\d{1,2}[\-/]\d{1,2}[\-/]\d{2,4})[\s\p{Z}]++(?:(.*?)[\s\p{Z}])??([+-]?[\s\p{Z}]?" + GROUPED
-                + r"(?:[.,]\d{1,2})?)[\s\p{Z}]*+$")
-# Separates the three parts for one split; a noncharacter, never in text.
+_B = r"[\s\p{Z}]"
+# Fixed value: a statement line starts with a numeric date.
+HEAD_PATTERN = rf"^{_B}*+(\d{{1,2}}[\-/]\d{{1,2}}[\-/]\d{{2,4}}){_B}++(.*)$"
+# The amount that ends a line, in the grammar of ``functions.amounts``, on the
+# reversed line: decimals, groups of three from the right, sign. Anchored, and
+# each step back gives up one group, so a line costs one pass. The longest
+# amount after a blank is taken, so digits that end the description are not.
+TAIL_PATTERN = (rf"^{_B}*+((?:\d{{1,2}}[.,])?+(?:(?:\d{{3}}[ .,\u00a0\u202f])+\d{{1,3}}(?!\d)|\d++)"
+                rf"(?:{_B}?[+-])?)(?={_B})")
+# Separates the parts for a split; a noncharacter, never in text.
 _MARK = "\ufdd0"
 
 
@@ -24,15 +27,15 @@ def parse_statement_lines(lines: DataFrame, line_col: str = "line", id_col: str
     """Trimmed non-blank lines that start with a date and end with an amount
     -> (statement_id, row_idx, date, description, amount); other lines are
     skipped."""
-    # one regex pass: a matching line becomes "date<mark>description<mark>amount"
-    sep = _MARK
-    parts = F.split(F.regexp_replace(F.col(line_col), LINE_PATTERN, f"$1{sep}$2{sep}$3"), sep)
+    # the amount from the right end, then the date from the left of what remains
     base = evaluate_once(lines.select(F.col(id_col).alias("statement_id"),
                                       F.col(no_col).cast("long").alias("row_idx"), line_col),
-                         {"_parts": F.when(F.size(parts) == 3, parts)})
+                         {"_tail": F.split(F.regexp_replace(F.reverse(F.col(line_col)), TAIL_PATTERN, f"{_MARK}$1{_MARK}"), _MARK)})
+    head = F.split(F.regexp_replace(F.reverse(F.col("_tail")[2]), HEAD_PATTERN, f"$1{_MARK}$2"), _MARK)
+    base = evaluate_once(base.where(F.size("_tail") == 3), {"_head": head}).where(F.size("_head") == 2)
     parsed = evaluate_once(base, {
-        "date": parse_date(F.col("_parts")[0]),
-        "description": ktrim(F.col("_parts")[1]),
-        "amount": parse_amount(F.col("_parts")[2])})
+        "date": parse_date(F.col("_head")[0]),
+        "description": ktrim(F.col("_head")[1]),
+        "amount": parse_amount(F.reverse(F.col("_tail")[1]))})
     return parsed.where(F.col("date").isNotNull() & F.col("amount").isNotNull()) \
         .select("statement_id", "row_idx", "date", "description", "amount")
