@@ -158,7 +158,7 @@ def resp_v(spark, sf_dir) -> DataFrame:
     q = F.lit('"')
     number = F.when(k % 5 == 0, F.lit("null")).otherwise(F.concat(q, F.lit("LLM-"), k, q))
     date = F.concat(q, F.coalesce(F.date_format("invoice_date", "yyyy-MM-dd"), F.lit("")), q)
-    total = F.when(F.col("total_amount").isNotNull() & (k % 4 == 2), F.col("total_amount").cast("double").cast("string")) \
+    total = F.when(F.col("total_amount").isNotNull() & (k % 4 == 2), F.col("total_amount").cast("string")) \
         .otherwise(F.concat(q, F.coalesce(format_fr_amount(F.col("total_amount")), F.lit("")), q))
     js = F.concat(F.lit('{"invoice_number":'), number, F.lit(',"invoice_date":'), date,
                   F.lit(',"total_amount":'), total, F.lit(',"currency":"eur"}'))

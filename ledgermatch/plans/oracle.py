@@ -172,7 +172,8 @@ ORACLE["find_invoice_date"] = f"""WITH {ORD}
 SELECT k, CASE WHEN k % 5 = 4 THEN NULL ELSE strftime(d, '%Y-%m-%d') END AS invoice_date FROM ord"""
 
 ORACLE["find_total_amount"] = f"""WITH {ORD}
-SELECT k, CAST(CASE WHEN k % 5 = 4 THEN cents - 1000 ELSE cents END AS DOUBLE) / 100 AS total_amount FROM ord"""
+SELECT k, CAST(CASE WHEN k % 5 = 4 THEN cents - 1000 ELSE cents END AS DOUBLE) / 100 AS total_amount FROM ord
+UNION ALL SELECT -k, CAST(cents // 100 AS DOUBLE) FROM ord"""
 
 ORACLE["find_currency"] = f"""WITH {ORD}
 SELECT k, 'EUR' AS currency, k % 4 <> 3 AS currency_detected FROM ord"""
@@ -194,7 +195,8 @@ ORACLE["text_max_amount"] = """SELECT l_orderkey AS k, CAST(max(CAST(round(l_ext
 FROM lineitem GROUP BY l_orderkey"""
 
 ORACLE["fn_parse_amount"] = f"""WITH {ORD}
-SELECT k, CAST(CASE WHEN k % 3 = 0 THEN -cents ELSE cents END AS DOUBLE) / 100 AS amount FROM ord"""
+SELECT k, CAST(CASE WHEN k % 3 = 0 THEN -cents ELSE cents END AS DOUBLE) / 100 AS amount FROM ord
+UNION ALL SELECT -k, CAST(cents // 100 AS DOUBLE) FROM ord"""
 
 ORACLE["fn_parse_date"] = f"""WITH {ORD}
 SELECT k, CASE WHEN k % 5 = 4 THEN strftime(d, '%Y-%m-%d')
@@ -262,10 +264,9 @@ bj AS (SELECT b.*, j.jw_idx FROM best b JOIN jwr j USING (layout, field))"""
 
 # DuckDB drops the half of an odd transposition count that the Jaro part keeps here, which shows in headers with
 # numbers; similarities are compared on headers without them.
-ORACLE["header_best_match"] = f"""{COLUMN_RULES.replace(" || CASE WHEN idx = 0 AND k % 7 = 0 THEN ' ' || (k % 101) ELSE '' END", "")}
+ORACLE["header_best_match"] = f"""{COLUMN_RULES}
 SELECT layout, field, CAST(exact_idx AS INTEGER) AS exact_idx, CAST(contains_idx AS INTEGER) AS contains_idx,
-       CAST(CASE WHEN jw_best >= 0.85 THEN jw_idx END AS INTEGER) AS jw_idx,
-       CASE WHEN jw_best >= 0.85 THEN round(jw_best, 6) END AS jw_best FROM bj"""
+       CAST(jw_idx AS INTEGER) AS jw_idx, round(jw_best, 6) AS jw_best FROM bj"""
 
 ORACLE["detect_columns"] = f"""{COLUMN_RULES},
 ch AS (SELECT layout, field, coalesce(exact_idx, contains_idx, CASE WHEN jw_best >= 0.85 THEN jw_idx END) AS c FROM bj),
@@ -336,10 +337,21 @@ SELECT statement_id, row_idx + 11 AS row_idx, headers, cells FROM cells_v"""
 
 ORACLE["src_csv_sniff"] = f"""WITH {TXN_V},\n{CELLS_V}
 SELECT statement_id, row_idx * 2 + 2 AS row_idx, headers,
-       CASE WHEN statement_id = 'st_3' AND row_idx % 6 = 0 THEN replace(cells, 'VIR ', 'VIR' || chr(10)) ELSE cells END AS cells
+       CASE WHEN statement_id = 'st_3' AND row_idx % 6 = 0 THEN replace(cells, 'VIR ', 'VIR' || chr(10))
+            WHEN statement_id <> 'st_3' AND row_idx % 3 = 1 THEN replace(cells, 'VIR ', 'VIR 5" ') ELSE cells END AS cells
 FROM cells_v"""
 
-ORACLE["src_statement_lines"] = f"WITH {TXN_V}\nSELECT {TX_OUT} FROM txn_v WHERE row_idx % 10 <> 0"
+ORACLE["src_csv_yield"] = f"""WITH {TXN_V},\n{CELLS_V}
+SELECT statement_id, row_idx * 2 + 2 AS row_idx,
+       CASE statement_id WHEN 'st_0' THEN replace(headers, 'Libell\u00e9', 'Libell\u00e9, d\u00e9tail, suite')
+            ELSE replace(headers, 'Label', 'Label; a|b|c, d') END AS headers,
+       CASE WHEN row_idx % 3 = 1 THEN replace(cells, 'VIR ', 'VIR 5" ') ELSE cells END AS cells
+FROM cells_v WHERE statement_id IN ('st_0', 'st_1')"""
+
+ORACLE["src_statement_lines"] = f"""WITH {TXN_V}
+SELECT {TX_OUT} FROM txn_v WHERE row_idx % 10 <> 0
+UNION ALL SELECT 'w_' || statement_id, row_idx, strftime(date, '%Y-%m-%d'), description, CAST(sign(cents) * (abs(cents) // 100) AS DOUBLE)
+FROM txn_v"""
 
 ORACLE["src_route_format"] = """SELECT 'f' || o_orderkey || (['.PDF', '.csv', '.XLSX', '.xls', '.txt'])[o_orderkey % 5 + 1] AS filename,
        CASE o_orderkey % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'csv' WHEN 2 THEN 'excel' WHEN 3 THEN 'excel' END AS format,
@@ -363,10 +375,10 @@ RESP_V = f"""resp_v AS (
     CASE WHEN k % 6 = 0 THEN '{{"facture":' ELSE '' END
     || '{{"invoice_number":' || CASE WHEN k % 5 = 0 THEN 'null' ELSE '"LLM-' || k || '"' END
     || ',"invoice_date":"' || coalesce(strftime(invoice_date, '%Y-%m-%d'), '')
-    || '","total_amount":' || '@' || ',"currency":"eur"}}' || CASE WHEN k % 6 = 0 THEN '}}' ELSE '' END AS js
+    || '","total_amount":' || CASE WHEN cents IS NOT NULL AND k % 4 = 2 THEN CAST(CAST(cents AS DECIMAL(20, 0)) / 100 AS DECIMAL(18, 2))::VARCHAR
+                                   ELSE '"' || coalesce({fr_amt('cents')}, '') || '"' END || ',"currency":"eur"}}' || CASE WHEN k % 6 = 0 THEN '}}' ELSE '' END AS js
   FROM inv_v)"""
 
-#: The rendering of a total as a JSON number differs between engines, so the block is compared without it.
 ORACLE["json_block"] = f"WITH {INV_V},\n{RESP_V}\nSELECT k, CASE WHEN k % 2 = 0 THEN js END AS block FROM resp_v"
 
 ORACLE["json_invoice_fields"] = f"""WITH {INV_V}
@@ -374,7 +386,9 @@ SELECT k, CASE WHEN k % 2 = 0 AND k % 5 <> 0 THEN 'LLM-' || k END AS llm_invoice
        CASE WHEN k % 2 = 0 THEN strftime(invoice_date, '%Y-%m-%d') END AS llm_invoice_date,
        CASE WHEN k % 2 = 0 THEN CAST(cents AS DOUBLE) / 100 END AS llm_total_amount,
        CASE WHEN k % 2 = 0 THEN 'EUR' END AS llm_currency
-FROM inv_v"""
+FROM inv_v
+UNION ALL SELECT -o_orderkey, NULL, NULL, CASE WHEN o_orderkey % 2 = 0 THEN CAST(({CENTS} % 999000 + 5) // 10 AS DOUBLE) / 100
+                                               ELSE CAST({CENTS} // 100 AS DOUBLE) END, NULL FROM orders"""
 
 ORACLE["json_transactions"] = f"""WITH {TXN_V},
 items AS (SELECT *, statement_id || '#' || (row_idx // 10) AS sid,
@@ -480,6 +494,9 @@ st AS (SELECT DISTINCT statement_id FROM txn_v)
 SELECT statement_id, 'no date column' AS reason, CAST(0 AS BIGINT) AS rows FROM st WHERE statement_id = 'st_2'
 UNION ALL SELECT 'blank_' || statement_id, 'no separator', 0 FROM st
 UNION ALL SELECT 'bare_' || statement_id, 'no header row', 0 FROM st
+UNION ALL SELECT 'head_' || statement_id, 'no row below the header', 0 FROM st
+UNION ALL SELECT 'empty_' || statement_id || '.csv', 'empty file', 0 FROM st
+UNION ALL SELECT 'doc_' || statement_id || '.odt', 'unsupported format: doc_' || statement_id || '.odt', 0 FROM st
 UNION ALL SELECT 'from grid', NULL, (SELECT count(*) FROM txn_v WHERE {_ODD})
 UNION ALL SELECT 'from lines', NULL, (SELECT count(*) FROM txn_v WHERE row_idx % 10 <> 0)
 UNION ALL SELECT 'from answers', NULL, (SELECT count(*) FROM txn_v WHERE row_idx % 4 <> 3)"""

@@ -20,35 +20,47 @@ from ..operators.matching import match
 from ..operators.statements import filter_valid, grid_rejects, grid_to_rows, harmonise, statement_rejects
 from ..sources.delimited import delimited_rejects, delimited_to_rows
 from ..sources.lines import parse_statement_lines
-from ..sources.routing import union_sources
+from ..sources.routing import supported, union_sources
 from ..session import checkpoint_dir
 from . import fixtures as fx
 
 
+#: Why a statement of which no row was read has no transaction.
+NO_ROW = "no row below the header"
 TX_COLUMNS = ["statement_id", "row_idx", "date", "description", "amount"]
 
 
 def load_transactions(statement_rows: DataFrame | None = None, delimited_lines: DataFrame | None = None,
                       statement_lines: DataFrame | None = None, grids: DataFrame | None = None,
-                      column_answers: DataFrame | None = None, transaction_answers: DataFrame | None = None
-                      ) -> tuple[DataFrame, DataFrame]:
+                      column_answers: DataFrame | None = None, transaction_answers: DataFrame | None = None,
+                      files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """All statement sources -> (transactions, rejects).
 
     Rows come from ready rows, delimited text and raw grids; ``column_answers``
     (statement_id, answer) suggest columns where headers are not recognised.
     Text lines add what no row of their statement has. ``transaction_answers``
     (statement_id, answer) serve the statements that yield nothing else.
-    ``rejects``: statement_id and reason of every statement without any
-    transaction."""
+    ``files`` (``routing.list_files``: statement_id, reject_reason) is the
+    inventory of the run: rows of files it refuses are left out.
+
+    ``rejects``: statement_id and reason of every statement, in a source or in
+    the inventory, without any transaction; also of those that gave no row at
+    all (empty files, a header alone)."""
+    given = {"rows": statement_rows, "delimited": delimited_lines, "lines": statement_lines, "grids": grids}
+    given = {k: df if files is None else supported(df, files) for k, df in given.items() if df is not None}
+    seen = [df.select("statement_id").distinct() for df in given.values()]
     rows, reasons = [], []
-    if statement_rows is not None:
-        rows.append(statement_rows.select("statement_id", "row_idx", "headers", "cells"))
-    if delimited_lines is not None:
-        rows.append(delimited_to_rows(delimited_lines))
-        reasons.append(delimited_rejects(delimited_lines))
-    if grids is not None:
-        rows.append(grid_to_rows(grids))
-        reasons.append(grid_rejects(grids))
+    if "rows" in given:
+        rows.append(given["rows"].select("statement_id", "row_idx", "headers", "cells"))
+    if "delimited" in given:
+        rows.append(delimited_to_rows(given["delimited"]))
+        reasons.append(delimited_rejects(given["delimited"]))
+    if "grids" in given:
+        rows.append(grid_to_rows(given["grids"]))
+        reasons.append(grid_rejects(given["grids"]))
+    if files is not None:
+        seen.append(files.select("statement_id").distinct())
+        reasons.append(files.where(F.col("reject_reason").isNotNull()).select("statement_id", F.col("reject_reason").alias("reason")))
     tx = None
     if rows:
         suggestions = None if column_answers is None else json_column_map(column_answers)
@@ -57,9 +69,9 @@ def load_transactions(statement_rows: DataFrame | None = None, delimited_lines:
         harmonised = harmonise(reduce(DataFrame.unionByName, rows).checkpoint(), suggestions=suggestions).checkpoint()
         reasons.append(statement_rejects(harmonised))
         tx = filter_valid(harmonised).select(*TX_COLUMNS).withColumn("row_source", F.lit("grid"))
-    if statement_lines is not None:
-        lines = parse_statement_lines(statement_lines).select(*TX_COLUMNS)
-        reasons.append(statement_lines.select("statement_id").distinct().join(
+    if "lines" in given:
+        lines = parse_statement_lines(given["lines"]).select(*TX_COLUMNS)
+        reasons.append(given["lines"].select("statement_id").distinct().join(
             lines.select("statement_id").distinct(), "statement_id", "left_anti")
             .select("statement_id", F.lit("no transaction line").alias("reason")))
         tx = lines.withColumn("row_source", F.lit("lines")) if tx is None else union_sources(tx, lines)
@@ -68,20 +80,26 @@ def load_transactions(statement_rows: DataFrame | None = None, delimited_lines:
         tx = told if tx is None else tx.unionByName(told.join(tx.select("statement_id").distinct(), "statement_id", "left_anti"))
     if tx is None:
         raise ValueError("no statement source given")
-    if not reasons:
+    if not seen:
         return tx, tx.select("statement_id", F.lit(None).cast("string").alias("reason")).limit(0)
-    rejects = reduce(DataFrame.unionByName, reasons).join(tx.select("statement_id").distinct(), "statement_id", "left_anti")
-    return tx, rejects.groupBy("statement_id").agg(F.min("reason").alias("reason"))
+    empty = reduce(DataFrame.union, seen).distinct().join(tx.select("statement_id").distinct(), "statement_id", "left_anti")
+    if not reasons:
+        return tx, empty.withColumn("reason", F.lit(NO_ROW))
+    known = reduce(DataFrame.unionByName, reasons).groupBy("statement_id").agg(F.min("reason").alias("reason"))
+    return tx, empty.join(known, "statement_id", "left").withColumn("reason", F.coalesce("reason", F.lit(NO_ROW)))
 
 
 def reconcile(invoice_docs: DataFrame, statement_rows: DataFrame | None = None,
               delimited_lines: DataFrame | None = None, statement_lines: DataFrame | None = None,
               answers: DataFrame | None = None, amount_tolerance=0.02, max_days: int = 90,
               persist: bool = True, grids: DataFrame | None = None, column_answers: DataFrame | None = None,
-              transaction_answers: DataFrame | None = None, **match_options) -> dict[str, DataFrame]:
+              transaction_answers: DataFrame | None = None, files: DataFrame | None = None,
+              **match_options) -> dict[str, DataFrame]:
     """Returns ``invoices`` (flagged, no raw text), ``matches``,
     ``transactions`` (flagged), ``summary`` (one row of counts) and
-    ``rejects`` (statements without a transaction, with the reason).
+    ``rejects`` (statements without a transaction, with the reason; with
+    ``files``, the inventory of ``routing.list_files``, also empty and
+    unsupported files).
 
     The extracted invoices and the harmonised transactions feed the match,
     both flag joins and the summary; with ``persist`` they are kept
@@ -93,7 +111,7 @@ def reconcile(invoice_docs: DataFrame, statement_rows: DataFrame | None = None,
     if answers is not None:
         inv = overlay(inv, json_invoice_fields(answers))
     tx, rejects = load_transactions(statement_rows, delimited_lines, statement_lines, grids, column_answers,
-                                    transaction_answers)
+                                    transaction_answers, files)
     if persist:
         inv = inv.persist(StorageLevel.MEMORY_AND_DISK)
         tx = tx.persist(StorageLevel.MEMORY_AND_DISK)

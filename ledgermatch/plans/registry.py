@@ -8,6 +8,7 @@ doubles, scores rounded to 6 decimals, arrays joined to strings.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -246,7 +247,8 @@ def q_find_date(spark, sf_dir):
 @query("find_total_amount")
 def q_find_total(spark, sf_dir):
     """F8: both labels, French and English numbers, the largest-amount
-    fallback, and a sub-total line that is hit first (as in the reference)."""
+    fallback, a sub-total line that is hit first (as in the reference), and
+    whole totals (keys below zero) grouped by dots."""
     o = _orders(spark, sf_dir)
     k, t = F.col("k"), F.col("total")
     sub = (t - F.lit(10)).cast("decimal(18,2)")
@@ -257,7 +259,9 @@ def q_find_total(spark, sf_dir):
         F.concat(F.lit("Facture 1\nArticle A : 12,00\nArticle B : "), format_fr_amount(t)),
         F.concat(F.lit("Facture 1\nSous-total : "), format_fr_amount(sub), F.lit("\nTotal TTC : "),
                  format_fr_amount(t))])
-    return o.select("k", dbl(IF.find_total_amount(IF.lowered(text))).alias("total_amount"))
+    dotted = o.select((-k).alias("k"), F.concat(F.lit("Facture 1\nTotal TTC : "), _dotted(F.floor(t))).alias("text"))
+    return o.select("k", text.alias("text")).unionByName(dotted) \
+        .select("k", dbl(IF.find_total_amount(IF.lowered("text"))).alias("total_amount"))
 
 
 @query("find_currency")
@@ -324,7 +328,8 @@ def q_text_max_amount(spark, sf_dir):
 @query("fn_parse_amount")
 def q_parse_amount(spark, sf_dir):
     """round trip of signed totals through twelve renderings: grouped,
-    with no-break blanks, plain, scientific, and inside text."""
+    with no-break blanks, plain, scientific, and inside text; and of whole
+    totals (keys below zero) grouped by dots, where one group is no decimals."""
     o = _orders(spark, sf_dir)
     k = F.col("k")
     v = F.when(k % 3 == 0, -F.col("total")).otherwise(F.col("total")).cast("decimal(18,2)")
@@ -344,7 +349,13 @@ def q_parse_amount(spark, sf_dir):
         F.concat(v.cast("string"), F.lit("4")),
         F.concat(F.lit("  "), v.cast("string"), F.lit("0000 ")),
         F.concat(F.lit("Solde "), F.translate(en, ",.", "\u202f,"))])
-    return o.select("k", dbl(parse_amount(text)).alias("amount"))
+    dotted = o.select((-k).alias("k"), _dotted(F.floor("total")).alias("text"))
+    return o.select("k", text.alias("text")).unionByName(dotted).select("k", dbl(parse_amount("text")).alias("amount"))
+
+
+def _dotted(whole):
+    """A whole amount as people group it: ``1.234``, ``12.345.678``."""
+    return F.translate(F.format_number(whole, 0), ",", ".")
 
 
 @query("fn_parse_date")
@@ -403,7 +414,7 @@ from ..sources.routing import route_by_extension, union_sources  # noqa: E402
 from ..sources.documents import concat_pages  # noqa: E402
 
 
-def _layouts(spark, sf_dir, numbered: bool = True):
+def _layouts(spark, sf_dir):
     """The header list of every transaction row, changed by its key: case,
     accents, typos, blanks, a number, and a missing first or last column."""
     c = fx.cells_v(spark, sf_dir).select("row_idx", "headers")
@@ -418,7 +429,7 @@ def _layouts(spark, sf_dir, numbered: bool = True):
     cut = F.floor(k / 8) % 3
     part = F.when(cut == 1, F.slice("headers", F.lit(1), n - 1)).when(cut == 2, F.slice("headers", F.lit(2), n - 1)) \
         .otherwise(F.col("headers"))
-    changed = F.transform(part, lambda x, i: F.when(F.lit(numbered) & (i == 0) & (k % 7 == 0), F.concat(
+    changed = F.transform(part, lambda x, i: F.when((i == 0) & (k % 7 == 0), F.concat(
         change(x), F.lit(" "), (k % 101).cast("string"))).otherwise(change(x)))
     return c.select(changed.alias("headers"))
 
@@ -430,12 +441,10 @@ def _tx_out(df):
 
 @query("header_best_match")
 def q_header_best_match(spark, sf_dir):
-    """A5 + F18: per layout and field, exact / containing / most similar header
-    (the last where its similarity counts, from 0.85 on)."""
-    b = header_best_match(_layouts(spark, sf_dir, numbered=False))
+    """A5 + F18: per layout and field, exact / containing / most similar header."""
+    b = header_best_match(_layouts(spark, sf_dir))
     return b.select(F.array_join("headers", "|").alias("layout"), "field", "exact_idx", "contains_idx",
-                    F.when(F.col("jw_best") >= 0.85, F.col("jw_idx")).alias("jw_idx"),
-                    F.when(F.col("jw_best") >= 0.85, r6("jw_best")).alias("jw_best"))
+                    "jw_idx", r6("jw_best").alias("jw_best"))
 
 
 @query("detect_columns")
@@ -536,8 +545,10 @@ def delimited_lines(spark, sf_dir):
         return (F.when(sid == "st_0", F.array_join(arr, ";")).when(sid == "st_1", F.array_join(arr, "\t"))
                 .when(sid == "st_2", F.array_join(arr, "|")).otherwise(F.array_join(q, ",")))
     broken = (sid == "st_3") & (F.col("row_idx") % 6 == 0)  # records with a line break inside quotes
+    stray = (sid != "st_3") & (F.col("row_idx") % 3 == 1)  # a quote inside a field
     whole = c.select("statement_id", (F.col("row_idx") * 2 + 2).alias("line_no"),
                      F.when(broken, F.transform("cells", lambda x: F.replace(x, F.lit("VIR "), F.lit("VIR\n"))))
+                     .when(stray, F.transform("cells", lambda x: F.replace(x, F.lit("VIR "), F.lit('VIR 5" '))))
                      .otherwise(F.col("cells")).alias("cells"))
     data = whole.select("statement_id", "line_no", F.posexplode(F.split(render(F.col("cells")), "\n")).alias("_p", "line")) \
         .select("statement_id", (F.col("line_no") + F.col("_p")).alias("line_no"), "line")
@@ -548,14 +559,29 @@ def delimited_lines(spark, sf_dir):
 
 @query("src_csv_sniff")
 def q_csv_sniff(spark, sf_dir):
-    """Separator sniffing and quote-aware splitting."""
+    """Separator sniffing and quote-aware splitting; a third of the rows hold
+    a quote inside a field, which opens nothing."""
     return _cells_str(delimited_to_rows(delimited_lines(spark, sf_dir)))
 
 
+@query("src_csv_yield")
+def q_csv_yield(spark, sf_dir):
+    """Headers that several separators split; the one under which the lines
+    below are transactions is taken."""
+    lines = delimited_lines(spark, sf_dir).where(F.col("statement_id").isin("st_0", "st_1"))
+    more = F.when(F.col("statement_id") == "st_0", F.replace("line", F.lit("Libell\u00e9"), F.lit("Libell\u00e9, d\u00e9tail, suite"))) \
+        .otherwise(F.replace("line", F.lit("Label"), F.lit("Label; a|b|c, d")))
+    return _cells_str(delimited_to_rows(lines.withColumn("line", F.when(F.col("line_no") == 1, more).otherwise(F.col("line")))))
+
+
 @query("src_statement_lines")
 def q_statement_lines(spark, sf_dir):
-    """Date + description + amount lines; balance lines skipped."""
-    return _tx_out(parse_statement_lines(fx.lines_v(spark, sf_dir)))
+    """Date + description + amount lines; balance lines skipped; and whole
+    amounts (statements ``w_``) grouped by dots."""
+    t = fx._txn_base(spark, sf_dir)
+    whole = t.select(F.concat(F.lit("w_"), "statement_id").alias("statement_id"), F.col("row_idx").alias("line_no"), F.concat_ws(
+        " ", F.date_format("date", "dd/MM/yyyy"), F.col("description"), _dotted(F.expr("cents div 100"))).alias("line"))
+    return _tx_out(parse_statement_lines(fx.lines_v(spark, sf_dir).unionByName(whole)))
 
 
 # File extensions cycled over by the routing check.
@@ -597,14 +623,20 @@ from ..functions.text import json_block  # noqa: E402
 @query("json_block")
 def q_json_block(spark, sf_dir):
     """JSON object cut out of a free-text answer."""
-    block = F.regexp_replace(json_block("answer"), '("total_amount":)("[^"]*"|[-+0-9.eE]+)', "$1@")
-    return fx.resp_v(spark, sf_dir).select("k", block.alias("block"))
+    return fx.resp_v(spark, sf_dir).select("k", json_block("answer").alias("block"))
 
 
 @query("json_invoice_fields")
 def q_json_invoice_fields(spark, sf_dir):
-    """answer -> invoice fields (JSON null and blanks stay NULL)."""
-    p = json_invoice_fields(fx.resp_v(spark, sf_dir))
+    """answer -> invoice fields (JSON null and blanks stay NULL). Answers of
+    keys below zero give a total of three decimals, as a JSON number (even) or
+    as a text, where it is grouped, and quote a key inside a text."""
+    o = _orders(spark, sf_dir)
+    thousandths = F.concat((F.col("cents") % 999_000 / 1000).cast("decimal(18,3)").cast("string"))
+    total = F.when(F.col("k") % 2 == 0, thousandths).otherwise(F.concat(F.lit('"'), _dotted(F.floor("total")), F.lit('"')))
+    typed = o.select((-F.col("k")).alias("k"), F.concat(
+        F.lit('{"note":"the \\"total_amount\\": 1, \\"currency\\":\\"usd\\"","lines":[{"total_amount":'), total, F.lit("}]}")).alias("answer"))
+    p = json_invoice_fields(fx.resp_v(spark, sf_dir).select("k", "answer").unionByName(typed))
     return p.select("k", "llm_invoice_number", iso("llm_invoice_date").alias("llm_invoice_date"),
                     dbl("llm_total_amount").alias("llm_total_amount"), "llm_currency")
 
@@ -766,7 +798,8 @@ def q_harmonise_suggested(spark, sf_dir):
 
 @query("reconcile_rejects")
 def q_reconcile_rejects(spark, sf_dir):
-    """Rejects of a run: statements without any transaction and why; answers
+    """Rejects of a run: statements without any transaction and why, also those
+    of a header alone and empty or unsupported files of the inventory; answers
     listing transactions take the place of missing lines."""
     from .reconcile import load_transactions
     rows, told = _odd_headers(spark, sf_dir)
@@ -774,7 +807,16 @@ def q_reconcile_rejects(spark, sf_dir):
     blank = lines.select(F.concat(F.lit("blank_"), "statement_id").alias("statement_id"), "line_no", F.lit(" ").alias("line"))
     grid = fx.grid_v(spark, sf_dir).select(F.concat(F.lit("bare_"), "statement_id").alias("statement_id"), "row_idx",
                                            F.slice("cells", 1, 1).alias("cells"))
-    tx, rejects = load_transactions(rows, delimited_lines=blank, statement_lines=lines.withColumn(
+    headed = fx.heads_v(spark, sf_dir).select(F.concat(F.lit("head_"), "statement_id").alias("statement_id"),
+                                              F.lit(0).cast("long").alias("line_no"), F.array_join("headers", ";").alias("line"))
+    ids = fx.heads_v(spark, sf_dir).select("statement_id")
+    files = route_by_extension(reduce(DataFrame.union, [ids.select(F.concat(F.lit(p), "statement_id", F.lit(x)).alias("statement_id"), F.lit(n).alias("length"))
+                                                        for p, x, n in (("empty_", ".csv", 0), ("doc_", ".odt", 9), ("head_", "", 9))]), "statement_id")
+    files = files.withColumn("reject_reason", F.when(F.startswith("statement_id", F.lit("head_")), F.lit(None))
+                             .otherwise(F.coalesce("reject_reason", F.when(F.col("length") == 0, "empty file"))))
+    odd = headed.withColumn("statement_id", F.replace("statement_id", F.lit("head_"), F.lit("doc_"))) \
+        .select(F.concat("statement_id", F.lit(".odt")).alias("statement_id"), "line_no", F.lit("a;b").alias("line"))
+    tx, rejects = load_transactions(rows, delimited_lines=blank.unionByName(headed).unionByName(odd), files=files, statement_lines=lines.withColumn(
         "statement_id", F.concat(F.lit("l_"), "statement_id")), grids=grid, column_answers=told,
         transaction_answers=tx_answers(spark, sf_dir))
     counted = tx.groupBy("row_source").agg(F.count(F.lit(1)).alias("rows"))

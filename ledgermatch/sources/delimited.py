@@ -5,32 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import ktrim
+from ..operators.statements import drop_reason, harmonise
+from ..session import checkpoint_dir
 
 # Separators tried in this order; the first that splits the
 # header line into more than one field wins.
 SEPARATORS = [",", ";", "\t", "|"]
 _REGEX_SEP = {",": ",", ";": ";", "\t": "\\t", "|": "\\|"}
-# Stands for a separator inside quotes while a line is split; a noncharacter, never in text.
-_MARK = "\ufdd0"
+_BLANKS = r"[ \u00a0\u202f]*+"
+_QUOTED = r'(?s)^"([^"]*+(?:""[^"]*+)*+)"(.*)$'
+#: Lines (numbers of lines, bytes in files) of one run of the quote states, and
+#: the most that one record may span; a longer one is taken as plain lines.
+RUN_LINES = 1 << 20
+RECORD_SPAN = 1 << 16
+#: Lines after the header that decide between separators, where more than one splits it.
+HEAD_LINES = 20
+
+
+def _quoted(sep: str) -> str:
+    """A field in quotes, as a pattern: a quote opens at the field's start
+    only, a doubled one is text, and what follows the closing one up to the
+    separator belongs to the field."""
+    return rf'{_BLANKS}"[^"]*+(?:""[^"]*+)*+"[^{_REGEX_SEP[sep]}]*+'
 
 
 def split_fields(line, sep: str) -> Column:
-    """CSV fields of one record for a fixed separator: quote-aware, trimmed,
-    surrounding quotes removed and doubled quotes undone.
+    """CSV fields of one record for a fixed separator: trimmed, surrounding
+    quotes removed and doubled quotes undone. Quotes inside a field (``5"``)
+    and quotes that nothing closes are plain text.
 
-    Every second piece between quotes is quoted text; its separators are
-    masked, then the record is split. Two plain splits, linear in the text."""
+    Records without quotes, nearly all, are one plain split; the others one
+    search per field. Linear in the text."""
     c = F.col(line) if isinstance(line, str) else line
-    masked = F.transform(F.split(c, '"'), lambda p, i: F.when(i % 2 == 1, F.translate(p, sep, _MARK)).otherwise(p))
-    # trim in one pass first, so the unquoting lambda only reads its argument
-    parts = F.transform(F.split(F.array_join(masked, '"'), _REGEX_SEP[sep]), ktrim)
+    s = _REGEX_SEP[sep]
+    plain = F.transform(F.split(c, s), ktrim)
+    found = F.regexp_extract_all(F.concat(c, F.lit(sep)), F.lit(f"({_quoted(sep)}|[^{s}]*+){s}"), F.lit(1))
 
     def unquote(t):
-        n = F.length(t)
-        quoted = (n >= 2) & F.startswith(t, F.lit('"')) & F.endswith(t, F.lit('"'))
-        inner = F.right(F.left(t, n - 1), n - 2)
-        return F.translate(F.when(quoted, F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(t), _MARK, sep)
-    return F.transform(parts, unquote)
+        body = F.replace(F.regexp_extract(t, _QUOTED, 1), F.lit('""'), F.lit('"'))
+        return F.when(F.rlike(t, F.lit(_QUOTED)), F.concat(body, F.regexp_extract(t, _QUOTED, 2))).otherwise(t)
+    return F.when(F.contains(c, F.lit('"')), F.transform(F.transform(found, ktrim), unquote)).otherwise(plain)
 
 
 def read_statement_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -48,45 +62,146 @@ def read_statement_lines(spark: SparkSession, path: str) -> DataFrame:
         .select("statement_id", "file_name", "line_no", "line")
 
 
-def join_quoted_lines(lines: DataFrame) -> DataFrame:
+def _quote_states(c: Column, sep: str) -> Column:
+    """What a line does to the quote state, as a struct: whether its end lies
+    inside quotes when its start lies outside (``o``) and inside (``i``)."""
+    s = _REGEX_SEP[sep]
+    open_end = rf'(?:(?:{_quoted(sep)}|(?!{_BLANKS}")[^{s}]*+){s})*+{_BLANKS}"[^"]*+(?:""[^"]*+)*+\z'
+    inside = rf'^[^"]*+(?:""[^"]*+)*+(?:\z|"[^{s}]*+{s}{open_end})'
+    return F.struct(F.rlike(c, F.lit("^" + open_end)).alias("o"), F.rlike(c, F.lit(inside)).alias("i"))
+
+
+def quoted_records(lines: DataFrame, usable: DataFrame) -> DataFrame:
+    """statement_id, first, last: the runs of lines that are one record, since
+    a line break stands inside quotes. ``usable``: statement_id, header_no, sep.
+
+    A line maps the quote state at its start to the one at its end, and maps
+    compose. Only lines with a quote can change the state, and of those only
+    the ones whose map is not the identity are kept. They are taken in runs of
+    RUN_LINES; the state where a run starts is the composition of the maps of
+    the runs before it, one row a run. Nothing else of a statement is sorted,
+    and no lines are collected. Quotes that are never closed, or only after
+    RECORD_SPAN, open no record."""
+    states = None
+    for s in SEPARATORS:
+        one = _quote_states(F.col("line"), s)
+        states = F.when(F.col("sep") == s, one) if states is None else states.when(F.col("sep") == s, one)
+    events = lines.where(F.contains("line", F.lit('"'))).join(usable.select("statement_id", "header_no", "sep"), "statement_id") \
+        .where(F.col("line_no") > F.col("header_no")).select("statement_id", "line_no", states.alias("m")) \
+        .where("m.o OR NOT m.i").select("statement_id", "line_no", F.col("m.o").cast("int").alias("o"), F.col("m.i").cast("int").alias("i"),
+                                        F.expr(f"line_no div {RUN_LINES}").alias("run"))
+    # a map is constant (o = i) or swaps (o > i): the state after a line is the last constant plus the swaps since
+    swaps = F.when(F.col("o") > F.col("i"), 1).otherwise(0)
+    own = Window.partitionBy("statement_id", "run").orderBy("line_no")
+    before, to = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(Window.unboundedPreceding, 0)
+    at = events.withColumn("n", F.sum(swaps).over(to)) \
+        .withColumn("c", F.last(F.when(F.col("o") == F.col("i"), F.col("o") + F.col("n")), ignorenulls=True).over(to))
+    runs = at.groupBy("statement_id", "run").agg(F.max_by(F.struct("n", "c"), "line_no").alias("m"))
+    # the same composition over runs: c and n of a run count from its start
+    over_runs = Window.partitionBy("statement_id").orderBy("run")
+    runs = runs.withColumn("n", F.sum("m.n").over(over_runs.rowsBetween(Window.unboundedPreceding, -1))) \
+        .withColumn("n", F.coalesce("n", F.lit(0))) \
+        .withColumn("c", F.last(F.col("m.c") + F.col("n"), ignorenulls=True).over(over_runs.rowsBetween(Window.unboundedPreceding, -1))) \
+        .select("statement_id", "run", F.col("n").alias("n0"), F.col("c").alias("c0"))
+    state = F.pmod(F.coalesce(F.col("c") + F.col("n0"), F.col("c0"), F.lit(0)) + F.col("n") + F.col("n0"), F.lit(2))
+    start = F.pmod(F.coalesce("c0", F.lit(0)) + F.col("n0"), F.lit(2))
+    placed = at.join(runs, ["statement_id", "run"]).select("statement_id", "run", "line_no", state.alias("open"), start.alias("start"))
+    # a record runs from the line that opens to the next one that closes, in this bucket of lines or in the next
+    edges = placed.withColumn("was", F.coalesce(F.lag("open").over(own), "start")).where("was <> open") \
+        .select("statement_id", "line_no", "open", F.expr(f"line_no div {RECORD_SPAN}").alias("_bucket"))
+    bucket = Window.partitionBy("statement_id", "_bucket").orderBy("line_no")  # RECORD_SPAN lines at most
+    inside = edges.withColumn("last", F.lead("line_no").over(bucket)).where("open = 1")
+    first_close = edges.groupBy("statement_id", (F.col("_bucket") - 1).alias("_bucket")).agg(
+        F.min(F.struct("line_no", "open")).alias("_next"))
+    found = inside.join(first_close, ["statement_id", "_bucket"], "left") \
+        .withColumn("last", F.coalesce("last", F.when(F.col("_next.open") == 0, F.col("_next.line_no"))))
+    return found.where(F.col("last") - F.col("line_no") < RECORD_SPAN).select("statement_id", F.col("line_no").alias("first"), "last")
+
+
+def join_quoted_lines(lines: DataFrame, usable: DataFrame) -> DataFrame:
     """Lines of one record (a line break stands inside quotes) as one line,
     under the number of the first.
 
-    Only statements with a line of an odd number of quotes take part; the
-    quotes before each of their lines are counted by a running sum, which
-    sorts a statement's lines with spilling and holds none of them. All
-    other lines pass by without a shuffle."""
-    q = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
-    counted = lines.select("statement_id", "line_no", "line", F.coalesce(q, F.lit(0)).alias("_q"))
-    odd = counted.where(F.col("_q") % 2 == 1).select("statement_id").distinct()
-    plain = lines.select("statement_id", "line_no", "line").join(odd, "statement_id", "left_anti")
-    own = Window.partitionBy("statement_id").orderBy("line_no")
-    before = F.coalesce(F.sum("_q").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    part = counted.join(odd, "statement_id", "left_semi") \
-        .withColumn("_first", F.when(before % 2 == 0, F.col("line_no"))) \
-        .withColumn("_record", F.max("_first").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = part.groupBy("statement_id", "_record").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("line"))
-    return plain.unionByName(joined.select("statement_id", F.col("_record").alias("line_no"), "line"))
+    Only the buckets of RECORD_SPAN line numbers that such a record touches
+    are sorted, each by itself; all other lines pass by without a shuffle. The
+    records' ends are checkpointed: three numbers each, which several branches
+    read; where there are none, the lines are returned as they are."""
+    checkpoint_dir(lines.sparkSession)
+    runs = quoted_records(lines, usable).checkpoint()
+    if runs.isEmpty():
+        return lines.select("statement_id", "line_no", "line")
+    bucket = F.expr(f"line_no div {RECORD_SPAN}")
+    spread = runs.withColumn("_bucket", F.explode(F.expr(f"sequence(first div {RECORD_SPAN}, last div {RECORD_SPAN})")))  # two at most
+    touched = spread.select("statement_id", "_bucket").distinct()
+    known = lines.select("statement_id", "line_no", "line", bucket.alias("_bucket"))
+    plain = known.join(touched, ["statement_id", "_bucket"], "left_anti").select("statement_id", "line_no", "line")
+    marks = spread.select("statement_id", F.greatest("first", F.col("_bucket") * RECORD_SPAN).alias("line_no"),
+                          F.lit(None).cast("string").alias("line"), "_bucket", F.struct("first", "last").alias("_r"), F.lit(0).alias("_k"))
+    some = known.join(touched, ["statement_id", "_bucket"], "left_semi").select(
+        "statement_id", "line_no", "line", "_bucket", F.lit(None).cast("struct<first:bigint,last:bigint>").alias("_r"), F.lit(1).alias("_k"))
+    own = Window.partitionBy("statement_id", "_bucket").orderBy("line_no", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    placed = marks.unionByName(some).withColumn("_r", F.last("_r", ignorenulls=True).over(own)).where("_k = 1") \
+        .withColumn("_record", F.when(F.col("line_no") <= F.col("_r.last"), F.col("_r.first")))
+    joined = placed.groupBy("statement_id", F.coalesce("_record", "line_no").alias("line_no")).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("line_no", F.coalesce("line", F.lit("")).alias("line")))), lambda x: x["line"]), "\n").alias("line"))
+    return plain.unionByName(joined)
 
 
 def _not_blank(line: str = "line") -> Column:
     return F.coalesce(ktrim(F.col(line)), F.lit("")) != ""
 
 
-def sniff_separator(lines: DataFrame) -> DataFrame:
-    """Per statement: the number of its header (the first line that is not
-    blank), the separator that line shows (NULL when none gives more than one
-    field) and its cells."""
-    first = lines.where(_not_blank()).groupBy("statement_id").agg(F.min("line_no").alias("line_no"))
-    sep = cells = None
+def header_lines(lines: DataFrame) -> DataFrame:
+    """statement_id, header_no, header: each statement's first line that is not
+    blank, and ``seps``: the separators that split it into more than one field,
+    each with those fields. One aggregation."""
+    first = lines.where(_not_blank()).groupBy("statement_id").agg(F.min(F.struct("line_no", "line")).alias("_h")) \
+        .select("statement_id", F.col("_h.line_no").alias("header_no"), F.col("_h.line").alias("header"))
+    tries = F.array(*[F.struct(F.lit(s).alias("sep"), split_fields(F.col("header"), s).alias("headers")) for s in SEPARATORS])
+    return first.withColumn("seps", F.filter(tries, lambda t: F.size(t["headers"]) > 1))
+
+
+def yields(lines: DataFrame, heads: DataFrame) -> DataFrame:
+    """statement_id, sep, detected, kept: for every separator that splits a
+    header, whether its columns are recognised and how many of the HEAD_LINES
+    lines below the header are then transactions."""
+    below = lines.where(_not_blank()).join(heads.select("statement_id", "header_no", "seps"), "statement_id") \
+        .where(F.col("line_no") > F.col("header_no"))
+    top = Window.partitionBy("statement_id").orderBy("line_no")  # HEAD_LINES a task and statement reach the window
+    below = below.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= HEAD_LINES)
+    trial = below.withColumn("_t", F.explode("seps"))
+    cells = None
     for s in SEPARATORS:
         fields = split_fields(F.col("line"), s)
-        hit = F.size(fields) > 1
-        sep = F.when(hit, F.lit(s)) if sep is None else sep.when(hit, F.lit(s))
-        cells = F.when(hit, fields) if cells is None else cells.when(hit, fields)
-    return lines.select("statement_id", "line_no", "line").join(first, on=["statement_id", "line_no"], how="inner") \
-        .select("statement_id", F.col("line_no").alias("header_no"), sep.alias("sep"), cells.alias("headers"))
+        cells = F.when(F.col("_t.sep") == s, fields) if cells is None else cells.when(F.col("_t.sep") == s, fields)
+    key = F.to_json(F.struct("statement_id", F.col("_t.sep").alias("sep")))
+    rows = trial.select(key.alias("statement_id"), F.col("line_no").alias("row_idx"), F.col("_t.headers").alias("headers"), cells.alias("cells"))
+    tried = harmonise(rows)
+    got = tried.groupBy("statement_id").agg(F.count_if(drop_reason(tried).isNull()).alias("kept"),
+                                            F.bool_and(F.col("reject_reason").isNull()).alias("detected"))
+    t = F.from_json("statement_id", "statement_id string, sep string")
+    return got.select(t["statement_id"].alias("statement_id"), t["sep"].alias("sep"), "detected", "kept")
+
+
+def sniff_separator(lines: DataFrame) -> DataFrame:
+    """Per statement: the number of its header (the first line that is not
+    blank), its separator (NULL when none splits the header) and its cells.
+
+    Where several separators split the header, the first in order that gives
+    transactions below it is taken, else the first whose columns are
+    recognised, else the first. Only such statements are read further, and
+    only where there are any: the headers are checkpointed to see."""
+    checkpoint_dir(lines.sparkSession)
+    heads = header_lines(lines).checkpoint()  # a row a statement; read again below and by the caller
+    several = heads.where(F.size("seps") > 1)
+    chosen = F.get("seps", F.lit(0))
+    if not several.isEmpty():
+        order = F.array_position(F.array(*map(F.lit, SEPARATORS)), F.col("sep"))
+        best = yields(lines, several).groupBy("statement_id").agg(F.min_by("sep", F.struct(
+            F.when(F.col("kept") > 0, 0).when(F.col("detected"), 1).otherwise(2), order)).alias("_sep")).checkpoint()
+        heads = heads.join(best, "statement_id", "left")
+        chosen = F.get(F.filter("seps", lambda t: F.col("_sep").isNull() | (t["sep"] == F.col("_sep"))), F.lit(0))
+    return heads.select("statement_id", "header_no", chosen["sep"].alias("sep"), chosen["headers"].alias("headers"))
 
 
 def delimited_to_rows(lines: DataFrame) -> DataFrame:
@@ -94,7 +209,8 @@ def delimited_to_rows(lines: DataFrame) -> DataFrame:
     headers, cells). Blank lines are skipped; statements with no usable
     separator yield nothing here and a row of ``delimited_rejects``."""
     usable = sniff_separator(lines).where(F.col("sep").isNotNull())
-    data = join_quoted_lines(lines).where(_not_blank()).join(usable, on="statement_id", how="inner") \
+    own = lines.select("statement_id", "line_no", "line")
+    data = join_quoted_lines(own, usable).where(_not_blank()).join(usable, on="statement_id", how="inner") \
         .where(F.col("line_no") > F.col("header_no"))
     cells = None
     for s in SEPARATORS:
@@ -105,7 +221,8 @@ def delimited_to_rows(lines: DataFrame) -> DataFrame:
 
 def delimited_rejects(lines: DataFrame) -> DataFrame:
     """Statements that can't be read: statement_id, reason (only blank lines,
-    or no separator that splits the header)."""
-    readable = sniff_separator(lines).where(F.col("sep").isNotNull()).select("statement_id")
-    return lines.select("statement_id").distinct().join(readable, on="statement_id", how="left_anti") \
-        .select("statement_id", F.lit("no separator").alias("reason"))
+    no separator that splits the header, or nothing below it)."""
+    blank = lines.groupBy("statement_id").agg(F.count_if(_not_blank()).alias("n"))
+    heads = header_lines(lines).select("statement_id", (F.size("seps") > 0).alias("ok"))
+    reason = F.when(~F.coalesce("ok", F.lit(False)), "no separator").when(F.col("n") == 1, "no row below the header")
+    return blank.join(heads, "statement_id", "left").select("statement_id", reason.alias("reason")).where("reason IS NOT NULL")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Extension -> reader family.
 FORMATS = {"pdf": "pdf", "xlsx": "excel", "xls": "excel", "csv": "csv"}
@@ -21,6 +21,29 @@ def route_by_extension(files: DataFrame, name_col: str = "filename") -> DataFram
                                             F.concat(F.lit("unsupported format: "), F.col(name_col))))
 
 
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """The inventory of statement files: statement_id (full path, as the
+    readers name it), length, extension, format and reject_reason
+    (unsupported or empty files). No file is opened.
+
+    Sources give no rows for empty files; those are the names of the listing,
+    which the driver makes for any file source, that no row has."""
+    read = spark.read.format("binaryFile").load(path)
+    sized = read.select(F.col("_metadata.file_path").alias("statement_id"), F.col("_metadata.file_size").alias("length"))
+    listed = spark.createDataFrame([(name,) for name in read.inputFiles()], "name string")
+    # the listing may write a missing host as ``file:///a``, a row's path as ``file:/a``
+    names = listed.select(F.regexp_replace("name", r"^([^:/]+):///", "$1:/").alias("statement_id"))
+    found = names.join(sized, "statement_id", "left").withColumn("length", F.coalesce("length", F.lit(0)))
+    routed = route_by_extension(found, "statement_id")
+    return routed.withColumn("reject_reason", F.coalesce("reject_reason", F.when(F.col("length") == 0, F.lit("empty file"))))
+
+
+def supported(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """``rows`` of the statements that an inventory does not refuse."""
+    refused = files.where(F.col("reject_reason").isNotNull()).select("statement_id")
+    return rows.join(refused, "statement_id", "left_anti")
+
+
 def union_sources(grid_tx: DataFrame, line_tx: DataFrame) -> DataFrame:
     """Grid transactions plus the line transactions that no grid row of
     the same statement repeats (date, amount and description without blanks
