@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType
 
 #: Texts are worked on in runs of at most this many bytes (or one text), which bounds a task's Python memory.
@@ -29,6 +29,15 @@ def folded_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_FOLD).split() if text else []
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """``doc_id, label, text`` of at most ``most`` labelled doc_ids, those of the smallest hash. A doc_id that many rows
+    share gives one text (its least) for each label, so that the bound holds for texts too; null doc_ids give none."""
+    few = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()) \
+        .select("doc_id", F.col(label).cast("int").alias("label")).distinct() \
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new folder name below spark.checkpoint.dir, which all executors share; a temporary one only where it is unset."""
     return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -10,12 +10,13 @@ leading singular vectors of the labelled documents' matrix. The labelled vectors
 RANK numbers, checked); every document's cosine products with all of them are computed exactly, in blocks, and its K
 nearest neighbours vote with weights that grow with the similarity.
 
-Learning sees at most MAX_LABELLED labelled rows of the training fold (smallest hash of doc_id); every whole text is scored
-by its text alone.
+Learning sees at most MAX_LABELLED labelled texts of the training fold (smallest hash of doc_id, one text for each doc_id
+and label); every whole text is scored by its text alone. The driver holds their matrix once, as 32-bit floats (74 MB at
+6,000 rows), and finds the projection by subspace iteration.
 
 Results at the edges: null and empty texts have no terms, hence similarity 0 to all, and get the share of good labels;
 without labelled rows every score is 0.5; neighbours equally near to the K-th share the places left; repeated
-documents score alike; extra columns are carried, those named like an output are replaced; empty tables give no rows.
+documents score alike; a null doc_id is held out; extra columns are carried, those named like an output are replaced; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField
 
-from .common import Memo, Shipped, append_columns, folded_words
+from .common import Memo, Shipped, append_columns, folded_words, labelled_texts, text_runs
 
 MAX_LABELLED = 6_000
 SHAPE_BUCKETS, WORD_BUCKETS = 2048, 1024
@@ -161,8 +163,22 @@ class Terms:
         return weights
 
 
-def _matrix(rows: list[dict[int, float]]) -> np.ndarray:
+class Bags(NamedTuple):
+    """Bags of terms as sparse rows: row k holds buckets and weights ``ends[k]`` to ``ends[k + 1]``."""
+
+    ends: np.ndarray
+    buckets: np.ndarray
+    weights: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+
+def _matrix(rows: list[dict[int, float]] | Bags) -> np.ndarray:
     out = np.zeros((len(rows), DIMENSIONS), np.float32)
+    if isinstance(rows, Bags):
+        out[np.repeat(np.arange(len(rows)), np.diff(rows.ends)), rows.buckets] = rows.weights
+        return out
     for k, row in enumerate(rows):
         if row:
             out[k, list(row)] = list(row.values())
@@ -174,22 +190,34 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
+def _leading(x: np.ndarray, rank: int, rounds: int = 12, more: int = 16) -> np.ndarray:
+    """The ``rank`` leading right singular vectors of ``x`` by subspace iteration: products with ``x`` alone, so that no
+    square matrix of its dimensions is held."""
+    size = min(rank + more, *x.shape)
+    span = np.random.default_rng(5).standard_normal((x.shape[1], size)).astype(np.float32)
+    for _ in range(rounds):
+        span = np.linalg.qr(x.T @ (x @ span))[0].astype(np.float32)
+    small = (x @ span).astype(np.float64)
+    _, turn = np.linalg.eigh(small.T @ small)
+    top = (span @ turn[:, ::-1][:, :rank]).astype(np.float32)
+    return top * np.sign(top[np.abs(top).argmax(0), np.arange(top.shape[1])])
+
+
 class NeighbourModel:
     """Inverse document frequencies, projection, and the labelled latent vectors."""
 
-    def __init__(self, rows: list[dict[int, float]], labels: list[int]):
+    def __init__(self, rows: list[dict[int, float]] | Bags, labels: list[int]):
         self.terms, self.labels = Terms(), np.array(labels, np.float32)
-        self.prior = float(self.labels.mean()) if labels else 0.5
-        if not labels:
+        self.prior = float(self.labels.mean()) if len(labels) else 0.5
+        if not len(labels):
             return
         x = _matrix(rows)
         self.idf = (np.log((1 + len(rows)) / (1 + (x > 0).sum(0))) + 0.1).astype(np.float32)
-        x = _unit(x * self.idf)
-        values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-        top = vectors[:, ::-1][:, :RANK].astype(np.float32)
-        top *= np.sign(top[np.abs(top).argmax(0), np.arange(top.shape[1])])
-        self.projection = top
-        self.vectors = _unit(x @ top)
+        x *= self.idf
+        norm = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        np.divide(x, norm, out=x, where=norm > 0)
+        self.projection = _leading(x, RANK)
+        self.vectors = _unit(x @ self.projection)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not len(self.labels):
@@ -209,26 +237,32 @@ class NeighbourModel:
 
 
 def training_fold(fold: int = 3):
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(fold)) != 1
+    """Rows that the model may learn from; a null doc_id is held out."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(fold)) != 1, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MAX_LABELLED) -> NeighbourModel:
-    """The model from at most ``most`` labelled training rows; their bags of terms go to the driver."""
-    few = labels.where(F.col(label).isNotNull() & training_fold()).select("doc_id", F.col(label).cast("int").alias("label")) \
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "label", "text")
+    """The model from at most ``most`` labelled training texts; their bags of terms go to the driver as Arrow columns."""
+    chosen = labelled_texts(docs, labels.where(training_fold()), label, most)
 
     def run(batches):
         terms = Terms()
         for batch in batches:
-            rows = [terms.counts(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([list(r) for r in rows], pa.list_(pa.int32())),
-                 pa.array([list(r.values()) for r in rows], pa.list_(pa.float32()))], names=["doc_id", "label", "b", "w"])
-
-    rows = chosen.mapInArrow(run, "doc_id long, label int, b array<int>, w array<float>").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["label"]))
-    return NeighbourModel([dict(zip(r["b"], r["w"])) for r in rows], [r["label"] for r in rows])
+            for a, b, texts in text_runs(batch, 2):
+                rows = [terms.counts(t) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
+                     pa.array([list(r) for r in rows], pa.list_(pa.int32())),
+                     pa.array([list(r.values()) for r in rows], pa.list_(pa.float32()))], names=["doc_id", "label", "b", "w"])
+
+    rows = chosen.mapInArrow(run, "doc_id long, label int, b array<int>, w array<float>").toArrow()
+    rows = rows.sort_by([("doc_id", "ascending"), ("label", "ascending")]).combine_chunks()
+    if not rows.num_rows:
+        return NeighbourModel([], [])
+    buckets, weights = (rows.column(c).chunk(0) for c in ("b", "w"))
+    bags = Bags(buckets.offsets.to_numpy() - buckets.offsets[0].as_py(), buckets.flatten().to_numpy(),
+                weights.flatten().to_numpy())
+    return NeighbourModel(bags, rows.column("label").to_numpy())
 
 
 def score_quality(spark: SparkSession, docs: DataFrame, model: NeighbourModel, carry: list[str] | None = None) -> DataFrame:
