@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField
 
-from .common import append_columns
+from .common import append_columns, labelled_texts
 
 MAX_LABELLED = 20_000
 WINDOW = 8
@@ -171,11 +171,8 @@ def learn_list(x: np.ndarray, bad: np.ndarray, precision: float = 0.9, most: int
 
 
 def labelled_stats(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MAX_LABELLED) -> DataFrame:
-    """Features and label of at most ``most`` labelled documents that pass the base rules."""
-    few = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()) \
-        .select("doc_id", F.col(label).cast("int").alias("__label")) \
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    """Features and label of at most ``most`` labelled texts that pass the base rules, one for each doc_id and label."""
+    chosen = labelled_texts(docs, labels, label, most).withColumnRenamed("label", "__label")
     return with_stats(chosen, ["doc_id", "__label"]).where(~base_failed()).select("doc_id", "__label", *features())
 
 

@@ -10,13 +10,14 @@ Every hit is weighed by its context: hits inside quotation marks, or after a wor
 and the hits within WINDOW words add up. A logistic model of the weighed hits, their density and the best window gives
 the score.
 
-Learning sees at most MAX_LABELLED labelled training rows (smallest hash of doc_id; equal texts once). All their terms
+Learning sees at most MAX_LABELLED labelled training texts (smallest hash of doc_id, one for each doc_id and label; equal
+texts once). All their terms
 are weighed by Spark, however rare, short or without letters; only those with enough evidence reach the driver. Every
 whole text is scored by its text alone.
 
 Results at the edges: null and empty texts get the score of a text without hits; without toxic or without clean training
 rows the lexicon is empty and every score is 0; repeated documents score alike; extra columns are carried, those named
-like an output are replaced; empty tables give no rows.
+like an output are replaced; a null doc_id is held out; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField
 
-from .common import Shipped, append_columns, shared_path
+from .common import Memo, Shipped, append_columns, labelled_texts, shared_path
 
 MAX_LABELLED = 20_000
 WINDOW = 20  # words on either side
@@ -155,7 +156,7 @@ class ToxicityModel:
 
     def _load(self):
         self.lexicon = FuzzyLexicon(self.terms)
-        self.memo: dict = {}
+        self.memo = Memo(lambda w: self.match(w) or (), MEMO_LIMIT)
 
     def match(self, token: str) -> tuple[int, int] | None:
         word = token.strip(_STRIP)
@@ -167,17 +168,7 @@ class ToxicityModel:
         if not text:
             return 0, []
         words = text.lower().split()
-        memo = self.memo
-        if len(memo) > MEMO_LIMIT:
-            memo.clear()
-        found = list(map(memo.get, words))
-        if None in found:
-            for k, f in enumerate(found):
-                if f is None:
-                    w = words[k]
-                    if w not in memo:
-                        memo[w] = self.match(w) or ()
-                    found[k] = memo[w]
+        found = list(map(self.memo.__getitem__, words))
         places = [k for k, f in enumerate(found) if f]
         if not places:
             return len(words), []
@@ -289,18 +280,16 @@ def choose_terms(fine: dict) -> list[tuple[str, bool]]:
 
 
 def training_fold(fold: int = 5):
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(fold)) != 0
+    """Rows that the model may learn from; a null doc_id is held out."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(fold)) != 0, F.lit(False))
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MAX_LABELLED,
         fold: int = 5) -> ToxicityModel:
     """The model from at most ``most`` labelled rows whose crc32(doc_id) mod ``fold`` is not 0."""
-    few = labels.where(F.col(label).isNotNull() & training_fold(fold)) \
-        .select("doc_id", F.col(label).cast("int").alias("label")) \
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     path = shared_path(spark, "toxicity-sample")
-    docs.where(F.length("text") > 0).select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "label") \
-        .dropDuplicates(["text"]).write.parquet(path)
+    labelled_texts(docs.where(F.length("text") > 0), labels.where(training_fold(fold)), label, most) \
+        .select("text", "label").dropDuplicates(["text"]).write.parquet(path)
     sample = spark.read.parquet(path)
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)

@@ -177,3 +177,35 @@ def test_whole_tokens_and_vocabulary_count():
         texts = [blank.join(rng.choice(bad if k % 2 else good) for _ in range(60)) for k in range(120)]
         model = K.NeighbourModel([bag(t) for t in texts[:80]], [1 - k % 2 for k in range(80)])
         assert ((model.scores(texts[80:]) >= 0.5) == [k % 2 == 0 for k in range(80, 120)]).all()
+
+
+def test_repeated_ids_do_not_fill_the_sample(spark):
+    from ledgermatch.llm import quality_rules as R
+    from ledgermatch.llm.common import labelled_texts
+    docs = spark.createDataFrame([(1, f"text number {k} " * 30) for k in range(500)] + [(2, "b"), (2, None), (3, None), (None, "n")],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (1, 0, 1), (2, 0, 0), (3, 1, 1), (None, 1, 1)],
+                                   "doc_id long, quality int, toxic int")
+    got = sorted(map(tuple, labelled_texts(docs, labels, "quality", 10).collect()))
+    assert got == [(1, 0, "text number 0 " * 30), (1, 1, "text number 0 " * 30), (2, 0, "b"), (3, 1, None)]
+    assert labelled_texts(docs, labels, "quality", 2).count() <= 2
+    assert R.labelled_stats(docs, labels, most=2).count() <= 2
+    assert len(K.fit(docs, labels, most=2).labels) <= 2
+    nulls = spark.createDataFrame([(None,)], "doc_id long").select(K.training_fold().alias("k"), T.training_fold().alias("t"))
+    assert tuple(nulls.first()) == (False, False)
+
+
+def test_subspace_iteration_equals_the_singular_vectors():
+    x = np.random.default_rng(3).standard_normal((300, 80)).astype(np.float32) * np.linspace(9, 1, 80, dtype=np.float32) ** 2
+    want = np.linalg.svd(x.astype(np.float64), full_matrices=False)[2][:10]
+    got = K._leading(x, 10, rounds=40)
+    assert np.allclose(np.abs((want * got.T).sum(1)), 1, atol=1e-3)
+
+
+def test_long_tokens_stay_out_of_the_memos():
+    from ledgermatch.llm.jaccard_join import WordHashes
+    model, hashes = T.ToxicityModel([("scoundrel", False)]), WordHashes()
+    for k in range(50):
+        model.hits(f"{k}" + "x" * 5000)
+        hashes[b"%d" % k + b"y" * 5000]
+    assert not model.memo and not model.memo.fresh and not hashes
