@@ -139,7 +139,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, path
      .mapInArrow(run, schema).write
      .option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "true")
      .option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes)
-     .option("compression", "zstd").parquet(path))
+     .option("compression", "snappy").parquet(path))
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: tuple[int, int] | None = None) -> DataFrame:
