@@ -74,7 +74,7 @@ def test_similarity_helpers():
 
 
 def test_plain_numbers_are_numbers(spark):
-    cases = {"0.125": Decimal("0.13"), "12.345": Decimal("12.35"), "1.0E7": Decimal("10000000.00"), "10000000.0": Decimal("10000000.00"),
+    cases = {"0.125": Decimal("0.13"), "12.345": Decimal("12345.00"), "1.0E7": Decimal("10000000.00"), "10000000.0": Decimal("10000000.00"),
              "12345678.9": Decimal("12345678.90"), "-2.5e-1": Decimal("-0.25"), "1.234,56": Decimal("1234.56"),
              "Total 12.345 EUR": Decimal("12345.00"), "1.234.567": Decimal("1234567.00")}
     assert one_col(spark, list(cases), parse_amount) == list(cases.values())
