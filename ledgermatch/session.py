@@ -52,10 +52,12 @@ def shared_root(spark: SparkSession) -> str | None:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The session's folder for cutting lineage; Spark makes a new one below
-    the shared root for each session. Only where no root is configured (local
-    runs and tests) a temporary one is set."""
+    the shared root for each session. Where no root is configured, local
+    runs and tests get a temporary one; on a cluster that is an error."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_root(spark) or tempfile.mkdtemp(
-            prefix="ledgermatch-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
+        root = shared_root(spark)
+        if not root and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="ledgermatch-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
     return sc.getCheckpointDir()
