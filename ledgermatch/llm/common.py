@@ -39,7 +39,8 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new folder name below spark.checkpoint.dir, which all executors share; a temporary one only where it is unset."""
+    """A new folder name below spark.checkpoint.dir, which all executors share; where it is unset, a temporary one on a
+    local master and an error on a cluster."""
     return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -47,7 +48,11 @@ def shared_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="ledgermatch-shared-")
+        root = sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="ledgermatch-shared-")  # one machine: tests and trials
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root
