@@ -8,8 +8,12 @@ inverted index), must have ``need`` template words at all (length filter), and a
 have enough words left (positional filter). A block that joins makes its whole text join, so texts pass these filters first;
 for the templates that are left a window over the places of their words finds the best block exactly.
 
+Licenses share most of their words with their neighbours, so a join alone names none: a template also has marks, phrases
+that tell its license apart, and gives its label where one block reaches the threshold and holds all marks, each as
+consecutive words. ``blocks`` lists all joins, with and without marks.
+
 Base phrases are found by their consecutive words. ``score`` is 1 where a base phrase stands, else the greatest share
-among the joining blocks, else 0.
+among the joins that give a label, else 0.
 
 Results at the edges: null and empty texts have no words and no labels; a text of any length is scanned whole; repeated
 documents are labelled alike; extra columns are carried, those named like an output are replaced; empty tables give none.
@@ -48,11 +52,16 @@ TEMPLATES = [
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 ]
 
+#: What tells each template's license from others of similar words, in the order of TEMPLATES.
+MARKS = [["mit license"], ["permission is hereby granted free of charge"], ["apache license"], ["compliance with the license"],
+         ["gnu general public license version 3"], ["gnu general public license", "version 3"], ["cc by nc"],
+         ["attribution noncommercial"], ["redistribution and use in source and binary forms"], ["mozilla public license v 2 0"]]
+
 
 class TemplateIndex:
     """Templates over globally ordered words, with the inverted index of their prefixes."""
 
-    def __init__(self, templates, frequency: dict[bytes, int], least: float = LEAST, phrases: dict = PHRASES):
+    def __init__(self, templates, frequency: dict[bytes, int], least: float = LEAST, phrases: dict = PHRASES, marks=()):
         sets = [(label, set(folded_words(t))) for label, t in templates]
         universe = set().union(*(s for _, s in sets)) if sets else set()
         self.rank = {w: k for k, w in enumerate(sorted(universe, key=lambda w: (frequency.get(w, 0), w)))}
@@ -65,6 +74,8 @@ class TemplateIndex:
                 self.prefix.setdefault(self.rank[w], []).append((len(self.templates) - 1, i))
         self.starts = {w for w, r in self.rank.items() if r in self.prefix}
         self.phrases = [(folded_words(p), label) for p, label in phrases.items()]
+        self.sets = [words for _, words in sets]
+        self.marks = [[folded_words(m) for m in own] for own in marks] or [[] for _ in sets]
 
     def join(self, block: set[bytes]) -> dict[int, float]:
         """Template number -> share of its words that the block holds, for all that reach the threshold."""
@@ -84,29 +95,37 @@ class TemplateIndex:
                     found[t] = common / len(words)
         return found
 
+    def marked(self, t: int, words: list[bytes]) -> bool:
+        """Whether a block holds the template's marks and reaches its threshold."""
+        marks, need = self.marks[t], self.templates[t][2]
+        if not marks:
+            return True
+        size, tried = len(marks[0]), -1
+        for p in phrase_places(words, marks[0]):
+            for at in range(max(0, p + size - BLOCK_WORDS, tried + 1), min(p, max(0, len(words) - BLOCK_WORDS)) + 1):
+                tried = at  # no block is tried twice
+                block = words[at:at + BLOCK_WORDS]
+                if len(self.sets[t].intersection(block)) >= need and all(phrase_places(block, m) for m in marks[1:]):
+                    return True
+        return False
+
     def scan(self, text: str | None):
-        """n_words, places of base phrases, their labels, and the joins of all blocks."""
+        """n_words, places of base phrases, their labels, the joins of all blocks, and those that give a label."""
         words = folded_words(text)
         held = set(words)
         places, labels, found = [], set(), {}
         for phrase, label in self.phrases:
             if phrase and held.issuperset(phrase):
-                size, at = len(phrase), -1
-                while True:
-                    try:
-                        at = words.index(phrase[0], at + 1)
-                    except ValueError:
-                        break
-                    if words[at:at + size] == phrase:
-                        places.append(at)
-                        labels.add(label)
+                own = phrase_places(words, phrase)
+                places += own
+                labels |= {label} if own else set()
         if not held.isdisjoint(self.starts):
             found = self.join(held)
             if found and len(words) > BLOCK_WORDS:
                 own = [(k, r) for k, r in enumerate(map(self.rank.get, words)) if r is not None]
                 best = {t: self.best_block(t, own) for t in found}
                 found = {t: n / len(self.templates[t][1]) for t, n in best.items() if n >= self.templates[t][2]}
-        return len(words), places, labels, found
+        return len(words), places, labels, found, [t for t in found if self.marked(t, words)]
 
     def best_block(self, t: int, own: list[tuple[int, int]]) -> int:
         """The most words of template ``t`` that a block holds; ``own``: places and ranks of a text's template words."""
@@ -128,6 +147,18 @@ class TemplateIndex:
         return best
 
 
+def phrase_places(words: list[bytes], phrase: list[bytes]) -> list[int]:
+    """Where the phrase's words stand consecutively."""
+    places, at = [], -1
+    while True:
+        try:
+            at = words.index(phrase[0], at + 1)
+        except ValueError:
+            return places
+        if words[at:at + len(phrase)] == phrase:
+            places.append(at)
+
+
 def blocks(text: str):
     """Word lists of a text's blocks: what ``TemplateIndex.scan`` finds the best of without forming them."""
     words = folded_words(text)
@@ -153,10 +184,12 @@ def template_frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[bytes, in
 
 
 def scan_licenses(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, phrases: dict = PHRASES,
-                  least: float = LEAST, carry: list[str] | None = None) -> DataFrame:
+                  least: float = LEAST, carry: list[str] | None = None, marks=None) -> DataFrame:
     """``n_words, n_base, first_word, last_word, base_labels, labels, score`` and ``blocks``: the template joins as
-    text ``label:template number:share``, comma-joined."""
-    index = Shipped(spark, TemplateIndex(templates, template_frequencies(docs, templates), least, phrases))
+    text ``label:template number:share``, comma-joined. ``marks``: a list of phrases for each template (those of
+    TEMPLATES by default, none for other templates)."""
+    marks = MARKS if marks is None and templates is TEMPLATES else marks or ()
+    index = Shipped(spark, TemplateIndex(templates, template_frequencies(docs, templates), least, phrases, marks))
     fields = [StructField("n_words", LongType()), StructField("n_base", LongType()), StructField("first_word", LongType()),
               StructField("last_word", LongType()), StructField("base_labels", StringType()),
               StructField("labels", StringType()), StructField("score", DoubleType()), StructField("blocks", StringType())]
@@ -164,10 +197,10 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, phr
     def work(texts):
         own, rows = index.get(), []
         for t in texts:
-            n, places, base, found = own.scan(t)
-            more = {own.templates[k][0] for k in found}
+            n, places, base, found, named = own.scan(t)
+            more = {own.templates[k][0] for k in named}
             rows.append((n, len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)),
-                         ",".join(sorted(base | more)), 1.0 if places else max(found.values(), default=0.0),
+                         ",".join(sorted(base | more)), 1.0 if places else max((found[k] for k in named), default=0.0),
                          ",".join(f"{own.templates[k][0]}:{k}:{v:.4f}" for k, v in sorted(found.items()))))
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string()]
         return [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]

@@ -134,6 +134,9 @@ def test_license_scan_equals_brute_force(spark, frame):
              sentence(rng, 300) + " Licensed under the Apache License, Version 2.0 " + sentence(rng, 300), "mit", "same mit license"]
     vocabulary = sorted({w.decode() for _, t in S.TEMPLATES for w in folded_words(t)})
     texts += [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(5, 90))) for _ in range(60)]
+    for _ in range(60):  # marks within, at and beyond a block's reach of the rest
+        parts = [rng.choice(rng.choice(S.MARKS)), *rng.choice(S.TEMPLATES)[1].split(), *["x"] * rng.randrange(60)]
+        texts.append(" ".join(rng.sample(parts, len(parts))) + " x" * rng.randrange(20))
     docs = frame(texts, score=["old"] * len(texts))
     got = {r["doc_id"]: r for r in S.scan_licenses(spark, docs, least=0.6).collect()}
     for k, t in enumerate(texts):
@@ -143,19 +146,22 @@ def test_license_scan_equals_brute_force(spark, frame):
             at = [n for n in range(len(words)) if words[n:n + len(p)] == p]
             places += at
             labels |= {label} if at else set()
-        joins = {}
+        joins, named = {}, set()
         for block in S.blocks(t or ""):
             for n, (label, template) in enumerate(S.TEMPLATES):
                 want = set(folded_words(template))
                 share = len(want & set(block)) / len(want)
                 if share >= 0.6:
                     joins[n] = max(share, joins.get(n, 0))
+                    whole = " " + " ".join(w.decode() for w in block) + " "
+                    if all(f" {m} " in whole for m in S.MARKS[n]):
+                        named.add(n)
         r = got[k]
         assert (r["n_words"], r["n_base"]) == (len(words), len(places))
         assert (r["first_word"], r["last_word"]) == (min(places, default=None), max(places, default=None))
         assert r["base_labels"] == ",".join(sorted(labels))
-        assert r["labels"] == ",".join(sorted(labels | {S.TEMPLATES[n][0] for n in joins}))
-        assert r["score"] == pytest.approx(1.0 if places else max(joins.values(), default=0.0))
+        assert r["labels"] == ",".join(sorted(labels | {S.TEMPLATES[n][0] for n in named}))
+        assert r["score"] == pytest.approx(1.0 if places else max((joins[n] for n in named), default=0.0))
     assert S.scan_licenses(spark, docs.limit(0)).count() == 0
 
 
@@ -193,6 +199,24 @@ def test_wrapped_notices_are_found(spark, frame):
                 assert label in got[k]["labels"].split(",")
 
 
+def test_neighbouring_licenses_get_no_wrong_label(spark, frame):
+    cases = {
+        "released under the GPL license": "", "A new trailer was released under the hood; the license plate": "",
+        "Licensed under CC BY-SA 4.0": "", "Licensed under CC BY 4.0": "", "Licensed under the GNU General Public License, Version 2.0": "",
+        "This work is licensed under the Mozilla Public License, version 3": "",
+        "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "",
+        "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License": "",
+        "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License": "gpl-3",
+        "This work is licensed under the GNU General Public License, version 3": "gpl-3", "Released under the MIT License": "mit",
+        "Licensed under CC BY-NC 4.0": "cc-by-nc", "Released under MIT license terms: the work": "mit", "": "",
+        "mit license " + "x " * 80 + "released under the license": "", "mit license " + "x " * 40 + "released under the license": "mit"}
+    got = S.scan_licenses(spark, frame(list(cases))).orderBy("doc_id").collect()
+    assert [r["labels"] for r in got] == list(cases.values())
+    assert all((r["score"] > 0) == bool(r["labels"]) for r in got) and got[0]["blocks"].startswith("mit:0:")
+    other = S.scan_licenses(spark, frame(["one two three", "one two"]), [("own", "one two three")], {}, 0.9).collect()
+    assert [r["labels"] for r in other] == ["own", ""]
+
+
 # -- language
 
 def test_language_filters(spark, frame):
