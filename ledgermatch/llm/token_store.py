@@ -22,7 +22,7 @@ from array import array
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from .common import Memo, Shipped, text_runs
@@ -36,6 +36,7 @@ PLAIN = re.compile(r"(\n)?( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([
 MEMO_LIMIT = 400_000  # cuts that a worker keeps, see Memo
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 128 << 10
+SAMPLED_IDS = 100  # ids that the edges of one range are chosen from
 
 
 class CutEncoder:
@@ -108,7 +109,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, path
                  text: str = "text") -> None:
     """Encode ``doc_id`` and ``text`` of ``docs`` and write them to ``path`` in ascending doc_id order.
 
-    One shuffle by ranges of (doc_id, a checksum of the text): the checksum splits a doc_id that many rows share.
+    One shuffle, by ranges of doc_id; a doc_id that many rows share is split by a checksum of the text.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         shipped = Shipped(spark, CutEncoder(f.read()))
@@ -133,15 +134,40 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, path
                      pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=schema.names)
                 before += ends[-1]
 
-    rows = docs.select("doc_id", F.col(text).alias("__text"), F.crc32(F.col(text).cast("binary")).alias("__crc"))
-    by = ("doc_id", "__crc") if partitions is None else (partitions, "doc_id", "__crc")
-    (rows.repartitionByRange(*by).sortWithinPartitions("doc_id", "__crc", "__text").select("doc_id", "__text")
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part, crc = places(docs, parts, F.col("__text"))
+    rows = docs.select("doc_id", F.col(text).alias("__text")).select("doc_id", "__text", part.alias("__part"), crc.alias("__crc"))
+    (rows.repartitionById(parts, "__part").sortWithinPartitions("doc_id", "__crc", "__text").select("doc_id", "__text")
      .mapInArrow(run, schema).write
      .option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "true")
      .option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes)
      .option("compression", "zstd").parquet(path))
 
 
+def places(docs: DataFrame, parts: int, text: Column) -> tuple[Column, Column]:
+    """The range of doc_id (0 to ``parts`` - 1, null first) that a row belongs to, and what orders rows of one doc_id.
+
+    The edges come from a sample of about SAMPLED_IDS ids a range, read from that column alone. A doc_id that several
+    edges name is split over their ranges by the checksum of its texts; other rows need none (null).
+    """
+    share = min(1.0, SAMPLED_IDS * parts / max(docs.count(), 1))
+    ids = sorted((r[0] for r in docs.select("doc_id").sample(share, seed=7).collect()), key=lambda v: (v is not None, v))
+    edges = [ids[len(ids) * k // parts] for k in range(1, parts)] if ids else []
+    missing = edges.count(None)
+    known, doc_id = edges[missing:], F.col("doc_id")
+    table = F.array(*map(F.lit, known)).cast(ArrayType(docs.schema["doc_id"].dataType))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(len(known), 1).bit_length()))])
+
+    def edges_while(holds):  # binary search: how many edges of the sorted table hold
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+            (at + step <= len(known)) & holds(F.get(table, at + step - 1)), at + step).otherwise(at))
+
+    below = F.when(doc_id.isNull(), 0).otherwise(missing + edges_while(lambda edge: edge < doc_id))
+    width = F.when(doc_id.isNull(), missing).otherwise(missing + edges_while(lambda edge: edge <= doc_id) - below)
+    crc = F.when(width > 1, F.coalesce(F.crc32(text.cast("binary")), F.lit(0)))
+    return (below + F.coalesce(F.floor(crc * width / F.lit(float(1 << 32))), F.lit(0))).cast("int"), crc
+
+
 def read_tokens(spark: SparkSession, path: str, doc_ids: tuple[int, int] | None = None) -> DataFrame:
     """Documents of the store; ``doc_ids``: a closed range, which reaches the files as a pushed filter."""
     stored = spark.read.parquet(path)

@@ -104,3 +104,21 @@ def test_token_store_repeated_and_missing_ids(spark):
     empty = tempfile.mkdtemp() + "/none"
     write_tokens(spark, docs.limit(0), BPE, empty, end_id=2)
     assert digest_tokens(spark, empty).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_token_store_splits_a_hot_id(spark, kind):
+    path = tempfile.mkdtemp() + "/tokens"
+    ids = [None] * 150 + [7] * 200 + list(range(40)) + [500] * 3
+    cast = str if kind == "string" else int
+    rows = [(None if d is None else cast(d), f"text {k}") for k, d in enumerate(ids)]
+    write_tokens(spark, spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(5), BPE, path, end_id=2, partitions=8)
+    stored = read_tokens(spark, path).collect()
+    spread = {}
+    for r in stored:
+        spread.setdefault(r["doc_id"], set()).add(r["part"])
+    assert len(spread[None]) > 1 and len(spread[cast(7)]) > 1
+    order = [r["doc_id"] for r in digest_tokens(spark, path).orderBy("start").collect()]
+    assert order == sorted((r[0] for r in rows), key=lambda v: (v is not None, v))
+    whole = Tokenizer.from_file(BPE)
+    assert sorted(r["input_ids"] for r in stored) == sorted(whole.encode(t, add_special_tokens=False).ids + [2] for _, t in rows)
