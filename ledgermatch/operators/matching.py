@@ -26,6 +26,12 @@ per invoice, so unmatched invoices need no second join, and neither the
 exploded side nor anything else is broadcast by an estimate made before it
 grew.
 
+Invoices without a number score by amount alone, so they need no pairs with
+single transactions: these are reduced to one row per day and absolute
+amount (its first transaction and their count), and the invoices to distinct
+(keys, date, amount). A day's row meets at most (2*tol+1)*(max_days+1) of
+those, whatever the number of payments or invoices of one amount.
+
 Skew: a hot amount is split across date buckets; AQE splits whatever hot
 join partitions remain. ``hot_key_salts > 0`` additionally salts bucket
 pairs holding at least ``hot_key_rows`` transactions: their transactions are
@@ -177,14 +183,16 @@ def _salt_hot_buckets(inv: DataFrame, txn: DataFrame, keys, bucket: Sequence[str
     return inv, txn
 
 
+#: What orders candidates of one score.
+_ORDER = {"date": ["bank_date", "bank_row_idx", "bank_statement_id", "bank_cents", "bank_description"],
+          "row": ["bank_statement_id", "bank_row_idx", "bank_date", "bank_cents", "bank_description"]}
+BEST = ["match_score", "bank_date", "bank_cents", "bank_description", "bank_statement_id", "bank_row_idx"]
+
+
 def _order_key(tie_order: str) -> Column:
-    if tie_order == "date":
-        return F.struct(-F.col("match_score"), F.col("bank_date"), F.col("bank_row_idx"),
-                        F.col("bank_statement_id"), F.col("bank_cents"), F.col("bank_description"))
-    if tie_order == "row":
-        return F.struct(-F.col("match_score"), F.col("bank_statement_id"), F.col("bank_row_idx"),
-                        F.col("bank_date"), F.col("bank_cents"), F.col("bank_description"))
-    raise ValueError(f"unknown tie_order {tie_order!r}")
+    if tie_order not in _ORDER:
+        raise ValueError(f"unknown tie_order {tie_order!r}")
+    return F.struct(-F.col("match_score"), *_ORDER[tie_order])
 
 
 def match(invoices: DataFrame, transactions: DataFrame, amount_tolerance=0.02,
@@ -219,14 +227,15 @@ def match(invoices: DataFrame, transactions: DataFrame, amount_tolerance=0.02,
         .select(*own, *[F.col("_p")[c].alias(c) for c in place], "bank_copies")
 
     side = _invoice_side(inv, label + ["_copies"])
-    pairs = _band_join(side, txn, keys, amount_tolerance, max_days, "left", hot_key_salts, hot_key_rows) \
+    pairs = _band_join(side.where(~_numberless()), txn, keys, amount_tolerance, max_days, "left", hot_key_salts, hot_key_rows) \
         .withColumn("match_score", _total_score(scorer))
     found = F.col("bank_date").isNotNull()
     best = pairs.groupBy(*label, "_copies").agg(
-        F.min_by(F.when(found, F.struct("match_score", "bank_date", "bank_cents", "bank_description",
-                                        "bank_statement_id", "bank_row_idx")),
-                 F.when(found, _order_key(tie_order))).alias("_best"),
+        F.min_by(F.when(found, F.struct(*BEST)), F.when(found, _order_key(tie_order))).alias("_best"),
         F.coalesce(F.sum("bank_copies"), F.lit(0)).alias("n_candidates"))
+    best = best.unionByName(_match_numberless(side.where(_numberless()), _transaction_side(transactions, keys), keys,
+                                              amount_tolerance, max_days, tie_order)
+                            .select(*label, "_copies", "_best", "n_candidates"))
     return best.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(
         *ikey, *carried,
         F.col("_best").isNotNull().alias("matched"),
@@ -239,6 +248,39 @@ def match(invoices: DataFrame, transactions: DataFrame, amount_tolerance=0.02,
         F.col("n_candidates"))
 
 
+def _numberless() -> Column:
+    return F.coalesce(F.trim("_inv_number"), F.lit("")) == ""
+
+
+def match_days(side: DataFrame, txn: DataFrame, keys: Sequence[str], amount_tolerance, max_days: int,
+               tie_order: str = "date") -> DataFrame:
+    """Distinct (keys, date, absolute amount) of ``side`` (``_invoice_side``)
+    joined to the days of ``txn`` (``_transaction_side``) that pass the
+    amount and date tests: ``bank_first``, a day's first transaction of one
+    absolute amount, and ``bank_copies``, how many there are."""
+    asked = side.where(F.col("_inv_acents").isNotNull()).select(*keys, "_inv_date", "_inv_acents", "_inv_day").distinct()
+    first = [c for c in _ORDER[tie_order] if c != "bank_date"]
+    days = txn.groupBy(*[f"_t_{k}" for k in keys], "bank_date", F.abs("bank_cents").alias("_acents")).agg(
+        F.min(F.struct(*first)).alias("bank_first"), F.count(F.lit(1)).alias("bank_copies")) \
+        .withColumnRenamed("_acents", "bank_cents")
+    return _band_join(asked, days, keys, amount_tolerance, max_days, "inner", 0, 0)
+
+
+def _match_numberless(side: DataFrame, txn: DataFrame, keys: Sequence[str], amount_tolerance, max_days: int,
+                      tie_order: str) -> DataFrame:
+    """``side`` with ``_best`` and ``n_candidates`` by amount and date alone."""
+    asked = [*keys, "_inv_date", "_inv_acents"]
+    score = F.when(F.col("bank_cents") == F.col("_inv_acents"), F.lit(EXACT_BONUS)).otherwise(F.lit(0.0))
+    rows = match_days(side, txn, keys, amount_tolerance, max_days, tie_order) \
+        .select(*asked, score.alias("match_score"), "bank_date", "bank_first.*", "bank_copies")  # bank_first's signed bank_cents
+    answers = rows.groupBy(*asked).agg(F.min_by(F.struct(*BEST), _order_key(tie_order)).alias("_best"),
+                                       F.sum("bank_copies").alias("n_candidates"))
+    answers = answers.select(*[F.col(c).alias(f"_q_{c}") for c in asked], "_best", "n_candidates")
+    on = [side[c].eqNullSafe(answers[f"_q_{c}"]) for c in asked]
+    return side.join(answers, on=on, how="left") \
+        .withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))
+
+
 def rank_candidates(cands: DataFrame, invoice_key: Sequence[str] = ("filename",),
                     tie_order: str = "date") -> DataFrame:
     """Every candidate with its rank (1 = best) inside its invoice; the
@@ -267,8 +309,4 @@ def rank_candidates(cands: DataFrame, invoice_key: Sequence[str] = ("filename",)
 
 
 def _order_cols(tie_order: str):
-    if tie_order == "date":
-        return [F.col("match_score").desc(), F.col("bank_date").asc(), F.col("bank_row_idx").asc(),
-                F.col("bank_statement_id").asc(), F.col("bank_cents").asc(), F.col("bank_description").asc()]
-    return [F.col("match_score").desc(), F.col("bank_statement_id").asc(), F.col("bank_row_idx").asc(),
-            F.col("bank_date").asc(), F.col("bank_cents").asc(), F.col("bank_description").asc()]
+    return [F.col("match_score").desc(), *[F.col(c).asc() for c in _ORDER["date" if tie_order == "date" else "row"]]]

@@ -5,7 +5,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from ledgermatch.operators.matching import candidates, match, rank_candidates
+from ledgermatch.operators.matching import (_invoice_side, _transaction_side, candidates, match, match_days,
+                                            rank_candidates)
 
 INV = "filename string, invoice_number string, invoice_date date, total_amount decimal(18,2)"
 TXN = "statement_id string, row_idx long, date date, description string, amount decimal(18,2)"
@@ -191,3 +192,59 @@ def test_undated_invoices_do_not_multiply(spark):
     assert match(inv, txn).where("matched").count() == 2
     plan = candidates(inv, txn)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("order", ["date", "row"])
+@pytest.mark.parametrize("tol,days", [(0, 0), (0.02, 10), (0.5, 400)])
+def test_numberless_invoices_equal_brute_force(spark, tol, days, order):
+    rnd = random.Random(days)
+    start, tol_c = D(2024, 1, 1), int(round(tol * 100))
+    invs = [(f"i{k % 110}", rnd.choice([None, "", "  "]), None if k % 9 == 0 else start + dt.timedelta(rnd.randint(0, 60)),
+             None if k % 13 == 0 else Decimal(rnd.randint(-60, 60)) / 100) for k in range(120)]
+    txns = [(rnd.choice(["s", "t", None]), rnd.randint(0, 40), start + dt.timedelta(rnd.randint(0, 80)),
+             rnd.choice(["a", "b", None]), Decimal(rnd.randint(-60, 60)) / 100) for _ in range(400)]
+    none_first = lambda *key: tuple((v is not None, v) for v in key)
+    want = []
+    for name, number, day, total in invs:
+        fits = []
+        for sid, row, when, text, amount in txns:
+            off = None if total is None else abs(abs(amount) - abs(total)) * 100
+            if off is not None and off <= tol_c and (day is None or 0 <= (when - day).days <= days):
+                score = 0.0 if off else 5.0
+                place = (when, row, sid) if order == "date" else (sid, row, when)
+                fits.append((none_first(-score, *place, amount, text), (score, when, amount, text, sid, row)))
+        want.append((name, total, day, min(fits)[1] if fits else None, len(fits)))
+    got = match(spark.createDataFrame(invs, INV), spark.createDataFrame(txns, TXN), tol, days, tie_order=order).collect()
+    have = [(r.filename, r.total_amount, r.invoice_date,
+             (r.match_score, r.bank_date, r.bank_amount, r.bank_description, r.bank_statement_id, r.bank_row_idx)
+             if r.matched else None, r.n_candidates) for r in got]
+    assert sorted(have, key=repr) == sorted(want, key=repr)
+
+
+def test_numberless_invoices_of_one_amount_make_no_pairs(spark):
+    """300 blank invoices x 200,000 payments of one amount: the join yields days, not payments."""
+    inv = spark.range(300).selectExpr("concat('i', id) filename", "'' invoice_number",
+                                      "date_add(date'2024-01-01', cast(id % 30 as int)) invoice_date",
+                                      "cast(9.99 as decimal(18,2)) total_amount")
+    txn = spark.range(200_000).selectExpr("'s' statement_id", "id row_idx", "date_add(date'2024-01-01', cast(id % 365 as int)) date",
+                                          "concat('pay ', id) description", "cast(9.99 as decimal(18,2)) amount")
+    joined = match_days(_invoice_side(inv, ["filename"]), _transaction_side(txn, []), [], 0.02, 90)
+    assert joined.count() == 30 * 91
+    got = match(inv, txn, 0.02, 90)
+    per_day = {r["date"]: (r["n"], r["first"]) for r in txn.groupBy("date").agg(F.count("*").alias("n"), F.min("row_idx").alias("first")).collect()}
+    for r in got.collect():
+        days = [r.invoice_date + dt.timedelta(k) for k in range(91)]
+        assert r.n_candidates == sum(per_day[d][0] for d in days)
+        assert (r.bank_date, r.bank_row_idx, r.match_score) == (r.invoice_date, per_day[r.invoice_date][1], 5.0)
+
+
+def test_keyed_numberless_invoices(spark):
+    inv = spark.createDataFrame([("a", None, D(2024, 1, 1), Decimal("5.00"), "x"), ("b", "", None, Decimal("5.00"), "y"),
+                                 ("c", "", D(2024, 1, 1), Decimal("5.00"), None)], INV + ", customer string")
+    txn = spark.createDataFrame([("s", 1, D(2024, 1, 3), "p", Decimal("5.00"), "x"), ("s", 2, D(2024, 1, 2), "p", Decimal("-5.01"), "x"),
+                                 ("s", 3, D(2023, 1, 2), "p", Decimal("-5.00"), "y"), ("s", 4, D(2024, 1, 2), "p", Decimal("5.00"), None)],
+                                TXN + ", customer string")
+    r = {r.filename: r for r in match(inv, txn, 0.02, 90, keys=["customer"]).collect()}
+    assert (r["a"].bank_row_idx, r["a"].n_candidates) == (1, 2)
+    assert (r["b"].bank_row_idx, r["b"].bank_amount, r["b"].n_candidates) == (3, Decimal("-5.00"), 1)
+    assert not r["c"].matched and r["c"].n_candidates == 0
