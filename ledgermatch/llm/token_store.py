@@ -57,10 +57,10 @@ class CutEncoder:
         self.special = [t["content"] for t in known.get("added_tokens", [])]
         self.runs = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
         self.memo, self.marks = Memo(self.cut_ids, MEMO_LIMIT), {}
-        #: the letters that stand for bytes in the vocabulary
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in shown]
-        self.letters = {b: chr(256 + n) for n, b in enumerate(hidden)}
+        #: what stands in the vocabulary for the bytes of a blank and of the letters of PLAIN beyond ASCII
+        bare = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letters = dict(zip([b for b in range(256) if b not in bare], map(chr, range(256, 512))))
+        self.shown = {c: "".join(letters.get(b, chr(b)) for b in c.encode()) for c in [" ", *map(chr, range(0xC0, 0x100))]}
 
     def __reduce__(self):
         return CutEncoder, (self.spec,)
@@ -73,25 +73,32 @@ class CutEncoder:
 
     def cut_ids(self, cut: str) -> bytes:
         """Ids of one cut as little-endian 32-bit integers."""
+        if cut.isascii() and cut[1:].isalpha() and (cut[0] == " " or cut[0].isalpha()):
+            return self.merged(cut.replace(" ", "\u0120"))
         plain = PLAIN.fullmatch(cut)
         if plain is None:
             return self.ids(cut)
         line, word, marks = plain.groups()  # pre-tokens that need no general pattern: a line break, a word, marks
-        if line or marks:  # the word alone is often known
-            return (self.part(line) if line else b"") + self.memo[word] + (self.part(marks) if marks else b"")
-        return self.part(word)
-
-    def part(self, text: str) -> bytes:
-        """Ids of one pre-token, by the library's merge model; a few thousand short runs of marks are kept."""
+        if not line and not marks:
+            return self.merged("".join(map(self.shown.get, word, word)))
+        got = self.memo[word]  # the word alone is often known
+        if marks:
+            got += self.signs(marks)
+        return self.signs(line) + got if line else got
+
+    def signs(self, text: str) -> bytes:
+        """Ids of a line break or of marks; a few thousand short ones are kept."""
         got = self.marks.get(text)
         if got is None:
-            shown = text.replace(" ", "\u0120").replace("\n", "\u010a") if text.isascii() else \
-                text.encode().decode("latin-1").translate(self.letters)
-            got = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-            if not text[-1].isalpha() and len(text) <= 4 and len(self.marks) < 4000:
+            got = self.merged(text.replace("\n", "\u010a"))
+            if len(text) <= 4 and len(self.marks) < 4000:
                 self.marks[text] = got
         return got
 
+    def merged(self, shown: str) -> bytes:
+        """Ids of one pre-token, in the letters that stand for its bytes, by the library's merge model."""
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
