@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions.amounts import AMOUNT_TYPE
 from ..functions.text import ktrim
 
 
-def _inv_key_cols(df: DataFrame):
-    return [F.col("filename").alias("_k_file"),
+def _inv_key_cols(df: DataFrame, by_path: bool):
+    return [F.struct("filename", "path").alias("_k_file") if by_path else F.col("filename").alias("_k_file"),
             F.coalesce(F.lower(ktrim("invoice_number")), F.lit("")).alias("_k_num"),
             F.coalesce(F.col("total_amount").cast(AMOUNT_TYPE).cast("string"), F.lit("")).alias("_k_amt")]
 
@@ -21,10 +21,12 @@ def _txn_key_cols(date, amount, description):
 
 def mark_invoices(invoices: DataFrame, matches: DataFrame) -> DataFrame:
     """``matched`` = the invoice's (filename, number, total) key belongs
-    to a matched result row."""
-    keys = matches.where("matched").select(*_inv_key_cols(matches)).distinct() \
+    to a matched result row; where both sides have ``path``, files of one
+    name in different folders are told apart by it (a null path is a value)."""
+    by_path = "path" in invoices.columns and "path" in matches.columns
+    keys = matches.where("matched").select(*_inv_key_cols(matches, by_path)).distinct() \
         .withColumn("_hit", F.lit(True))
-    inv = invoices.select("*", *_inv_key_cols(invoices))
+    inv = invoices.select("*", *_inv_key_cols(invoices, by_path))
     out = inv.join(keys, on=["_k_file", "_k_num", "_k_amt"], how="left")
     return out.withColumn("matched", F.coalesce(F.col("_hit"), F.lit(False))) \
         .drop("_k_file", "_k_num", "_k_amt", "_hit")
@@ -76,3 +78,25 @@ def summary_counts(flagged_invoices: DataFrame, flagged_transactions: DataFrame)
         F.count_if(inv & ~F.col("matched")).alias("invoices_unmatched"),
         F.count_if(txn).alias("transactions"),
         F.count_if(txn & F.col("matched")).alias("transactions_used"))
+
+
+def observed_counts(flagged_invoices: DataFrame, flagged_transactions: DataFrame):
+    """A3 while something else reads the rows: both tables with the counts of
+    ``summary_counts`` as observations, and a function that gives them as a
+    dict once one action has read each table (it waits until then).
+
+    The counts belong to the first action. Let that be a plain write or
+    collect: counting then runs in the action's last stage, of which Spark
+    counts each task once, also when it was retried."""
+    inv, txn = Observation("invoices"), Observation("transactions")
+    hit = F.coalesce(F.col("matched"), F.lit(False))
+    invoices = flagged_invoices.observe(inv, F.count(F.lit(1)).alias("invoices"), F.count_if(hit).alias("invoices_matched"))
+    transactions = flagged_transactions.observe(txn, F.count(F.lit(1)).alias("transactions"),
+                                                F.count_if(hit).alias("transactions_used"))
+
+    def counts() -> dict[str, int]:
+        i, t = inv.get, txn.get
+        return {"invoices": i["invoices"], "invoices_matched": i["invoices_matched"],
+                "invoices_unmatched": i["invoices"] - i["invoices_matched"], **t}
+
+    return invoices, transactions, counts

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.enrichment import json_column_map, json_invoice_fields, json_transactions, overlay
 from ..operators.extraction import extract_invoices
-from ..operators.flags import mark_invoices, mark_transactions, summary_counts, summary_invoices
+from ..operators.flags import mark_invoices, mark_transactions, observed_counts, summary_counts, summary_invoices
 from ..operators.matching import match
 from ..operators.statements import filter_valid, grid_rejects, grid_to_rows, harmonise, statement_rejects
 from ..sources.delimited import delimited_rejects, delimited_to_rows
@@ -125,6 +125,26 @@ def reconcile(invoice_docs: DataFrame, statement_rows: DataFrame | None = None,
             "_invoices": inv, "_transactions": tx, "_matches": m}
 
 
+def write_results(out: dict[str, DataFrame], folder: str, mode: str = "errorifexists") -> dict[str, int]:
+    """Write ``reconcile``'s tables as Parquet below ``folder`` (invoices,
+    transactions, matches, rejects, summary) and return the run counts.
+
+    The counts are observed while the flagged tables are written: neither is
+    read again for the summary. Kept inputs are released at the end."""
+    spark = out["invoices"].sparkSession
+    invoices, transactions, counts = observed_counts(out["invoices"], out["transactions"])
+    tables = {"matches": out["matches"], "invoices": invoices, "transactions": transactions, "rejects": out["rejects"]}
+    for name, df in tables.items():
+        df.write.mode(mode).parquet(f"{folder}/{name}")
+    row = counts()
+    spark.range(1).select(*[F.lit(row[c]).cast("long").alias(c) for c in out["summary"].columns]) \
+        .write.mode(mode).parquet(f"{folder}/summary")
+    for name in ("_matches", "_transactions", "_invoices"):
+        if name in out:
+            out[name].unpersist()
+    return row
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoice documents and statement lines derived from ``orders`` ->
     best match per invoice."""

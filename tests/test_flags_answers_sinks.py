@@ -5,7 +5,8 @@ import tempfile
 from decimal import Decimal
 
 from ledgermatch.operators.enrichment import json_invoice_fields, json_transactions, overlay
-from ledgermatch.operators.flags import mark_invoices, mark_transactions, summary_counts
+from ledgermatch.operators.flags import mark_invoices, mark_transactions, observed_counts, summary_counts
+from ledgermatch.plans.reconcile import write_results
 from ledgermatch.sinks.writers import invoice_xml_element, invoice_xml_fields, write_invoices_xml
 
 D = dt.date
@@ -82,3 +83,43 @@ def test_numbers_depth_and_repeats_of_answers(spark):
     t = spark.createDataFrame([("s", '{"transactions": [{"date": "2024-01-05", "description": "A", "amount": 10000000.0}]}')],
                               "statement_id string, answer string")
     assert [r.amount for r in json_transactions(t).collect()] == [Decimal("10000000.00")]
+
+
+INVOICES = "filename string, path string, invoice_number string, total_amount decimal(18,2)"
+
+
+def test_files_of_one_name_are_flagged_by_path(spark):
+    rows = [("f", "a/f", "N", Decimal("5.00")), ("f", "b/f", "N", Decimal("5.00")), ("f", None, "N", Decimal("5.00"))]
+    inv = spark.createDataFrame(rows, INVOICES)
+    m = spark.createDataFrame([(*rows[1], True), (*rows[0], False), (*rows[2], True)], INVOICES + ", matched boolean")
+    assert {r.path: r.matched for r in mark_invoices(inv, m).collect()} == {"a/f": False, "b/f": True, None: True}
+    assert all(r.matched for r in mark_invoices(inv, m.drop("path")).collect())  # one side without paths: by name
+    assert all(r.matched for r in mark_invoices(inv.drop("path"), m).collect())
+
+
+def flagged(spark, n_inv, n_tx):
+    return (spark.range(n_inv).selectExpr("concat('f', id) filename", "id % 3 = 0 matched").repartition(3),
+            spark.range(n_tx).selectExpr("id row_idx", "id % 4 = 1 matched").repartition(5))
+
+
+def test_observed_counts_equal_the_summary(spark):
+    for n_inv, n_tx in ((100, 57), (1, 0), (0, 0)):
+        fi, ft = flagged(spark, n_inv, n_tx)
+        want = summary_counts(fi, ft).collect()[0].asDict()
+        oi, ot, counts = observed_counts(fi, ft)
+        assert oi.columns == fi.columns and len(oi.collect()) == n_inv and len(ot.collect()) == n_tx
+        assert counts() == want
+
+
+def test_results_are_written_with_counts_and_no_second_aggregation(spark):
+    fi, ft = flagged(spark, 100, 57)
+    folder = tempfile.mkdtemp()
+    out = {"invoices": fi, "transactions": ft, "matches": fi.where("matched"), "rejects": ft.limit(0), "summary": summary_counts(fi, ft)}
+    row = write_results(out, folder)
+    assert row == out["summary"].collect()[0].asDict()
+    written = spark.read.parquet(f"{folder}/summary")
+    assert written.columns == out["summary"].columns and written.collect()[0].asDict() == row
+    assert spark.read.parquet(f"{folder}/invoices").count() == 100 and spark.read.parquet(f"{folder}/transactions").count() == 57
+    oi, _, _ = observed_counts(fi, ft)
+    plan = oi._jdf.queryExecution().executedPlan().toString()
+    assert "CollectMetrics" in plan and "HashAggregate" not in plan
