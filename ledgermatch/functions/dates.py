@@ -20,14 +20,22 @@ MONTHS = {
     "jan": 1, "feb": 2, "mar": 3, "apr": 4, "jun": 6, "jul": 7, "aug": 8, "sep": 9,
 }
 
+# Weekdays that may stand before a date with a month name,
+# French then English, full and abbreviated ("mar", a month too, is left out).
+WEEKDAYS = ["lundi", "mardi", "mercredi", "jeudi", "vendredi", "samedi", "dimanche", "lun", "mer", "jeu", "ven", "sam", "dim",
+            "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday",
+            "mon", "tue", "tues", "wed", "thu", "thur", "thurs", "fri", "sat", "sun"]
+
 # Numeric shapes: day-first (05/01/2024, 5-1-24, 05.01.2024) or ISO
 # year-first, both with an optional time (after a blank or T) and offset; a
 # four-digit first number means year-first. Eight digits are yyyyMMdd.
 # Month-name shapes: "15 janvier 2023", "15-Jan-2024", "1er mai 2024",
-# "Jan 15, 2023" (rewritten to day-month-year first).
+# "Jan 15, 2023" (rewritten to day-month-year first), also after a weekday
+# ("Monday 5 February 2024", "lundi, le 5 février 2024").
 _NUM = (r"^(\d{1,4})[-/. ](\d{1,2})[-/. ](\d{1,4})"
         r"(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?: ?(?:Z|[+-]\d{2}:?\d{2}))?)?$")
 _COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
+_WEEKDAY = rf"^(?:{'|'.join(WEEKDAYS)})(?:\.?,?\s++|,)(?:le\s++|the\s++)?"
 _MONTH_D_Y = r"^([a-z]+)\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})$"
 _D_MONTH_Y = r"^(\d{1,2})(?:er)?[\s-]+([a-z]+)\.?,?[\s-]+(\d{4}|\d{2})$"
 
@@ -48,7 +56,7 @@ def parse_date(text) -> Column:
     a, b, z = (F.regexp_extract(s, _NUM, i) for i in (1, 2, 3))
     year_first = (F.length(a) == 4) & (F.length(z) <= 2)
     day_first = (F.length(a).between(1, 2)) & F.length(z).isin(2, 4)
-    named = F.regexp_replace(F.lower(fold_latin1(s)), _MONTH_D_Y, "$2 $1 $3")
+    named = F.regexp_replace(F.regexp_replace(F.lower(fold_latin1(s)), _WEEKDAY, ""), _MONTH_D_Y, "$2 $1 $3")
     nd, nm, ny = (F.regexp_extract(named, _D_MONTH_Y, i) for i in (1, 2, 3))
     ny = F.when(F.length(ny) == 2, F.concat(F.lit("20"), ny)).otherwise(ny)
     compact = F.regexp_replace(s, _COMPACT, "$1-$2-$3")

@@ -25,6 +25,14 @@ def test_parse_date_own_cases(spark):
     assert one_col(spark, list(cases), parse_date) == list(cases.values())
 
 
+def test_parse_date_after_a_weekday(spark):
+    cases = {"Monday 5 February 2024": dt.date(2024, 2, 5), "lundi 5 février 2024": dt.date(2024, 2, 5),
+             "Lundi, le 1er mai 2024": dt.date(2024, 5, 1), "Mon, 05 Feb 2024": dt.date(2024, 2, 5),
+             "Thu. Jan 15, 2023": dt.date(2023, 1, 15), "mar 15, 2024": dt.date(2024, 3, 15), "sam.3 juin 2024": None,
+             "Monday": None, "lundi mardi 5 mai 2024": None, "mon" + " " * 100_000 + "x": None, "Sunday 31 June 2024": None}
+    assert one_col(spark, list(cases), parse_date) == list(cases.values())
+
+
 def test_parse_amount_reference_cases(spark):
     cases = {"1,234.56": Decimal("1234.56"), "1.234,56": Decimal("1234.56"), "1 234,56": Decimal("1234.56"),
              "100": Decimal("100.00"), "-50.25": Decimal("-50.25"), "Not a number": None,
