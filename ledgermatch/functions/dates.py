@@ -3,8 +3,6 @@ French or English month names. Invalid calendar days give NULL."""
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column, functions as F
 
 from .text import fold_latin1, ktrim
@@ -41,7 +39,7 @@ _D_MONTH_Y = r"^(\d{1,2})(?:er)?[\s-]+([a-z]+)\.?,?[\s-]+(\d{4}|\d{2})$"
 
 
 def _month_map() -> Column:
-    return F.create_map(*chain.from_iterable((F.lit(k), F.lit(str(v))) for k, v in MONTHS.items()))
+    return F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in MONTHS.items()) + ")")
 
 
 def parse_date(text) -> Column:

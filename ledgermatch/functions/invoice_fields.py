@@ -68,10 +68,18 @@ def find_invoice_number(folded_text) -> Column:
     return F.nullif(out, F.lit(""))
 
 
+def labelled_date(lowered_text) -> Column:
+    """The token after a date label ('' when none)."""
+    return F.regexp_extract(_col(lowered_text), DATE_LABELLED, 1)
+
+
+def any_date(lowered_text) -> Column:
+    """The first date-looking token ('' when none)."""
+    return F.regexp_extract(_col(lowered_text), DATE_ANY, 1)
+
+
 def find_invoice_date(lowered_text) -> Column:
-    t = _col(lowered_text)
-    return F.coalesce(parse_date(F.regexp_extract(t, DATE_LABELLED, 1)),
-                      parse_date(F.regexp_extract(t, DATE_ANY, 1)))
+    return F.coalesce(parse_date(labelled_date(lowered_text)), parse_date(any_date(lowered_text)))
 
 
 def text_max_amount(lowered_text) -> Column:
@@ -81,9 +89,14 @@ def text_max_amount(lowered_text) -> Column:
     return F.array_max(F.filter(values, lambda x: x.isNotNull()))
 
 
+def labelled_total(lowered_text, pattern: int) -> Column:
+    """The token after a total label, by one of TOTAL_PATTERNS ('' when none)."""
+    return F.regexp_extract(_col(lowered_text), TOTAL_PATTERNS[pattern], 1)
+
+
 def find_total_amount(lowered_text) -> Column:
     t = _col(lowered_text)
-    return F.coalesce(*[parse_amount(F.regexp_extract(t, p, 1)) for p in TOTAL_PATTERNS],
+    return F.coalesce(*[parse_amount(labelled_total(t, i)) for i in range(len(TOTAL_PATTERNS))],
                       text_max_amount(t))
 
 

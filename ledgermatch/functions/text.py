@@ -65,11 +65,17 @@ def ktrim(text) -> Column:
     return F.regexp_replace(_col(text), _TRIM_RE, "")
 
 
+def trim_ends(text: Column) -> Column:
+    """``ktrim`` of a value at hand (a column or lambda variable): only texts
+    whose first or last character is a blank are searched."""
+    ends = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
+    return F.when(F.rlike(ends, F.lit(r"[\s\p{Z}]")), ktrim(text)).otherwise(text)
+
+
 def text_lines(text) -> Column:
     """Trimmed, non-blank lines of a text as array<string> (P5)."""
-    parts = F.split(F.regexp_replace(_col(text), "\r", ""), "\n")
-    return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, _TRIM_RE, "")),
-                    lambda x: x != "")
+    parts = F.split(F.replace(_col(text), F.lit("\r"), F.lit("")), "\n")
+    return F.filter(F.transform(parts, trim_ends), lambda x: x != "")
 
 
 def is_entity_line(line) -> Column:

@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import invoice_fields as IF
-from ..functions.text import ktrim
+from ..functions.amounts import parse_amount
+from ..functions.dates import parse_date
+from ..functions.text import ktrim, trim_ends
 from .once import evaluate_once
 
 # Fixed value: a new invoice starts at a line beginning with
 # "reçu n°" / "facture" / "invoice" (case-insensitive); used as a zero-width
 # split point after a newline.
 SECTION_START = r"(?iu)(?<=\n)(?=(?:re[çc]u\s*n[°o]|facture|invoice)\b)"
-# Trailing blanks of every line (only \n ends a line).
-_LINE_END_BLANKS = r"(?md)(?<![\t\x0B\f\x1C-\x1F\p{Z}])[\t\x0B\f\x1C-\x1F\p{Z}]++$"
+# The same on single lines: a marker line, and one that goes on in the next line.
+_MARKER_LINE = r"(?iu)^(?:re[çc]u\s*n[°o]|facture|invoice)\b"
+_OPEN_MARKER, _NUMBER_LINE = r"(?iu)^re[çc]u$", r"(?iu)^\s*n[°o]\b"
+#: Numbers of lines (or pages) of one document that are taken in one task.
+LINE_PART = 1 << 14
+# Trailing blanks of every line (only \n ends a line), and carriage returns;
+# the blank is tested before the look-behind, which few characters then reach.
+_BLANK = r"[\t\x0B\f\x1C-\x1F\p{Z}]"
+_LINE_END_BLANKS = rf"(?md)(?={_BLANK})(?<!{_BLANK}){_BLANK}++$"
 
 
 def normalize_text(text) -> F.Column:
     c = F.col(text) if isinstance(text, str) else text
-    return ktrim(F.regexp_replace(F.regexp_replace(c, "\r", ""), _LINE_END_BLANKS, ""))
+    return ktrim(F.regexp_replace(F.replace(c, F.lit("\r"), F.lit("")), _LINE_END_BLANKS, ""))
 
 
 def split_sections(docs: DataFrame, text_col: str = "text", filename_col: str = "filename") -> DataFrame:
@@ -29,11 +38,12 @@ def split_sections(docs: DataFrame, text_col: str = "text", filename_col: str =
     with blank text yield no row.
     """
     parts = F.split(normalize_text(text_col), SECTION_START)
-    secs = F.filter(F.transform(parts, ktrim), lambda x: x != "")
+    secs = F.filter(F.transform(parts, trim_ends), lambda x: x != "")
     others = [c for c in docs.columns if c not in (text_col, filename_col)]
-    exploded = docs.select(F.col(filename_col).alias("source_file"), *others,
-                           secs.alias("_secs")) \
-        .select("*", F.size("_secs").alias("n_sections"), F.posexplode("_secs").alias("_pos", "text"))
+    # counted below the generator: above it, every section would carry the whole document
+    exploded = docs.select(F.col(filename_col).alias("source_file"), *others, secs.alias("_secs")) \
+        .withColumn("n_sections", F.size("_secs")) \
+        .select("source_file", *others, "n_sections", F.posexplode("_secs").alias("_pos", "text"))
     section_no = (F.col("_pos") + 1).cast("int")
     label = F.when(F.col("n_sections") > 1,
                    F.concat(F.col("source_file"), F.lit("#"), section_no.cast("string"))) \
@@ -42,25 +52,89 @@ def split_sections(docs: DataFrame, text_col: str = "text", filename_col: str =
                            F.col("n_sections").cast("int").alias("n_sections"), "text")
 
 
+def _earlier(rows: DataFrame, value, by: list[str], names: tuple[str, str]) -> DataFrame:
+    """``rows`` with two sums of ``value`` over their document: of the parts
+    before the row's, and of all. ``by``: document and part. One row a part is
+    summed up; no window sees the rows of a whole document."""
+    doc = Window.partitionBy(by[0])
+    parts = rows.groupBy(*by).agg(F.sum(value).alias("_n")).select(
+        *by, F.coalesce(F.sum("_n").over(doc.orderBy(by[1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(names[0]),
+        F.sum("_n").over(doc).alias(names[1]))
+    return rows.join(parts, by)
+
+
+def split_sections_by_line(lines: DataFrame, key: list[str], order: list[str], text_col: str = "text",
+                           filename_col: str = "filename", part: int = LINE_PART) -> DataFrame:
+    """The rows of ``split_sections`` for documents that come as lines or as
+    pages and are never put together: only a section is one row.
+
+    ``key`` names the document (nulls are values; its columns are kept),
+    ``order`` the place of a row in it, unique there, first an integer; a row
+    holds one line or several, and rows join by a newline.
+
+    A section starts at a marker line. The lines of a document are cut into
+    ranges of ``part`` numbers of the first order column. A running sum of the
+    markers in a range, and the sums of the ranges before it, name a line's
+    section; blank sections are left out of the numbering the same way. So one
+    long document spreads over tasks; what has to fit in one is a range and a
+    section."""
+    text = F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\r"), F.lit(""))
+    start = F.coalesce(F.floor(F.col(order[0]) / part), F.lit(-1 << 62))
+    rows = lines.select(F.struct(*key).alias("_doc"), start.alias("_part"), F.struct(*order).alias("_at"),
+                        F.col(filename_col).alias("source_file"), F.posexplode(F.split(text, "\n")).alias("_i", "_line")) \
+        .withColumn("_line", F.regexp_replace("_line", _LINE_END_BLANKS, ""))
+    # "reçu" alone on its line is a marker where the next line with text goes on with "n°"
+    rows = rows.withColumn("_goes_on", F.when(F.col("_line") != "", F.rlike("_line", F.lit(_NUMBER_LINE))))
+    own = Window.partitionBy("_doc", "_part").orderBy("_at", "_i")
+    following = Window.partitionBy("_doc").orderBy("_part").rowsBetween(1, Window.unboundedFollowing)  # a row a part
+    firsts = rows.groupBy("_doc", "_part").agg(F.min_by("_goes_on", F.when(F.col("_goes_on").isNotNull(), F.struct("_at", "_i"))).alias("_f")) \
+        .select("_doc", "_part", F.first("_f", ignorenulls=True).over(following).alias("_next_part"))
+    rows = rows.join(firsts, ["_doc", "_part"]) \
+        .withColumn("_next", F.first("_goes_on", ignorenulls=True).over(own.rowsBetween(1, Window.unboundedFollowing)))
+    mark = F.rlike("_line", F.lit(_MARKER_LINE)) | (F.rlike("_line", F.lit(_OPEN_MARKER)) & F.coalesce("_next", "_next_part", F.lit(False)))
+    marked = _earlier(rows.withColumn("_mark", mark.cast("long")), F.col("_mark"), ["_doc", "_part"], ("_base", "_all")) \
+        .withColumn("_sec", F.col("_base") + F.sum("_mark").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    ordered = F.array_sort(F.collect_list(F.struct("_at", "_i", "_line")))
+    made = marked.groupBy("_doc", "_sec").agg(
+        F.max("source_file").alias("source_file"), ktrim(F.array_join(F.transform(ordered, lambda x: x["_line"]), "\n")).alias("text")) \
+        .where("text <> ''")
+    numbers = _earlier(made.select("_doc", F.floor(F.col("_sec") / part).alias("_part"), "_sec"), F.lit(1), ["_doc", "_part"], ("_base", "_all"))
+    numbers = numbers.select("_doc", "_sec", F.col("_all").cast("int").alias("n_sections"), (F.col("_base") + F.row_number().over(
+        Window.partitionBy("_doc", "_part").orderBy("_sec"))).cast("int").alias("section_no"))
+    label = F.when(F.col("n_sections") > 1, F.concat("source_file", F.lit("#"), F.col("section_no").cast("string"))) \
+        .otherwise(F.col("source_file"))
+    return made.join(numbers, ["_doc", "_sec"]).select(
+        "source_file", *[F.col("_doc")[c].alias(c) for c in key if c != filename_col], label.alias("filename"), "section_no",
+        "n_sections", "text")
+
+
 def extract_fields(sections: DataFrame, text_col: str = "text") -> DataFrame:
     """Heuristic fields of each section; keeps every input column and
     adds invoice_number, invoice_date, total_amount, currency,
     currency_detected, supplier_name, customer_name, header_snippet."""
-    base = sections.withColumn("_fold", IF.folded(text_col)) \
-        .withColumn("_low", F.lower(F.col("_fold"))) \
-        .withColumn("_lines", IF.section_lines(text_col)) \
-        .withColumn("_ent", IF.entity_flags("_lines"))
-    out = evaluate_once(base, {
+    # tokens first, then their values: a parse reads its token many times, and
+    # what is looked for next is only looked for where nothing was found yet
+    first = evaluate_once(sections.withColumn("_fold", IF.folded(text_col))
+                          .withColumn("_low", F.lower(F.col("_fold")))
+                          .withColumn("_lines", IF.section_lines(text_col))
+                          .withColumn("_ent", IF.entity_flags("_lines")), {
+        "_date_token": IF.labelled_date("_low"), "_total_token": IF.labelled_total("_low", 0)})
+    second = evaluate_once(first, {"_date": parse_date("_date_token"), "_total": parse_amount("_total_token")})
+    third = evaluate_once(second, {
+        "_date_token2": F.when(F.col("_date").isNull(), IF.any_date("_low")),
+        "_total_token2": F.when(F.col("_total").isNull(), IF.labelled_total("_low", 1))})
+    out = evaluate_once(third, {
         "invoice_number": IF.find_invoice_number("_fold"),
-        "invoice_date": IF.find_invoice_date("_low"),
-        "total_amount": IF.find_total_amount("_low"),
+        "invoice_date": F.coalesce("_date", parse_date("_date_token2")),
+        "total_amount": F.coalesce("_total", parse_amount("_total_token2"), IF.text_max_amount("_low")),
         "currency_detected": IF.currency_detected("_low"),
         "supplier_name": IF.infer_supplier("_lines", "_ent"),
         "header_snippet": IF.header_snippet("_lines")})
     out = out.withColumn("currency", F.when(F.col("currency_detected"), F.lit("EUR"))
                          .otherwise(F.lit(IF.DEFAULT_CURRENCY)))
     out = out.withColumn("customer_name", IF.infer_customer("_lines", "supplier_name", "_ent"))
-    return out.drop("_fold", "_low", "_lines", "_ent")
+    return out.drop("_fold", "_low", "_lines", "_ent", "_date_token", "_total_token", "_date", "_total",
+                    "_date_token2", "_total_token2")
 
 
 def extract_invoices(docs: DataFrame, text_col: str = "text", filename_col: str = "filename",

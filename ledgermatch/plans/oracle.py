@@ -157,6 +157,13 @@ SELECT CASE WHEN n_sections > 1 THEN src || '#' || section_no ELSE src END AS fi
        CAST(section_no AS INTEGER) AS section_no, CAST(n_sections AS INTEGER) AS n_sections, {SECTION} AS text
 FROM secs"""
 
+ORACLE["split_sections_by_line"] = f"""WITH {ORD},
+secs AS (SELECT k, 'doc_' || (k // 500) || '.pdf' AS src, row_number() OVER (PARTITION BY k // 500 ORDER BY k) AS section_no,
+                count(*) OVER (PARTITION BY k // 500) AS n_sections, custkey, d, cents FROM ord)
+SELECT CASE WHEN n_sections > 1 THEN src || '#' || section_no ELSE src END AS filename,
+       CAST(section_no AS INTEGER) AS section_no, CAST(n_sections AS INTEGER) AS n_sections, {SECTION} AS text
+FROM secs"""
+
 ORACLE["extract_invoice_fields"] = f"""WITH {ORD},\n{SECS}
 SELECT CASE WHEN n_sections > 1 THEN src || '#' || section_no ELSE src END AS filename,
        CAST(section_no AS INTEGER) AS section_no, 'INV-' || k AS invoice_number,

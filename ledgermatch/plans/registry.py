@@ -169,7 +169,7 @@ def q_sort_transactions(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- extraction
-from ..operators.extraction import extract_invoices, split_sections  # noqa: E402
+from ..operators.extraction import extract_invoices, split_sections, split_sections_by_line  # noqa: E402
 from ..functions import invoice_fields as IF  # noqa: E402
 from ..functions.amounts import format_fr_amount, format_en_amount, parse_amount  # noqa: E402
 from ..functions.dates import parse_date  # noqa: E402
@@ -204,6 +204,20 @@ def q_split_sections(spark, sf_dir):
     return s.select("filename", "section_no", "n_sections", "text")
 
 
+@query("split_sections_by_line")
+def q_split_sections_by_line(spark, sf_dir):
+    """F10 + W1 + S1: documents of up to 2,500 lines that come as one row a line;
+    each tenth section starts with a blank line, and the numbers of lines have gaps."""
+    o = _orders(spark, sf_dir)
+    text = F.concat(F.when(F.col("k") % 10 == 0, F.lit("\n")).otherwise(F.lit("")),
+                    fx.section_text(F.col("k"), F.col("custkey"), F.col("d"), F.col("total")))
+    lines = o.select(F.concat(F.lit("doc_"), F.floor(F.col("k") / 500).cast("bigint"), F.lit(".pdf")).alias("filename"), "k",
+                     F.posexplode(F.split(text, "\n")).alias("i", "text")) \
+        .select("filename", (F.col("k") * 8 + F.col("i")).alias("line_no"), "text")
+    s = split_sections_by_line(lines, ["filename"], ["line_no"])
+    return s.select("filename", "section_no", "n_sections", "text")
+
+
 @query("extract_invoice_fields")
 def q_extract_fields(spark, sf_dir):
     """Document text -> invoice rows (round trip of the section template)."""
