@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import ktrim
+from ..operators.once import evaluate_once
 from ..operators.statements import drop_reason, harmonise
 from ..session import checkpoint_dir
 
@@ -82,40 +83,39 @@ def quoted_records(lines: DataFrame, usable: DataFrame) -> DataFrame:
     the runs before it, one row a run. Nothing else of a statement is sorted,
     and no lines are collected. Quotes that are never closed, or only after
     RECORD_SPAN, open no record."""
-    states = None
-    for s in SEPARATORS:
-        one = _quote_states(F.col("line"), s)
-        states = F.when(F.col("sep") == s, one) if states is None else states.when(F.col("sep") == s, one)
-    events = lines.where(F.contains("line", F.lit('"'))).join(usable.select("statement_id", "header_no", "sep"), "statement_id") \
-        .where(F.col("line_no") > F.col("header_no")).select("statement_id", "line_no", states.alias("m")) \
-        .where("m.o OR NOT m.i").select("statement_id", "line_no", F.col("m.o").cast("int").alias("o"), F.col("m.i").cast("int").alias("i"),
-                                        F.expr(f"line_no div {RUN_LINES}").alias("run"))
+    def state(end: str) -> Column:
+        out = None
+        for s in SEPARATORS:
+            one = _quote_states(F.col("line"), s)[end]
+            out = F.when(F.col("sep") == s, one) if out is None else out.when(F.col("sep") == s, one)
+        return out.cast("int")
+    quoted = lines.where(F.contains("line", F.lit('"'))).join(usable.select("statement_id", "header_no", "sep"), "statement_id") \
+        .where(F.col("line_no") > F.col("header_no"))
+    events = evaluate_once(quoted.select("statement_id", "line_no", "line", "sep"), {"o": state("o"), "i": state("i")}) \
+        .where("o = 1 OR i = 0").select("statement_id", "line_no", "o", "i", F.expr(f"line_no div {RUN_LINES}").alias("run")) \
+        .where("run IS NOT NULL")  # as the join below infers: both its sides are one shuffle then
     # a map is constant (o = i) or swaps (o > i): the state after a line is the last constant plus the swaps since
     swaps = F.when(F.col("o") > F.col("i"), 1).otherwise(0)
     own = Window.partitionBy("statement_id", "run").orderBy("line_no")
-    before, to = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(Window.unboundedPreceding, 0)
+    to = own.rowsBetween(Window.unboundedPreceding, 0)
     at = events.withColumn("n", F.sum(swaps).over(to)) \
         .withColumn("c", F.last(F.when(F.col("o") == F.col("i"), F.col("o") + F.col("n")), ignorenulls=True).over(to))
-    runs = at.groupBy("statement_id", "run").agg(F.max_by(F.struct("n", "c"), "line_no").alias("m"))
+    still_open = F.pmod(F.coalesce("c", F.lit(1)) + F.col("n"), F.lit(2))  # if the run starts inside quotes
+    runs = at.groupBy("statement_id", "run").agg(F.max_by(F.struct("n", "c"), "line_no").alias("m"),
+                                                 F.min(F.when(still_open == 0, F.col("line_no"))).alias("close"))
     # the same composition over runs: c and n of a run count from its start
     over_runs = Window.partitionBy("statement_id").orderBy("run")
-    runs = runs.withColumn("n", F.sum("m.n").over(over_runs.rowsBetween(Window.unboundedPreceding, -1))) \
-        .withColumn("n", F.coalesce("n", F.lit(0))) \
-        .withColumn("c", F.last(F.col("m.c") + F.col("n"), ignorenulls=True).over(over_runs.rowsBetween(Window.unboundedPreceding, -1))) \
-        .select("statement_id", "run", F.col("n").alias("n0"), F.col("c").alias("c0"))
-    state = F.pmod(F.coalesce(F.col("c") + F.col("n0"), F.col("c0"), F.lit(0)) + F.col("n") + F.col("n0"), F.lit(2))
-    start = F.pmod(F.coalesce("c0", F.lit(0)) + F.col("n0"), F.lit(2))
-    placed = at.join(runs, ["statement_id", "run"]).select("statement_id", "run", "line_no", state.alias("open"), start.alias("start"))
-    # a record runs from the line that opens to the next one that closes, in this bucket of lines or in the next
+    earlier, later = over_runs.rowsBetween(Window.unboundedPreceding, -1), over_runs.rowsBetween(1, Window.unboundedFollowing)
+    runs = runs.withColumn("n", F.coalesce(F.sum("m.n").over(earlier), F.lit(0))) \
+        .withColumn("c", F.last(F.col("m.c") + F.col("n"), ignorenulls=True).over(earlier)) \
+        .select("statement_id", "run", F.pmod(F.coalesce("c", F.lit(0)) + F.col("n"), F.lit(2)).alias("start"),
+                F.first("close", ignorenulls=True).over(later).alias("next_close"))
+    placed = at.join(runs, ["statement_id", "run"]).withColumn("open", F.pmod(F.coalesce("c", "start") + F.col("n"), F.lit(2)))
+    # a record runs from the line that opens to the next one that closes, in this run or in a later one
     edges = placed.withColumn("was", F.coalesce(F.lag("open").over(own), "start")).where("was <> open") \
-        .select("statement_id", "line_no", "open", F.expr(f"line_no div {RECORD_SPAN}").alias("_bucket"))
-    bucket = Window.partitionBy("statement_id", "_bucket").orderBy("line_no")  # RECORD_SPAN lines at most
-    inside = edges.withColumn("last", F.lead("line_no").over(bucket)).where("open = 1")
-    first_close = edges.groupBy("statement_id", (F.col("_bucket") - 1).alias("_bucket")).agg(
-        F.min(F.struct("line_no", "open")).alias("_next"))
-    found = inside.join(first_close, ["statement_id", "_bucket"], "left") \
-        .withColumn("last", F.coalesce("last", F.when(F.col("_next.open") == 0, F.col("_next.line_no"))))
-    return found.where(F.col("last") - F.col("line_no") < RECORD_SPAN).select("statement_id", F.col("line_no").alias("first"), "last")
+        .withColumn("last", F.coalesce(F.lead("line_no").over(own), "next_close"))
+    return edges.where((F.col("open") == 1) & (F.col("last") - F.col("line_no") < RECORD_SPAN)) \
+        .select("statement_id", F.col("line_no").alias("first"), "last")
 
 
 def join_quoted_lines(lines: DataFrame, usable: DataFrame) -> DataFrame:
