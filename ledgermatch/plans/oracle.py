@@ -118,6 +118,9 @@ SELECT t.statement_id, t.row_idx, EXISTS (SELECT 1 FROM used u WHERE u.date = t.
         AND u.d = lower(regexp_replace(t.description, '\\s', '', 'g'))) AS matched
 FROM txn_v t"""
 
+ORACLE["mark_stored_invoices"] = ORACLE["mark_invoices"]
+ORACLE["mark_stored_transactions"] = ORACLE["mark_transactions"]
+
 ORACLE["anti_transactions"] = f"""{FLAG_BASE},\n{USED_TX}
 SELECT t.statement_id, t.row_idx FROM txn_v t WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.date = t.date
         AND u.tcents = t.cents AND u.d = lower(regexp_replace(t.description, '\\s', '', 'g')))"""

@@ -143,6 +143,33 @@ def q_mark_transactions(spark, sf_dir):
     return FL.mark_transactions(txn, m).select("statement_id", "row_idx", "matched")
 
 
+def _stored(spark, *stored):
+    """Tables of ``operators.stored``, each with a name and a folder of its own
+    below the shared folder."""
+    from uuid import uuid4
+    from ..session import checkpoint_dir
+    run = uuid4().hex
+    return [store(df, f"stored_{run}_{i}", path=f"{checkpoint_dir(spark)}/stored-{run}-{i}") for i, (store, df) in enumerate(stored)]
+
+
+@query("mark_stored_invoices")
+def q_mark_stored_invoices(spark, sf_dir):
+    """J4 on stored tables: bucket against bucket."""
+    from ..operators import stored as ST
+    inv, _, m = _flagship_inputs(spark, sf_dir)
+    kept, used = _stored(spark, (ST.store_invoices, inv), (ST.store_matched_invoices, m))
+    return ST.flag_stored(kept, used).select("filename", "matched")
+
+
+@query("mark_stored_transactions")
+def q_mark_stored_transactions(spark, sf_dir):
+    """J5 on stored tables: bucket against bucket."""
+    from ..operators import stored as ST
+    _, txn, m = _flagship_inputs(spark, sf_dir)
+    kept, used = _stored(spark, (ST.store_transactions, txn), (ST.store_used_transactions, m))
+    return ST.flag_stored(kept, used).select("statement_id", "row_idx", "matched")
+
+
 @query("anti_transactions")
 def q_anti_transactions(spark, sf_dir):
     _, txn, m = _flagship_inputs(spark, sf_dir)
