@@ -110,7 +110,8 @@ class TemplateIndex:
         return False
 
     def scan(self, text: str | None):
-        """n_words, places of base phrases, their labels, the joins of all blocks, and those that give a label."""
+        """n_words, places of base phrases, their labels, the joining blocks by template, and the templates that give a
+        label."""
         words = folded_words(text)
         held = set(words)
         places, labels, found = [], set(), {}
@@ -121,30 +122,37 @@ class TemplateIndex:
                 labels |= {label} if own else set()
         if not held.isdisjoint(self.starts):
             found = self.join(held)
-            if found and len(words) > BLOCK_WORDS:
+            if found:
                 own = [(k, r) for k, r in enumerate(map(self.rank.get, words)) if r is not None]
-                best = {t: self.best_block(t, own) for t in found}
-                found = {t: n / len(self.templates[t][1]) for t, n in best.items() if n >= self.templates[t][2]}
+                runs = {t: self.joining_blocks(t, own, max(0, len(words) - BLOCK_WORDS)) for t in found}
+                found = {t: r for t, r in runs.items() if r}
         return len(words), places, labels, found, [t for t in found if self.marked(t, words)]
 
-    def best_block(self, t: int, own: list[tuple[int, int]]) -> int:
-        """The most words of template ``t`` that a block holds; ``own``: places and ranks of a text's template words."""
-        wanted = frozenset(self.templates[t][1])
-        hits = [h for h in own if h[1] in wanted]
-        held, first, best = Counter(), 0, 0
-        for k, r in hits:
-            held[r] += 1
-            while hits[first][0] <= k - BLOCK_WORDS:
-                gone = hits[first][1]
-                held[gone] -= 1
-                if not held[gone]:
-                    del held[gone]
-                first += 1
-            if len(held) > best:
-                best = len(held)
-                if best == len(wanted):
-                    break
-        return best
+    def joining_blocks(self, t: int, own: list[tuple[int, int]], last: int) -> list[tuple[int, int, float]]:
+        """All blocks that join template ``t``, as runs of neighbouring ones: their first and last start, and the largest
+        share of the template's words that one of them holds. ``own``: places and ranks of a text's template words;
+        ``last``: the start of its last block.
+
+        A word at place k stands in the blocks that start BLOCK_WORDS - 1 words before k or later, up to k; what a word
+        adds to the blocks is summed over their starts."""
+        _, ranks, need = self.templates[t]
+        wanted, counted, change = frozenset(ranks), {}, Counter()
+        for k, r in own:
+            if r in wanted:
+                start, stop = max(0, k - BLOCK_WORDS + 1, counted.get(r, 0)), min(k, last) + 1
+                if start < stop:  # blocks that hold an earlier place of the word count it once
+                    change[start] += 1
+                    change[stop] -= 1
+                    counted[r] = stop
+        runs, held, first, best = [], 0, None, 0
+        for at in sorted(change):
+            held += change[at]
+            if held >= need:
+                first, best = (at, held) if first is None else (first, max(best, held))
+            elif first is not None:
+                runs.append((first, at - 1, best / len(ranks)))
+                first = None
+        return runs
 
 
 def phrase_places(words: list[bytes], phrase: list[bytes]) -> list[int]:
@@ -160,7 +168,7 @@ def phrase_places(words: list[bytes], phrase: list[bytes]) -> list[int]:
 
 
 def blocks(text: str):
-    """Word lists of a text's blocks: what ``TemplateIndex.scan`` finds the best of without forming them."""
+    """Word lists of a text's blocks, by their start: ``TemplateIndex.scan`` joins them without forming them."""
     words = folded_words(text)
     for at in range(max(1, len(words) - BLOCK_WORDS + 1)):
         yield words[at:at + BLOCK_WORDS]
@@ -185,14 +193,17 @@ def template_frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[bytes, in
 
 def scan_licenses(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, phrases: dict = PHRASES,
                   least: float = LEAST, carry: list[str] | None = None, marks=None) -> DataFrame:
-    """``n_words, n_base, first_word, last_word, base_labels, labels, score`` and ``blocks``: the template joins as
-    text ``label:template number:share``, comma-joined. ``marks``: a list of phrases for each template (those of
+    """``n_words, n_base, first_word, last_word, base_labels, labels, score`` and
+    ``blocks``: the template joins as text ``label:template number:largest share``, comma-joined; ``block_runs``: all
+    joining blocks as text ``template number:first start-last start:largest share``, a run of neighbouring blocks in one
+    (a block's start is its first word, from 0; '' when none). ``marks``: a list of phrases for each template (those of
     TEMPLATES by default, none for other templates)."""
     marks = MARKS if marks is None and templates is TEMPLATES else marks or ()
     index = Shipped(spark, TemplateIndex(templates, template_frequencies(docs, templates), least, phrases, marks))
     fields = [StructField("n_words", LongType()), StructField("n_base", LongType()), StructField("first_word", LongType()),
               StructField("last_word", LongType()), StructField("base_labels", StringType()),
-              StructField("labels", StringType()), StructField("score", DoubleType()), StructField("blocks", StringType())]
+              StructField("labels", StringType()), StructField("score", DoubleType()), StructField("blocks", StringType()),
+              StructField("block_runs", StringType())]
 
     def work(texts):
         own, rows = index.get(), []
@@ -200,9 +211,10 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, phr
             n, places, base, found, named = own.scan(t)
             more = {own.templates[k][0] for k in named}
             rows.append((n, len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)),
-                         ",".join(sorted(base | more)), 1.0 if places else max((found[k] for k in named), default=0.0),
-                         ",".join(f"{own.templates[k][0]}:{k}:{v:.4f}" for k, v in sorted(found.items()))))
-        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string()]
+                         ",".join(sorted(base | more)), 1.0 if places else max((b[2] for k in named for b in found[k]), default=0.0),
+                         ",".join(f"{own.templates[k][0]}:{k}:{max(v for _, _, v in runs):.4f}" for k, runs in sorted(found.items())),
+                         ",".join(f"{k}:{a}-{z}:{v:.4f}" for k, runs in sorted(found.items()) for a, z, v in runs)))
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string(), pa.string()]
         return [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
 
     return append_columns(docs, work, fields, carry)

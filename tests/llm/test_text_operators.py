@@ -199,6 +199,35 @@ def test_wrapped_notices_are_found(spark, frame):
                 assert label in got[k]["labels"].split(",")
 
 
+def test_every_joining_block_is_returned(spark, frame):
+    rng = random.Random(23)
+    vocabulary = sorted({w.decode() for _, t in S.TEMPLATES for w in folded_words(t)})
+    texts = [None, "", "mit license"]
+    for _ in range(60):  # notices far apart, close together, repeated, and loose words of theirs
+        parts = []
+        for _ in range(rng.randrange(1, 6)):
+            parts += rng.choice(S.TEMPLATES)[1].split() if rng.random() < 0.7 else rng.choices(vocabulary, k=rng.randrange(1, 40))
+            parts += ["x"] * rng.choice((0, 3, 30, 70, 200))
+        texts.append(" ".join(parts))
+    got = {r["doc_id"]: r["block_runs"] for r in S.scan_licenses(spark, frame(texts), least=0.7).collect()}
+    several = 0
+    for k, t in enumerate(texts):
+        want = []
+        for n, (_, template) in enumerate(S.TEMPLATES):
+            own, runs = set(folded_words(template)), []
+            for at, block in enumerate(S.blocks(t or "")):
+                share = len(own & set(block)) / len(own)
+                if share >= 0.7:
+                    if runs and runs[-1][1] == at - 1:
+                        runs[-1] = (runs[-1][0], at, max(share, runs[-1][2]))
+                    else:
+                        runs.append((at, at, share))
+            several += len(runs) > 1
+            want += [f"{n}:{a}-{z}:{v:.4f}" for a, z, v in runs]
+        assert got[k] == ",".join(want)
+    assert several > 10
+
+
 def test_neighbouring_licenses_get_no_wrong_label(spark, frame):
     cases = {
         "released under the GPL license": "", "A new trailer was released under the hood; the license plate": "",
