@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 MAX_PARTITIONS = 65_536  # rows of the matrix that the driver draws
 CELL_ROWS = 5_000  # mean rows of a cell
+PART_ROWS = 5_000  # mean rows of a source partition, until there are MAX_PARTITIONS
+TASK_ROWS = 20_000  # mean rows of a task of either permutation
 
 
 def draw_one(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
@@ -75,25 +77,28 @@ def _key(row: str, seed: int, what: int) -> Column:
 
 
 def shuffle_into_shards(spark: SparkSession, docs: DataFrame, shards: int = 8, seed: int = 0,
-                        partitions: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+                        partitions: int | None = None, cell_rows: int = CELL_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
     """All columns of ``docs`` plus ``shard`` (0 to shards - 1) and ``slot`` (0, 1, ... without gaps in each shard).
 
-    ``partitions``: source partitions, by default four for each shuffle partition of the session.
+    ``partitions``: source partitions, by default four for each shuffle partition of the session, and more for tables
+    of over PART_ROWS rows a partition. The tasks of both permutations grow in number with the rows, not in size.
     """
-    parts = min(partitions or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_PARTITIONS)
     docs = docs.select([c for c in docs.columns if c.lower() not in ("shard", "slot")])
+    total, least = docs.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))  # Parquet counts without reading rows
+    parts = min(partitions or max(4 * least, -(-total // PART_ROWS)), MAX_PARTITIONS)
+    tasks = max(least, -(-total // task_rows))
     rows = docs.withColumn("__row", F.xxhash64("doc_id", "text", F.lit(seed))) \
         .withColumn("__part", F.pmod(_key("__row", seed, 1), F.lit(parts)).cast("int"))
 
     counted = {r["__part"]: r["count"] for r in rows.groupBy("__part").count().collect()}  # at most MAX_PARTITIONS rows
-    order, total = sorted(counted), sum(counted.values())
+    order = sorted(counted)
     matrix = draw_matrix([counted[p] for p in order], shard_sizes(total, shards), seed)
     bounds = _rows(spark, [{"__part": p, "__ends": np.cumsum(sent).tolist()} for p, sent in zip(order, matrix)],
                    "__part: int, __ends: array<bigint>")
 
     local = Window.partitionBy("__part").orderBy(_key("__row", seed, 2), "__row", "doc_id")
     place = F.row_number().over(local)
-    sent = rows.withColumn("__place", place).join(F.broadcast(bounds), "__part") \
+    sent = rows.repartition(tasks, "__part").withColumn("__place", place).join(F.broadcast(bounds), "__part") \
         .withColumn("shard", F.size(F.filter("__ends", lambda end: end < F.col("__place"))))
 
     cells = max(1, -(-total // (shards * cell_rows)))
@@ -102,7 +107,7 @@ def shuffle_into_shards(spark: SparkSession, docs: DataFrame, shards: int = 8, s
     before = sizes.select("shard", "__cell", (F.sum("__n").over(
         Window.partitionBy("shard").orderBy("__cell")) - F.col("__n")).alias("__base"))
     again = Window.partitionBy("shard", "__cell").orderBy(_key("__row", seed, 4), "__row", "doc_id")
-    return sent.withColumn("__again", F.row_number().over(again)).join(before, ["shard", "__cell"]) \
+    return sent.repartition(tasks, "shard", "__cell").withColumn("__again", F.row_number().over(again)).join(before, ["shard", "__cell"]) \
         .withColumn("slot", F.col("__base") + F.col("__again") - 1).select(*docs.columns, "shard", "slot")
 
 
