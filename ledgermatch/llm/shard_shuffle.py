@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 MAX_PARTITIONS = 65_536  # rows of the matrix that the driver draws
-CELL_ROWS = 5_000  # mean rows of a cell
+CELL_ROWS = 1_000  # mean rows of a cell
 PART_ROWS = 5_000  # mean rows of a source partition, until there are MAX_PARTITIONS
 TASK_ROWS = 20_000  # mean rows of a task of either permutation
 
