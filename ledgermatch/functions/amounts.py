@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DecimalType
 
+from .text import let
+
 AMOUNT_TYPE = DecimalType(18, 2)
 
 # Fixed values. One amount grammar for every input (invoice text, statement
@@ -45,9 +47,10 @@ def parse_amount(text) -> Column:
     One regex search finds the amount; its value is all of its digits
     divided by 10^(number of decimal digits), negated when it carries a minus.
     """
-    c = _col(text)
-    bare = F.trim(c)
-    return F.when(F.rlike(bare, F.lit(_PLAIN)), number_amount(bare)).otherwise(amount_value(find_amount(c)))
+    def parsed(c):
+        bare = F.trim(c)
+        return F.when(F.rlike(bare, F.lit(_PLAIN)), number_amount(bare)).otherwise(let(find_amount(c), amount_value))
+    return let(_col(text), parsed)
 
 
 def number_amount(number) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import fold_latin1, ktrim
+from .text import fold_latin1, ktrim, let
 
 # Month names after accent folding and lower-casing,
 # French then English, full and abbreviated.
@@ -50,16 +50,22 @@ def parse_date(text) -> Column:
     rows that are not numeric are lower-cased and accent-folded for the
     month-name shapes."""
     c = F.col(text) if isinstance(text, str) else text
-    s = ktrim(c)
-    a, b, z = (F.regexp_extract(s, _NUM, i) for i in (1, 2, 3))
+    shapes = let(ktrim(c), lambda s: let(F.struct(s.alias("s"), *[F.regexp_extract(s, _NUM, i).alias(n) for i, n in enumerate("abz", 1)]), _ymd))
+    return F.try_to_date(shapes, "y-M-d")
+
+
+def _ymd(parts: Column) -> Column:
+    s, a, b, z = (parts[n] for n in "sabz")
     year_first = (F.length(a) == 4) & (F.length(z) <= 2)
     day_first = (F.length(a).between(1, 2)) & F.length(z).isin(2, 4)
     named = F.regexp_replace(F.regexp_replace(F.lower(fold_latin1(s)), _WEEKDAY, ""), _MONTH_D_Y, "$2 $1 $3")
-    nd, nm, ny = (F.regexp_extract(named, _D_MONTH_Y, i) for i in (1, 2, 3))
-    ny = F.when(F.length(ny) == 2, F.concat(F.lit("20"), ny)).otherwise(ny)
+
+    def by_month(t):
+        nd, nm, ny = (F.regexp_extract(t, _D_MONTH_Y, i) for i in (1, 2, 3))
+        ny = F.when(F.length(ny) == 2, F.concat(F.lit("20"), ny)).otherwise(ny)
+        return F.concat_ws("-", ny, F.try_element_at(_month_map(), nm), nd)
     compact = F.regexp_replace(s, _COMPACT, "$1-$2-$3")
-    ymd = (F.when(year_first, F.concat_ws("-", a, b, z))
-           .when(day_first, F.concat_ws("-", F.when(F.length(z) == 2, F.concat(F.lit("20"), z)).otherwise(z), b, a))
-           .when(F.rlike(s, F.lit(_COMPACT)), compact)
-           .when(F.length(a) == 0, F.concat_ws("-", ny, F.try_element_at(_month_map(), nm), nd)))
-    return F.try_to_date(ymd, "y-M-d")
+    return (F.when(year_first, F.concat_ws("-", a, b, z))
+            .when(day_first, F.concat_ws("-", F.when(F.length(z) == 2, F.concat(F.lit("20"), z)).otherwise(z), b, a))
+            .when(F.rlike(s, F.lit(_COMPACT)), compact)
+            .when(F.length(a) == 0, let(named, by_month)))

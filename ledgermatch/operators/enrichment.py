@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.amounts import number_amount, parse_amount
 from ..functions.dates import parse_date
-from ..functions.text import json_block, ktrim
+from ..functions.text import json_block, ktrim, let
 from .once import evaluate_once
 
 COLUMNS_SCHEMA = ("date_column string, description_column string, amount_column string, "
@@ -22,7 +22,7 @@ COLUMNS_SCHEMA = ("date_column string, description_column string, amount_column
 
 
 def _blank_to_null(c):
-    return F.nullif(ktrim(c), F.lit(""))
+    return let(ktrim(c), lambda t: F.when(t != "", t))
 
 
 # How deep answers are searched: what models wrap a result in is a level or two.
@@ -46,12 +46,14 @@ def find_value(answer, key: str):
     def inner(v):
         values = F.map_values(F.coalesce(_get(v, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
         return F.concat(values, F.coalesce(_get(v, "$", "array<variant>"), F.array().cast("array<variant>")))
-    level, found = F.array(answer), []
-    for _ in range(MAX_DEPTH):
+    def search(level, depth):
         hits = F.filter(F.transform(level, lambda v: _get(v, f"$.{key}")), lambda v: v.isNotNull() & ~F.is_variant_null(v))
-        found.append(F.get(hits, F.lit(0)))
-        level = F.flatten(F.transform(F.filter(level, lambda v: v.isNotNull()), inner))
-    return F.coalesce(*found)
+        hit = F.get(hits, F.lit(0))
+        if depth == 1:
+            return hit
+        below = F.flatten(F.transform(F.filter(level, lambda v: v.isNotNull()), inner))
+        return F.coalesce(hit, F.when(F.size(level) > 0, let(below, lambda deeper: search(deeper, depth - 1))))
+    return let(F.array(answer), lambda level: search(level, MAX_DEPTH))
 
 
 def _kind(v):
@@ -60,15 +62,18 @@ def _kind(v):
 
 def text_value(v):
     """A scalar VARIANT as text; NULL for objects, lists and blanks."""
-    scalar = ~F.startswith(_kind(v), F.lit("OBJECT")) & ~F.startswith(_kind(v), F.lit("ARRAY"))
-    return _blank_to_null(F.when(scalar, _get(v, "$", "string")))
+    def scalar(v):
+        return let(_kind(v), lambda kind: ~F.startswith(kind, F.lit("OBJECT")) & ~F.startswith(kind, F.lit("ARRAY")))
+    return let(v, lambda v: _blank_to_null(F.when(scalar(v), _get(v, "$", "string"))))
 
 
 def amount_of(v):
     """Money by type: a JSON text is read as people write amounts (``"1.234"``
     is 1234), a JSON number is that number (``1.234`` is 1.23)."""
-    return F.when(_kind(v) == "STRING", parse_amount(text_value(v))) \
-        .when(F.rlike(_kind(v), F.lit("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)")), number_amount(_get(v, "$", "string")))
+    def by_kind(v, kind):
+        return F.when(kind == "STRING", parse_amount(text_value(v))) \
+            .when(F.rlike(kind, F.lit("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)")), number_amount(_get(v, "$", "string")))
+    return let(v, lambda v: let(_kind(v), lambda kind: by_kind(v, kind)))
 
 
 def json_invoice_fields(answers: DataFrame, answer_col: str = "answer") -> DataFrame:
