@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import fold_latin1, ktrim, let
+from .text import fold_latin1, let, trim_ends
 
 # Month names after accent folding and lower-casing,
 # French then English, full and abbreviated.
@@ -50,7 +50,7 @@ def parse_date(text) -> Column:
     rows that are not numeric are lower-cased and accent-folded for the
     month-name shapes."""
     c = F.col(text) if isinstance(text, str) else text
-    shapes = let(ktrim(c), lambda s: let(F.struct(s.alias("s"), *[F.regexp_extract(s, _NUM, i).alias(n) for i, n in enumerate("abz", 1)]), _ymd))
+    shapes = let(let(c, trim_ends), lambda s: let(F.struct(s.alias("s"), *[F.regexp_extract(s, _NUM, i).alias(n) for i, n in enumerate("abz", 1)]), _ymd))
     return F.try_to_date(shapes, "y-M-d")
 
 

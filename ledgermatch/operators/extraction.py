@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import invoice_fields as IF
 from ..functions.amounts import parse_amount
 from ..functions.dates import parse_date
-from ..functions.text import ktrim, trim_ends
+from ..functions.text import ktrim, let, trim_ends
 from .once import evaluate_once
 
 # Fixed value: a new invoice starts at a line beginning with
@@ -27,7 +27,7 @@ _LINE_END_BLANKS = rf"(?md)(?={_BLANK})(?<!{_BLANK}){_BLANK}++$"
 
 def normalize_text(text) -> F.Column:
     c = F.col(text) if isinstance(text, str) else text
-    return ktrim(F.regexp_replace(F.replace(c, F.lit("\r"), F.lit("")), _LINE_END_BLANKS, ""))
+    return let(F.regexp_replace(F.replace(c, F.lit("\r"), F.lit("")), _LINE_END_BLANKS, ""), trim_ends)
 
 
 def split_sections(docs: DataFrame, text_col: str = "text", filename_col: str = "filename") -> DataFrame:

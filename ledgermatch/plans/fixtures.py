@@ -16,10 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Rows of a task that renders or parses text.
+TASK_ROWS = 250_000
+
+
 def base(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     """The columns a view needs, dealt over the session's cores: the test
-    files are single row groups, and rendering text is work per row."""
-    return table(spark, sf_dir, name).select(*cols).repartition(spark.sparkContext.defaultParallelism)
+    files are single row groups, and rendering text is work per row. Tasks grow
+    in number with the rows (counted from the footers), not in size."""
+    rows = table(spark, sf_dir, name).select(*cols)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+    return rows.repartition(tasks, *cols)
 
 
 def _cents(x) -> F.Column:
