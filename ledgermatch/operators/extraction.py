@@ -52,17 +52,6 @@ def split_sections(docs: DataFrame, text_col: str = "text", filename_col: str =
                            F.col("n_sections").cast("int").alias("n_sections"), "text")
 
 
-def _earlier(rows: DataFrame, value, by: list[str], names: tuple[str, str]) -> DataFrame:
-    """``rows`` with two sums of ``value`` over their document: of the parts
-    before the row's, and of all. ``by``: document and part. One row a part is
-    summed up; no window sees the rows of a whole document."""
-    doc = Window.partitionBy(by[0])
-    parts = rows.groupBy(*by).agg(F.sum(value).alias("_n")).select(
-        *by, F.coalesce(F.sum("_n").over(doc.orderBy(by[1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(names[0]),
-        F.sum("_n").over(doc).alias(names[1]))
-    return rows.join(parts, by)
-
-
 def split_sections_by_line(lines: DataFrame, key: list[str], order: list[str], text_col: str = "text",
                            filename_col: str = "filename", part: int = LINE_PART) -> DataFrame:
     """The rows of ``split_sections`` for documents that come as lines or as
@@ -73,37 +62,58 @@ def split_sections_by_line(lines: DataFrame, key: list[str], order: list[str], t
     holds one line or several, and rows join by a newline.
 
     A section starts at a marker line. The lines of a document are cut into
-    ranges of ``part`` numbers of the first order column. A running sum of the
-    markers in a range, and the sums of the ranges before it, name a line's
-    section; blank sections are left out of the numbering the same way. So one
-    long document spreads over tasks; what has to fit in one is a range and a
-    section."""
+    ranges of ``part`` numbers of the first order column, and windows see a
+    range each. A running sum of the markers in a range, and the sums of the
+    ranges before it (one row a range), name a line's section. Only what stands
+    before the first marker can be blank, so a document's first line with text
+    tells whether that part counts. Lines join to texts inside their range. So
+    one long document spreads over tasks; what has to fit in one is a range and
+    a section."""
     text = F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\r"), F.lit(""))
     start = F.coalesce(F.floor(F.col(order[0]) / part), F.lit(-1 << 62))
     rows = lines.select(F.struct(*key).alias("_doc"), start.alias("_part"), F.struct(*order).alias("_at"),
                         F.col(filename_col).alias("source_file"), F.posexplode(F.split(text, "\n")).alias("_i", "_line")) \
         .withColumn("_line", F.regexp_replace("_line", _LINE_END_BLANKS, ""))
     # "reçu" alone on its line is a marker where the next line with text goes on with "n°"
-    rows = rows.withColumn("_goes_on", F.when(F.col("_line") != "", F.rlike("_line", F.lit(_NUMBER_LINE))))
+    rows = rows.select("*", F.when(F.col("_line") != "", F.rlike("_line", F.lit(_NUMBER_LINE))).alias("_goes_on"),
+                       F.rlike("_line", F.lit(_MARKER_LINE)).alias("_marker"), F.rlike("_line", F.lit(_OPEN_MARKER)).alias("_bare"))
     own = Window.partitionBy("_doc", "_part").orderBy("_at", "_i")
-    following = Window.partitionBy("_doc").orderBy("_part").rowsBetween(1, Window.unboundedFollowing)  # a row a part
-    firsts = rows.groupBy("_doc", "_part").agg(F.min_by("_goes_on", F.when(F.col("_goes_on").isNotNull(), F.struct("_at", "_i"))).alias("_f")) \
-        .select("_doc", "_part", F.first("_f", ignorenulls=True).over(following).alias("_next_part"))
-    rows = rows.join(firsts, ["_doc", "_part"]) \
-        .withColumn("_next", F.first("_goes_on", ignorenulls=True).over(own.rowsBetween(1, Window.unboundedFollowing)))
-    mark = F.rlike("_line", F.lit(_MARKER_LINE)) | (F.rlike("_line", F.lit(_OPEN_MARKER)) & F.coalesce("_next", "_next_part", F.lit(False)))
-    marked = _earlier(rows.withColumn("_mark", mark.cast("long")), F.col("_mark"), ["_doc", "_part"], ("_base", "_all")) \
-        .withColumn("_sec", F.col("_base") + F.sum("_mark").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    ordered = F.array_sort(F.collect_list(F.struct("_at", "_i", "_line")))
-    made = marked.groupBy("_doc", "_sec").agg(
-        F.max("source_file").alias("source_file"), ktrim(F.array_join(F.transform(ordered, lambda x: x["_line"]), "\n")).alias("text")) \
-        .where("text <> ''")
-    numbers = _earlier(made.select("_doc", F.floor(F.col("_sec") / part).alias("_part"), "_sec"), F.lit(1), ["_doc", "_part"], ("_base", "_all"))
-    numbers = numbers.select("_doc", "_sec", F.col("_all").cast("int").alias("n_sections"), (F.col("_base") + F.row_number().over(
-        Window.partitionBy("_doc", "_part").orderBy("_sec"))).cast("int").alias("section_no"))
+    so_far = own.rowsBetween(Window.unboundedPreceding, 0)
+    # LEAD looks at each row once; a frame up to the range's end would be read anew for each row
+    rows = rows.withColumn("_next", F.expr("LEAD(_goes_on) IGNORE NULLS OVER (PARTITION BY _doc, _part ORDER BY _at, _i)"))
+    # a range's last line with text may be left open: the range that follows tells
+    rows = rows.withColumn("_mark", F.col("_marker") | (F.col("_bare") & F.coalesce("_next", F.lit(False)))) \
+        .withColumn("_open", F.col("_bare") & ~F.col("_marker") & F.col("_next").isNull())
+    told = F.col("_goes_on").isNotNull()
+    parts = rows.groupBy("_doc", "_part").agg(
+        F.min(F.when(told, F.struct("_at", "_i", "_goes_on", "_mark", "_open"))).alias("_f"),
+        F.count_if("_mark").alias("_marks"), F.count_if("_open").alias("_opens"))
+    doc = Window.partitionBy("_doc").orderBy("_part")  # a row a part
+    whole = doc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    parts = parts.withColumn("_first", F.col("_f._goes_on")) \
+        .withColumn("_closes", F.coalesce(F.expr("LEAD(_first) IGNORE NULLS OVER (PARTITION BY _doc ORDER BY _part)"), F.lit(False))) \
+        .withColumn("_n", F.col("_marks") + F.when(F.col("_closes"), F.col("_opens")).otherwise(0)) \
+        .withColumn("_led", F.col("_f._mark") | (F.col("_f._open") & F.col("_closes")))
+    parts = parts.select(
+        "_doc", "_part", "_closes", F.coalesce(F.sum("_n").over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"),
+        F.sum("_n").over(whole).alias("_all"), F.when(F.first("_led", ignorenulls=True).over(whole), 0).otherwise(1).alias("_lead"))
+    # every line has its range's row; a left join cannot broadcast the lines
+    marked = rows.select("_doc", "_part", "_at", "_i", "source_file", "_line", F.count_if("_mark").over(so_far).alias("_m"),
+                         F.count_if("_open").over(so_far).alias("_o")).join(parts, ["_doc", "_part"], "left") \
+        .withColumn("_sec", F.col("_base") + F.col("_m") + F.when(F.col("_closes"), F.col("_o")).otherwise(0))
+
+    def joined(collected, value):
+        return F.array_join(F.transform(F.array_sort(collected), lambda x: x[value]), "\n")
+    pieces = marked.groupBy("_doc", "_part", "_sec").agg(
+        F.max("source_file").alias("source_file"), F.first("_all").alias("_all"), F.first("_lead").alias("_lead"),
+        joined(F.collect_list(F.struct("_at", "_i", "_line")), "_line").alias("_text"))
+    made = pieces.groupBy("_doc", "_sec").agg(
+        F.max("source_file").alias("source_file"), (F.first("_all") + F.first("_lead")).cast("int").alias("n_sections"),
+        (F.col("_sec") + F.first("_lead")).cast("int").alias("section_no"),
+        ktrim(joined(F.collect_list(F.struct("_part", "_text")), "_text")).alias("text")).where("text <> ''")
     label = F.when(F.col("n_sections") > 1, F.concat("source_file", F.lit("#"), F.col("section_no").cast("string"))) \
         .otherwise(F.col("source_file"))
-    return made.join(numbers, ["_doc", "_sec"]).select(
+    return made.select(
         "source_file", *[F.col("_doc")[c].alias(c) for c in key if c != filename_col], label.alias("filename"), "section_no",
         "n_sections", "text")
 
