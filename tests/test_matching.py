@@ -248,3 +248,21 @@ def test_keyed_numberless_invoices(spark):
     assert (r["a"].bank_row_idx, r["a"].n_candidates) == (1, 2)
     assert (r["b"].bank_row_idx, r["b"].bank_amount, r["b"].n_candidates) == (3, Decimal("-5.00"), 1)
     assert not r["c"].matched and r["c"].n_candidates == 0
+
+
+def test_ranked_candidates_move_once(spark):
+    """The window's exchange of the candidates also serves the join with the offsets; nulls and
+    zero scores are values of the key."""
+    c = spark.range(2000).selectExpr(
+        "CASE WHEN id % 7 > 0 THEN concat('i', id % 7) END filename", "cast(id % 5 as double) match_score",
+        "CASE WHEN id % 11 > 0 THEN date_add(date'2024-01-01', cast(id * 7 % 400 as int)) END bank_date", "id % 100 bank_cents",
+        "concat('d', id % 11) bank_description", "'s' bank_statement_id", "id bank_row_idx")
+    ranked = rank_candidates(c)
+    from pyspark.sql import Window
+    want = c.withColumn("want", F.row_number().over(Window.partitionBy("filename").orderBy(F.col("match_score").desc(), "bank_date", "bank_row_idx")))
+    assert ranked.join(want, "bank_row_idx").where("rank = want").count() == 2000
+    run = ranked._jdf.queryExecution()
+    run.toRdd().count()
+    plan = run.executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
+    moved = [line for line, below in zip(plan, plan[1:]) if "+- Exchange hashpartitioning" in line and "bank_description" in below]
+    assert len(moved) == 1, moved
