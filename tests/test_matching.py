@@ -266,3 +266,4 @@ def test_ranked_candidates_move_once(spark):
     plan = run.executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
     moved = [line for line, below in zip(plan, plan[1:]) if "+- Exchange hashpartitioning" in line and "bank_description" in below]
     assert len(moved) == 1, moved
+    assert sum("Range (" in line for line in plan) == 1  # made once: the other branch reads the same exchange
