@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.similarity import jaro_winkler
 from ..functions.text import standardize_header
+from .once import evaluate_once
 
 # Candidate header names per field, in priority order.
 FIELD_CANDIDATES = {
@@ -42,9 +43,11 @@ def _rules():
 
 def _layouts(layouts: DataFrame, headers_col: str) -> DataFrame:
     """Distinct header lists under a digest: pairs and matches carry the
-    digest, however many headers a list has."""
-    return layouts.select(F.col(headers_col).alias("headers")).distinct() \
-        .select(F.sha2(F.to_json(F.struct("headers")), 256).alias("layout"), "headers")
+    digest, however many headers a list has. Both come out of a generator, below
+    which no branch's filter is pushed: the rows are read once for all of them."""
+    known = layouts.select(F.col(headers_col).alias("_known")).distinct()
+    return evaluate_once(known, {"layout": F.sha2(F.to_json(F.struct(F.col("_known").alias("headers"))), 256),
+                                 "headers": F.col("_known")}).drop("_known")
 
 
 def header_rule_pairs(layouts: DataFrame) -> DataFrame:

@@ -61,6 +61,17 @@ def signed_amount(amount, debit, credit) -> Column:
 
 MAP_FIELDS = ["date_idx", "description_idx", "amount_idx", "debit_idx", "credit_idx"]
 
+#: Parts into which the rows of one header list are dealt for the join with its
+#: map: a run has few lists, and a list's rows would else be one task.
+LAYOUT_PARTS = 64
+
+
+def _with_maps(rows: DataFrame, maps: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` (with ``_part``) left joined to ``maps``, which are copied to
+    every part: small rows, one a header list (and statement)."""
+    parts = F.explode(F.sequence(F.lit(0), F.lit(LAYOUT_PARTS - 1)))
+    return rows.join(maps.withColumn("_part", parts), on=[*on, "_part"], how="left")
+
 
 def harmonise(statement_rows: DataFrame, column_map: DataFrame | None = None,
               suggestions: DataFrame | None = None) -> DataFrame:
@@ -74,13 +85,14 @@ def harmonise(statement_rows: DataFrame, column_map: DataFrame | None = None,
     reject_reason (layout-level; NULL when the layout is usable).
     """
     cmap = column_map if column_map is not None else detect_columns(statement_rows.select("headers"))
-    j = statement_rows.select("statement_id", "row_idx", "headers", "cells").join(cmap, on="headers", how="left")
+    part = F.pmod(F.hash("statement_id", "row_idx", "cells"), F.lit(LAYOUT_PARTS))
+    j = _with_maps(statement_rows.select("statement_id", "row_idx", "headers", "cells", part.alias("_part")), cmap, ["headers"])
     if suggestions is not None:
         failed = statement_rows.select("statement_id", "headers").distinct() \
             .join(cmap.where(F.col("reject_reason").isNotNull()).select("headers"), "headers")
         given = suggested_map(failed, suggestions).select(
             "statement_id", "headers", F.struct(*MAP_FIELDS).alias("_given"))
-        j = j.join(given, on=["statement_id", "headers"], how="left")
+        j = _with_maps(j, given, ["statement_id", "headers"])
         ok = F.col("_given").isNotNull()
         j = j.select("statement_id", "row_idx", "headers", "cells",
                      *[F.when(ok, F.col("_given")[f]).otherwise(F.col(f)).alias(f) for f in MAP_FIELDS],
