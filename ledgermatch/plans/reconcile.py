@@ -71,13 +71,16 @@ def load_transactions(statement_rows: DataFrame | None = None, delimited_lines:
         tx = filter_valid(harmonised).select(*TX_COLUMNS).withColumn("row_source", F.lit("grid"))
     if "lines" in given:
         lines = parse_statement_lines(given["lines"]).select(*TX_COLUMNS)
-        reasons.append(given["lines"].select("statement_id").distinct().join(
-            lines.select("statement_id").distinct(), "statement_id", "left_anti")
-            .select("statement_id", F.lit("no transaction line").alias("reason")))
-        tx = lines.withColumn("row_source", F.lit("lines")) if tx is None else union_sources(tx, lines)
+        # stated of every statement: those with a transaction are left out below
+        reasons.append(given["lines"].select("statement_id").distinct()
+                       .select("statement_id", F.lit("no transaction line").alias("reason")))
+        tx = lines.withColumn("row_source", F.lit("lines")) if tx is None else union_sources(tx, lines).checkpoint()
     if transaction_answers is not None:
         told = json_transactions(transaction_answers).select(*TX_COLUMNS).withColumn("row_source", F.lit("answers"))
-        tx = told if tx is None else tx.unionByName(told.join(tx.select("statement_id").distinct(), "statement_id", "left_anti"))
+        # read by the rejects too: lines and answers are parsed once
+        checkpoint_dir(told.sparkSession)
+        tx = told if tx is None else tx.unionByName(
+            told.join(tx.select("statement_id").distinct(), "statement_id", "left_anti").checkpoint())
     if tx is None:
         raise ValueError("no statement source given")
     if not seen:
