@@ -184,7 +184,12 @@ def q_unmatched(spark, sf_dir):
 
 @query("summary_counts")
 def q_summary_counts(spark, sf_dir):
+    """A3. Both flag joins read the matches: these are kept in the shared
+    folder, not made twice."""
+    from ..session import checkpoint_dir
     inv, txn, m = _flagship_inputs(spark, sf_dir)
+    checkpoint_dir(spark)
+    m = m.select("filename", "invoice_number", "total_amount", "matched", "bank_date", "bank_amount", "bank_description").checkpoint()
     return FL.summary_counts(FL.mark_invoices(inv, m), FL.mark_transactions(txn, m))
 
 
