@@ -21,7 +21,7 @@ Invoices without a date join on the amount bucket alone, in a second branch.
 ``match`` reduces both inputs first: equal invoice rows to one row with its
 number of copies, equal transactions (date, amount, description) to their
 first row with a count, which takes the repeats out of hot buckets. Then the
-exploded invoices are joined from the left and reduced by one ``min_by``
+exploded invoices are joined from the left and reduced by one ``min``
 per invoice, so unmatched invoices need no second join, and neither the
 exploded side nor anything else is broadcast by an estimate made before it
 grew.
@@ -186,13 +186,12 @@ def _salt_hot_buckets(inv: DataFrame, txn: DataFrame, keys, bucket: Sequence[str
 #: What orders candidates of one score.
 _ORDER = {"date": ["bank_date", "bank_row_idx", "bank_statement_id", "bank_cents", "bank_description"],
           "row": ["bank_statement_id", "bank_row_idx", "bank_date", "bank_cents", "bank_description"]}
-BEST = ["match_score", "bank_date", "bank_cents", "bank_description", "bank_statement_id", "bank_row_idx"]
 
 
 def _order_key(tie_order: str) -> Column:
     if tie_order not in _ORDER:
         raise ValueError(f"unknown tie_order {tie_order!r}")
-    return F.struct(-F.col("match_score"), *_ORDER[tie_order])
+    return F.struct((-F.col("match_score")).alias("score_down"), *_ORDER[tie_order])
 
 
 def match(invoices: DataFrame, transactions: DataFrame, amount_tolerance=0.02,
@@ -231,7 +230,7 @@ def match(invoices: DataFrame, transactions: DataFrame, amount_tolerance=0.02,
         .withColumn("match_score", _total_score(scorer))
     found = F.col("bank_date").isNotNull()
     best = pairs.groupBy(*label, "_copies").agg(
-        F.min_by(F.when(found, F.struct(*BEST)), F.when(found, _order_key(tie_order))).alias("_best"),
+        F.min(F.when(found, _order_key(tie_order))).alias("_best"),  # the key holds every column of the answer
         F.coalesce(F.sum("bank_copies"), F.lit(0)).alias("n_candidates"))
     best = best.unionByName(_match_numberless(side.where(_numberless()), _transaction_side(transactions, keys), keys,
                                               amount_tolerance, max_days, tie_order)
@@ -239,7 +238,7 @@ def match(invoices: DataFrame, transactions: DataFrame, amount_tolerance=0.02,
     return best.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(
         *ikey, *carried,
         F.col("_best").isNotNull().alias("matched"),
-        F.col("_best.match_score").alias("match_score"),
+        (-F.col("_best.score_down")).alias("match_score"),
         F.col("_best.bank_date").alias("bank_date"),
         cents_to_amount(F.col("_best.bank_cents")).alias("bank_amount"),
         F.col("_best.bank_description").alias("bank_description"),
@@ -273,7 +272,7 @@ def _match_numberless(side: DataFrame, txn: DataFrame, keys: Sequence[str], amou
     score = F.when(F.col("bank_cents") == F.col("_inv_acents"), F.lit(EXACT_BONUS)).otherwise(F.lit(0.0))
     rows = match_days(side, txn, keys, amount_tolerance, max_days, tie_order) \
         .select(*asked, score.alias("match_score"), "bank_date", "bank_first.*", "bank_copies")  # bank_first's signed bank_cents
-    answers = rows.groupBy(*asked).agg(F.min_by(F.struct(*BEST), _order_key(tie_order)).alias("_best"),
+    answers = rows.groupBy(*asked).agg(F.min(_order_key(tie_order)).alias("_best"),
                                        F.sum("bank_copies").alias("n_candidates"))
     answers = answers.select(*[F.col(c).alias(f"_q_{c}") for c in asked], "_best", "n_candidates")
     on = [side[c].eqNullSafe(answers[f"_q_{c}"]) for c in asked]
