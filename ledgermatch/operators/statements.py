@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.amounts import parse_amount
 from ..functions.dates import parse_date
-from ..functions.text import ktrim
+from ..functions.text import ktrim, let, trim_ends
 from .columns import detect_columns, suggested_map
 from .once import evaluate_once
 
@@ -108,7 +108,7 @@ def harmonise(statement_rows: DataFrame, column_map: DataFrame | None = None,
         .otherwise(F.col("reject_reason"))
     base = j.select("statement_id", "row_idx", "cells", *MAP_FIELDS, reason.alias("_reason"))
     out = evaluate_once(base, {"date": parse_date(cell("date_idx")),
-                               "description": ktrim(cell("description_idx")),
+                               "description": let(cell("description_idx"), trim_ends),
                                "amount": amount})
     return out.select("statement_id", "row_idx", "date", "description", "amount",
                       F.col("_reason").alias("reject_reason"))

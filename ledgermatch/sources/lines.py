@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.amounts import parse_amount
 from ..functions.dates import parse_date
-from ..functions.text import ktrim
+from ..functions.text import let, trim_ends
 from ..operators.once import evaluate_once
 
 _B = r"[\s\p{Z}]"
@@ -35,7 +35,7 @@ def parse_statement_lines(lines: DataFrame, line_col: str = "line", id_col: str
     base = evaluate_once(base.where(F.size("_tail") == 3), {"_head": head}).where(F.size("_head") == 2)
     parsed = evaluate_once(base, {
         "date": parse_date(F.col("_head")[0]),
-        "description": ktrim(F.col("_head")[1]),
+        "description": let(F.col("_head")[1], trim_ends),
         "amount": parse_amount(F.reverse(F.col("_tail")[1]))})
     return parsed.where(F.col("date").isNotNull() & F.col("amount").isNotNull()) \
         .select("statement_id", "row_idx", "date", "description", "amount")
