@@ -11,7 +11,7 @@ HEADS = ["Date", "Libellé", "Montant"]
 def _rows(spark, heads, n=2000):
     cells = F.array(F.lit("05/01/2024"), F.concat(F.lit("VIR "), F.col("id")), F.lit("12,50"))
     return spark.range(n).select(F.lit("s").alias("statement_id"), F.col("id").alias("row_idx"),
-                                 F.array(*map(F.lit, heads)).alias("headers"), cells.alias("cells"))
+                                 F.when(F.col("id") >= 0, F.array(*map(F.lit, heads))).alias("headers"), cells.alias("cells"))
 
 
 def _plain(spark):
