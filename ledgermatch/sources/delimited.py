@@ -19,6 +19,8 @@ _QUOTED = r'(?s)^"([^"]*+(?:""[^"]*+)*+)"(.*)$'
 #: the most that one record may span; a longer one is taken as plain lines.
 RUN_LINES = 1 << 20
 RECORD_SPAN = 1 << 16
+#: Numbers of lines (bytes in files) that meet their statement's header in one group.
+PART_LINES = 1 << 18
 #: Lines after the header that decide between separators, where more than one splits it.
 HEAD_LINES = 20
 
@@ -63,6 +65,19 @@ def read_statement_lines(spark: SparkSession, path: str) -> DataFrame:
         .select("statement_id", "file_name", "line_no", "line")
 
 
+def _part() -> Column:
+    return F.expr(f"line_no div {PART_LINES}")
+
+
+def _below(lines: DataFrame, heads: DataFrame, *cols: str) -> DataFrame:
+    """Lines below their statement's header, with ``header_no`` and ``cols`` of
+    ``heads``. A header is copied to the ranges of line numbers (``parts``) that
+    its statement has, so that a long statement is many tasks in the join."""
+    spread = heads.select("statement_id", "header_no", *cols, F.explode("parts").alias("_part"))
+    return lines.withColumn("_part", _part()).join(spread, ["statement_id", "_part"]) \
+        .where(F.col("line_no") > F.col("header_no")).drop("_part")
+
+
 def _quote_states(c: Column, sep: str) -> Column:
     """What a line does to the quote state, as a struct: whether its end lies
     inside quotes when its start lies outside (``o``) and inside (``i``)."""
@@ -74,7 +89,7 @@ def _quote_states(c: Column, sep: str) -> Column:
 
 def quoted_records(lines: DataFrame, usable: DataFrame) -> DataFrame:
     """statement_id, first, last: the runs of lines that are one record, since
-    a line break stands inside quotes. ``usable``: statement_id, header_no, sep.
+    a line break stands inside quotes. ``usable``: statement_id, header_no, sep, parts.
 
     A line maps the quote state at its start to the one at its end, and maps
     compose. Only lines with a quote can change the state, and of those only
@@ -89,8 +104,7 @@ def quoted_records(lines: DataFrame, usable: DataFrame) -> DataFrame:
             one = _quote_states(F.col("line"), s)[end]
             out = F.when(F.col("sep") == s, one) if out is None else out.when(F.col("sep") == s, one)
         return out.cast("int")
-    quoted = lines.where(F.contains("line", F.lit('"'))).join(usable.select("statement_id", "header_no", "sep"), "statement_id") \
-        .where(F.col("line_no") > F.col("header_no"))
+    quoted = _below(lines.where(F.contains("line", F.lit('"'))), usable, "sep")
     events = evaluate_once(quoted.select("statement_id", "line_no", "line", "sep"), {"o": state("o"), "i": state("i")}) \
         .where("o = 1 OR i = 0").select("statement_id", "line_no", "o", "i", F.expr(f"line_no div {RUN_LINES}").alias("run")) \
         .where("run IS NOT NULL")  # as the join below infers: both its sides are one shuffle then
@@ -153,10 +167,12 @@ def _not_blank(line: str = "line") -> Column:
 
 def header_lines(lines: DataFrame) -> DataFrame:
     """statement_id, header_no, header: each statement's first line that is not
-    blank, and ``seps``: the separators that split it into more than one field,
-    each with those fields. One aggregation."""
-    first = lines.where(_not_blank()).groupBy("statement_id").agg(F.min(F.struct("line_no", "line")).alias("_h")) \
-        .select("statement_id", F.col("_h.line_no").alias("header_no"), F.col("_h.line").alias("header"))
+    blank; ``parts``: the ranges of PART_LINES in which it has such lines; and
+    ``seps``: the separators that split it into more than one field, each with
+    those fields. One aggregation."""
+    first = lines.where(_not_blank()).groupBy("statement_id").agg(
+        F.min(F.struct("line_no", "line")).alias("_h"), F.collect_set(_part()).alias("parts")) \
+        .select("statement_id", F.col("_h.line_no").alias("header_no"), F.col("_h.line").alias("header"), "parts")
     tries = F.array(*[F.struct(F.lit(s).alias("sep"), split_fields(F.col("header"), s).alias("headers")) for s in SEPARATORS])
     return first.withColumn("seps", F.filter(tries, lambda t: F.size(t["headers"]) > 1))
 
@@ -165,8 +181,7 @@ def yields(lines: DataFrame, heads: DataFrame) -> DataFrame:
     """statement_id, sep, detected, kept: for every separator that splits a
     header, whether its columns are recognised and how many of the HEAD_LINES
     lines below the header are then transactions."""
-    below = lines.where(_not_blank()).join(heads.select("statement_id", "header_no", "seps"), "statement_id") \
-        .where(F.col("line_no") > F.col("header_no"))
+    below = _below(lines.where(_not_blank()), heads, "seps")
     top = Window.partitionBy("statement_id").orderBy("line_no")  # HEAD_LINES a task and statement reach the window
     below = below.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= HEAD_LINES)
     trial = below.withColumn("_t", F.explode("seps"))
@@ -185,7 +200,8 @@ def yields(lines: DataFrame, heads: DataFrame) -> DataFrame:
 
 def sniff_separator(lines: DataFrame) -> DataFrame:
     """Per statement: the number of its header (the first line that is not
-    blank), its separator (NULL when none splits the header) and its cells.
+    blank), its separator (NULL when none splits the header), its cells and the
+    ``parts`` of ``header_lines``.
 
     Where several separators split the header, the first in order that gives
     transactions below it is taken, else the first whose columns are
@@ -201,7 +217,7 @@ def sniff_separator(lines: DataFrame) -> DataFrame:
             F.when(F.col("kept") > 0, 0).when(F.col("detected"), 1).otherwise(2), order)).alias("_sep")).checkpoint()
         heads = heads.join(best, "statement_id", "left")
         chosen = F.get(F.filter("seps", lambda t: F.col("_sep").isNull() | (t["sep"] == F.col("_sep"))), F.lit(0))
-    return heads.select("statement_id", "header_no", chosen["sep"].alias("sep"), chosen["headers"].alias("headers"))
+    return heads.select("statement_id", "header_no", chosen["sep"].alias("sep"), chosen["headers"].alias("headers"), "parts")
 
 
 def delimited_to_rows(lines: DataFrame) -> DataFrame:
@@ -210,8 +226,7 @@ def delimited_to_rows(lines: DataFrame) -> DataFrame:
     separator yield nothing here and a row of ``delimited_rejects``."""
     usable = sniff_separator(lines).where(F.col("sep").isNotNull())
     own = lines.select("statement_id", "line_no", "line")
-    data = join_quoted_lines(own, usable).where(_not_blank()).join(usable, on="statement_id", how="inner") \
-        .where(F.col("line_no") > F.col("header_no"))
+    data = _below(join_quoted_lines(own, usable).where(_not_blank()), usable, "sep", "headers")
     cells = None
     for s in SEPARATORS:
         fields = split_fields(F.col("line"), s)

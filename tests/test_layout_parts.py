@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgermatch.operators.columns import detect_columns
 from ledgermatch.operators.statements import harmonise
+from ledgermatch.sources import delimited as D
 
 HEADS = ["Date", "Libellé", "Montant"]
 
@@ -49,3 +50,24 @@ def test_layouts_are_read_once(spark):
     finally:
         for k, v in was.items():
             spark.conf.set(k, v)
+
+
+def test_one_statement_is_many_tasks(spark):
+    """Lines of one long statement meet their header in many tasks, also under a trial of separators."""
+    head = spark.createDataFrame([("s", 0, "Date;Libellé, suite;Montant")], "statement_id string, line_no long, line string")
+    below = spark.range(1, 2001).select(F.lit("s").alias("statement_id"), (F.col("id") * (D.PART_LINES // 50)).alias("line_no"),
+                                        F.concat(F.lit('05/01/2024;VIR 5" '), F.col("id"), F.lit(";12,50")).alias("line"))
+    lines = spark.createDataFrame(head.unionByName(below).collect(), "statement_id string, line_no long, line string").repartition(4)
+    was = _plain(spark)
+    try:
+        heads = D.header_lines(lines)
+        for out in (D.delimited_to_rows(lines), D._below(lines, heads, "seps"), D._below(lines, D.sniff_separator(lines), "sep")):
+            got = out.groupBy(F.spark_partition_id()).count().collect()
+            assert sum(r["count"] for r in got) == 2000
+            assert max(r["count"] for r in got) < 1000  # all 2,000 when joined by the statement alone
+        assert D.sniff_separator(lines).collect()[0]["sep"] == ";"
+        kept = {tuple(r["cells"]) for r in D.delimited_to_rows(lines).collect()}
+        assert kept == {("05/01/2024", f'VIR 5" {i}', "12,50") for i in range(1, 2001)}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
